@@ -1,13 +1,17 @@
 """Queries of this subpackage and, where SQL can express them, the SQL that gives the same rows."""
 
-from sedimark.llm import cuckoo_dedup, packing, trie_bpe
+from sedimark.llm import cuckoo_dedup, line_dedup, media_columns, packing, trie_bpe, warc_merge
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_exact_dedup": cuckoo_dedup.op2_exact_dedup,
     "op3_trie_bpe": trie_bpe.op3_trie_bpe,
+    "op4_media_columns": media_columns.op4_media_columns,
+    "op5_warc_merge": warc_merge.op5_warc_merge,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
     "op2_exact_dedup": cuckoo_dedup.ORACLE,
+    "op5_warc_merge": warc_merge.ORACLE,
 }
