@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, the SQL that gives the same rows."""
 
-from sedimark.llm import cuckoo_dedup, line_dedup, media_columns, packing, trie_bpe, warc_merge
+from sedimark.llm import backoff_lm, byte_cnn, centroid_langid, cuckoo_dedup, line_dedup, media_columns, ngram_join, packing, trie_bpe, warc_merge
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -8,10 +8,16 @@ QUERIES = {
     "op3_trie_bpe": trie_bpe.op3_trie_bpe,
     "op4_media_columns": media_columns.op4_media_columns,
     "op5_warc_merge": warc_merge.op5_warc_merge,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_backoff_lm": backoff_lm.op7_backoff_lm,
+    "op8_byte_cnn": byte_cnn.op8_byte_cnn,
+    "op9_centroid_langid": centroid_langid.op9_centroid_langid,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
     "op2_exact_dedup": cuckoo_dedup.ORACLE,
     "op5_warc_merge": warc_merge.ORACLE,
+    "op6_ngram_join": ngram_join.ORACLE,
+    "op7_backoff_lm": backoff_lm.ORACLE,
 }
