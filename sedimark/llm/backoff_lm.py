@@ -122,7 +122,7 @@ def score(docs: DataFrame, parts: int | None = None) -> DataFrame:
             yield from answer(held)
 
     asked = rows.mapInArrow(ask, "block long, part int, words long, keys binary, counts binary")
-    answers = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "block long, part int, words long, totals binary")
+    answers = asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(count, "block long, part int, words long, totals binary")
     answers = materialise(answers, "totals")
     words_in_all = answers.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
 

@@ -28,7 +28,10 @@ from pyspark.sql.types import StructType
 
 from sedimark.llm.common import learns, table
 
-DIMENSIONS, CLUSTERS = 4096, 4
+BITS, CLUSTERS = 12, 4
+DIMENSIONS = 1 << BITS
+#: Bytes of UTF-8 that bear on a language: a-z and all beyond ASCII.
+LETTERS = bytes(b if b >= 128 or chr(b).islower() else 32 for b in range(256))
 #: Cosine below which a text is rejected: what shares next to no trigram with any language.
 NEAREST = 0.02
 
@@ -38,10 +41,11 @@ def has_letter(text: str | None) -> bool:
 
 
 def trigrams(text: str) -> np.ndarray:
-    """The hashed place of each byte trigram, with a space before and after the text."""
-    a = np.frombuffer(b" " + text.lower().encode() + b" ", np.uint8).astype(np.uint32)
-    mixed = (a[:-2] << 16 | a[1:-1] << 8 | a[2:]) * np.uint32(2654435761)
-    return mixed >> np.uint32(32 - 12)
+    """The hashed place of each byte trigram, with a space before and after the text and in place of what is neither letter nor beyond ASCII."""
+    a = np.frombuffer(b" " + text.lower().encode().translate(LETTERS) + b" ", np.uint8).astype(np.uint32)
+    x = (a[:-2] << np.uint32(16) | a[1:-1] << np.uint32(8) | a[2:]) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (x ^ (x >> np.uint32(16))) >> np.uint32(32 - BITS)
 
 
 def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
@@ -75,7 +79,7 @@ class Centroids:
         self.idf, self.centres, self.languages = idf, centres, languages  # a language for each centre
         self.names = sorted(set(languages))
 
-    def predict(self, texts: list[str | None], block: int = 256) -> list[tuple[str, float, bool]]:
+    def predict(self, texts: list[str | None], block: int = 128) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text."""
         out = [("und", 0.0, True)] * len(texts)
         places = [i for i, t in enumerate(texts) if self.names and has_letter(t)]
