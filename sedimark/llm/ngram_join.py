@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import materialise, table
+from sedimark.llm.common import free_shuffles, materialise, table
 
 _M = np.uint64
 ODD = _M(0x9E3779B97F4A7C15)
@@ -249,7 +249,9 @@ def sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["key", "elements"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "key long, elements binary")
-    return materialise(rows.groupBy("key").agg(F.min("elements").alias("elements")), "sets")
+    sets = materialise(rows.groupBy("key").agg(F.min("elements").alias("elements")), "sets")
+    free_shuffles(docs.sparkSession)
+    return sets
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -267,7 +269,9 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(den * shared >= num * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialise(both.mapInArrow(run, "a long, b long"), "links")
+    links = materialise(both.mapInArrow(run, "a long, b long"), "links")
+    free_shuffles(sets.sparkSession)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -314,6 +318,7 @@ def rare_postings(keys: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 
     rows = keys.join(sets.hint("merge"), "key").select("key", "n", "comp", "elements").mapInArrow(run, "element long, key long, n int, comp long")
     rows = materialise(rows, "elements")
+    free_shuffles(sets.sparkSession)
     often = materialise(rows.groupBy("element").agg(F.count("*").alias("df")), "often")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "element"))
     ranked = rows.join(often.hint("merge"), "element").withColumn("rank", rank)
@@ -400,6 +405,7 @@ def link_sets(docs: DataFrame, found: DataFrame, k: int, num: int, den: int) ->
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``: the smallest doc_id that links reach."""
     found = lists(docs, k, num, den)
+    free_shuffles(docs.sparkSession)
     rows = found.where("is_doc").select(F.col("sig").alias("doc_id"), "key", "n")
     comps = link_sets(docs, found, k, num, den)
     names = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("smallest"))
