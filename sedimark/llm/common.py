@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +40,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans whose results are written: Spark's cleaner removes them from the executors when the driver's collector finds the plans gone, which may be late on a driver with little to do."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of the shuffle files of plans whose results are written: Spark's cleaner removes them from the executors when the driver's collector finds the plans gone, which may be late on a driver with little to do. What the first pass finalises is what held the files, so there are two."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -51,3 +54,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def learns(column: str, modulus: int, held_out_rest: int):
     """Rows from which labels may be learnt: crc32 of the id as text, modulo ``modulus``, is not ``held_out_rest``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus != held_out_rest
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write ``df`` in the shared folder as a table bucketed by ``key``: later joins on it shuffle the other side alone."""
+    spark, own = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_partitions(spark), key).sortBy(key).option("path", fresh_path(spark, name)).saveAsTable(own)
+    return spark.table(own)

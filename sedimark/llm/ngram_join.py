@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import free_shuffles, materialise, table
+from sedimark.llm.common import bucketed, free_shuffles, materialise, table
 
 _M = np.uint64
 ODD = _M(0x9E3779B97F4A7C15)
@@ -219,9 +219,13 @@ def lists(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 yield _rows(np.zeros(sum(count), bool), np.concatenate([x for _, _, x in sigs]).view(np.int64), np.repeat(np.array([x for x, _, _ in sigs], np.int64), count), np.repeat(np.array([x for _, x, _ in sigs], np.int32), count))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "is_doc boolean, sig long, key long, n int")
-    each = Window.partitionBy("sig", "is_doc")
+    by_size = Window.partitionBy("sig", "is_doc").orderBy("n")
+    each = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("lo", F.min("key").over(each)).withColumn("hi", F.max("key").over(each))
-    return materialise(rows.where("is_doc or lo < hi").drop("hi"), "lists")
+    # a member that is too large for the next smaller one and too small for the next larger one links with none of its list
+    rows = rows.withColumn("less", F.lag("n").over(by_size)).withColumn("more", F.lead("n").over(by_size))
+    fitting = (F.col("less") * den >= F.col("n") * num) | (F.col("n") * den >= F.col("more") * num)
+    return materialise(rows.where(F.col("is_doc") | ((F.col("lo") < F.col("hi")) & F.coalesce(fitting, F.lit(False)))).drop("hi", "less", "more"), "lists")
 
 
 def wanted_filter(pairs: DataFrame) -> np.ndarray:
@@ -249,14 +253,15 @@ def sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["key", "elements"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "key long, elements binary")
-    sets = materialise(rows.groupBy("key").agg(F.min("elements").alias("elements")), "sets")
+    sets = bucketed(rows.groupBy("key").agg(F.min("elements").alias("elements")), "sets", "key")
     free_shuffles(docs.sparkSession)
     return sets
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link."""
-    left = sets.select(F.col("key").alias("a"), F.col("elements").alias("ea"))
+    # the first members are few and may be in many pairs: theirs is a table of its own, so that its join can be split
+    left = materialise(pairs.select(F.col("a").alias("key")).distinct().join(sets.hint("merge"), "key").select(F.col("key").alias("a"), F.col("elements").alias("ea")), "heads")
     right = sets.select(F.col("key").alias("b"), F.col("elements").alias("eb"))
     both = pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "ea", "eb")
 
