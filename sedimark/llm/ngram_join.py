@@ -317,17 +317,17 @@ def rare_postings(keys: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 
     def run(batches):
         for batch in batches:
-            for key, n, comp, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                e = np.frombuffer(data, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(np.full(len(e), key), pa.int64()), pa.array(np.full(len(e), n), pa.int32()), pa.array(np.full(len(e), comp), pa.int64())], ["element", "key", "n", "comp"])
+            for key, data in zip(batch.column(0), batch.column(1), strict=True):
+                e = np.frombuffer(data.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.full(len(e), key.as_py()))], ["element", "key"])
 
-    rows = keys.join(sets.hint("merge"), "key").select("key", "n", "comp", "elements").mapInArrow(run, "element long, key long, n int, comp long")
-    rows = materialise(rows, "elements")
+    rows = keys.select("key").join(sets.hint("merge"), "key").select("key", "elements").mapInArrow(run, "element long, key long")
+    df = F.count("*").over(Window.partitionBy("element"))
+    shared = materialise(rows.withColumn("df", df).where("df > 1"), "shared")  # an element of one set alone is in no list, and only moves the others back
     free_shuffles(sets.sparkSession)
-    often = materialise(rows.groupBy("element").agg(F.count("*").alias("df")), "often")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "element"))
-    ranked = rows.join(often.hint("merge"), "element").withColumn("rank", rank)
-    posted = ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1) & (F.col("df") > 1))
+    own = Window.partitionBy("key")
+    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "element"))
+    posted = shared.join(keys.hint("merge"), "key").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
     return materialise(posted.select("element", "key", "n", "comp", "rank"), "postings")
 
 
