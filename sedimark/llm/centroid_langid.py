@@ -8,6 +8,14 @@ in one language don't blur into one mean. A text gets the language of the
 centroid with the largest cosine; it is rejected when even that one is farther
 than the largest distance allowed.
 
+That distance is learnt. A text's cosine grows with the number of different
+trigrams in it, so texts are put in bands by the binary length of that number, and
+a language's limit in a band is ``MARGIN`` of a low quantile (``LOW``) of the
+cosines that its own rows have there, all rows that may be learnt from, each as a
+whole and by its first words (``PIECES``), so that short texts are measured by short
+texts even where all rows are long. Bands with fewer than ``FEW`` of its rows borrow the nearest ones'; below its shortest
+rows the limit shrinks with the square root of the number of trigrams.
+
 Document frequencies and the languages themselves come from all rows that may be
 learnt from. The sample for the clusters is bounded: ``sample`` rows of each
 language by the hash of their id, of texts of at most ``sample_bytes``.
@@ -32,8 +40,10 @@ BITS, CLUSTERS = 12, 4
 DIMENSIONS = 1 << BITS
 #: Bytes of UTF-8 that bear on a language: a-z and all beyond ASCII.
 LETTERS = bytes(b if b >= 128 or chr(b).islower() else 32 for b in range(256))
-#: Cosine below which a text is rejected: what shares next to no trigram with any language.
+#: Cosine below which a text is rejected whatever its limit: what shares next to no trigram with any language.
 NEAREST = 0.02
+LOW, MARGIN, FEW = 0.01, 0.6, 20
+BANDS, BINS, PIECES = BITS + 2, 1000, (1, 2, 4, 8, 16, 32)
 
 
 def has_letter(text: str | None) -> bool:
@@ -74,25 +84,55 @@ def clusters(rows: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def pieces(text: str) -> list[str]:
+    """The text and, where it is longer, its first words."""
+    words = text.split(None, PIECES[-1])
+    return [text, *(" ".join(words[:n]) for n in PIECES if n < len(words))]
+
+
+def limits(seen: np.ndarray) -> np.ndarray:
+    """The least cosine of each band, from a language's numbers of rows by band and bin of cosine."""
+    rows = seen.sum(1)
+    out = np.zeros(BANDS)
+    filled = np.flatnonzero(rows)
+    if not len(filled):
+        return out
+    for band in range(BANDS):
+        base = min(max(band, filled[0]), filled[-1])
+        near = sorted(filled, key=lambda x: (abs(x - base), x))
+        n = 1
+        while n < len(near) and rows[near[:n]].sum() < FEW:
+            n += 1
+        pooled = seen[near[:n]].sum(0).cumsum()
+        out[band] = MARGIN * np.searchsorted(pooled, max(LOW * pooled[-1], 1)) / BINS * 0.5 ** (max(filled[0] - band, 0) / 2)
+    return out
+
+
 class Centroids:
     def __init__(self, idf: np.ndarray, centres: np.ndarray, languages: list[str]) -> None:
         self.idf, self.centres, self.languages = idf, centres, languages  # a language for each centre
         self.names = sorted(set(languages))
+        self.limits = np.zeros((len(self.names), BANDS))
+
+    def cosines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The largest cosine of each text with each language, and each text's band."""
+        rows = vectors(texts, self.idf)
+        own, cosine = np.array(self.languages), rows @ self.centres.T
+        bands = [int(n).bit_length() for n in np.count_nonzero(rows, axis=1)]
+        return np.stack([cosine[:, own == n].max(1) for n in self.names], axis=1), np.array(bands)
 
     def predict(self, texts: list[str | None], block: int = 128) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text."""
         out = [("und", 0.0, True)] * len(texts)
         places = [i for i, t in enumerate(texts) if self.names and has_letter(t)]
-        own = np.array(self.languages)
         for at in range(0, len(places), block):
             part = places[at : at + block]
-            cosine = vectors([texts[i] for i in part], self.idf) @ self.centres.T
-            best = np.stack([cosine[:, own == n].max(1) for n in self.names], axis=1)
+            best, bands = self.cosines([texts[i] for i in part])
             share = np.exp(20 * (best - best.max(1, keepdims=True)))
             share /= share.sum(1, keepdims=True)
-            for i, row, b in zip(part, share, best, strict=True):
+            for i, row, b, band in zip(part, share, best, bands, strict=True):
                 j = int(b.argmax())
-                out[i] = (self.names[j], float(row[j]), bool(b[j] < NEAREST))
+                out[i] = (self.names[j], float(row[j]), bool(b[j] < max(NEAREST, self.limits[j, band])))
         return out
 
 
@@ -133,7 +173,31 @@ def fit(docs: DataFrame, sample: int = 300, sample_bytes: int = 32_768, modulus:
         c = clusters(vectors(texts[lang], idf), CLUSTERS)
         centres.append(c)
         names += [lang] * len(c)
-    return Centroids(idf, np.concatenate(centres) if centres else np.zeros((0, DIMENSIONS), np.float32), names)
+    model = Centroids(idf, np.concatenate(centres) if centres else np.zeros((0, DIMENSIONS), np.float32), names)
+    learn_limits(rows, model)
+    return model
+
+
+def learn_limits(rows: DataFrame, model: Centroids, block: int = 128) -> None:
+    """Set the model's limits from all ``rows`` (text, lang) of its languages that have a letter."""
+    if not model.names:
+        return
+
+    def spread(batches):
+        seen = np.zeros((len(model.names), BANDS, BINS), np.int64)
+        for batch in batches:
+            part = [(x, model.names.index(n)) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if n in model.names and t for x in pieces(t) if has_letter(x)]
+            for at in range(0, len(part), block):
+                cosine, bands = model.cosines([t for t, _ in part[at : at + block]])
+                for (_, j), row, band in zip(part[at : at + block], cosine, bands, strict=True):
+                    seen[j, band, min(max(int(row[j] * BINS), 0), BINS - 1)] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen.ravel()[at], pa.int64())], ["place", "n"])
+
+    seen = np.zeros(len(model.names) * BANDS * BINS, np.int64)
+    for r in rows.select("text", "lang").mapInArrow(spread, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # bins alone
+        seen[r.place] = r.n
+    model.limits = np.stack([limits(x) for x in seen.reshape(len(model.names), BANDS, BINS)])
 
 
 def predict(docs: DataFrame, model: Centroids) -> DataFrame:

@@ -163,6 +163,28 @@ def test_language_on_held_out_rows(spark):
     assert centroid_langid.keep_known(docs, model).columns == docs.columns
 
 
+def test_foreign_and_junk_texts_are_rejected(spark):
+    rng = random.Random(16)
+    syllables = {lang: ["".join(rng.choice(x) for x in (onset, vowels, coda)) for _ in range(60)] for lang, onset, vowels, coda in (("one", "bdgklmnprst", "aeiou", "nrst"), ("two", "fhjvwzçñ", "äöüéè", "lmxq"))}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choices(syllables[lang], k=rng.randrange(1, 4))) for _ in range(n))
+
+    def strange(letters, n):
+        return " ".join("".join(rng.choices(letters, k=rng.randrange(3, 10))) for _ in range(n))
+
+    rows = [(i, text(lang, rng.choice([3, 10, 40, 150, 600])), lang) for i, lang in enumerate(list(syllables) * 150)]
+    alphabets = ["αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя", [chr(x) for x in range(0x4E00, 0x9FA5)], [chr(x) for x in range(0xE01, 0xE2F)], "abcdefghijklmnopqrstuvwxyz"]
+    model = centroid_langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), sample=40)
+    for n in (30, 200, 1000):
+        assert all(rejected for _, _, rejected in model.predict([strange(a, n) for a in alphabets for _ in range(5)]))
+    for n in (2, 5, 30, 200, 1000):
+        clean = model.predict([text(lang, n) for lang in syllables for _ in range(50)])
+        assert sum(rejected for _, _, rejected in clean) <= 2
+    before = centroid_langid.Centroids(model.idf, model.centres, model.languages)  # without limits of its own
+    assert not all(rejected for _, _, rejected in before.predict([strange(a, 1000) for a in alphabets]))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
