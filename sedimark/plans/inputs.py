@@ -44,10 +44,18 @@ state AS (SELECT entry_id, max(CASE WHEN ord = born THEN event_id END) AS create
 
 
 def boxes(spark, sf_dir) -> DataFrame:
-    """Line items as boxes on 100 pages."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey <= 1000")
+    """The line items of the SQL below as boxes on 100 pages."""
+    return _boxes(table(spark, sf_dir, "lineitem").where("l_orderkey <= 1000"), F.col("l_orderkey") % 100 + 1)
+
+
+def all_boxes(spark, sf_dir) -> DataFrame:
+    """All line items as boxes: ten orders' keys a page, so that pages stay small and their number grows with the table."""
+    return _boxes(table(spark, sf_dir, "lineitem"), F.floor(F.col("l_orderkey") / 10) + 1)
+
+
+def _boxes(li: DataFrame, page) -> DataFrame:
     rows = li.select(
-        (F.col("l_orderkey") % 100 + 1).alias("page"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        page.alias("page"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         ((F.col("l_partkey") * 37) % 400).cast("double").alias("x0"), ((F.col("l_suppkey") * 53 + F.col("l_linenumber") * 97) % 680).cast("double").alias("y0"),
         (((F.col("l_partkey") * 37) % 400) + 80 + F.col("l_partkey") % 100).cast("double").alias("x1"), (((F.col("l_suppkey") * 53 + F.col("l_linenumber") * 97) % 680) + 30 + 10 * F.col("l_linenumber")).cast("double").alias("y1"),
         F.coalesce(F.get(F.array(*(F.lit(k) for k in ("heading", "paragraph", "table", "figure", "caption", "list_item"))), (F.col("l_linenumber") - 1).cast("int")), F.lit("discard")).alias("kind"),

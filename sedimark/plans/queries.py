@@ -264,7 +264,8 @@ def caption_adjacency(spark, sf_dir):
 
 @query()
 def box_rows(spark, sf_dir):
-    return B.visual_rows(I.boxes(spark, sf_dir).where("kind <> 'discard'"))
+    """Visual rows of all boxes that aren't discarded."""
+    return B.visual_rows(I.all_boxes(spark, sf_dir).where("kind <> 'discard'"))
 
 
 @query(f"""WITH {I.BOXES}, v AS (SELECT * FROM boxes WHERE kind <> 'discard'), top AS (SELECT page, arg_min(box_id, y0 * 100000 + reading_order) AS b FROM v GROUP BY 1), low AS (SELECT page, arg_max(box_id, y1 * 100000 - reading_order) AS b FROM v GROUP BY 1)

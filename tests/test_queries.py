@@ -60,3 +60,32 @@ def test_metric_values(spark):
     for row, (_, _, ap, rr) in zip(got, cases):
         assert row[0] == pytest.approx(ap) and row[1] == pytest.approx(rr)
     assert got[2][2] == 0.5
+
+
+def brute_rows(items):
+    """(row, box_id) in reading order of one page's (y0, x0, box_id, height)."""
+    out, row, y, h = [], -1, 0.0, 0.0
+    for y0, x0, box_id, height in sorted(items):
+        if row < 0 or abs(y0 - y) > max(2.0, min(height, h) // 2):
+            row, y, h = row + 1, y0, height
+        out.append((row, x0, box_id))
+    return sorted(out)
+
+
+def test_box_rows_cover_all_line_items(spark, tmp_path):
+    keys = [1, 2, 9, 10, 999, 1000, 1001, 1005, 4001, 150_000]
+    items = [(k, 3 * k + n, k + 5 * n, n, 0.01 * (n % 10)) for k in keys for n in range(1, 8)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    pages, want = {}, set()
+    for k, part, supp, n, _ in sorted(items):
+        pages.setdefault(k // 10 + 1, []).append((part, supp, n))
+    for page, found in pages.items():
+        boxes = []
+        for order, (part, supp, n) in enumerate(found):
+            if n < 7:
+                boxes.append((float((supp * 53 + n * 97) % 680), float((part * 37) % 400), f"p{page}-b{order}", 30.0 + 10 * n))
+        rows_of = brute_rows(boxes)
+        for i, (row, _, box_id) in enumerate(rows_of):
+            want.add((page, row, box_id, i - next(j for j, x in enumerate(rows_of) if x[0] == row)))
+    got = [(r.page, r.row, r.box_id, r.place) for r in Q.box_rows(spark, str(tmp_path)).collect()]
+    assert len(got) == len(keys) * 6 and set(got) == want
