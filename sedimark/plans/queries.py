@@ -326,7 +326,7 @@ def slug_url(spark, sf_dir):
 
 @query()
 def slug_ascii(spark, sf_dir):
-    return I.table(spark, sf_dir, "documents").select("doc_id", T.slug_ascii(F.substring("text", 1, 40)).alias("slug"))
+    return I.table(spark, sf_dir, "documents").select("doc_id", T.slug_ascii(F.col("text")).alias("slug"))
 
 
 @query()

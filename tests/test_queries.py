@@ -89,3 +89,10 @@ def test_box_rows_cover_all_line_items(spark, tmp_path):
             want.add((page, row, box_id, i - next(j for j, x in enumerate(rows_of) if x[0] == row)))
     got = [(r.page, r.row, r.box_id, r.place) for r in Q.box_rows(spark, str(tmp_path)).collect()]
     assert len(got) == len(keys) * 6 and set(got) == want
+
+
+def test_slug_ascii_reads_whole_texts(spark, tmp_path):
+    texts = ["Ä " * 30 + "end of the text", "漢字" * 40 + " Last_Word", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.slug for r in Q.slug_ascii(spark, str(tmp_path)).collect()}
+    assert got == {0: "a-" * 30 + "end-of-the-text", 1: "last-word", 2: "untitled"}
