@@ -1,27 +1,30 @@
-"""Line deduplication by pairwise alignment.
-
-Every line gets a hash. A line of at least ``least_chars`` characters is rare by
-itself; a shorter one is hashed together with the line before it, which makes it
-as rare as its place. For each hash the first document (smallest doc_id) that has
-it owns it, and every later document with the same hash is paired with that owner
-alone: a line with n documents makes n-1 pairs, however frequent it is, and a
-document's shared lines are dealt out among its pairs without repetition.
-
-Each pair is aligned with patience diff over the lines that it shares: lines that
-occur once on both sides are anchors, their longest increasing subsequence holds,
-and the rest is aligned between anchors from both ends. Aligned lines that are
-consecutive on both sides make a block; blocks of at least ``least_chars``
-characters are deleted from the later document.
-
-Defined cases: a null text has no lines and stays null; empty lines belong to no
-block of their own; rows that share a doc_id count as one document; a document
-whose every line goes keeps an empty text; an empty table gives no row; very long
-texts are hashed and aligned whole.
+"""Line deduplication: passages that an earlier document holds.
+
+A passage is a run of consecutive lines of at least ``least_chars`` characters in
+all; blank lines neither count nor break it. Whatever passage of a document stands
+in any document with a smaller doc_id is deleted from it, so a document can lose
+different passages to different ones, in whatever order those hold them.
+
+Passages are found by their smallest parts: from each line the shortest run onward
+and the shortest run back that has ``least_chars`` characters (a long line is its
+own). Each line of a common passage lies in such a run inside the passage, and
+equal passages have equal runs; so it is enough to know for each run the first
+document that holds it. That is two runs a line at most and one owner a run,
+however frequent it is, and no pair of documents has to be compared. All blocks
+that an alignment (patience diff) of any two documents gives are among these
+passages; a passage that is moved or repeated goes too, which one alignment of a
+pair would leave.
+
+Defined cases: a null text has no lines and stays null; blank lines go with the
+passage around them; rows that share a doc_id count as one document; rows without
+a doc_id keep all lines; a document whose every line goes keeps an empty text; an
+empty table gives no row; very long texts are hashed whole.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,33 +103,65 @@ def common_blocks(earlier: list[tuple[int, int]], later: list[tuple[int, int]],
     return out + (block if size >= least_chars else [])
 
 
-def lines_of(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, hash, chars, places) of each document's different line hashes."""
-    before = F.concat(F.array(F.lit("")), F.col("lines"))
-    keyed = F.transform("lines", lambda x, i: F.struct(i.alias("place"), F.length(F.trim(x)).alias("chars"), F.when(F.length(F.trim(x)) >= least_chars, F.xxhash64(F.trim(x))).otherwise(F.xxhash64(F.trim(x), F.get(F.col("before"), i))).alias("hash")))
-    rows = docs.select(F.col("doc_id").cast("long"), F.split("text", "\n").alias("lines")).withColumn("before", before)
-    rows = rows.select("doc_id", F.explode(keyed).alias("line")).select("doc_id", "line.*").where("chars > 0")
-    return rows.groupBy("doc_id", "hash").agg(F.max("chars").alias("chars"), F.sort_array(F.collect_set("place")).alias("places"))
+def runs(text: str, least_chars: int = LEAST_CHARS) -> dict[int, list[tuple[int, int]]]:
+    """The hash of each shortest run of enough characters, and the first and last places of its lines."""
+    places, sizes, digests = [], [], []
+    for i, line in enumerate(text.split("\n")):
+        line = line.strip(" ")
+        if line:
+            places.append(i)
+            sizes.append(len(line))
+            digests.append(blake2b(line.encode(), digest_size=8).digest())
+    n, found = len(places), set()
+    end = size = 0
+    for at in range(n):  # onward
+        while end < n and size < least_chars:
+            size += sizes[end]
+            end += 1
+        if size < least_chars:
+            break
+        found.add((at, end))
+        size -= sizes[at]
+    start, size = n, 0
+    for at in range(n, 0, -1):  # back
+        while start > 0 and size < least_chars:
+            start -= 1
+            size += sizes[start]
+        if size < least_chars:
+            break
+        found.add((start, at))
+        size -= sizes[at - 1]
+    out: dict[int, list[tuple[int, int]]] = {}
+    for a, b in found:
+        key = digests[a] if b == a + 1 else blake2b(b"".join(digests[a:b]), digest_size=8).digest()
+        out.setdefault(int.from_bytes(key, "little", signed=True), []).append((places[a], places[b - 1]))
+    return out
+
+
+def runs_of(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(doc_id, hash, ranges) of each document's runs; ranges are first and last places in turn."""
+
+    def run(batches):
+        for batch in batches:
+            ids, hashes, ranges = [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = runs(text, least_chars)
+                ids += [doc_id] * len(found)
+                hashes += found
+                ranges += [[p for r in x for p in r] for x in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(ranges, pa.list_(pa.int32()))], ["doc_id", "hash", "ranges"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
+    return rows.mapInArrow(run, "doc_id long, hash long, ranges array<int>")
 
 
 def deletions(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, places) of the lines that go; documents that keep all have no row."""
-    lines = materialise(lines_of(docs, least_chars), "lines")
-    owners = lines.groupBy("hash").agg(F.min(F.struct("doc_id", "places")).alias("o"), F.count("*").alias("n")).where("n > 1").select("hash", F.col("o.doc_id").alias("owner"), F.col("o.places").alias("owner_places"))
-    shared = lines.join(owners.hint("merge"), "hash").where("doc_id > owner")
-    pairs = shared.groupBy("owner", "doc_id").agg(F.collect_list(F.struct("hash", "chars", "owner_places", "places")).alias("shared"), F.sum("chars").alias("chars")).where(F.col("chars") >= least_chars)
-
-    def run(batches):
-        for batch in batches:
-            ids, gone = [], []
-            for doc_id, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sides = [[(p, x["hash"]) for x in found for p in x[side]] for side in ("owner_places", "places")]
-                ids.append(doc_id)
-                gone.append(common_blocks(*sides, {x["hash"]: x["chars"] for x in found}, least_chars))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "places"])
-
-    found = pairs.select("doc_id", "shared").mapInArrow(run, "doc_id long, places array<int>").where(F.size("places") > 0)
-    return found.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    found = materialise(runs_of(docs, least_chars), "lines")
+    owners = found.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner").select("hash", "owner")
+    shared = found.join(owners.hint("merge"), "hash").where("doc_id > owner")
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.size("ranges") - 2, F.lit(2)), lambda i: F.sequence(F.get(F.col("ranges"), i), F.get(F.col("ranges"), i + 1))))
+    return shared.select("doc_id", places.alias("places")).groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:

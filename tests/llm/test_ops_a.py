@@ -212,3 +212,37 @@ def test_a_frequent_line_makes_a_pair_a_document(spark):
     texts = [f"{line('common')}\nown words of {i} that nobody else has at all here" for i in range(500)]
     rows = line_dedup.deletions(documents(spark, texts)).collect()
     assert sorted((r.doc_id, tuple(r.places)) for r in rows) == [(i, (0,)) for i in range(1, 500)]
+
+
+def brute_deletions(texts):
+    """Places of lines in a run of at least 40 characters that stands in an earlier text, by trying all runs."""
+    split = [[(i, x.strip(" ")) for i, x in enumerate((t or "").split("\n")) if x.strip(" ")] for t in texts]
+    out = []
+    for n, own in enumerate(split):
+        earlier = {tuple(x for _, x in e[a:b]) for e in split[:n] for a in range(len(e)) for b in range(a + 1, len(e) + 1)}
+        gone = set()
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                part = [x for _, x in own[a:b]]
+                if sum(map(len, part)) >= 40 and tuple(part) in earlier:
+                    gone |= set(range(own[a][0], own[b - 1][0] + 1))
+        out.append(sorted(gone))
+    return out
+
+
+def test_lines_go_to_whichever_earlier_document_holds_them(spark):
+    rng = random.Random(10)
+    short = [f"short {i}" for i in range(6)]
+    texts = [f"x\n{short[0]}", f"{line(0)}\n{short[1]}\n{line(1)}", f"{line(1)}\n{line(2)}", f"{line(0)}\n{short[1]}\n{line(1)}\n{line(2)}", f"{line(2)}\n{short[2]}\n{line(1)}\n{short[3]}\n{line(0)}"]
+    # an exact copy whose lines belong to three documents, with short pieces between them
+    texts += [f"{short[4]}\n{line(1)}\n{short[5]}\n{line(0)}\n{short[4]}"] * 2
+    texts += ["\n".join(rng.choice([*short, line(7), line(8), "a passage", "of a few", "words each"]) for _ in range(rng.randrange(1, 14))) for _ in range(60)]
+    got = {r.doc_id: r.places for r in line_dedup.deletions(documents(spark, texts)).collect()}
+    assert [got.get(i, []) for i in range(len(texts))] == brute_deletions(texts)
+    left = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
+    assert left[3] == "" and left[6] == ""
+    for later in range(len(texts)):  # what alignment of any pair deletes is among it
+        for earlier in range(later):
+            sides = [list(enumerate(map(hash, texts[i].split("\n")))) for i in (earlier, later)]
+            sizes = {hash(x): len(x) for x in texts[later].split("\n")}
+            assert set(line_dedup.common_blocks(*sides, sizes, 40)) <= set(got.get(later, []))
