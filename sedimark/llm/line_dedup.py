@@ -16,7 +16,7 @@ passages; a passage that is moved or repeated goes too, which one alignment of a
 pair would leave.
 
 Defined cases: a null text has no lines and stays null; blank lines go with the
-passage around them; rows that share a doc_id count as one document; rows without
+passage around them, and with the document when nothing else is left of it; rows that share a doc_id count as one document; rows without
 a doc_id keep all lines; a document whose every line goes keeps an empty text; an
 empty table gives no row; very long texts are hashed whole.
 """
@@ -174,11 +174,15 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     def run(batches):
         for batch in batches:
             columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            texts = columns["text"].to_pylist()
-            for i, places in enumerate(columns["places"].to_pylist()):
+            texts, gone = columns["text"].to_pylist(), columns["places"].to_pylist()
+            for i, places in enumerate(gone):
                 if places:
-                    away = set(places)
-                    texts[i] = "\n".join(x for n, x in enumerate(texts[i].split("\n")) if n not in away)
+                    away, own = set(places), texts[i].split("\n")
+                    left = [x for n, x in enumerate(own) if n not in away]
+                    if not any(x.strip(" ") for x in left):
+                        left, gone[i] = [], list(range(len(own)))
+                    texts[i] = "\n".join(left)
+            columns["places"] = pa.array(gone, columns["places"].type)
             columns["text"] = pa.array(texts, columns["text"].type)
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(t or "") for t in texts], columns["n_chars"].type)

@@ -246,3 +246,11 @@ def test_lines_go_to_whichever_earlier_document_holds_them(spark):
             sides = [list(enumerate(map(hash, texts[i].split("\n")))) for i in (earlier, later)]
             sizes = {hash(x): len(x) for x in texts[later].split("\n")}
             assert set(line_dedup.common_blocks(*sides, sizes, 40)) <= set(got.get(later, []))
+
+
+def test_blank_lines_and_short_first_lines_dont_break_a_passage(spark):
+    verse = ["the first line", "then a second one", "and a third", "a fourth to end it"]
+    texts = ["\n\n".join(["own start", *verse]), "\n".join(["other words", *verse, "tail"]), "\n \n".join(["", *verse, ""]), f"head\nshort\n{line(1)}", f"another head\nshort\n{line(1)}", "the first line\n\nand a third\n\nown " + "x" * 40]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
+    assert [got[i].text for i in range(6)] == [texts[0], "other words\ntail", "", texts[3], "another head", texts[5]]
+    assert got[2].places == list(range(len(texts[2].split("\n")))) and got[4].places == [1, 2]
