@@ -36,9 +36,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id: five words a shingle, a similarity of 0.8 or more."""
-    kept = ngram_join.near_duplicates(docs, 5, 80, 100).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near copies, the one with the smallest doc_id: five words a shingle, a similarity of 0.8 or more.
+
+    Rows are told apart by all their columns, not by doc_id: those without a
+    doc_id take part and come last in their group; of rows that share a doc_id,
+    those with unlike texts are judged each by its own text, and a tie for the
+    smallest doc_id leaves one; rows alike in all columns count as one. Rows
+    without words are near to none.
+    """
+    rows = docs.withColumn("row", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
+    groups = ngram_join.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), 5, 80, 100).groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component_id"))
+    ids = rows.groupBy("row").agg(F.min("doc_id").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    kept = groups.join(ids.hint("merge"), "row").groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return rows.join(kept.hint("merge"), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

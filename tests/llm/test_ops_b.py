@@ -207,3 +207,17 @@ def test_pipeline(spark, tmp_path):
     assert 120 in kept["near_copies"] and 121 not in kept["near_copies"]
     assert kept["packing"] == kept["near_copies"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept["packing"]
+
+
+def test_near_copies_keep_one_row_of_each_group(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(None, a), (None, a + " end"), (None, b), (7, b), (3, b + " end"), (3, b + " end"), (3, c), (3, d), (5, d), (None, None), (8, ""), (9, "")]
+    made = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    made.repartition(3).write.parquet(str(tmp_path / "in"))
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, spark.read.parquet(str(tmp_path / "in")), str(tmp_path)).collect()]
+    (lone,) = [t for i, t in got if i is None and t]
+    assert lone in (a, a + " end")
+    assert sorted(got, key=repr) == sorted([(None, lone), (3, b + " end"), (3, c), (3, d), (None, None), (8, ""), (9, "")], key=repr)
