@@ -18,12 +18,14 @@ and tails go by their running sum.
 
 Defined cases: a null or empty text is one piece with the closing id alone;
 repeated rows are packed as often as they occur; an empty table gives no row;
-very long texts become full pieces, one sequence each.
+very long texts become full pieces, one sequence each, and so do endless runs of
+white space; rows with a null doc_id are packed like others.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.llm.common import materialise, table
-from sedimark.llm.trie_bpe import byte_symbols
+from sedimark.llm.trie_bpe import SPACE, TrieBpe, byte_symbols
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker int, sequence_id long, offset long"
 #: Sequence ids of the second round start here; those of workers are worker * 2^32 + bin.
@@ -97,9 +99,27 @@ def tiktoken_of(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: Runs of white space for which ``tiktoken`` needs a stack as deep as they are long.
+LONG_SPACE = re.compile(f"[{SPACE}]{{1000}}")
+
+
+class Ids:
+    """Ids of texts: by ``tiktoken``, and by the trie where a text has a run of white space that ``tiktoken`` can't take."""
+
+    def __init__(self, vocabulary: str) -> None:
+        self.vocabulary, self.fast, self.trie = vocabulary, tiktoken_of(vocabulary), None
+
+    def encode(self, text: str) -> np.ndarray:
+        if not LONG_SPACE.search(text):
+            return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), "<u4")
+        if self.trie is None:
+            self.trie = TrieBpe(self.vocabulary)
+        return np.asarray(next(self.trie.encode_batch([text])), "<u4")
+
+
 def first_round(docs: DataFrame, vocabulary: str, capacity: int, closing_id: int) -> DataFrame:
     def run(batches):
-        coder, bins = tiktoken_of(vocabulary), OpenBins(TaskContext.get().partitionId(), capacity)
+        coder, bins = Ids(vocabulary), OpenBins(TaskContext.get().partitionId(), capacity)
         schema = pa.schema([(f.split()[0], {"long": pa.int64(), "int": pa.int32()}[f.split()[1]]) for f in PIECES.split(", ")])
         rows: list[tuple] = []
 
@@ -111,7 +131,7 @@ def first_round(docs: DataFrame, vocabulary: str, capacity: int, closing_id: int
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(np.asarray(coder.encode_to_numpy(text or "", allowed_special="all"), "<u4"), np.uint32(closing_id)).astype("<u4")
+                ids = np.append(coder.encode(text or ""), np.uint32(closing_id)).astype("<u4")
                 view, start = memoryview(ids.tobytes()), 0
                 for length in cuts(len(ids), capacity):
                     rows += bins.add((doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), len(ids)))
