@@ -267,10 +267,11 @@ _CODERS: dict[str, TrieBpe] = {}
 
 
 def coder(vocabulary: str) -> TrieBpe:
-    """This worker's coder; the vocabulary is read once for each Python worker. Its millions of small objects make no cycles, so the collector stays off."""
-    gc.disable()
+    """This worker's coder; the vocabulary is read once for each Python worker. What it holds makes no cycles and lives as long as the worker, so the collector is told to pass it over."""
     if vocabulary not in _CODERS:
         _CODERS[vocabulary] = TrieBpe(vocabulary)
+        gc.collect()
+        gc.freeze()
     return _CODERS[vocabulary]
 
 
