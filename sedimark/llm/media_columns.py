@@ -1,24 +1,30 @@
 """Media columns: interleaved document sequences with payloads resolved by digest.
 
-``parse_html`` turns a page into ordered items, text blocks and media references,
-each with its position and (for media) its caption. ``MediaStore`` rows hold the
-payloads once for each digest; ``resolve`` joins references to what was stored,
-so positions and captions stay beside the payload's values. Payload bytes are
-read back from the store and never pass a shuffle: the join moves digests.
+``sequences`` turns each page into ordered items, text blocks and media references,
+each with its position and (for media) its caption: all captions of the figure
+around it, wherever in the figure they stand, else its alt text. ``store`` writes
+the payloads as media rows, ``features`` reads them back. ``resolve`` joins
+references to what was stored, so positions and captions stay beside the payload's
+values, and ``interleave`` does so for whole sequences. Payload bytes are read back
+from the store and never pass a shuffle: the join moves digests.
+
+The query makes a page of each document, its lines as paragraphs around a figure
+that refers to the payload by digest, parses it and resolves it.
 
 A payload is kept as an 8-bit greyscale PNG of 576 samples a row (lossless); its
 last row is filled with 255.
 
 Defined cases: a null or empty text is a payload of one row of 255; a null page
-has no items; a reference to nothing stored resolves to nulls; equal payloads are
-stored once a batch and give one joined row a reference; an empty table gives no
-row; a payload of any length is stored whole.
+has no items; a head that isn't closed ends where its page's body must have begun;
+a reference to nothing stored resolves to nulls; equal payloads are stored once a
+batch and give one joined row a reference; rows that share an id are sequences of
+their own; an empty table gives no row; a payload or page of any length is taken
+whole; other columns of the input are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
-import html as html_codec
 import struct
 import zlib
 from html.parser import HTMLParser
@@ -27,13 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from sedimark.llm.common import fresh_path, table
+from sedimark.llm.common import fresh_path, materialise, table
 
 WIDTH = 576
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 MEDIA = frozenset("audio embed img source video".split())
-HIDDEN = frozenset("head script style template".split())
+HIDDEN = frozenset("script style template title".split())
+#: What may stand in a head; anything else ends it, closed or not.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 
 
 class _Items(HTMLParser):
@@ -42,28 +51,40 @@ class _Items(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.hidden = 0
-        self.figure: int | None = None
-        self.in_caption = False
+        self.in_head = self.in_caption = False
+        self.figures: list[tuple[int, list[str]]] = []  # of the open figures: the first item, captions
 
     def flush(self) -> None:
         text = "".join(self.text).strip()
         self.text.clear()
         if not text:
             return
-        if self.in_caption and self.figure is not None:
-            for item in self.items[self.figure :]:
-                if item["kind"] == "media":
-                    item["caption"] = text
+        if self.in_caption and self.figures:
+            self.figures[-1][1].append(text)
         else:
             self.items.append({"position": len(self.items), "kind": "text", "text": text, "ref": None, "caption": None})
 
+    def end_head(self) -> None:
+        if self.in_head:
+            self.in_head, self.hidden = False, 0
+
+    def end_figure(self) -> None:
+        first, captions = self.figures.pop()
+        for item in self.items[first:] if captions else ():
+            if item["kind"] == "media" and "own" not in item:
+                item["caption"], item["own"] = " ".join(captions), True
+
     def handle_starttag(self, tag, attrs):
+        if tag == "head":
+            self.in_head = True
+        elif tag not in HEAD:
+            self.end_head()
         if tag in HIDDEN:
             self.hidden += 1
         if tag in BLOCKS or tag in MEDIA:
             self.flush()
         if tag == "figure":
-            self.figure = len(self.items)
+            self.figures.append((len(self.items), []))
         elif tag == "figcaption":
             self.in_caption = True
         elif tag in MEDIA and not self.hidden:
@@ -74,40 +95,51 @@ class _Items(HTMLParser):
     def handle_endtag(self, tag):
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
+        if tag == "head":
+            self.end_head()
         if tag in BLOCKS:
             self.flush()
         if tag == "figcaption":
             self.in_caption = False
         elif tag == "figure":
-            self.figure = None
+            self.in_caption = False
+            if self.figures:
+                self.end_figure()
 
     def handle_data(self, data):
+        if self.in_head and not self.hidden and data.strip():
+            self.end_head()
         if not self.hidden:
             self.text.append(data)
 
 
 def parse_html(page: str | None) -> list[dict]:
-    """Items of a page in order: position, kind ('text' or 'media'), text, ref, caption (a figure's caption, else the alt text)."""
+    """Items of a page in order: position, kind ('text' or 'media'), text, ref, caption (the innermost figure's captions, else the alt text)."""
     parser = _Items()
     parser.feed(page or "")
     parser.close()
     parser.flush()
+    while parser.figures:
+        parser.end_figure()
+    for item in parser.items:
+        item.pop("own", None)
     return parser.items
 
 
-ITEMS = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
+ITEM = StructType().add("position", "integer").add("kind", "string").add("text", "string").add("ref", "string").add("caption", "string")
 
 
-def sequences(pages: DataFrame, id_column: str, html_column: str) -> DataFrame:
-    """(id, items) of each page."""
+def sequences(pages: DataFrame, id_column: str, html_column: str, others: list[str] | None = None) -> DataFrame:
+    """(id, others, items) of each page."""
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
+    kept = pages.select(F.col(id_column).cast("long").alias(id_column), *(others or []))
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse_html(p) for p in batch.column(1).to_pylist()], kind)], ["id", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([parse_html(p) for p in batch.column(batch.num_columns - 1).to_pylist()], kind)], [*batch.schema.names[:-1], "items"])
 
-    rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col(html_column).cast("string").alias("html"))
-    return rows.mapInArrow(run, f"id long, items {ITEMS}").withColumnRenamed("id", id_column)
+    rows = pages.select(F.col(id_column).cast("long").alias(id_column), *(others or []), F.col(html_column).cast("string").alias("items"))
+    return rows.mapInArrow(run, StructType([*kept.schema.fields]).add("items", ArrayType(ITEM)))
 
 
 def payload_of(text: str | None) -> bytes:
@@ -193,26 +225,39 @@ def resolve(refs: DataFrame, found: DataFrame) -> DataFrame:
     return refs.join(found.hint("merge"), "digest", "left")
 
 
-def page_of(doc_id: int, text: str | None) -> str:
-    """A document as a page: its text, and its payload as a figure by digest."""
-    digest = hashlib.sha256(payload_of(text)).hexdigest()
-    return f'<article><p>{html_codec.escape(text or "", quote=False)}</p><figure><img src="sha256:{digest}" alt=""><figcaption>Document {doc_id}</figcaption></figure></article>'
+def interleave(found: DataFrame, media: DataFrame, id_column: str) -> DataFrame:
+    """(id, items) of ``sequences`` with what each reference resolves to in ``media`` (digest, ...) beside it, in order."""
+    rows = found.withColumn("sequence", F.monotonically_increasing_id()).select("sequence", id_column, F.explode_outer("items").alias("i"))
+    rows = rows.withColumn("digest", F.regexp_extract("i.ref", "^sha256:(.*)$", 1))
+    values = F.struct(*(F.col(c) for c in media.columns if c != "digest")).alias("media")
+    whole = resolve(materialise(rows, "items"), media.select("digest", values))
+    item = F.when(F.col("i").isNotNull(), F.struct("i.position", "i.kind", "i.text", "i.ref", "i.caption", "media"))
+    return whole.groupBy("sequence", id_column).agg(F.sort_array(F.collect_list(item)).alias("items")).drop("sequence")
+
+
+def pages_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, html) of each document (doc_id, text): its lines as paragraphs, and in their middle its payload as a figure by digest."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("lines", F.split("text", "\n"))
+    length = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / WIDTH)) * WIDTH
+    digest = F.sha2(F.rpad(F.col("text").cast("binary"), length.cast("int"), F.lit(b"\xff")), 256)
+    middle = F.ceil(F.size("lines") / 2).cast("int")
+
+    def paragraphs(lines):
+        escaped = F.transform(lines, lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
+        return F.concat(F.lit("<p>"), F.array_join(escaped, "</p><p>"), F.lit("</p>"))
+
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('" alt=""><figcaption>'), F.col("n_bytes"), F.lit(" bytes</figcaption></figure>"))
+    rest = F.slice("lines", middle + 1, F.size("lines"))
+    page = F.concat(F.lit("<article>"), paragraphs(F.slice("lines", F.lit(1), middle)), figure, F.when(F.size(rest) > 0, paragraphs(rest)).otherwise(""), F.lit("</article>"))
+    return rows.select("doc_id", "n_bytes", page.alias("html"))
 
 
 def op4_media_columns(spark, sf_dir: str) -> DataFrame:
     """Every document's payload, stored, referred to from a page, and resolved from that page's parsed sequence."""
     docs = table(spark, sf_dir, "documents")
-
-    def references(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = len((text or "").encode())
-                rows += [(doc_id, n, i["position"], i["caption"], i["ref"].removeprefix("sha256:")) for i in parse_html(page_of(doc_id, text)) if i["kind"] == "media"]
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "position", "caption", "digest"])
-
-    refs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(references, "doc_id long, n_bytes long, position int, caption string, digest string")
-    found = features(store(docs, fresh_path(spark, "media")))
-    return resolve(refs, found).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    found = materialise(features(store(docs, fresh_path(spark, "media"))), "features")
+    parsed = sequences(pages_of(docs), "doc_id", "html", ["n_bytes"])
+    media = F.filter("items", lambda i: i["kind"] == "media")[0]
+    refs = parsed.select("doc_id", "n_bytes", F.size("items").alias("n_items"), media["position"].alias("position"), media["caption"].alias("caption"), F.substring(media["ref"], 8, 64).alias("digest"))
+    return resolve(refs, found).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_items", "position", "caption")
