@@ -3,37 +3,44 @@
 ``write`` makes one WARC record a row with Spark's text sink: the row is the
 record up to its last byte, and the line separator is the two line ends that
 close a record, so archives go to any file system that Spark knows, under its
-commit protocol. ``read`` opens the archives, walks the records by their
-Content-Length and leaves one index run for each archive, sorted by URL key and
-time. ``merge`` deals the runs out by ranges of (URL key, time, page) and merges
-the parts of all runs that meet in a range with a loser tree, so the ranges, one
-after the other, are the globally ordered capture history. A URL with a third of
-all captures spreads over many ranges, since time and page are part of the key.
+commit protocol. They aren't packed, so a record's offset and length in the index
+are what a range read needs. A worker begins a new archive when one has
+``most_bytes``; a larger record has one of its own. ``read`` opens the archives,
+walks the records by their Content-Length and leaves one index run for each
+archive, sorted by URL key and time. ``merge`` deals the runs out by ranges of
+(URL key, time, page) and merges the parts of all runs that meet in a range with a
+loser tree, so the ranges, one after the other, are the globally ordered capture
+history; ``place`` is a capture's place in it. A URL with a third of all captures
+spreads over many ranges, since time and page are part of the key.
+
+Which record a page's is, response or revisit, is decided over (page_id, digest)
+rows; the pages themselves pass one shuffle only where they meet that decision.
 
 Defined cases: a null page is an empty payload, a null URL an empty one; records
 with payloads of under ``least`` bytes are all responses; rows that share the
-largest page_id and the payload are all responses; an empty table gives no row;
-line ends in a URL are escaped in its header; a payload may hold anything, record
-headers included.
+largest page_id and the payload are all responses; a null page_id comes before all
+others, is dated to the first second of 1970 and is null again in the index; an
+empty table gives no row; line ends in a URL are escaped in its header; a payload
+may hold anything, record headers included; other columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import fresh_path, materialise, table
+from sedimark.llm.common import fresh_path, materialise, shuffles_freed, table
 
 RECORD_END = "\r\n\r\n"
 #: Bounds the size of an archive and with it the memory of a reader.
-RECORDS_A_FILE = 2000
+MOST_BYTES = 32 << 20
 #: Index rows that one merging task holds.
 ROWS_A_RANGE = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,11 +50,12 @@ def classify(pages: DataFrame, least: int = 1000) -> DataFrame:
     """``pages`` (page_id, url, html) with payload, payload_digest, payload_bytes and the page_id that the record refers to (null for responses)."""
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    # small payloads have keys of their own, so they never meet in one task
-    rows = rows.withColumn("same", F.when(F.col("payload_bytes") >= least, F.col("payload_digest")).otherwise(F.concat(F.lit("page "), F.col("page_id"))))
-    kept = rows.groupBy("same").agg(F.max("page_id").alias("kept"))
-    joined = rows.join(kept.hint("merge"), "same")
-    return joined.withColumn("refers_to", F.when(F.col("page_id") < F.col("kept"), F.col("kept"))).drop("same", "kept")
+    # one row a text that occurs twice, in a table of its own: few rows, and a join that adaptive execution can split
+    known = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    known = materialise(known, "captures")
+    joined = rows.join(known, "payload_digest", "left")
+    later = F.col("kept").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("kept"))) & (F.col("payload_bytes") >= least)
+    return joined.withColumn("refers_to", F.when(later, F.col("kept"))).drop("kept")
 
 
 def record(rows: DataFrame) -> DataFrame:
@@ -55,12 +63,18 @@ def record(rows: DataFrame) -> DataFrame:
     end = F.lit("\r\n")
 
     def name(page):
-        return F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(">"))
+        return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
+
+    # a date in UTC, whatever the session's time zone
+    seconds = F.coalesce("page_id", F.lit(0))
+    clock = F.pmod(seconds, F.lit(86_400))
+    date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int")), "yyyy-MM-dd")
+    stamp = F.concat(date, F.format_string("T%02d:%02d:%02dZ", F.floor(clock / 3600), F.floor(clock / 60) % 60, clock % 60))
 
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes"), F.lit(RECORD_END))
     common = F.concat(
         F.lit("WARC-Record-ID: "), name(F.col("page_id")), end,
-        F.lit("WARC-Date: "), F.date_format(F.timestamp_seconds("page_id"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), end,
+        F.lit("WARC-Date: "), stamp, end,
         F.lit("WARC-Target-URI: "), F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), end,
         F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"), end,
         F.lit("WARC-Payload-Length: "), F.col("payload_bytes"), end,
@@ -71,9 +85,23 @@ def record(rows: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("refers_to").isNull(), response).otherwise(revisit).alias("value"))
 
 
-def write(rows: DataFrame, path: str) -> None:
-    """Archives (gzip) of classified rows under ``path``."""
-    record(rows).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+def write(rows: DataFrame, path: str, most_bytes: int = MOST_BYTES) -> None:
+    """Archives of classified rows under ``path``, in folders by their place among a worker's archives."""
+
+    def number(batches):
+        archive = held = 0
+        for batch in batches:
+            archives = []
+            for size in pc.binary_length(batch.column(0)).to_pylist():
+                if held and held + size > most_bytes:
+                    archive, held = archive + 1, 0
+                held += size + len(RECORD_END)
+                archives.append(archive)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(archives, pa.int32())], ["value", "archive"])
+
+    dealt = record(rows).mapInArrow(number, "value string, archive int")
+    with shuffles_freed(rows.sparkSession):
+        dealt.write.partitionBy("archive").option("lineSep", RECORD_END).text(path)
 
 
 def url_key(url: str) -> str:
@@ -87,61 +115,20 @@ def url_key(url: str) -> str:
     return labels + (f":{port}" if port not in (None, 80, 443) else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
-class _Bytes:
-    """The unpacked bytes of a gzip file, piece by piece."""
-
-    def __init__(self, packed: bytes) -> None:
-        self.packed, self.at, self.have, self.gone = packed, 0, bytearray(), 0
-        self.unpack = zlib.decompressobj(31)
-
-    def more(self) -> bool:
-        while self.at < len(self.packed):
-            piece = self.packed[self.at : self.at + (1 << 16)]
-            self.at += len(piece)
-            self.have += self.unpack.decompress(piece)
-            if self.unpack.unused_data:  # the next member
-                self.at -= len(self.unpack.unused_data)
-                self.unpack = zlib.decompressobj(31)
-            return True
-        return False
-
-    def until(self, mark: bytes) -> bytes | None:
-        start = 0
-        while (found := self.have.find(mark, start)) < 0:
-            start = max(0, len(self.have) - len(mark))
-            if not self.more():
-                return None
-        return self.take(found + len(mark))
-
-    def take(self, n: int) -> bytes:
-        while len(self.have) < n and self.more():
-            pass
-        if len(self.have) < n:
-            raise ValueError("the archive ends inside a record")
-        out = bytes(self.have[:n])
-        del self.have[:n]
-        self.gone += n
-        return out
-
-
-def records(packed: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of each record of a gzip archive."""
-    data = _Bytes(packed)
-    while True:
-        offset = data.gone
-        head = data.until(b"\r\n\r\n")
-        if head is None:
-            if data.have.strip():
-                raise ValueError("bytes after the last record")
-            return
-        first, *lines = head[:-4].decode().split("\r\n")
+def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
+    """(offset, length, headers, block) of each record of an archive."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        first, *lines = data[at : max(end, at)].decode().split("\r\n")
         if not first.startswith("WARC/"):
-            raise ValueError(f"no record starts at {offset}")
+            raise ValueError(f"no record starts at {at}")
         headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        block = data.take(int(headers["content-length"]))
-        if data.take(4) != b"\r\n\r\n":
-            raise ValueError(f"the record at {offset} isn't closed")
-        yield offset, data.gone - offset, headers, block
+        close = end + 4 + int(headers["content-length"])
+        if data[close : close + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at {at} isn't closed")
+        yield at, close + 4 - at, headers, view[end + 4 : close]
+        at = close + 4
 
 
 INDEX = "url_key string, captured string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, record_offset long, record_length long"
@@ -149,6 +136,11 @@ SCHEMA = pa.schema([(c.split()[0], pa.string() if c.split()[1] == "string" else
 ORDER = ["url_key", "captured", "page_id"]
 
 
+def order(row: tuple) -> tuple:
+    """URL key, time and page, a null one first; then the record's place."""
+    return row[0], row[1], row[2] is not None, row[2] or 0, row[7], row[8]
+
+
 def _batch(rows, schema=SCHEMA):
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
 
@@ -157,23 +149,24 @@ def read(spark, path: str) -> DataFrame:
     """One index run for each archive under ``path``. Payload lengths and digests of responses come from their bytes and must be what the header says."""
 
     def number(name: str | None):
-        return int(name.strip("<>").rpartition(":")[2]) if name else None
+        tail = name.strip("<>").rpartition(":")[2] if name else ""
+        return int(tail) if tail else None
 
     def run(batches):
         for batch in batches:
-            for archive, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                for offset, length, headers, block in records(packed):
+            for archive, content in zip(batch.column(0), batch.column(1), strict=True):
+                archive, rows = archive.as_py(), []
+                for offset, length, headers, block in records(content.as_py()):
                     digest, size = headers["warc-payload-digest"].removeprefix("sha1:"), int(headers["warc-payload-length"])
                     if headers["warc-type"] == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
+                        payload = block[bytes(block[:1024]).index(b"\r\n\r\n") + 4 :]
                         if (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
                             raise ValueError(f"the payload at {offset} of {archive} isn't what its header says")
                     rows.append((url_key(headers["warc-target-uri"]), headers["warc-date"], number(headers["warc-record-id"]), headers["warc-type"], number(headers.get("warc-refers-to")), size, digest, archive, offset, length))
-                yield _batch(sorted(rows, key=lambda r: (r[:3], r[8])))
+                yield _batch(sorted(rows, key=order))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content").mapInArrow(run, INDEX)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    return files.select(F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("archive"), "content").mapInArrow(run, INDEX)
 
 
 class LoserTree:
@@ -215,7 +208,7 @@ class LoserTree:
 
 
 def merge(index: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
-    """All runs of ``index`` in global order: by range_no, then position."""
+    """All runs of ``index`` in global order, ``place`` counting from 0."""
     index = materialise(index, "index-runs")
     ranges = max(1, -(-index.count() // rows_a_range))
     schema = SCHEMA.append(pa.field("range_no", pa.int64())).append(pa.field("position", pa.int64()))
@@ -226,7 +219,7 @@ def merge(index: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 by_run.setdefault(row[7], []).append(row)
         out, no = [], TaskContext.get().partitionId()
-        for position, row in enumerate(LoserTree([iter(r) for r in by_run.values()], lambda r: (*r[:3], r[7], r[8]))):
+        for position, row in enumerate(LoserTree([iter(r) for r in by_run.values()], order)):
             out.append((*row, no, position))
             if len(out) == 10_000:
                 yield _batch(out, schema)
@@ -234,22 +227,30 @@ def merge(index: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
         yield _batch(out, schema)
 
     dealt = index.repartitionByRange(ranges, *ORDER, "archive", "record_offset").sortWithinPartitions("archive", *ORDER, "record_offset")
-    return dealt.mapInArrow(run, f"{INDEX}, range_no long, position long")
+    merged = materialise(dealt.mapInArrow(run, f"{INDEX}, range_no long, position long"), "index-ranges")
+    # a range's first place: one row a range, in one window
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = merged.groupBy("range_no").agg(F.count("*").alias("n")).select("range_no", before.alias("first"))
+    return merged.join(starts, "range_no").withColumn("place", F.col("first") + F.col("position")).drop("range_no", "position", "first")
 
 
 def op5_warc_merge(spark, sf_dir: str) -> DataFrame:
     """All pages written as WARC, read back, and their merged index."""
     path = fresh_path(spark, "warc")
     write(classify(table(spark, sf_dir, "pages")), path)
-    return merge(read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured")
+    return merge(read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured", "url_key", "place")
 
 
-ORACLE = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-     q AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS kept FROM p)
+ORACLE = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, lower(trim(coalesce(url, ''))) AS u FROM pages),
+     q AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS kept,
+             strftime(to_timestamp(page_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured,
+             array_to_string(list_reverse(string_split(regexp_extract(u, '^[a-z]+://([^/:?#]+)', 1), '.')), ',')
+               || regexp_replace(regexp_extract(u, '^[a-z]+://[^/:?#]+(:\d+)?', 1), '^:(80|443)$', '') || ')'
+               || coalesce(nullif(regexp_extract(u, '^[a-z]+://[^/?#]+(/[^?#]*)', 1), ''), '/') || regexp_extract(u, '(\?[^#]+)', 1) AS url_key FROM p)
 SELECT page_id, payload_bytes, sha1(h) AS payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id < kept THEN kept END AS refers_to,
-       strftime(to_timestamp(page_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured
+       captured, url_key, row_number() OVER (ORDER BY encode(url_key), captured, page_id) - 1 AS place
 FROM q
 """
