@@ -15,11 +15,14 @@ labelled rows. The model (a few hundred KB) goes to the workers with the task.
 Defined cases: a null or empty text has no chunk and scores by the layer's bias
 alone; rows without a label or with a null label aren't learnt from; if no label
 can be learnt from, every score is 1; if all labels are alike, every score is
-their smoothed share; repeated rows repeat their score.
+their smoothed share; repeated rows repeat their score; a column that already has the name of the score
+is replaced by ``score`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +31,7 @@ from pyspark.sql.types import StructType
 
 from sedimark.llm.common import learns, table
 
-CHUNK, OVERLAP, WINDOW, STRIDE, FILTERS = 256, 64, 5, 2, 16
+CHUNK, OVERLAP, WINDOW, STRIDE, FILTERS = 257, 64, 5, 2, 16  # the last window of a chunk ends on its last byte
 
 
 class ByteCnn:
@@ -184,7 +187,8 @@ def score(docs: DataFrame, model: ByteCnn, column: str = "score") -> DataFrame:
 
 def keep_good(docs: DataFrame, model: ByteCnn, threshold: float = 0.7) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns."""
-    return score(docs, model, "quality score").where(F.col("quality score") >= threshold).drop("quality score")
+    own = f"score {uuid.uuid4().hex}"
+    return score(docs, model, own).where(F.col(f"`{own}`") >= threshold).drop(own)
 
 
 def op8_byte_cnn(spark, sf_dir: str) -> DataFrame:
