@@ -28,6 +28,8 @@ rows repeat their result.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -200,9 +202,9 @@ def learn_limits(rows: DataFrame, model: Centroids, block: int = 128) -> None:
     model.limits = np.stack([limits(x) for x in seen.reshape(len(model.names), BANDS, BINS)])
 
 
-def predict(docs: DataFrame, model: Centroids) -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_rejected; its other columns stay as they are."""
-    new = {"lang_pred": "string", "lang_score": "double", "lang_rejected": "boolean"}
+def predict(docs: DataFrame, model: Centroids, prefix: str = "lang_") -> DataFrame:
+    """``docs`` with pred, score and rejected, named with ``prefix``; its other columns stay as they are, those of these names are replaced."""
+    new = {f"{prefix}pred": "string", f"{prefix}score": "double", f"{prefix}rejected": "boolean"}
     names = [c for c in docs.columns if c.lower() not in new]
     rows = docs.select(*(F.col(f"`{c}`") for c in names))
     at, schema = names.index("text"), StructType([*rows.schema.fields])
@@ -220,7 +222,8 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Centroids) -> DataFrame:
     """The documents that aren't rejected, with their own columns."""
-    return predict(docs, model).where(~F.col("lang_rejected")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = f"{uuid.uuid4().hex}_"
+    return predict(docs, model, own).where(~F.col(f"{own}rejected")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_centroid_langid(spark, sf_dir: str) -> DataFrame:
