@@ -1,24 +1,31 @@
-"""Line deduplication: passages that an earlier document holds.
+"""Line deduplication by pairwise alignment of documents that share rare lines.
 
 A passage is a run of consecutive lines of at least ``least_chars`` characters in
 all; blank lines neither count nor break it. Whatever passage of a document stands
-in any document with a smaller doc_id is deleted from it, so a document can lose
-different passages to different ones, in whatever order those hold them.
-
-Passages are found by their smallest parts: from each line the shortest run onward
-and the shortest run back that has ``least_chars`` characters (a long line is its
-own). Each line of a common passage lies in such a run inside the passage, and
-equal passages have equal runs; so it is enough to know for each run the first
-document that holds it. That is two runs a line at most and one owner a run,
-however frequent it is, and no pair of documents has to be compared. All blocks
-that an alignment (patience diff) of any two documents gives are among these
-passages; a passage that is moved or repeated goes too, which one alignment of a
-pair would leave.
-
-Defined cases: a null text has no lines and stays null; blank lines go with the
-passage around them, and with the document when nothing else is left of it; rows that share a doc_id count as one document; rows without
-a doc_id keep all lines; a document whose every line goes keeps an empty text; an
-empty table gives no row; very long texts are hashed whole.
+in a document with a smaller doc_id is deleted from it.
+
+Documents that overlap are found through hashes of their shortest passages: from
+each line the shortest run onward and the shortest run back that has
+``least_chars`` characters (a long line is its own). A hash is rare when at most
+``RARE`` rows hold it; a document is paired with the first holder of each of its
+rare hashes. The line sequences of a pair, whole, are aligned with patience diff,
+and the aligned common blocks go from the later document. A document has at most
+RARE partners a hash and its sequence is 8 bytes a line, so no pair is formed
+through a line that all the world has.
+
+What alignment leaves is settled exactly: each line of a passage that two
+documents share lies in a shortest run inside the passage, and equal passages have
+equal runs, so a run that stands in an earlier document goes, whether its hash is
+frequent, its passage was moved, or its first holder is a third document. That is
+two runs a line at most and one owner a run, however frequent it is.
+
+Defined cases: a null text has no lines and stays null; a blank line goes when the
+lines before and after it go, and when nothing else is left of the document; rows
+that share a doc_id are documents of their own, none of them earlier than the
+other, and rows alike in doc_id and text lose the same lines; rows without a doc_id
+keep all lines; a document whose every line goes keeps an empty text; an empty
+table gives no row; very long texts are hashed whole; columns of the input called
+places or n_aligned are replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ from pyspark.sql import functions as F
 from sedimark.llm.common import materialise, table
 
 LEAST_CHARS = 40
+#: So many rows at most hold a rare hash.
+RARE = 32
 
 
 def _anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -103,73 +112,119 @@ def common_blocks(earlier: list[tuple[int, int]], later: list[tuple[int, int]],
     return out + (block if size >= least_chars else [])
 
 
-def runs(text: str, least_chars: int = LEAST_CHARS) -> dict[int, list[tuple[int, int]]]:
-    """The hash of each shortest run of enough characters, and the first and last places of its lines."""
-    places, sizes, digests = [], [], []
-    for i, line in enumerate(text.split("\n")):
-        line = line.strip(" ")
-        if line:
-            places.append(i)
-            sizes.append(len(line))
-            digests.append(blake2b(line.encode(), digest_size=8).digest())
-    n, found = len(places), set()
-    end = size = 0
-    for at in range(n):  # onward
-        while end < n and size < least_chars:
-            size += sizes[end]
-            end += 1
-        if size < least_chars:
-            break
-        found.add((at, end))
-        size -= sizes[at]
-    start, size = n, 0
-    for at in range(n, 0, -1):  # back
-        while start > 0 and size < least_chars:
-            start -= 1
-            size += sizes[start]
-        if size < least_chars:
-            break
-        found.add((start, at))
-        size -= sizes[at - 1]
-    out: dict[int, list[tuple[int, int]]] = {}
-    for a, b in found:
-        key = digests[a] if b == a + 1 else blake2b(b"".join(digests[a:b]), digest_size=8).digest()
-        out.setdefault(int.from_bytes(key, "little", signed=True), []).append((places[a], places[b - 1]))
-    return out
-
-
-def runs_of(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, hash, ranges) of each document's runs; ranges are first and last places in turn."""
+class Lines:
+    """The lines of a text that aren't blank: place, size and digest of each."""
+
+    def __init__(self, text: str) -> None:
+        self.places, self.sizes, self.digests = [], [], []
+        for i, line in enumerate(text.split("\n")):
+            line = line.strip(" ")
+            if line:
+                self.places.append(i)
+                self.sizes.append(len(line))
+                self.digests.append(blake2b(line.encode(), digest_size=8).digest())
+
+    def hashes(self) -> list[int]:
+        return [int.from_bytes(d, "little", signed=True) for d in self.digests]
+
+    def runs(self, least_chars: int = LEAST_CHARS) -> dict[int, list[tuple[int, int]]]:
+        """The hash of each shortest run of enough characters, and the first and last places of its lines."""
+        places, sizes, digests = self.places, self.sizes, self.digests
+        n, found = len(places), set()
+        end = size = 0
+        for at in range(n):  # onward
+            while end < n and size < least_chars:
+                size += sizes[end]
+                end += 1
+            if size < least_chars:
+                break
+            found.add((at, end))
+            size -= sizes[at]
+        start, size = n, 0
+        for at in range(n, 0, -1):  # back
+            while start > 0 and size < least_chars:
+                start -= 1
+                size += sizes[start]
+            if size < least_chars:
+                break
+            found.add((start, at))
+            size -= sizes[at - 1]
+        out: dict[int, list[tuple[int, int]]] = {}
+        for a, b in found:
+            key = digests[a] if b == a + 1 else blake2b(b"".join(digests[a:b]), digest_size=8).digest()
+            out.setdefault(int.from_bytes(key, "little", signed=True), []).append((places[a], places[b - 1]))
+        return out
+
+
+#: A row of a text's run, or (hash is null) of its whole sequence of lines.
+FOUND = "doc_id long, text_key long, hash long, ranges array<int>, lines array<long>, sizes array<int>"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+
+def lines_of(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Each text's runs, ranges being first and last places in turn, and its sequence of lines, ranges being their places. Rows of one doc_id are told apart by text_key."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = Lines(text)
+                rows.append((doc_id, key, None, lines.places, lines.hashes(), lines.sizes))
+                rows += [(doc_id, key, h, [p for r in x for p in r], None, None) for h, x in lines.runs(least_chars).items()]
+            columns = zip(*rows, strict=True) if rows else [()] * len(KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)], [f.split()[0] for f in FOUND.split(", ")])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text")).where("doc_id is not null and text is not null")
+    return rows.mapInArrow(run, FOUND)
+
+
+def aligned(shared: DataFrame, found: DataFrame, least_chars: int) -> DataFrame:
+    """(doc_id, text_key, places) of the blocks that each document has in common with the first holders of its rare hashes."""
+    pairs = shared.where(F.col("df") <= RARE).select("doc_id", "text_key", "owner", "owner_key").distinct()
+    whole = materialise(found.where("hash is null").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "ranges", "lines", "sizes"), "sequences")
+    earlier = whole.select(F.col("doc_id").alias("owner"), F.col("text_key").alias("owner_key"), F.col("lines").alias("earlier"))
+    both = materialise(pairs, "pairs").join(whole.hint("merge"), ["doc_id", "text_key"]).join(earlier.hint("merge"), ["owner", "owner_key"])
 
     def run(batches):
         for batch in batches:
-            ids, hashes, ranges = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = runs(text, least_chars)
-                ids += [doc_id] * len(found)
-                hashes += found
-                ranges += [[p for r in x for p in r] for x in found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(ranges, pa.list_(pa.int32()))], ["doc_id", "hash", "ranges"])
+            ids, keys, out = [], [], []
+            for doc_id, key, places, lines, sizes, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                blocks = common_blocks(list(enumerate(other)), list(enumerate(lines)), dict(zip(lines, sizes, strict=True)), least_chars)
+                if blocks:
+                    ids.append(doc_id)
+                    keys.append(key)
+                    # blank lines between two lines of a block go too
+                    out.append([p for a, b in zip(blocks, [*blocks[1:], -1]) for p in (range(places[a], places[b]) if b == a + 1 else (places[a],))])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "text_key", "places"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id long, hash long, ranges array<int>")
+    return both.select("doc_id", "text_key", "ranges", "lines", "sizes", "earlier").mapInArrow(run, "doc_id long, text_key long, places array<int>")
 
 
 def deletions(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, places) of the lines that go; documents that keep all have no row."""
-    found = materialise(runs_of(docs, least_chars), "lines")
-    owners = found.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner").select("hash", "owner")
-    shared = found.join(owners.hint("merge"), "hash").where("doc_id > owner")
+    """(doc_id, text_key, places, n_aligned) of the lines that go, and how many of them go by alignment; texts that keep all have no row."""
+    found = materialise(lines_of(docs, least_chars), "lines")
+    runs = found.where("hash is not null").select("doc_id", "text_key", "hash", "ranges")
+    first = F.min(F.struct("doc_id", "text_key"))
+    owners = runs.groupBy("hash").agg(first.alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("df")).where("last > first.doc_id")
+    # a table of its own, so that the join on a frequent hash can be split
+    owners = materialise(owners.select("hash", F.col("first.doc_id").alias("owner"), F.col("first.text_key").alias("owner_key"), "df"), "owners")
+    shared = materialise(runs.join(owners.hint("merge"), "hash").where("doc_id > owner"), "shared")
     places = F.flatten(F.transform(F.sequence(F.lit(0), F.size("ranges") - 2, F.lit(2)), lambda i: F.sequence(F.get(F.col("ranges"), i), F.get(F.col("ranges"), i + 1))))
-    return shared.select("doc_id", places.alias("places")).groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    none = F.array().cast("array<int>")
+    exact = shared.select("doc_id", "text_key", none.alias("aligned"), places.alias("others"))
+    by_pairs = aligned(shared, found, least_chars).select("doc_id", "text_key", F.col("places").alias("aligned"), none.alias("others"))
+    every = exact.unionByName(by_pairs).groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("aligned"))).alias("aligned"), F.flatten(F.collect_list("others")).alias("others"))
+    return every.select("doc_id", "text_key", F.sort_array(F.array_union("aligned", "others")).alias("places"), F.size("aligned").alias("n_aligned"))
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` with the lines gone, n_chars brought up to date where it exists, and ``places`` (null: nothing went)."""
-    gone = deletions(docs, least_chars)
-    own = [c for c in docs.columns if c.lower() != "places"]
-    joined = docs.select(*(F.col(f"`{c}`") for c in own)).join(gone.hint("merge"), "doc_id", "left")
-    names = [*own, "places"]
+    """``docs`` with the lines gone, n_chars brought up to date where it exists, ``places`` (null: nothing went) and ``n_aligned``."""
+    gone = materialise(deletions(docs, least_chars), "deletions").select(F.col("doc_id").alias("gone id"), F.col("text_key").alias("gone key"), "places", "n_aligned")
+    names = [*(c for c in docs.columns if c.lower() not in ("places", "n_aligned")), "places", "n_aligned"]
+    own = docs.select(*(F.col(f"`{c}`") for c in names[:-2]))
+    same = (own["doc_id"].cast("long") == gone["gone id"]) & (F.xxhash64(own["text"].cast("string")) == gone["gone key"])
+    joined = own.join(gone.hint("merge"), same, "left").select(*(F.col(f"`{c}`") for c in names))
 
     def run(batches):
         for batch in batches:
@@ -178,6 +233,9 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
             for i, places in enumerate(gone):
                 if places:
                     away, own = set(places), texts[i].split("\n")
+                    filled = [n for n, x in enumerate(own) if x.strip(" ")]
+                    away |= {p for a, b in zip(filled, filled[1:]) if b > a + 1 and a in away and b in away for p in range(a + 1, b)}
+                    gone[i] = sorted(away)
                     left = [x for n, x in enumerate(own) if n not in away]
                     if not any(x.strip(" ") for x in left):
                         left, gone[i] = [], list(range(len(own)))
@@ -188,11 +246,11 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
                 columns["n_chars"] = pa.array([len(t or "") for t in texts], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), schema=pa.schema([pa.field(n, columns[n].type) for n in names]))
 
-    return joined.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, joined.select(*(F.col(f"`{c}`") for c in names)).schema)
+    return joined.mapInArrow(run, joined.schema)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with its number of lines, the places of those deleted, and the digest of what stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     left = dedup_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0))))
-    return left.select("doc_id", "n_lines", F.coalesce(F.size("places"), F.lit(0)).alias("n_deleted"), F.coalesce("places", F.array().cast("array<int>")).alias("deleted"), F.length("text").alias("chars_left"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    return left.select("doc_id", "n_lines", F.coalesce(F.size("places"), F.lit(0)).alias("n_deleted"), F.coalesce("n_aligned", F.lit(0)).alias("n_aligned"), F.coalesce("places", F.array().cast("array<int>")).alias("deleted"), F.length("text").alias("chars_left"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
