@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's own setting by which a finished command lets go of the shuffle files that it made.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a local session (tests) gets a folder of its own, and a cluster an error, since its machines share no temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="sedimark-")
         shared_dir.own = base
     return f"{base}/sedimark"
@@ -28,6 +33,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Writes inside give their shuffle files back as soon as they are done: what is read later is the written table."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -35,18 +51,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     an expensive or order-sensitive plan runs once although it is used twice.
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans whose results are written: Spark's cleaner removes them from the executors when the driver's collector finds the plans gone, which may be late on a driver with little to do. What the first pass finalises is what held the files, so there are two."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -56,8 +65,9 @@ def learns(column: str, modulus: int, held_out_rest: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus != held_out_rest
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Write ``df`` in the shared folder as a table bucketed by ``key``: later joins on it shuffle the other side alone."""
+def bucketed(df: DataFrame, name: str, key: str) -> str:
+    """Write ``df`` as a managed table bucketed by ``key``, whose name is returned: later joins on it shuffle the other side alone. ``DROP TABLE`` removes its files."""
     spark, own = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(shuffle_partitions(spark), key).sortBy(key).option("path", fresh_path(spark, name)).saveAsTable(own)
-    return spark.table(own)
+    with shuffles_freed(spark):
+        df.write.bucketBy(shuffle_partitions(spark), key).sortBy(key).saveAsTable(own)
+    return own

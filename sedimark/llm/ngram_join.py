@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import bucketed, free_shuffles, materialise, table
+from sedimark.llm.common import bucketed, materialise, table
 
 _M = np.uint64
 ODD = _M(0x9E3779B97F4A7C15)
@@ -238,8 +238,8 @@ def wanted_filter(pairs: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(key, n, elements) of the sets in ``pairs`` (and of few others), by one more scan."""
+def sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> str:
+    """The name of a table (key, elements) of the sets in ``pairs`` (and of few others), by one more scan. With more keys than the filter has room for the others are more, up to all."""
     wanted = docs.sparkSession.sparkContext.broadcast(wanted_filter(pairs))
 
     def run(batches):
@@ -253,9 +253,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["key", "elements"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "key long, elements binary")
-    sets = bucketed(rows.groupBy("key").agg(F.min("elements").alias("elements")), "sets", "key")
-    free_shuffles(docs.sparkSession)
-    return sets
+    return bucketed(rows.groupBy("key").agg(F.min("elements").alias("elements")), "sets", "key")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -274,9 +272,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(den * shared >= num * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = materialise(both.mapInArrow(run, "a long, b long"), "links")
-    free_shuffles(sets.sparkSession)
-    return links
+    return materialise(both.mapInArrow(run, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -324,7 +320,6 @@ def rare_postings(keys: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     rows = keys.select("key").join(sets.hint("merge"), "key").select("key", "elements").mapInArrow(run, "element long, key long")
     df = F.count("*").over(Window.partitionBy("element"))
     shared = materialise(rows.withColumn("df", df).where("df > 1"), "shared")  # an element of one set alone is in no list, and only moves the others back
-    free_shuffles(sets.sparkSession)
     own = Window.partitionBy("key")
     rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "element"))
     posted = shared.join(keys.hint("merge"), "key").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
@@ -354,7 +349,15 @@ def link_sets(docs: DataFrame, found: DataFrame, k: int, num: int, den: int) ->
     first = materialise(members.where("lo < key").groupBy(F.col("key").alias("b")).agg(F.min("lo").alias("a")), "pairs")
     if first.isEmpty():
         return None
-    sets = sets_of(docs, members.select(F.col("lo").alias("a"), F.col("key").alias("b")), k)
+    name = sets_of(docs, members.select(F.col("lo").alias("a"), F.col("key").alias("b")), k)
+    try:
+        return linked(members, first, docs.sparkSession.table(name), num, den)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def linked(members: DataFrame, first: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, comp) from lists (``members``), the pairs of round one and the sets themselves."""
     links = verify(first, sets, num, den)
     compared, comps = first, components(links)
 
@@ -410,7 +413,6 @@ def link_sets(docs: DataFrame, found: DataFrame, k: int, num: int, den: int) ->
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``: the smallest doc_id that links reach."""
     found = lists(docs, k, num, den)
-    free_shuffles(docs.sparkSession)
     rows = found.where("is_doc").select(F.col("sig").alias("doc_id"), "key", "n")
     comps = link_sets(docs, found, k, num, den)
     names = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("smallest"))
