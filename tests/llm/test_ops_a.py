@@ -93,6 +93,19 @@ def test_repeated_rows_are_packed_as_often(spark):
     assert len(rows) == 3 * len(packing.cuts(rows[0].doc_tokens)) and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
 
 
+def test_packing_takes_endless_white_space(spark, tokenizer):
+    texts = [" " * 1_500_000 + "a", "\n \t" * 500_000 + "b", "x" + "\u3000" * 2000 + "<|endoftext|>" + " " * 1000 + "y"]
+    got = defaultdict(list)
+    for r in packing.pack(documents(spark, texts, [None, 4, 5]), VOCABULARY).collect():
+        got[r.doc_id].append(r)
+    for i, text in zip([None, 4, 5], texts):
+        ids, at = [*ids_of(tokenizer, text), 0], 0
+        for r in sorted(got[i], key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[at : at + r.length]))
+            at += r.length
+        assert at == len(ids)
+
+
 @given(st.integers(1, 5000))
 def test_cuts_fill_classes(n):
     lengths = packing.cuts(n)
@@ -103,7 +116,7 @@ def test_exact_dedup_matches_brute_force(spark):
     texts = TEXTS * 3 + ["Same"] * 200 + ["same"]
     ids = list(range(len(texts)))
     random.Random(1).shuffle(ids)
-    rows = {r.doc_id: r for r in cuckoo_dedup.assign(documents(spark, texts, ids), bucket_count=3).collect()}
+    rows = {r.doc_id: r for r in cuckoo_dedup.assign(documents(spark, texts, ids), most_bytes=300).collect()}
     lower = {i: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "") for i, t in zip(ids, texts)}
     kept, size = {}, Counter(lower.values())
     for i, t in lower.items():
@@ -114,8 +127,24 @@ def test_exact_dedup_matches_brute_force(spark):
     assert cuckoo_dedup.assign(documents(spark, [])).count() == 0
 
 
+def test_exact_dedup_with_null_ids(spark):
+    rows = cuckoo_dedup.assign(documents(spark, ["a", "A", "b", "b", "c"], [None, 3, None, None, 5])).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in rows) == [("3", "3", 2, True), ("5", "5", 1, True), ("None", "3", 2, False), ("None", "None", 2, True), ("None", "None", 2, True)]
+
+
+def test_cuckoo_index_evicts_what_was_hit_longest_ago():
+    index, keys = cuckoo_dedup.Index(4), [hashlib.sha256(str(i).encode()).digest() for i in range(50)]
+    for i, k in enumerate(keys):
+        index.add(k, bytes(range(200)) + k, i)
+        index.add(keys[0], bytes(range(200)) + keys[0], i)
+    gone = [d for d, *_ in index.evict(index.bytes // 2)]
+    assert 20 < len(gone) < 30 and gone == keys[1 : len(gone) + 1] and keys[0] in index.content
+    assert sum(d in index.filter for d in gone) < 3 and all(k in index.filter for k in index.content)
+    assert [n for _, _, _, n in index.evict(-1)][-1] == 51 and not index.content and index.bytes == 0
+
+
 def test_cuckoo_bucket_inserts_deletes_and_grows():
-    rng, bucket = random.Random(2), cuckoo_dedup.Bucket(4)
+    rng, bucket = random.Random(2), cuckoo_dedup.Index(4)
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
     assert all(bucket.add(k, k, i) for i, k in enumerate(keys))
     assert bucket.resized > 3 and all(k in bucket.filter for k in keys)
@@ -141,7 +170,10 @@ def test_media_columns_round_trip(spark, tmp_path):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         media = media_columns.to_png(payload)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and media_columns.from_png(media) == payload
-        assert r.caption == f"Document {i}" and r.position == (1 if (text or "").strip() else 0)
+        lines = (text or "").split("\n")
+        before = [x for x in lines[: -(-len(lines) // 2)] if x.strip()]
+        assert r.caption == f"{len(data)} bytes" and r.position == len(before) and r.n_items == 1 + sum(bool(x.strip()) for x in lines)
+    assert media_columns.resolve(documents(spark, []).select("digest"), media_columns.features(media_columns.store(documents(spark, []), str(tmp_path / "none")))).count() == 0
 
 
 def test_html_items_keep_order_and_captions():
@@ -149,6 +181,22 @@ def test_html_items_keep_order_and_captions():
     items = [(i["position"], i["kind"], i["text"], i["ref"], i["caption"]) for i in media_columns.parse_html(page)]
     assert items == [(0, "text", "T", None, None), (1, "text", "one", None, None), (2, "media", None, "a", "x"), (3, "text", "two", None, None), (4, "media", None, "b", "cap & b"), (5, "text", "end", None, None)]
     assert media_columns.parse_html(None) == []
+    page = "<head><title>no</title><meta x=y><p>body</p><figure><figcaption><p>first</p><p>second</p></figcaption><img src=a alt=x><figure><img src=b><figcaption>inner</figcaption></figure></figure><img src=c alt=own>"
+    items = [(i["kind"], i["text"], i["ref"], i["caption"]) for i in media_columns.parse_html(page)]
+    assert items == [("text", "body", None, None), ("media", None, "a", "first second"), ("media", None, "b", "inner"), ("media", None, "c", "own")]
+    assert [i["text"] for i in media_columns.parse_html("<html><head><style>x</style>words of a body</head>more")] == ["words of a bodymore"]
+    assert media_columns.parse_html("<figure><figcaption>open<img src=z>")[0]["caption"] == "open"
+
+
+def test_sequences_are_resolved_in_order(spark, tmp_path):
+    docs = documents(spark, ["one", "two"])
+    media = media_columns.features(media_columns.store(docs, str(tmp_path / "m")))
+    digests = {t: hashlib.sha256(media_columns.payload_of(t)).hexdigest() for t in ("one", "two")}
+    pages = [(1, f"<p>a</p><img src='sha256:{digests['two']}' alt=t><p>b</p><img src='sha256:{digests['one']}'><img src='x.png'>"), (1, f"<img src='sha256:{digests['two']}'>"), (2, None), (3, "<p>only text</p>")]
+    found = media_columns.sequences(spark.createDataFrame(pages, "page_id long, html string"), "page_id", "html")
+    got = {(r.page_id, len(r["items"])): r["items"] for r in media_columns.interleave(found, media, "page_id").collect()}
+    assert set(got) == {(1, 5), (1, 1), (2, 0), (3, 1)}
+    assert [(i["position"], i["text"], i["caption"], i["media"] and i["media"]["payload_sha256"]) for i in got[1, 5]] == [(0, "a", None, None), (1, None, "t", digests["two"]), (2, "b", None, None), (3, None, None, digests["one"]), (4, None, None, None)]
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -156,9 +204,18 @@ def test_warc_round_trip(spark, tmp_path):
     pages = [(i, f"http://B.example.com:80/p?q={i % 3}", h) for i, h in enumerate([big, "small", None, big, "small", big + "x", "\r\n\r\n" * 300])] + [(7, None, ""), (8, "http://a.org/x\r\ny", big)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
     path = str(tmp_path / "warc")
-    warc_merge.write(warc_merge.classify(df), path)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        warc_merge.write(warc_merge.classify(df), path, 2000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
     rows = warc_merge.merge(warc_merge.read(spark, path), rows_a_range=3).collect()
-    assert len(rows) == len(pages)
+    assert len(rows) == len(pages) and len({r.archive for r in rows}) > 3
+    for r in rows:  # a range read at a record's place gives that record
+        data = (tmp_path / "warc" / r.archive).read_bytes()[r.record_offset : r.record_offset + r.record_length]
+        ((offset, length, headers, block),) = warc_merge.records(data)
+        assert (offset, length, headers["warc-record-id"], headers["warc-date"]) == (0, r.record_length, f"<urn:page:{r.page_id}>", f"1970-01-01T00:00:0{r.page_id}Z")
     by_id = {r.page_id: r for r in rows}
     for i, _, html in pages:
         data = (html or "").encode()
@@ -166,9 +223,13 @@ def test_warc_round_trip(spark, tmp_path):
         refers = kept if len(data) >= 1000 and kept != i else None
         r = by_id[i]
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(data), hashlib.sha1(data).hexdigest(), "revisit" if refers else "response", refers)
-    in_order = sorted(rows, key=lambda r: (r.range_no, r.position))
+    in_order = sorted(rows, key=lambda r: r.place)
     keys = [(r.url_key, r.captured, r.page_id) for r in in_order]
-    assert keys == sorted(keys) and keys[0][0] == ")/" and len({r.range_no for r in rows}) > 1
+    assert keys == sorted(keys) and keys[0][0] == ")/" and [r.place for r in in_order] == list(range(len(rows)))
+    odd = spark.createDataFrame([(None, "u", big), (None, "u", big), (4, "u", big), (4, "u", big), (5, None, None)], "page_id long, url string, html string")
+    warc_merge.write(warc_merge.classify(odd), str(tmp_path / "odd"))
+    got = warc_merge.merge(warc_merge.read(spark, str(tmp_path / "odd"))).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == [("4", "response", None), ("4", "response", None), ("5", "response", None), ("None", "revisit", 4), ("None", "revisit", 4)]
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     warc_merge.write(warc_merge.classify(empty), str(tmp_path / "none"))
     assert warc_merge.merge(warc_merge.read(spark, str(tmp_path / "none"))).count() == 0
@@ -212,6 +273,36 @@ def test_a_frequent_line_makes_a_pair_a_document(spark):
     texts = [f"{line('common')}\nown words of {i} that nobody else has at all here" for i in range(500)]
     rows = line_dedup.deletions(documents(spark, texts)).collect()
     assert sorted((r.doc_id, tuple(r.places)) for r in rows) == [(i, (0,)) for i in range(1, 500)]
+    assert {r.n_aligned for r in rows} == {0}  # no pair is formed through it
+
+
+def test_rows_that_share_a_doc_id_keep_their_own_lines(spark):
+    texts = [line(1), f"{line(1)}\nown of the second", f"unique first line of another row\n{line(1)}", f"{line(1)}\nown of the second", line(2), line(2)]
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(documents(spark, texts, [1, 2, 2, 2, 7, 7])).collect())
+    assert got == [(1, line(1)), (2, "own of the second"), (2, "own of the second"), (2, "unique first line of another row"), (7, line(2)), (7, line(2))]
+    nulls = line_dedup.dedup_lines(documents(spark, [line(1)] * 3, [None, None, 1]))
+    assert [r.text for r in nulls.collect()] == [line(1)] * 3
+
+
+def test_another_document_doesnt_change_what_two_share(spark):
+    a, b, c, d = (f"line {x} of twenty-five ch" for x in "abcd")
+    texts = [f"own zero\n{b}\n{c}\nown tail", f"q1 own\n{a}\n{b}\n{c}\n{d}", f"q2 own\n{a}\n{b}\n{c}\n{d}"]
+    for part in (texts, texts[1:]):
+        got = {r.doc_id: r.places for r in line_dedup.deletions(documents(spark, part)).collect()}
+        assert got[len(part) - 1] == [1, 2, 3, 4]
+
+
+def test_alignment_deletes_most_lines(spark):
+    rng = random.Random(20)
+    stock = [f"sentence {i} of a stock that is used again and again" for i in range(400)]
+    texts = ["\n\n".join(stock[i : i + rng.randrange(3, 9)]) for i in (rng.randrange(390) for _ in range(120))]
+    rows = line_dedup.deletions(documents(spark, texts)).collect()
+    brute = brute_deletions(texts)
+    filled = {i: [p for p in x if p % 2 == 0] for i, x in enumerate(brute) if x}
+    assert {r.doc_id: [p for p in r.places if p % 2 == 0] for r in rows} == filled
+    assert sum(r.n_aligned for r in rows) > 0.5 * sum(map(len, filled.values()))
+    left = {r.doc_id: r for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
+    assert all("\n\n\n" not in r.text for r in left.values())
 
 
 def brute_deletions(texts):

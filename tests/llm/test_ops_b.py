@@ -1,8 +1,10 @@
 """N-gram join, LM scores, both classifiers and the pipeline against brute force, on awkward rows."""
 
 import math
+import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -138,12 +140,49 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_chunks_cover_every_byte():
-    rng = random.Random(1)
-    for n in (1, 255, 256, 257, 448, 449, 5000):
+    rng, size = random.Random(1), byte_cnn.CHUNK
+    step = size - byte_cnn.OVERLAP
+    for n in (1, size - 1, size, size + 1, size + step, size + step + 1, 5000):
         data = bytes(rng.randrange(256) for _ in range(n))
         rows = byte_cnn.ByteCnn.chunks(data)
-        assert rows[0].tobytes()[: min(n, 256)] == data[:256] and (n <= 256 or rows[-1].tobytes() == data[-256:])
-        assert len(rows) == (1 if n <= 256 else len(range(0, n - 256, 192)) + 1)
+        assert rows[0].tobytes()[: min(n, size)] == data[:size] and (n <= size or rows[-1].tobytes() == data[-size:])
+        assert len(rows) == (1 if n <= size else len(range(0, n - size, step)) + 1)
+
+
+def naive_pooled(model, data):
+    """Maximum of each filter over each chunk, window by window."""
+    size, step = byte_cnn.CHUNK, byte_cnn.CHUNK - byte_cnn.OVERLAP
+    starts = [0] if len(data) <= size else [*range(0, len(data) - size, step), len(data) - size]
+    out = []
+    for start in starts:
+        chunk = data[start : start + size].ljust(size, b" ")
+        windows = [chunk[i : i + byte_cnn.WINDOW] for i in range(0, size - byte_cnn.WINDOW + 1, byte_cnn.STRIDE)]
+        out.append(np.maximum(0, np.max([model.bias + sum(model.filters[o, x] for o, x in enumerate(w)) for w in windows], axis=0)))
+    return np.array(out)
+
+
+def test_convolution_reads_every_byte():
+    rng, model = random.Random(8), byte_cnn.ByteCnn(3)
+    for n in (1, 5, 256, 257, 258, 300, 512, 1000):
+        data = bytes(rng.randrange(32, 127) for _ in range(n))
+        assert np.allclose(model.pooled(model.chunks(data)), naive_pooled(model, data), atol=1e-4)
+        for at in {0, 1, n // 2, n - 2, n - 1} & set(range(n)):
+            other = data[:at] + b"\xff" + data[at + 1 :]
+            assert not np.array_equal(model.convolve(model.chunks(data)), model.convolve(model.chunks(other)))
+
+
+def test_quality_query(spark, tmp_path):
+    docs, labels = labelled(spark, 150)
+    more = documents(spark, [None, "", "walks", "walks"], [900, 901, 902, 902])
+    docs.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = byte_cnn.op8_byte_cnn(spark, str(tmp_path)).collect()
+    assert len(rows) == 304 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id < 300]
+    assert sum(r.predicted == 1 - r.doc_id % 2 for r in held) > 0.95 * len(held)
+    assert len({r.score for r in rows if r.doc_id == 902}) == 1
+    clash = byte_cnn.keep_good(docs.withColumn("score", byte_cnn.F.lit("own")).withColumn("quality score", byte_cnn.F.lit(1)), byte_cnn.fit(docs, labels, sample=60))
+    assert {r.score for r in clash.collect()} == {"own"} and "quality score" in clash.columns
 
 
 def test_language_on_held_out_rows(spark):
@@ -160,7 +199,54 @@ def test_language_on_held_out_rows(spark):
     assert len(centroid_langid.clusters(np.eye(6, dtype=np.float32), 4)) == 4
     none = centroid_langid.fit(docs.limit(0))
     assert {r.lang_pred for r in centroid_langid.predict(docs, none).collect()} == {"und"}
-    assert centroid_langid.keep_known(docs, model).columns == docs.columns
+    own = docs.withColumn("LANG_PRED", centroid_langid.F.lit("own"))
+    assert centroid_langid.keep_known(own, model).columns == own.columns and {r.LANG_PRED for r in centroid_langid.keep_known(own, model).collect()} == {"own"}
+
+
+def brute_language(model, text):
+    """(language, cosine) of the nearest centroid, one trigram after the other."""
+    letters = "".join(c if c.islower() and c.isascii() or ord(c) > 127 else " " for c in text.lower())
+    data, counts = b" " + letters.encode() + b" ", Counter()
+    for i in range(len(data) - 2):
+        x = ((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 0x85EBCA6B) % 2**32
+        x = ((x ^ x >> 13) * 0xC2B2AE35) % 2**32
+        counts[(x ^ x >> 16) >> 32 - centroid_langid.BITS] += 1
+    row = {p: math.log1p(n) * float(model.idf[p]) for p, n in counts.items()}
+    norm = math.sqrt(sum(v * v for v in row.values()))
+    cosine = [(sum(v * float(c[p]) for p, v in row.items()) / norm, n) for c, n in zip(model.centres, model.languages)]
+    best = max(c for c, _ in cosine)
+    return min(n for c, n in cosine if c == best), best
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(19)
+    stock = {"en": "the and stone with that river for night", "de": "der und nicht schön über straße mit nacht", "fr": "le été avec où nuit pour déjà rivière"}
+    rows = [(i, " ".join(rng.choice(stock[lang].split()) for _ in range(rng.randrange(1, 60))), lang) for i, lang in enumerate(list(stock) * 60)]
+    rows += [(7, "The night", "en"), (7, "The night", "en"), (800, "le " * 200_000, "fr"), (801, None, "fr"), (802, "1 2 3", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = centroid_langid.fit(docs)
+    got = centroid_langid.op9_centroid_langid(spark, str(tmp_path)).collect()
+    want = sorted((i, zlib.crc32(str(i).encode()) % 5 == 0, brute_language(model, t)[0] if t and any(map(str.isalpha, t)) else "und") for i, t, _ in rows)
+    assert sorted((r.doc_id, r.held_out, r.lang_pred) for r in got) == want and all(0 <= r.score <= 1 for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_code_and_base64_are_rejected(spark):
+    import base64
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    model = centroid_langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rng = random.Random(21)
+    with open(centroid_langid.__file__) as f:
+        code = f.read()
+    coded = base64.b64encode(bytes(rng.randrange(256) for _ in range(3000))).decode()
+    cyrillic = " ".join("".join(rng.choices("абвгдежзийклмнопрстуфхцчшщъыьэюя", k=6)) for _ in range(60))
+    verdicts = {name: model.predict([t])[0][2] for name, t in (("code", code), ("base64", coded), ("cyrillic", cyrillic))}
+    assert verdicts == {"code": True, "base64": True, "cyrillic": True}
+    kept = [r for _, _, r in model.predict([t for _, t, _ in rows])]
+    assert sum(kept) <= 0.02 * len(kept)
 
 
 def test_foreign_and_junk_texts_are_rejected(spark):
