@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -13,6 +14,11 @@ from pyspark.sql.types import StringType
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
+def strip(c: Column) -> Column:
+    """No white space at the ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def collapse_spaces(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(c, SPACES, " "))
@@ -54,16 +60,19 @@ def overlaps(query: Column, source: Column, threshold: int) -> Column:
     return F.when(F.length(q) < threshold, False).otherwise(F.exists(starts, lambda i: F.contains(s, F.substring(q, i, F.lit(threshold)))))
 
 
-#: The five basic entities, & last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+@F.pandas_udf(StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescape(c: Column) -> Column:
+    """Character references decoded, all of HTML's. Only texts that hold an ampersand go to Python."""
+    return F.coalesce(_unescape(F.when(F.contains(c, F.lit("&")), c)), c)
 
 
 def html_to_text(c: Column) -> Column:
-    """Text between tags with the basic entities decoded."""
-    out = F.regexp_replace(c, "<[^>]+>", "")
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return collapse_spaces(out)
+    """Text between tags, character references decoded."""
+    return unescape(F.regexp_replace(c, "<[^>]+>", ""))
 
 
 def heading_level(tag: Column) -> Column:
@@ -76,12 +85,13 @@ def page_of_box(box_id: Column) -> Column:
 
 
 def strip_bullet(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s*(?:[-*•]|\d+\.)\s+", "")
+    """A list item without its mark and blanks around: -, * or •, or a number with a dot."""
+    return strip(F.regexp_replace(c, r"^\s*(?:[-*•]|\d+\.)\s+", ""))
 
 
-def footnote_markup(c: Column) -> Column:
-    """Digits in brackets that follow a word become superscripts."""
-    return F.regexp_replace(c, r"(?<=\w)\[(\d{1,3})\]", "<sup>$1</sup>")
+def strip_marks(c: Column) -> Column:
+    """A line without any bullets and blanks before it."""
+    return strip(F.regexp_replace(c, r"^[\s\-·•*]+", ""))
 
 
 def label(c: Column, most: int = 60) -> Column:
@@ -96,3 +106,52 @@ def numbered(units: Column) -> Column:
 
 def render_prompt(template: Column, units: Column) -> Column:
     return F.replace(template, F.lit("{content}"), numbered(units))
+
+
+def parse_questions(raw: Column) -> Column:
+    """array<struct(sub_unit, question)> of a model's JSON answer {"questions": [...]}; null where it isn't valid JSON of that form. Items that lack a text or ask nothing fall away."""
+    answer = F.try_parse_json(raw)
+    items = F.try_variant_get(answer, "$.questions", "array<variant>")
+    read = lambda x, name: F.when(F.schema_of_variant(F.try_variant_get(x, f"$.{name}", "variant")) == "STRING", F.try_variant_get(x, f"$.{name}", "string"))
+    found = F.transform(items, lambda x: F.struct(read(x, "sub_unit").alias("sub_unit"), read(x, "question").alias("question")))
+    return F.filter(found, lambda q: q["sub_unit"].isNotNull() & (strip(q["question"]) != ""))
+
+
+def element_block(element_type: Column, page: Column, element_id: Column, content: Column, caption: Column, rows: Column, cols: Column) -> Column:
+    """An element as it is shown in review: a header by type, then what it holds."""
+    name = F.when(element_type == "heading", "Überschrift").when(element_type == "list_item", "Listpunkt").otherwise("Absatz")
+    table = F.format_string("[Tabelle, Seite %d, %d×%d, id=%s]\n%s\n(Drücke 't' für die volle Tabelle.)", page, F.coalesce(rows, F.lit(0)), F.coalesce(cols, F.lit(0)), element_id, content)
+    figure = F.format_string("[Abbildung, Seite %d, id=%s]\n%s\n(Bild kann im Terminal nicht angezeigt werden — siehe PDF Seite %d.)", page, element_id, F.coalesce(caption, F.lit("")), page)
+    return F.when(element_type == "table", table).when(element_type == "figure", figure).otherwise(F.format_string("[%s, Seite %d, id=%s]\n%s", name, page, element_id, content))
+
+
+def table_block(page: Column, element_id: Column, content: Column, full: Column, rows: Column, cols: Column) -> Column:
+    """A table in full, or its short form where that is all there is."""
+    return F.format_string("[Tabelle (voll), Seite %d, %d×%d, id=%s]\n%s", page, F.coalesce(rows, F.lit(0)), F.coalesce(cols, F.lit(0)), element_id, F.coalesce(full, content))
+
+
+def preview(c: Column, most: int = 120) -> Column:
+    """The first characters of a text, as printed in a listing."""
+    return F.substring(c, 1, most)
+
+
+def score_line(score: Column, chunk_id: Column) -> Column:
+    return F.format_string("%.3f %s", score, chunk_id)
+
+
+def quoted(c: Column) -> Column:
+    """A string inside single quotes of a filter expression."""
+    return F.replace(c, F.lit("'"), F.lit("''"))
+
+
+def compact_time(c: Column) -> Column:
+    return F.date_format(c, "yyyyMMdd'T'HHmmss")
+
+
+def iso_seconds(c: Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def iso_time(c: Column) -> Column:
+    """The time that an ISO 8601 text states, null if it states none."""
+    return F.try_to_timestamp(c)

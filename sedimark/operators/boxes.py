@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.functions import geometry as G
+from sedimark.functions import markup as M
+from sedimark.functions import text as T
 
+KINDS = ["heading", "paragraph", "table", "figure", "caption", "formula", "list_item", "auxiliary", "discard"]
 TEXT_KINDS = ["heading", "paragraph", "caption", "list_item", "auxiliary", "formula"]
 
 
@@ -36,15 +39,85 @@ def split_candidates(boxes: DataFrame, elements: DataFrame, least: float = 0.05)
     return hit.groupBy("page", "element_id").agg(F.count("*").alias("n_boxes")).where("n_boxes > 1")
 
 
-def captions(boxes: DataFrame) -> DataFrame:
-    """Each caption box's adjacent visual box: the best score, then the larger id."""
-    t = boxes.where("kind = 'caption'").select("page", F.col("box_id").alias("caption_id"), *(F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")))
-    v = boxes.where("kind in ('table', 'figure')").select("page", F.col("box_id").alias("visual_id"), *(F.col(c).alias(f"v_{c}") for c in ("x0", "y0", "x1", "y1")))
+def line_boxes(element: Column, lines: Column) -> Column:
+    """array<struct(x0, y0, x1, y1, text)>: an element's height dealt out evenly to its lines; null for fewer than two lines or no height."""
+    step = (element["y1"] - element["y0"]) / F.size(lines)
+    parts = F.transform(lines, lambda t, i: F.struct(element["x0"].alias("x0"), (element["y0"] + i * step).alias("y0"), element["x1"].alias("x1"), (element["y0"] + (i + 1) * step).alias("y1"), t.alias("text")))
+    return F.when((F.size(lines) >= 2) & (element["y1"] > element["y0"]), parts)
+
+
+def text_lines(text: Column) -> Column:
+    """Lines of a block's text; where there is one, its items by their bullets."""
+    clean = lambda pieces: F.filter(F.transform(pieces, T.strip), lambda x: x != "")
+    lines = clean(F.split(text, r"\n+"))
+    items = clean(F.split(text, r"(?:(?<=[.!?])\s+)?(?=[-·•]\s)"))
+    return F.when(F.size(lines) >= 2, lines).otherwise(items)
+
+
+def lines_of(elements: DataFrame) -> DataFrame:
+    """Elements (page, element_id, block_type, x0..y1, text, lines, blocks) as one row a line: by their own lines, else their parts, else their text.
+
+    ``lines`` and ``blocks`` are array<struct(x0, y0, x1, y1, text)>; entries
+    without a corner or a text don't count, and fewer than two are none.
+    """
+
+    def usable(c):
+        good = F.filter(c, lambda x: x["x0"].isNotNull() & x["y0"].isNotNull() & x["x1"].isNotNull() & x["y1"].isNotNull() & (T.strip(x["text"]) != ""))
+        return F.when(F.size(good) >= 2, F.transform(good, lambda x: F.struct(x["x0"].alias("x0"), x["y0"].alias("y0"), x["x1"].alias("x1"), x["y1"].alias("y1"), T.strip(x["text"]).alias("text"))))
+
+    parts = F.coalesce(usable(F.col("lines")), usable(F.col("blocks")), line_boxes(F.struct("x0", "y0", "x1", "y1"), text_lines(F.col("text"))))
+    return elements.select("page", "element_id", "block_type", F.posexplode(parts).alias("line", "p")).select("page", "element_id", "block_type", "line", "p.*")
+
+
+def split_elements(boxes: DataFrame, elements: DataFrame) -> DataFrame:
+    """``elements`` with each one that reaches into several text boxes replaced by its lines, where it has any; ``line`` is null for whole elements."""
+    found = split_candidates(boxes, elements).select("page", "element_id")
+    lines = lines_of(elements.join(found, ["page", "element_id"], "left_semi"))
+    whole = elements.join(lines.select("page", "element_id").distinct(), ["page", "element_id"], "left_anti").select("page", "element_id", "block_type", F.lit(None).cast("int").alias("line"), "x0", "y0", "x1", "y1", "text")
+    return whole.unionByName(lines.select(*whole.columns))
+
+
+def captions(boxes: DataFrame, filled: DataFrame, kinds: tuple[str, ...] = ("heading", "caption", "paragraph")) -> DataFrame:
+    """Each empty text box's adjacent visual box: the best score, then the larger id. ``filled`` has the (page, box_id) of boxes to which elements fell."""
+    marked = boxes.join(filled.select("page", "box_id").distinct().withColumn("filled", F.lit(True)), ["page", "box_id"], "left")
+    t = marked.where(F.col("filled").isNull() & F.col("kind").isin(*kinds)).select("page", F.col("box_id").alias("caption_id"), *(F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")))
+    v = marked.where(F.col("filled") & F.col("kind").isin("table", "figure")).select("page", F.col("box_id").alias("visual_id"), *(F.col(c).alias(f"v_{c}") for c in ("x0", "y0", "x1", "y1")))
     scored = t.join(v, "page").withColumn("score", G.adjacency(G.box("t_"), G.box("v_"))).where("score > 0")
-    best = F.row_number().over(Window.partitionBy("caption_id").orderBy(F.desc("score"), F.desc("visual_id")))
+    best = F.row_number().over(Window.partitionBy("page", "caption_id").orderBy(F.desc("score"), F.desc("visual_id")))
     return scored.withColumn("nth", best).where("nth = 1").select("page", "caption_id", "visual_id", F.round("score", 6).alias("score"))
 
 
+def rescue_captions(adjacent: DataFrame, order: DataFrame, parts: DataFrame) -> DataFrame:
+    """(page, caption_id, visual_id, part, caption, rest): captions moved out of the HTML of visual boxes.
+
+    Empty boxes come in reading order (``order``: page, box_id, reading_order), and
+    each takes what the ones before it have left of its visual box: the first of the
+    box's parts (``parts``: page, box_id, nth, html) that still holds a caption.
+    ``rest`` is that part's HTML without it; part is -1 where there was none. The
+    turns of one visual box are few: they are folded as an array.
+    """
+    turns = adjacent.join(order.select("page", F.col("box_id").alias("caption_id"), "reading_order"), ["page", "caption_id"])
+    turns = turns.groupBy("page", "visual_id").agg(F.sort_array(F.collect_list(F.struct("reading_order", "caption_id"))).alias("turns"))
+    html = parts.groupBy("page", F.col("box_id").alias("visual_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "html"))), lambda p: p["html"]).alias("html"))
+    start = F.struct(F.col("html"), F.array().cast("array<struct<caption_id:string,part:int,caption:string,rest:string>>").alias("out"))
+
+    def turn(state, t):
+        holds = F.filter(F.transform(state["html"], lambda h, i: F.when(M.caption(h).isNotNull(), i)), lambda i: i.isNotNull())
+        part = F.coalesce(F.get(holds, F.lit(0)), F.lit(-1))
+        found = M.caption(F.get(state["html"], part))
+        row = F.struct(t["caption_id"].alias("caption_id"), part.alias("part"), found["caption"].alias("caption"), found["rest"].alias("rest"))
+        return F.struct(F.transform(state["html"], lambda h, i: F.when(i == part, found["rest"]).otherwise(h)).alias("html"), F.array_append(state["out"], row).alias("out"))
+
+    folded = turns.join(html, ["page", "visual_id"]).withColumn("out", F.aggregate("turns", start, turn)["out"])
+    return folded.select("page", "visual_id", F.explode("out").alias("o")).select("page", "o.caption_id", "visual_id", "o.part", "o.caption", "o.rest")
+
+
+def diagnose(boxes: DataFrame, elements: DataFrame, most: int = 5) -> DataFrame:
+    """Each element's boxes that overlap it most."""
+    best = F.row_number().over(Window.partitionBy("page", "element_id").orderBy(F.desc("iou"), "box_id"))
+    return _pairs(boxes, elements).withColumn("rank", best).where(F.col("rank") <= most).select("page", "element_id", "rank", "box_id", F.round("iou", 4).alias("iou"))
+
+
 def links_down(boxes: DataFrame) -> DataFrame:
     """Each box's continuation: the top-most box of the next page that isn't discarded."""
     top = F.row_number().over(Window.partitionBy("page").orderBy("y0", "reading_order"))
@@ -70,9 +143,16 @@ def replace_pages(boxes: DataFrame, new: DataFrame, first: int, last: int) -> Da
     return boxes.where(~inside).unionByName(new.where(inside).select(*boxes.columns))
 
 
-def merge_by_key(old: DataFrame, new: DataFrame, key: str = "box_id") -> DataFrame:
-    """Rows of ``new`` in place of rows with the same key, the others behind them."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new.select(*old.columns))
+def merge_by_key(old: DataFrame, new: DataFrame, key: str = "box_id", order: str = "ord") -> DataFrame:
+    """Rows of ``new`` in the places of rows with the same key, the others behind all; of equal keys in ``new`` the last counts. ``order`` is a place, and comes out as struct(new, at)."""
+    by_place = Window.partitionBy(key)
+    last = new.withColumn("nth", F.row_number().over(by_place.orderBy(F.desc(order)))).withColumn("first", F.min(order).over(by_place)).where("nth = 1")
+    there = old.groupBy(key).agg(F.min(order).alias("there"))
+    values = [c for c in old.columns if c not in (key, order)]
+    place = lambda is_new, at: F.struct(F.lit(is_new).alias("new"), F.col(at).alias("at"))
+    came = last.join(there, key, "left").select(key, F.when(F.col("there").isNotNull(), place(0, "there")).otherwise(place(1, "first")).alias(order), *values)
+    stayed = old.join(new.select(key).distinct(), key, "left_anti").select(key, place(0, order).alias(order), *values)
+    return stayed.unionByName(came)
 
 
 def visible(boxes: DataFrame, overrides: DataFrame, default: float = 0.7) -> DataFrame:
@@ -82,7 +162,7 @@ def visible(boxes: DataFrame, overrides: DataFrame, default: float = 0.7) -> Dat
 
 
 def counts(boxes: DataFrame) -> DataFrame:
-    return boxes.groupBy("page").agg(F.count_if(F.col("kind") != "discard").alias("n_boxes"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("heading", "paragraph", "table", "figure")))
+    return boxes.groupBy("page").agg(F.count_if(F.col("kind") != "discard").alias("n_boxes"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS))
 
 
 def zones(boxes: DataFrame, width: float = 612.0, height: float = 792.0) -> DataFrame:

@@ -2,20 +2,82 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.functions.geometry import cosine
+from sedimark.operators.scratch import written
+
+
+#: Vectors in one block.
+BLOCK = 1024
+
+
+def vector_blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(grp, first, ids, vectors, centre, radius) of ``rows`` (id, grp, vector): at most ``size`` vectors of one group, like ones together.
+
+    ``vectors`` are brought to length 1 (null ones stay 0) and held as bytes; no
+    vector of a block is farther from ``centre`` than ``radius`` (an angle).
+    """
+    rows = rows.select(F.col("id").cast("long"), F.col("grp").cast("string"), F.col("vector").cast("array<double>"))
+
+    def code(batches):
+        signs = None
+        for batch in batches:
+            vectors = batch.column(2).to_pylist()
+            codes = []
+            for v in vectors:
+                if signs is None or signs.shape[1] != len(v):
+                    signs = np.random.default_rng(7).normal(size=(30, len(v)))
+                codes.append(int("".join("1" if x > 0 else "0" for x in signs @ np.asarray(v)), 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int64())], ["id", "grp", "vector", "code"])
+
+    def block(batches):
+        held: list[tuple] = []
+
+        def close():
+            m = np.array([v for _, _, v in held])
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            centre = m.mean(0)
+            centre /= max(np.linalg.norm(centre), 1e-300)
+            radius = float(np.arccos(np.clip(m @ centre, -1, 1)).max())
+            row = [[held[0][1]], [held[0][0]], [[i for i, _, _ in held]], [m.tobytes()], [centre.tobytes()], [radius]]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.float64()], strict=True)], ["grp", "first", "ids", "vectors", "centre", "radius"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if held and (held[-1][1] != row[1] or len(held) == size or len(held[-1][2]) != len(row[2])):
+                    yield close()
+                held.append(row)
+        if held:
+            yield close()
+
+    dealt = rows.mapInArrow(code, "id long, grp string, vector array<double>, code long").repartitionByRange("grp", "code", "id").sortWithinPartitions("grp", "code", "id")
+    return dealt.mapInArrow(block, "grp string, first long, ids array<long>, vectors binary, centre binary, radius double")
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """The k nearest of ``corpus`` (doc, vector) for each of ``queries`` (query, vector): exact, by rounded cosine, ties by doc.
+    """The k nearest of ``corpus`` (doc, vector) for each of ``queries`` (query, vector), itself left out: exact, by rounded cosine, ties by doc.
 
-    The queries are a stated set of known size and go to every task; the corpus
-    is scanned once and only k rows a query and task are shuffled.
+    Blocks of queries meet blocks of the corpus in matrix products, and of each
+    pair of blocks only k rows a query leave the task. Which side is sent to all
+    tasks, if any, is for Spark to say by its size.
     """
-    scored = corpus.crossJoin(F.broadcast(queries.select("query", F.col("vector").alias("q")))).select("query", "doc", F.round(cosine(F.col("q"), F.col("vector")), 6).alias("score"))
-    return top_k(scored, k)
+    q = vector_blocks(queries.select(F.col("query").alias("id"), F.lit("").alias("grp"), "vector")).select(F.col("ids").alias("queries"), F.col("vectors").alias("asked"))
+    c = vector_blocks(corpus.select(F.col("doc").alias("id"), F.lit("").alias("grp"), "vector")).select("ids", "vectors")
+
+    def run(batches):
+        for batch in batches:
+            for asked_ids, asked, ids, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = np.frombuffer(asked).reshape(len(asked_ids), -1), np.frombuffer(vectors).reshape(len(ids), -1)
+                scores, ids = np.round(x @ y.T, 6), np.array(ids)
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, : k + 1]
+                found = [(i, int(ids[j]), float(scores[n, j])) for n, i in enumerate(asked_ids) for j in order[n] if ids[j] != i]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 3, [pa.int64(), pa.int64(), pa.float64()], strict=True)], ["query", "doc", "score"])
+
+    return top_k(q.crossJoin(c).mapInArrow(run, "query long, doc long, score double"), k)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -28,16 +90,44 @@ def words(c: Column) -> Column:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 over ``docs`` (doc, text) for ``queries`` (query, text). Postings are filtered to the queries' words before they are shuffled."""
+    """Okapi BM25 over ``docs`` (doc, text) for ``queries`` (query, text).
+
+    Texts are cut into words once. Words that no query has fall away before
+    anything is shuffled; each document's row for the empty word carries its length
+    to the corpus's number of documents and mean length.
+    """
     terms = queries.select("query", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    sized = docs.select("doc", words(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    shape = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
-    asked = F.broadcast(terms.select("word").distinct())  # bounded by the stated queries
-    tf = sized.select("doc", "len", F.explode("w").alias("word")).join(asked, "word").groupBy("doc", "len", "word").agg(F.count("*").alias("tf"))
+    asked = terms.select("word").union(docs.sparkSession.createDataFrame([("",)], "word string")).distinct()
+    sized = docs.select("doc", words(F.col("text")).alias("w")).select("doc", F.size("w").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("word"))
+    counts = written(sized.join(asked, "word", "left_semi").groupBy("doc", "len", "word").agg(F.count("*").alias("tf")), "postings")
+    shape = counts.where("word = ''").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
+    tf = counts.where("word <> ''")
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = tf.join(df, "word").join(terms, "word").crossJoin(F.broadcast(shape)).groupBy("query", "doc").agg(F.round(F.sum(weight), 6).alias("score"))
-    return top_k(scored, k)
+    weighed = tf.join(df, "word").crossJoin(F.broadcast(shape)).select("doc", "word", weight.alias("weight"))
+    return top_k(weighed.join(terms, "word").groupBy("query", "doc").agg(F.round(F.sum("weight"), 6).alias("score")), k)
+
+
+def hybrid(queries: DataFrame, docs: DataFrame, k: int, depth: int = 10, where: Column | None = None) -> DataFrame:
+    """Text and vector search in one: ``queries`` (query, text, vector) against ``docs`` (doc, text, vector, ...) that pass ``where``, both lists of ``depth`` fused by rank."""
+    asked = docs if where is None else docs.where(where)
+    found = queries.select("query", "text"), asked.select("doc", "text")
+    # ids of queries and documents are of different kinds: none is left out of the vector list as itself
+    near = knn(queries.select((-1 - F.col("query")).alias("query"), "vector"), asked.select("doc", "vector"), depth)
+    return fuse([bm25(*found, depth), near.withColumn("query", -1 - F.col("query"))], k)
+
+
+def reranked(hits: DataFrame, rerank: DataFrame, k: int) -> DataFrame:
+    """Hits (query, doc, score) by a second score (query, doc, rerank) where they have one."""
+    both = hits.join(rerank, ["query", "doc"], "left").select("query", "doc", F.coalesce("rerank", "score").alias("score"))
+    return top_k(both, k)
+
+
+def contexts(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query, context, citations): each query's documents in the order of their ranks as one text, and the map of their scores."""
+    j = hits.join(docs.select("doc", "text"), "doc").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "doc", "score", "text"))).alias("h"))
+    cited = F.map_from_entries(F.transform("h", lambda x: F.struct(x["doc"], x["score"])))
+    return j.select("query", F.array_join(F.transform("h", lambda x: F.concat(F.lit("["), x["doc"], F.lit("] "), x["text"])), "\n").alias("context"), cited.alias("citations"))
 
 
 def fuse(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -77,34 +167,97 @@ def first_ranks(expected: Column, retrieved: Column) -> Column:
     return F.transform(expected, lambda x: F.when(F.array_contains(retrieved, x), F.array_position(retrieved, x)).otherwise(F.lit(-1).cast("long")))
 
 
-def p95(c: Column) -> Column:
-    """The value at the floor of 0.95 * (n - 1)."""
-    values = F.sort_array(F.collect_list(c))
-    return F.get(values, F.floor(0.95 * (F.size(values) - 1)).cast("int"))
+def ranked_metrics(hits: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Metrics of each query from the ranks of its hits, (query, rank) rows, and its number of relevant documents, (query, n_expected). No list of relevant documents is held."""
+    ranks = hits.groupBy("query").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
+    j = sizes.join(ranks, "query", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
+    n = F.col("n_expected")
 
+    def recall_at(k: int) -> Column:
+        return F.when(n == 0, 0.0).otherwise(F.size(F.filter("ranks", lambda r: r <= k)) / n).alias(f"recall_{k}")
 
-def size_status(n: Column) -> Column:
-    return F.when(n < 30, "indicative").when(n < 100, "preliminary").otherwise("reportable")
+    precision = F.aggregate(F.transform("ranks", lambda r, i: (i + 1).cast("double") / r), F.lit(0.0), lambda s, x: s + x)
+    first = F.get("ranks", F.lit(0))
+    return j.select("query", "n_expected", *map(recall_at, (5, 10, 20)), F.coalesce((first == 1).cast("double"), F.lit(0.0)).alias("hit_1"), F.coalesce(1.0 / first, F.lit(0.0)).alias("mrr"), F.when(n == 0, 0.0).otherwise(precision / n).alias("ap"))
+
+
+def p95(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, p95): the value at the floor of 0.95 * (n - 1) in order. Values are counted first, so what a window sorts is the distinct ones."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(by).orderBy(value))
+    total = F.sum("n").over(Window.partitionBy(by))
+    reached = counts.select(by, value, upto.alias("upto"), total.alias("total")).where(F.col("upto") > F.floor(0.95 * (F.col("total") - 1)))
+    return reached.groupBy(by).agg(F.min(value).alias("p95"))
+
+
+def drift_warning(drifted: Column, n: Column) -> Column:
+    """Whether so many entries have drifted that an evaluation may mislead."""
+    return drifted > F.greatest(F.lit(1), F.floor(n / 10))
 
 
-def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of one label whose vectors (id, label, vector) are alike."""
-    x = rows.select(F.col("id").alias("a"), "label", F.col("vector").alias("va"))
-    y = rows.select(F.col("id").alias("b"), "label", F.col("vector").alias("vb"))
-    return x.join(y, "label").where("a < b").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("score")).where(F.col("score") >= threshold)
+#: Metadata by which two runs are comparable.
+RUN_KEYS = ["embedding_deployment_name", "embedding_model_version", "azure_openai_api_version", "search_index_name"]
 
 
-def greedy_unlike(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows (id, label, vector) kept when, in the order of id within their label, none kept before is as alike as ``threshold``. Groups are one source's questions, which are few."""
-    import numpy as np
+def run_differences(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(key, a, b) of the metadata in which two runs (one row each) differ."""
+    keys = keys or RUN_KEYS
+    one, two = (x.select(*(F.col(k).cast("string").alias(k) for k in keys)).unpivot([], keys, "key", name) for x, name in ((a, "a"), (b, "b")))
+    return one.join(two, "key").where(~F.col("a").eqNullSafe(F.col("b")))
 
-    def keep(pdf):
-        kept, out = [], []
-        for i, v in pdf.sort_values("id")[["id", "vector"]].itertuples(index=False):
-            v = np.asarray(v, float) / max(np.linalg.norm(v), 1e-12)
-            if not kept or (np.stack(kept) @ v).max() < threshold:
-                kept.append(v)
-                out.append(i)
-        return pdf[pdf["id"].isin(out)][["id", "label"]]
 
-    return rows.groupBy("label").applyInPandas(keep, "id long, label int")
+def size_status(n: Column) -> Column:
+    return F.when(n < 30, "indicative").when(n < 100, "preliminary").otherwise("reportable")
+
+
+def near_pairs(rows: DataFrame, threshold: float, others: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, score) of one label whose vectors (id, label, vector) are alike: a < b in ``rows``, or a in ``others`` and b in ``rows``.
+
+    Exact, in blocks: pairs of blocks whose centres are too far apart for their
+    radii are passed over, the others are one matrix product each.
+    """
+    blocks = written(vector_blocks(rows.select("id", F.col("label").alias("grp"), "vector")), "blocks")
+    against = blocks if others is None else vector_blocks(others.select("id", F.col("label").alias("grp"), "vector"))
+    y = against.select("grp", *(F.col(c).alias(f"{c}_b") for c in ("first", "ids", "vectors", "centre", "radius")))
+    pairs, within = blocks.join(y, "grp"), others is None
+    if within:
+        pairs = pairs.where("first <= first_b")
+
+    def run(batches):
+        for batch in batches:
+            found: list[tuple] = []
+            for first, first_b, ids, ids_b, m, m_b, c, c_b, r, r_b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                apart = np.arccos(np.clip(np.frombuffer(c) @ np.frombuffer(c_b), -1, 1)) - r - r_b
+                if apart > 0 and np.cos(min(apart, np.pi)) < threshold - 1e-6:
+                    continue
+                scores = np.round(np.frombuffer(m).reshape(len(ids), -1) @ np.frombuffer(m_b).reshape(len(ids_b), -1).T, 6)
+                for i, j in zip(*np.nonzero(scores >= threshold), strict=True):
+                    x, y = ids[i], ids_b[j]
+                    if not within:
+                        found.append((y, x, float(scores[i, j])))
+                    elif first != first_b or x < y:
+                        found.append((min(x, y), max(x, y), float(scores[i, j])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 3, [pa.int64(), pa.int64(), pa.float64()], strict=True)], ["a", "b", "score"])
+
+    return pairs.select("first", "first_b", "ids", "ids_b", "vectors", "vectors_b", "centre", "centre_b", "radius", "radius_b").mapInArrow(run, "a long, b long, score double")
+
+
+def greedy_unlike(rows: DataFrame, threshold: float, baseline: DataFrame | None = None) -> DataFrame:
+    """Rows (id, label, vector) kept when, in the order of id within their label, neither the baseline nor any kept before is as alike as ``threshold``.
+
+    The pairs that are alike are found in blocks; only these are gone through. In
+    each round the rows that no undecided earlier row is like are kept and what is
+    like them goes, so rounds are as many as the longest chain of such rows.
+    """
+    if baseline is not None:
+        known = near_pairs(rows, threshold, baseline).select(F.col("b").alias("id")).distinct()
+        rows = written(rows.join(known, "id", "left_anti"), "unlike")
+    edges = written(near_pairs(rows, threshold).select("a", "b"), "alike")
+    gone = edges.select(F.col("b").alias("id")).limit(0)
+    while not edges.isEmpty():
+        free = edges.select(F.col("a").alias("id")).distinct().join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+        now = written(edges.join(free.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct(), "gone")
+        gone = gone.unionByName(now)
+        left = edges.join(now.withColumnRenamed("id", "a"), "a", "left_anti").join(now.withColumnRenamed("id", "b"), "b", "left_anti")
+        edges = written(left.join(free.withColumnRenamed("id", "a"), "a", "left_anti").select("a", "b"), "alike")
+    return rows.join(gone, "id", "left_anti").select("id", "label")

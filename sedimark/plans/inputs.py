@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,75 +44,65 @@ state AS (SELECT entry_id, max(CASE WHEN ord = born THEN event_id END) AS create
 
 
 def boxes(spark, sf_dir) -> DataFrame:
-    """The line items of the SQL below as boxes on 100 pages."""
-    return _boxes(table(spark, sf_dir, "lineitem").where("l_orderkey <= 1000"), F.col("l_orderkey") % 100 + 1)
-
-
-def all_boxes(spark, sf_dir) -> DataFrame:
     """All line items as boxes: ten orders' keys a page, so that pages stay small and their number grows with the table."""
-    return _boxes(table(spark, sf_dir, "lineitem"), F.floor(F.col("l_orderkey") / 10) + 1)
-
-
-def _boxes(li: DataFrame, page) -> DataFrame:
-    rows = li.select(
-        page.alias("page"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.floor(F.col("l_orderkey") / 10) + 1).alias("page"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         ((F.col("l_partkey") * 37) % 400).cast("double").alias("x0"), ((F.col("l_suppkey") * 53 + F.col("l_linenumber") * 97) % 680).cast("double").alias("y0"),
         (((F.col("l_partkey") * 37) % 400) + 80 + F.col("l_partkey") % 100).cast("double").alias("x1"), (((F.col("l_suppkey") * 53 + F.col("l_linenumber") * 97) % 680) + 30 + 10 * F.col("l_linenumber")).cast("double").alias("y1"),
         F.coalesce(F.get(F.array(*(F.lit(k) for k in ("heading", "paragraph", "table", "figure", "caption", "list_item"))), (F.col("l_linenumber") - 1).cast("int")), F.lit("discard")).alias("kind"),
-        F.round(1 - 5 * F.col("l_discount"), 2).alias("confidence"),
+        F.round(1 - 5 * F.col("l_discount"), 2).alias("confidence"), (F.col("l_partkey") % 17 == 0).alias("manually_activated"),
     )
-    from pyspark.sql import Window
-
-    order = F.row_number().over(Window.partitionBy("page").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) - 1
+    order = F.row_number().over(Window.partitionBy("page").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x1", "confidence")) - 1
     rows = rows.withColumn("reading_order", order)
-    return rows.select("page", F.concat(F.lit("p"), F.col("page"), F.lit("-b"), F.col("reading_order")).alias("box_id"), "kind", "x0", "y0", "x1", "y1", "confidence", "reading_order", F.lit(False).alias("manually_activated"))
+    return rows.select("page", F.concat(F.lit("p"), F.col("page"), F.lit("-b"), F.col("reading_order")).alias("box_id"), "kind", "x0", "y0", "x1", "y1", "confidence", "reading_order", "manually_activated")
 
 
-BOXES = """r AS (SELECT l_orderkey % 100 + 1 AS page, CAST((l_partkey * 37) % 400 AS DOUBLE) AS x0, CAST((l_suppkey * 53 + l_linenumber * 97) % 680 AS DOUBLE) AS y0,
+BOXES = """r AS (SELECT l_orderkey // 10 + 1 AS page, CAST((l_partkey * 37) % 400 AS DOUBLE) AS x0, CAST((l_suppkey * 53 + l_linenumber * 97) % 680 AS DOUBLE) AS y0,
   CAST((l_partkey * 37) % 400 + 80 + l_partkey % 100 AS DOUBLE) AS x1, CAST((l_suppkey * 53 + l_linenumber * 97) % 680 + 30 + 10 * l_linenumber AS DOUBLE) AS y1,
-  coalesce(list_extract(['heading', 'paragraph', 'table', 'figure', 'caption', 'list_item'], l_linenumber), 'discard') AS kind, round(1 - 5 * l_discount, 2) AS confidence,
-  row_number() OVER (PARTITION BY l_orderkey % 100 + 1 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS reading_order FROM lineitem WHERE l_orderkey <= 1000),
+  coalesce(list_extract(['heading', 'paragraph', 'table', 'figure', 'caption', 'list_item'], l_linenumber), 'discard') AS kind, round(1 - 5 * l_discount, 2) AS confidence, l_partkey % 17 = 0 AS manually_activated,
+  row_number() OVER (PARTITION BY l_orderkey // 10 + 1 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 100, round(1 - 5 * l_discount, 2)) - 1 AS reading_order FROM lineitem),
 boxes AS (SELECT *, 'p' || page || '-b' || reading_order AS box_id FROM r)"""
 
 
 def elements(spark, sf_dir) -> DataFrame:
-    """Orders as extracted elements on the same pages."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 4000")
+    """All orders as extracted elements on the same pages, with one to four lines of text each."""
+    o = table(spark, sf_dir, "orders")
     x0, y0 = (F.col("o_custkey") * 41) % 400, (F.col("o_orderkey") * 29) % 680
     kind = F.get(F.array(*(F.lit(k) for k in ("title", "text", "table", "image", "list"))), F.substring("o_orderpriority", 1, 1).cast("int") - 1)
-    return o.select((F.col("o_orderkey") % 100 + 1).alias("page"), F.col("o_orderkey").alias("element_id"), kind.alias("block_type"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 90).cast("double").alias("x1"), (y0 + 50).cast("double").alias("y1"))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("o_orderkey") % 4 + 1).cast("int")), lambda i: F.concat(F.lit("line "), i, F.lit(" of order "), F.col("o_orderkey"))), "\n")
+    no_parts = F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>")
+    return o.select((F.floor(F.col("o_orderkey") / 10) + 1).alias("page"), F.col("o_orderkey").alias("element_id"), kind.alias("block_type"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 90).cast("double").alias("x1"), (y0 + 50).cast("double").alias("y1"), text.alias("text"), no_parts.alias("lines"), no_parts.alias("blocks"))
 
 
-ELEMENTS = """elements AS (SELECT o_orderkey % 100 + 1 AS page, o_orderkey AS element_id, list_extract(['title', 'text', 'table', 'image', 'list'], CAST(substr(o_orderpriority, 1, 1) AS INT)) AS block_type,
-  CAST((o_custkey * 41) % 400 AS DOUBLE) AS x0, CAST((o_orderkey * 29) % 680 AS DOUBLE) AS y0, CAST((o_custkey * 41) % 400 + 90 AS DOUBLE) AS x1, CAST((o_orderkey * 29) % 680 + 50 AS DOUBLE) AS y1 FROM orders WHERE o_orderkey <= 4000),
+ELEMENTS = """elements AS (SELECT o_orderkey // 10 + 1 AS page, o_orderkey AS element_id, list_extract(['title', 'text', 'table', 'image', 'list'], CAST(substr(o_orderpriority, 1, 1) AS INT)) AS block_type,
+  CAST((o_custkey * 41) % 400 AS DOUBLE) AS x0, CAST((o_orderkey * 29) % 680 AS DOUBLE) AS y0, CAST((o_custkey * 41) % 400 + 90 AS DOUBLE) AS x1, CAST((o_orderkey * 29) % 680 + 50 AS DOUBLE) AS y1 FROM orders),
 j0 AS (SELECT b.page, b.box_id, b.kind, b.reading_order, e.element_id, e.block_type, greatest(least(b.x1, e.x1) - greatest(b.x0, e.x0), 0) * greatest(least(b.y1, e.y1) - greatest(b.y0, e.y0), 0) AS i,
   (b.x1 - b.x0) * (b.y1 - b.y0) AS ab, (e.x1 - e.x0) * (e.y1 - e.y0) AS ae, (e.x0 + e.x1) / 2 BETWEEN b.x0 AND b.x1 AND (e.y0 + e.y1) / 2 BETWEEN b.y0 AND b.y1 AS inside FROM boxes b JOIN elements e USING (page)),
 j AS (SELECT *, CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE i / (ab + ae - i) END AS iou FROM j0)"""
 
-#: Vectors with a smaller id are the queries.
-QUERIES = 50
-
 
 def vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The queries, which are all vectors whose id is divisible by 50, and all vectors."""
     e = table(spark, sf_dir, "embeddings")
-    queries = e.where(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"), "label")
-    return queries, e.where(F.col("vec_id") >= QUERIES).select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"), "label")
+    queries = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"), "label")
+    return queries, e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"), "label")
 
 
 VECTORS = """s AS (SELECT q.vec_id AS query, c.vec_id AS doc, round(
     list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) /
     (sqrt(list_sum(list_transform(q.embedding, lambda z: z::DOUBLE * z::DOUBLE))) * sqrt(list_sum(list_transform(c.embedding, lambda z: z::DOUBLE * z::DOUBLE)))), 6) AS score
-  FROM embeddings q JOIN embeddings c ON q.vec_id < 50 AND c.vec_id >= 50),
+  FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s),
 knn AS (SELECT * FROM k WHERE rank <= 20),
-rel AS (SELECT q.vec_id AS query, c.vec_id AS doc FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id < 50 AND c.vec_id >= 50 AND c.vec_id < 150),
-h AS (SELECT q.vec_id AS query, knn.rank, row_number() OVER (PARTITION BY q.vec_id ORDER BY knn.rank) AS nth FROM embeddings q JOIN knn ON knn.query = q.vec_id JOIN rel ON rel.query = knn.query AND rel.doc = knn.doc WHERE q.vec_id < 50),
+rel AS (SELECT q.vec_id AS query, c.vec_id AS doc FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+h AS (SELECT knn.query, knn.rank, row_number() OVER (PARTITION BY knn.query ORDER BY knn.rank) AS nth FROM knn JOIN rel ON rel.query = knn.query AND rel.doc = knn.doc),
 c AS (SELECT query, count(*) AS n FROM rel GROUP BY 1),
 per_query AS (SELECT q.vec_id AS query, coalesce(max(c.n), 0) AS n_expected,
   coalesce(count(*) FILTER (WHERE h.rank <= 5) / max(c.n), 0.0) AS recall_5, coalesce(count(*) FILTER (WHERE h.rank <= 10) / max(c.n), 0.0) AS recall_10, coalesce(count(h.rank) / max(c.n), 0.0) AS recall_20,
   max(CASE WHEN h.rank = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit_1, coalesce(1.0::DOUBLE / min(h.rank), 0.0) AS mrr, coalesce(sum(h.nth::DOUBLE / h.rank) / max(c.n), 0.0) AS ap
-  FROM embeddings q LEFT JOIN c ON c.query = q.vec_id LEFT JOIN h ON h.query = q.vec_id WHERE q.vec_id < 50 GROUP BY 1)"""
+  FROM embeddings q LEFT JOIN c ON c.query = q.vec_id LEFT JOIN h ON h.query = q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1)"""
 
 
 def lexical_queries(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.substring("text", 1, 60).alias("text"))
+    """Whole benchmark texts."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")

@@ -1,79 +1,73 @@
-"""Queries over the plain tables and, beside each, the SQL that gives the same rows."""
+"""Queries of retrieval, chunks, events and streams. Those of boxes and text are in modules of their own, which ``QUERIES`` takes in."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.functions import geometry as G
 from sedimark.functions import text as T
-from sedimark.operators import boxes as B
 from sedimark.operators import chunks as C
+from sedimark.operators import curation as Cu
 from sedimark.operators import events as E
+from sedimark.operators import models
 from sedimark.operators import retrieval as R
+from sedimark.operators.scratch import written
 from sedimark.plans import inputs as I
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from sedimark.plans.registry import ORACLES, QUERIES, query
+from sedimark.streaming import events as S
 
 # --- retrieval and its evaluation
 
 
-def _runs(spark, sf_dir, k: int = 20) -> DataFrame:
-    """(query, expected, retrieved) of the vector queries."""
+def _found(spark, sf_dir, k: int = 20):
+    """(ranked, sizes): the (query, doc, rank, relevant) of the vector queries, where vectors of the same label are relevant, and each query's number of these."""
     queries, corpus = I.vectors(spark, sf_dir)
-    found = R.knn(queries, corpus, k).groupBy("query").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]).alias("retrieved"))
-    wanted = queries.select("query", "label").join(corpus.where("doc < 150").select("doc", "label"), "label").groupBy("query").agg(F.sort_array(F.collect_set("doc")).alias("expected"))
-    return queries.select("query").join(found, "query", "left").join(wanted, "query", "left").select("query", F.coalesce("expected", F.array().cast("array<bigint>")).alias("expected"), F.coalesce("retrieved", F.array().cast("array<bigint>")).alias("retrieved"))
+    labels = corpus.select("doc", F.col("label").alias("doc_label"))
+    ranked = R.knn(queries, corpus, k).select("query", "doc", "rank").join(queries.select("query", "label"), "query").join(labels, "doc")
+    ranked = ranked.select("query", "doc", "rank", (F.col("label") == F.col("doc_label")).alias("relevant"))
+    size = corpus.groupBy("label").agg(F.count("*").alias("n"))
+    sizes = queries.select("query", "label").join(size, "label").select("query", (F.col("n") - 1).alias("n_expected"))
+    return ranked, sizes
 
 
 @query(f"WITH {I.VECTORS} SELECT query, doc, score, rank FROM knn")
 def knn_cosine_topk(spark, sf_dir):
-    """Exact 20 nearest vectors of the stated queries."""
+    """Exact 20 nearest vectors of every fiftieth one."""
     return R.knn(*I.vectors(spark, sf_dir), 20).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _metrics(runs: DataFrame) -> DataFrame:
-    e, r = F.col("expected"), F.col("retrieved")
-    return runs.select("query", F.size(e).cast("long").alias("n_expected"), *(R.recall(e, r, k).alias(f"recall_{k}") for k in (5, 10, 20)), R.hit_rate(e, r, 1).alias("hit_1"), R.reciprocal_rank(e, r).alias("mrr"), R.average_precision(e, r).alias("ap"))
+def _metrics(spark, sf_dir) -> DataFrame:
+    ranked, sizes = _found(spark, sf_dir)
+    return R.ranked_metrics(ranked.where("relevant").select("query", "rank"), sizes)
 
 
 @query(f"WITH {I.VECTORS} SELECT query, n_expected, round(recall_5, 6) AS recall_5, round(recall_10, 6) AS recall_10, round(recall_20, 6) AS recall_20, hit_1, round(mrr, 6) AS mrr, round(ap, 6) AS ap FROM per_query")
 def ir_metrics_per_query(spark, sf_dir):
-    m = _metrics(_runs(spark, sf_dir))
+    m = _metrics(spark, sf_dir)
     return m.select("query", "n_expected", *(F.round(c, 6).alias(c) for c in ("recall_5", "recall_10", "recall_20")), "hit_1", F.round("mrr", 6).alias("mrr"), F.round("ap", 6).alias("ap"))
 
 
 @query(f"""WITH {I.VECTORS} SELECT count(*) AS n, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(recall_20), 6) AS recall_20, round(avg(hit_1), 6) AS hit_1, round(avg(mrr), 6) AS mrr, round(avg(ap), 6) AS map,
   CASE WHEN count(*) < 30 THEN 'indicative' WHEN count(*) < 100 THEN 'preliminary' ELSE 'reportable' END AS status FROM per_query""")
 def ir_metrics_aggregate(spark, sf_dir):
-    m = _metrics(_runs(spark, sf_dir))
     means = [F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias("map" if c == "ap" else c) for c in ("recall_5", "recall_10", "recall_20", "hit_1", "mrr", "ap")]
-    return m.agg(F.count("*").alias("n"), *means, R.size_status(F.count("*")).alias("status"))
+    return _metrics(spark, sf_dir).agg(F.count("*").alias("n"), *means, R.size_status(F.count("*")).alias("status"))
 
 
 @query(f"WITH {I.VECTORS} SELECT rel.query, rel.doc, coalesce(knn.rank, -1) AS rank, knn.rank IS NOT NULL AS hit FROM rel LEFT JOIN knn ON rel.query = knn.query AND rel.doc = knn.doc")
 def ir_ranks_hits(spark, sf_dir):
-    runs = _runs(spark, sf_dir)
-    pairs = F.arrays_zip(F.col("expected").alias("doc"), R.first_ranks(F.col("expected"), F.col("retrieved")).alias("rank"))
-    return runs.select("query", F.explode(pairs).alias("p")).select("query", "p.doc", "p.rank", (F.col("p.rank") > 0).alias("hit"))
+    """Each relevant vector of each query with its rank, or -1."""
+    queries, corpus = I.vectors(spark, sf_dir)
+    ranked = R.knn(queries, corpus, 20).select("query", "doc", "rank")
+    wanted = queries.select("query", "label").join(corpus.select("doc", "label"), "label").where("query <> doc").select("query", "doc")
+    return wanted.join(ranked, ["query", "doc"], "left").select("query", "doc", F.coalesce("rank", F.lit(-1)).cast("long").alias("rank"), F.col("rank").isNotNull().alias("hit"))
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(floor(0.95 * (count(value) - 1)) AS BIGINT) + 1] AS p95, count(*) FILTER (WHERE value < 0) AS failures FROM events GROUP BY 1""")
 def ir_latency_p95(spark, sf_dir):
     e = I.table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), R.p95(F.col("value")).alias("p95"), F.count_if(F.col("value") < 0).alias("failures"))
+    means = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.count_if(F.col("value") < 0).alias("failures"))
+    return means.join(R.p95(e, "event_type", "value"), "event_type", "left")
 
 
 @query(f"""WITH {I.VECTORS}, a AS (SELECT unnest(['recall', 'mrr', 'map']) AS metric, unnest([avg(recall_10), avg(CASE WHEN mrr >= 0.1 THEN mrr ELSE 0 END), avg(ap10)]) AS a, unnest([avg(recall_20), avg(mrr), avg(ap)]) AS b
@@ -81,56 +75,107 @@ def ir_latency_p95(spark, sf_dir):
 SELECT metric, round(a, 6) AS a, round(b, 6) AS b, round(b - a, 6) AS delta FROM a""")
 def ir_report_compare(spark, sf_dir):
     """Two runs, cut at 10 and at 20, metric by metric."""
-    runs = _runs(spark, sf_dir)
-    e, r = F.col("expected"), F.col("retrieved")
+    ranked, sizes = _found(spark, sf_dir)
+    hits = written(ranked.where("relevant").select("query", "rank"), "hits")
 
     def report(k, name):
-        cut = F.slice(r, 1, k)
-        row = runs.agg(F.avg(R.recall(e, r, k)).alias("recall"), F.avg(R.reciprocal_rank(e, cut)).alias("mrr"), F.avg(R.average_precision(e, cut)).alias("map"))
-        return row.unpivot([], ["recall", "mrr", "map"], "metric", name)
+        m = R.ranked_metrics(hits.where(F.col("rank") <= k), sizes).agg(F.avg(f"recall_{k}").alias("recall"), F.avg("mrr").alias("mrr"), F.avg("ap").alias("map"))
+        return m.unpivot([], ["recall", "mrr", "map"], "metric", name)
 
     both = report(10, "a").join(report(20, "b"), "metric", "full")
     return both.select("metric", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.col("b") - F.col("a"), 6).alias("delta"))
 
 
-@query("""WITH p AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) /
+PAIRS = """p AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) /
   (sqrt(list_sum(list_transform(x.embedding, lambda z: z::DOUBLE * z::DOUBLE))) * sqrt(list_sum(list_transform(y.embedding, lambda z: z::DOUBLE * z::DOUBLE)))), 6) AS score
-  FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) SELECT * FROM p WHERE score >= 0.45""")
+  FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id)"""
+
+
+def _vectors(spark, sf_dir):
+    return I.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+
+
+@query(f"WITH {PAIRS} SELECT * FROM p WHERE score >= 0.45")
 def near_dup_pairs(spark, sf_dir):
-    e = I.table(spark, sf_dir, "embeddings")
-    return R.near_pairs(e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector")), 0.45)
+    return R.near_pairs(_vectors(spark, sf_dir), 0.45)
 
 
-@query()
+def _greedy_sql(nodes: str, least: float) -> str:
+    return f"""nodes AS ({nodes}), e AS (SELECT a, b FROM p WHERE score >= {least} AND a IN (SELECT vec_id FROM nodes) AND b IN (SELECT vec_id FROM nodes)),
+n AS (SELECT b AS id, row_number() OVER (ORDER BY b) AS i, list(a) AS before FROM e GROUP BY b),
+g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL
+  SELECT n.i, CASE WHEN len(list_filter(n.before, lambda x: NOT list_contains(g.gone, x))) > 0 THEN list_append(g.gone, n.id) ELSE g.gone END FROM g JOIN n ON n.i = g.i + 1)
+SELECT vec_id AS id, label FROM nodes WHERE NOT list_contains((SELECT gone FROM g ORDER BY i DESC LIMIT 1), vec_id)"""
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {_greedy_sql('SELECT vec_id, label FROM embeddings', 0.45)}")
 def near_dup_greedy(spark, sf_dir):
-    e = I.table(spark, sf_dir, "embeddings")
-    return R.greedy_unlike(e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector")), 0.45)
+    return R.greedy_unlike(_vectors(spark, sf_dir), 0.45)
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {_greedy_sql('SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 1 AND vec_id NOT IN (SELECT CASE WHEN a % 2 = 1 THEN a ELSE b END FROM p WHERE score >= 0.35 AND a % 2 <> b % 2)', 0.35)}")
+def near_dup_baseline(spark, sf_dir):
+    """Vectors with odd ids against those with even ones as a baseline, then among themselves."""
+    v = _vectors(spark, sf_dir)
+    return R.greedy_unlike(v.where("id % 2 = 1"), 0.35, v.where("id % 2 = 0"))
+
 
+WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
 
-BM25 = """q AS (SELECT item_id AS query, unnest(list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 60)), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS word FROM benchmark),
-d AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),
-shape AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+
+def _bm25_sql(where: str = "true") -> str:
+    return f"""q AS (SELECT item_id AS query, unnest(list_distinct({WORDS})) AS word FROM benchmark),
+d AS (SELECT doc_id AS doc, {WORDS} AS w FROM documents WHERE {where}),
+shape AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d WHERE w IS NOT NULL),
 tf AS (SELECT doc, len, word, count(*) AS tf FROM (SELECT doc, len(w) AS len, unnest(w) AS word FROM d) SEMI JOIN q USING (word) GROUP BY ALL),
 df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 6) AS score FROM tf JOIN df USING (word) JOIN q USING (word), shape GROUP BY 1, 2),
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10)"""
 
 
-@query(f"WITH {BM25} SELECT query, doc, round(score, 4) AS score FROM lex")
+LETTERS = "list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '), lambda x: (length(lower(text)) - length(replace(lower(text), x, '')))::DOUBLE)"
+HYBRID = f"""{_bm25_sql("lang = 'en'")},
+qv AS (SELECT item_id AS query, {LETTERS} AS v FROM benchmark), dv AS (SELECT doc_id AS doc, {LETTERS} AS v FROM documents WHERE lang = 'en'),
+cs AS (SELECT query, doc, round(coalesce(list_dot_product(q.v, d.v) / nullif(sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v)), 0), 0), 6) AS score FROM qv q, dv d),
+vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM cs) WHERE rank <= 10),
+f AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query, doc, rank FROM lex UNION ALL SELECT query, doc, rank FROM vec) GROUP BY 1, 2),
+hyb AS (SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM f) WHERE rank <= 5)"""
+
+
+def _documents(spark, sf_dir):
+    return I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "lang", models.letters(F.col("text")).alias("vector"))
+
+
+def _hybrid(spark, sf_dir):
+    queries = I.lexical_queries(spark, sf_dir).withColumn("vector", models.letters(F.col("text")))
+    return R.hybrid(queries, _documents(spark, sf_dir), 5, where=F.col("lang") == "en")
+
+
+@query(f"WITH {_bm25_sql()} SELECT query, doc, round(score, 4) AS score FROM lex")
 def bm25_topk(spark, sf_dir):
     docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
     return R.bm25(I.lexical_queries(spark, sf_dir), docs, 10).select("query", "doc", F.round("score", 4).alias("score"))
 
 
-@query(f"""WITH {BM25}, alt AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY doc DESC) AS rank FROM lex),
-f AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query, doc, rank FROM lex UNION ALL SELECT query, doc, rank FROM alt) GROUP BY 1, 2)
-SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM f) WHERE rank <= 5""")
+@query(f"WITH {HYBRID} SELECT query, doc, score, rank FROM hyb")
 def hybrid_rrf(spark, sf_dir):
-    """Reciprocal-rank fusion of the lexical list with the same documents, newest first."""
-    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    lex = R.bm25(I.lexical_queries(spark, sf_dir), docs, 10)
-    newest = lex.select("query", "doc").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("doc"))))
-    return R.fuse([lex, newest], 5).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
+    """Text and vector search over the English documents, fused by rank."""
+    return _hybrid(spark, sf_dir).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {HYBRID}, r AS (SELECT h.query, h.doc, CASE WHEN d.doc_id % 2 = 0 THEN round(d.n_chars / 1000.0, 3) ELSE h.score END AS score FROM hyb h JOIN documents d ON d.doc_id = h.doc) SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM r")
+def search_reranked(spark, sf_dir):
+    """Hits by a second score where they have one (here the length of documents with even ids)."""
+    second = I.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("doc"), F.round(F.col("n_chars") / 1000, 3).alias("rerank"))
+    hits = _hybrid(spark, sf_dir)
+    return R.reranked(hits, hits.select("query", "doc").join(second, "doc"), 5).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {HYBRID} SELECT query, sha256(string_agg('[' || doc || '] ' || text, chr(10) ORDER BY rank)) AS context_sha256, count(*) AS n_cited FROM hyb JOIN documents ON doc_id = doc GROUP BY 1")
+def search_context(spark, sf_dir):
+    """What a completion would be given: each query's hits as one text, and their scores as citations."""
+    c = R.contexts(_hybrid(spark, sf_dir), _documents(spark, sf_dir))
+    return c.select("query", F.sha2("context", 256).alias("context_sha256"), F.size("citations").cast("long").alias("n_cited"))
 
 
 # --- paragraphs and chunks
@@ -163,20 +208,58 @@ def element_ids(spark, sf_dir):
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "element_id", T.bare_element_id(F.col("element_id")).alias("bare_id"))
 
 
-@query(f"""WITH {I.PARAGRAPHS}, {I.GOLDEN}, n AS (SELECT entry_id % 200 AS doc_id, count(*) AS n FROM state WHERE NOT deprecated GROUP BY 1)
-SELECT p.doc_id, p.idx, coalesce(n.n, 0) AS n_entries FROM paragraphs p LEFT JOIN n ON p.doc_id = n.doc_id AND p.idx = 0 WHERE p.idx < 3""")
+SOURCED = f"""{I.PARAGRAPHS}, {I.GOLDEN}, el AS (SELECT doc_id, idx, 'p' || (idx // 5 + 1) || '-' || substr(sha256(content), 1, 8) AS element_id, substr(sha256(content), 1, 8) AS bare_id, content FROM paragraphs WHERE content <> ''),
+dn AS (SELECT doc_id, count(*) AS n FROM el GROUP BY 1), nth AS (SELECT doc_id, bare_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS k FROM el),
+entries AS (SELECT s.entry_id, s.deprecated, dn.doc_id, nth.bare_id, 'question ' || s.entry_id AS query FROM state s JOIN dn ON dn.doc_id = s.entry_id % (SELECT max(doc_id) + 1 FROM documents) JOIN nth ON nth.doc_id = dn.doc_id AND nth.k = s.created_event % dn.n)"""
+
+
+def _sourced(spark, sf_dir):
+    """(elements, entries): all elements, and the entries of the golden log, each of which names an element of the document that its id falls to."""
+    rows = I.paragraphs(spark, sf_dir).where("content <> ''").withColumn("element_id", T.element_id(F.floor(F.col("idx") / 5) + 1, F.col("content"))).withColumn("bare_id", T.bare_element_id(F.col("element_id")))
+    in_order = Window.partitionBy("doc_id")
+    place = rows.select("doc_id", "bare_id", (F.row_number().over(in_order.orderBy("idx")) - 1).alias("k"), F.count("*").over(in_order).alias("n"))
+    last = I.table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("docs"))  # one row
+    state = E.fold(I.golden_events(spark, sf_dir)).crossJoin(F.broadcast(last)).withColumn("doc_id", F.col("entry_id") % F.col("docs"))
+    entries = state.join(place, "doc_id").where(F.col("created_event") % F.col("n") == F.col("k"))
+    return rows, entries.select("entry_id", "deprecated", "doc_id", "bare_id", F.concat(F.lit("question "), "entry_id").alias("query"))
+
+
+@query(f"""WITH {SOURCED}, n AS (SELECT doc_id, bare_id, count(*) AS n FROM entries WHERE NOT deprecated GROUP BY 1, 2)
+SELECT el.doc_id, el.idx, coalesce(n.n, 0) AS n_entries FROM el LEFT JOIN n USING (doc_id, bare_id)""")
 def entries_per_element(spark, sf_dir):
-    """Elements with the number of active entries that point at them."""
-    n = E.active(E.fold(I.golden_events(spark, sf_dir))).groupBy((F.col("entry_id") % 200).alias("doc_id"), F.lit(0).alias("idx")).agg(F.count("*").alias("n"))
-    return I.paragraphs(spark, sf_dir).where("idx < 3").join(n, ["doc_id", "idx"], "left").select("doc_id", F.col("idx").cast("long").alias("idx"), F.coalesce("n", F.lit(0)).alias("n_entries"))
+    """All elements with the number of active entries that name them."""
+    elements, entries = _sourced(spark, sf_dir)
+    n = entries.where("not deprecated").groupBy("doc_id", "bare_id").agg(F.count("*").alias("n"))
+    return elements.join(n, ["doc_id", "bare_id"], "left").select("doc_id", F.col("idx").cast("long").alias("idx"), F.coalesce("n", F.lit(0)).alias("n_entries"))
 
 
-@query(f"WITH {CHUNKS} SELECT DISTINCT doc_id AS entry_id FROM chunks WHERE doc_id % 7 = 0")
+@query(f"""WITH {SOURCED}, own AS (SELECT doc_id, bare_id, string_agg(entry_id || ':' || query, ',' ORDER BY entry_id::VARCHAR) AS q FROM entries WHERE NOT deprecated GROUP BY 1, 2)
+SELECT el.doc_id, el.idx, el.element_id, own.q AS entries FROM el JOIN own USING (doc_id, bare_id)""")
+def element_detail(spark, sf_dir):
+    """Elements that entries name, with these."""
+    elements, entries = _sourced(spark, sf_dir)
+    own = lambda df: df.withColumn("slug", F.col("doc_id").cast("string"))
+    d = Cu.element_detail(own(elements), own(entries).withColumn("entry_id", F.col("entry_id").cast("string"))).where(F.size("entries") > 0)
+    said = F.array_join(F.transform("entries", lambda e: F.concat(e["entry_id"], F.lit(":"), e["query"])), ",")
+    return d.select("doc_id", F.col("idx").cast("long").alias("idx"), "element_id", said.alias("entries"))
+
+
+@query(f"WITH {SOURCED} SELECT entry_id, doc_id, deprecated FROM entries WHERE doc_id % 3 = 0 AND NOT deprecated UNION ALL SELECT entry_id, doc_id, deprecated FROM entries WHERE doc_id % 3 = 1")
+def entries_listing(spark, sf_dir):
+    """Entries by document: of a third of the documents the active ones, of another third all."""
+    _, entries = _sourced(spark, sf_dir)
+    e = entries.withColumn("slug", F.concat(F.lit("third-"), F.col("doc_id") % 3))
+    return Cu.listing(e, slug="third-0").unionByName(Cu.listing(e, slug="third-1", with_deprecated=True)).select("entry_id", "doc_id", "deprecated")
+
+
+@query(f"""WITH {CHUNKS}, h AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN chunk_id || '-gone' ELSE chunk_id END AS chunk_id, 'sha256:' || sha256(chunk) || CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '' END AS hash FROM chunks)
+SELECT DISTINCT h.doc_id AS entry_id FROM h LEFT JOIN chunks c USING (chunk_id) WHERE c.chunk_id IS NULL OR 'sha256:' || sha256(c.chunk) <> h.hash""")
 def drift_check(spark, sf_dir):
-    """Entries that hold their document's chunk hashes, spoilt in every seventh document."""
+    """Entries that hold their document's chunk hashes, spoilt in every seventh document and for chunks that are gone in every eleventh."""
     chunks = C.section_chunks(I.paragraphs(spark, sf_dir))
     h = F.concat(T.content_hash(F.col("chunk")), F.when(F.col("doc_id") % 7 == 0, "x").otherwise(""))
-    entries = chunks.groupBy(F.col("doc_id").alias("entry_id")).agg(F.map_from_entries(F.collect_list(F.struct("chunk_id", h))).alias("chunk_hashes"))
+    at = F.concat("chunk_id", F.when(F.col("doc_id") % 11 == 0, "-gone").otherwise(""))
+    entries = chunks.groupBy(F.col("doc_id").alias("entry_id")).agg(F.map_from_entries(F.collect_list(F.struct(at, h))).alias("chunk_hashes"))
     return C.drifted(entries, chunks)
 
 
@@ -232,144 +315,80 @@ def refine_chain(spark, sf_dir):
     return E.refine(E.fold(g), asked)
 
 
-# --- page boxes
-
-GEOMETRY = f"WITH {I.BOXES}, {I.ELEMENTS}"
-KIND_FACTOR = """CASE WHEN kind = 'table' THEN CASE WHEN block_type = 'table' THEN 1.5 ELSE 0 END WHEN kind = 'figure' THEN CASE WHEN block_type = 'image' THEN 1.5 ELSE 0 END
-  WHEN kind = 'discard' THEN 1 WHEN block_type IN ('table', 'image') THEN 0 WHEN kind = 'heading' AND block_type = 'title' THEN 1.5 WHEN kind = 'list_item' AND block_type = 'list' THEN 1.5 ELSE 1 END"""
+ACTOR = '{"kind": "human", "pseudonym": "a", "level": "phd"}'
+REQUESTS = f"""{I.GOLDEN}, asked AS (SELECT DISTINCT user_id * 3 AS entry_id FROM events), r AS (SELECT a.entry_id, CASE WHEN s.entry_id IS NULL THEN 'NotFound' WHEN s.deprecated THEN 'Deprecated' END AS error, 'log-' || (a.entry_id % 2) AS slug, s.entry_id IS NOT NULL AS known FROM asked a LEFT JOIN state s USING (entry_id))"""
 
 
-@query(f"{GEOMETRY} SELECT page, box_id, element_id, round(iou, 6) AS iou FROM j WHERE iou > 0.3 OR inside")
-def box_iou_join(spark, sf_dir):
-    return B.matches(I.boxes(spark, sf_dir), I.elements(spark, sf_dir))
+def _requests(spark, sf_dir):
+    state = E.fold(I.golden_events(spark, sf_dir)).select(F.col("entry_id").cast("string").alias("entry_id"), "deprecated", F.concat(F.lit("log-"), F.col("entry_id") % 2).alias("slug"))
+    asked = I.table(spark, sf_dir, "events").select((F.col("user_id") * 3).cast("string").alias("entry_id")).distinct()
+    return state, asked.withColumn("query", F.concat(F.lit("new "), "entry_id")).withColumn("chunk_hashes", F.create_map().cast("map<string,string>")).withColumn("reason", F.lit("refined"))
 
 
-@query(f"""{GEOMETRY}, sc AS (SELECT *, (CASE WHEN inside THEN greatest(iou, 0.31) ELSE iou END)::DOUBLE * ({KIND_FACTOR})::DOUBLE AS score FROM j)
-SELECT page, element_id, box_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY page, element_id ORDER BY score DESC, reading_order) AS nth FROM sc WHERE score >= 0.3) WHERE nth = 1""")
-def box_assign_best(spark, sf_dir):
-    return B.assign(I.boxes(spark, sf_dir), I.elements(spark, sf_dir))
+@query(f"""WITH {REQUESTS} SELECT entry_id::VARCHAR AS asked, CASE WHEN known THEN slug END AS slug, error, 'created' AS event_type, entry_id::VARCHAR AS refines, NULL AS reason, true AS is_new FROM r WHERE error IS NULL
+UNION ALL SELECT entry_id::VARCHAR, slug, NULL, 'deprecated', NULL, 'refined', false FROM r WHERE error IS NULL UNION ALL SELECT entry_id::VARCHAR, CASE WHEN known THEN slug END, error, NULL, NULL, NULL, NULL FROM r WHERE error IS NOT NULL""")
+def refine_requests(spark, sf_dir):
+    """Requests by entry id over several logs: two events with one time each, or an error."""
+    e = Cu.refine(*_requests(spark, sf_dir), ACTOR, "2026-01-01T00:00:00Z")
+    return e.select("asked", "slug", "error", "event_type", F.get_json_object("payload", "$.entry_data.refines").alias("refines"), F.get_json_object("payload", "$.reason").alias("reason"), (F.col("entry_id") != F.col("asked")).alias("is_new"))
 
 
-@query(f"""{GEOMETRY} SELECT page, element_id, count(*) AS n_boxes FROM j WHERE kind IN ('heading', 'paragraph', 'caption', 'list_item') AND block_type IN ('text', 'list', 'title') AND (iou > 0.05 OR inside) GROUP BY 1, 2 HAVING count(*) > 1""")
-def box_split_prepass(spark, sf_dir):
-    return B.split_candidates(I.boxes(spark, sf_dir), I.elements(spark, sf_dir))
-
-
-@query(f"""WITH {I.BOXES}, p AS (SELECT t.page, t.box_id AS caption_id, v.box_id AS visual_id, greatest(least(t.x1, v.x1) - greatest(t.x0, v.x0), 0) / greatest(t.x1 - t.x0, 1) AS share, greatest(v.y0 - t.y1, t.y0 - v.y1, 0) AS gap
-  FROM boxes t JOIN boxes v ON t.page = v.page AND t.kind = 'caption' AND v.kind IN ('table', 'figure'))
-SELECT page, caption_id, visual_id, round(1 / (1 + gap), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY caption_id ORDER BY gap, visual_id DESC) AS nth FROM p WHERE share >= 0.3 AND gap <= 50) WHERE nth = 1""")
-def caption_adjacency(spark, sf_dir):
-    return B.captions(I.boxes(spark, sf_dir))
-
-
-@query()
-def box_rows(spark, sf_dir):
-    """Visual rows of all boxes that aren't discarded."""
-    return B.visual_rows(I.all_boxes(spark, sf_dir).where("kind <> 'discard'"))
+@query(f"WITH {REQUESTS} SELECT entry_id::VARCHAR AS asked, CASE WHEN known THEN slug END AS slug, error, CASE WHEN error IS NULL THEN 'deprecated' END AS event_type, CASE WHEN error IS NULL THEN entry_id::VARCHAR END AS entry_id FROM r")
+def deprecate_requests(spark, sf_dir):
+    e = Cu.deprecate(*_requests(spark, sf_dir), ACTOR, "2026-01-01T00:00:00Z")
+    return e.select("asked", "slug", "error", "event_type", "entry_id")
 
 
-@query(f"""WITH {I.BOXES}, v AS (SELECT * FROM boxes WHERE kind <> 'discard'), top AS (SELECT page, arg_min(box_id, y0 * 100000 + reading_order) AS b FROM v GROUP BY 1), low AS (SELECT page, arg_max(box_id, y1 * 100000 - reading_order) AS b FROM v GROUP BY 1)
-SELECT v.page, v.box_id, top.b AS continues_to, low.b AS continues_from FROM v LEFT JOIN top ON top.page = v.page + 1 LEFT JOIN low ON low.page = v.page - 1""")
-def box_links(spark, sf_dir):
-    b = I.boxes(spark, sf_dir)
-    return b.where("kind <> 'discard'").select("page", "box_id").join(B.links_down(b), ["page", "box_id"], "left").join(B.links_up(b), ["page", "box_id"], "left")
-
-
-@query(f"WITH {I.BOXES} SELECT page, reading_order // 3 AS part, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(confidence) AS confidence, arg_min(kind, reading_order) AS kind, min(reading_order) AS first_order FROM boxes GROUP BY 1, 2")
-def box_merge_union(spark, sf_dir):
-    rows = I.boxes(spark, sf_dir).withColumn("part", F.floor(F.col("reading_order") / 3))
-    return B.merged(rows, ["page", "part"]).withColumn("first_order", F.col("first_order").cast("long"))
-
-
-@query(f"WITH {I.BOXES} SELECT page, box_id, CASE WHEN page BETWEEN 10 AND 20 THEN 'paragraph' ELSE kind END AS kind FROM boxes WHERE page NOT BETWEEN 10 AND 20 OR confidence >= 0.8")
-def box_page_merge(spark, sf_dir):
-    b = I.boxes(spark, sf_dir).select("page", "box_id", "kind", "confidence")
-    return B.replace_pages(b, b.where("confidence >= 0.8").withColumn("kind", F.lit("paragraph")), 10, 20).select("page", "box_id", "kind")
-
-
-@query(f"WITH {I.BOXES} SELECT page, box_id FROM boxes WHERE kind <> 'discard' AND confidence >= CASE WHEN page % 10 = 0 THEN 0.9 ELSE 0.7 END")
-def visible_boxes(spark, sf_dir):
-    b = I.boxes(spark, sf_dir)
-    own = b.select("page").distinct().where("page % 10 = 0").withColumn("threshold", F.lit(0.9))
-    return B.visible(b, own).select("page", "box_id")
-
-
-@query(f"WITH {I.BOXES} SELECT page, count(*) FILTER (WHERE kind <> 'discard') AS n_boxes, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("heading", "paragraph", "table", "figure")) + " FROM boxes GROUP BY 1")
-def box_status_counts(spark, sf_dir):
-    return B.counts(I.boxes(spark, sf_dir))
-
-
-@query(f"""WITH {I.BOXES} SELECT page, box_id, CASE WHEN y1 <= 0.08 * 792 THEN 'header' WHEN y0 >= 0.92 * 792 THEN 'footer' ELSE 'body' END AS zone,
-  CASE WHEN (x0 + x1) / 2 / 612 < 0.4 THEN 'left' WHEN (x0 + x1) / 2 / 612 > 0.6 THEN 'right' ELSE 'center' END AS alignment FROM boxes""")
-def aux_zones(spark, sf_dir):
-    return B.zones(I.boxes(spark, sf_dir))
-
-
-# --- text
-
-
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[\s\x1c-\x1f]+', ' ', 'g')) AS text FROM pages""")
-def html_to_text(spark, sf_dir):
-    return I.table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
-
-
-@query(r"SELECT page_id, list_extract(regexp_extract_all(html, '<(h[1-6]|p)\b', 1), 1) AS tag, CASE WHEN list_extract(regexp_extract_all(html, '<(h[1-6]|p)\b', 1), 1) LIKE 'h%' THEN CAST(substr(list_extract(regexp_extract_all(html, '<(h[1-6]|p)\b', 1), 1), 2, 1) AS INT) ELSE 1 END AS level FROM pages")
-def html_headings(spark, sf_dir):
-    tag = F.get(F.regexp_extract_all("html", F.lit(r"<(h[1-6]|p)\b"), 1), 0)
-    return I.table(spark, sf_dir, "pages").select("page_id", tag.alias("tag"), T.heading_level(tag).alias("level"))
-
-
-@query(r"SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
-def slug_url(spark, sf_dir):
-    return I.table(spark, sf_dir, "part").select("p_partkey", T.slug_url(F.concat("p_name", F.lit(".pdf"))).alias("slug"))
-
-
-@query()
-def slug_ascii(spark, sf_dir):
-    return I.table(spark, sf_dir, "documents").select("doc_id", T.slug_ascii(F.col("text")).alias("slug"))
+# --- curation and streams in their batch form
 
 
-@query()
-def footnote_markup(spark, sf_dir):
-    return I.table(spark, sf_dir, "nation").select("n_nationkey", T.footnote_markup(F.concat("n_name", F.lit("["), "n_nationkey", F.lit("]"))).alias("marked"))
+@query("""WITH a AS (SELECT conv_id AS curator, turn AS place, length(text) % 20 AS s FROM conversations)
+SELECT curator, place, 'src' || s AS slug FROM a WHERE s % 2 = 0""")
+def curator_visibility(spark, sf_dir):
+    """Assigned documents that are open for curation, in the order of assignment."""
+    c = I.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("curator"), F.col("turn").alias("place"), F.concat(F.lit("src"), F.length("text") % 20).alias("slug"))
+    meta = spark.range(20).select(F.concat(F.lit("src"), "id").alias("slug"), F.when(F.col("id") % 2 == 0, "open-for-curation").otherwise("raw").alias("status"))
+    return c.join(F.broadcast(meta.where("status = 'open-for-curation'").select("slug")), "slug").select("curator", "place", "slug")
 
 
-@query("""SELECT doc_id, CASE WHEN role_len <= 30 THEN head ELSE substr(head, 1, 29) || '…' END AS label FROM (SELECT doc_id, string_split(text, chr(10))[1] AS head, length(string_split(text, chr(10))[1]) AS role_len FROM documents)""")
-def short_label(spark, sf_dir):
-    return I.table(spark, sf_dir, "documents").select("doc_id", T.label(F.get(F.split("text", "\n"), 0), 30).alias("label"))
+ASSIGNED = """a AS (SELECT conv_id, turn, 'src' || (length(text) % 20) AS slug FROM conversations), f AS (SELECT conv_id, slug, min(turn) AS first_turn FROM a GROUP BY 1, 2)"""
 
 
-@query(r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:3] AS u FROM documents)
-SELECT doc_id, 'Ask about:' || chr(10) || array_to_string(list_transform(u, lambda x, i: (i - 1) || '. ' || x), chr(10)) AS prompt FROM l""")
-def prompt_render(spark, sf_dir):
-    units = F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 3)
-    return I.table(spark, sf_dir, "documents").select("doc_id", T.render_prompt(F.lit("Ask about:\n{content}"), units).alias("prompt"))
+@query(f"WITH {ASSIGNED} SELECT 'c' || conv_id AS curator_id, string_agg(slug, ',' ORDER BY first_turn) FILTER (WHERE slug <> 'src3') AS slugs FROM f GROUP BY 1")
+def curator_assign(spark, sf_dir):
+    """Assignments turn by turn, each document once in the order of its first, and one document taken back."""
+    c = I.table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("curator_id"), "turn", F.concat(F.lit("src"), F.length("text") % 20).alias("slug"))
+    people = c.groupBy("curator_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("turn", "slug"))), lambda x: x["slug"])).alias("assigned_slugs"))
+    again = Cu.assign(people, c.where("turn = 0").select("curator_id", "slug"))  # what is there already changes nothing
+    less = Cu.assign(again, people.select("curator_id", F.lit("src3").alias("slug")), remove=True)
+    return less.select("curator_id", F.nullif(F.array_join("assigned_slugs", ","), F.lit("")).alias("slugs"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def llm_parse(spark, sf_dir):
-    """Fields of a model's JSON answer; null where it isn't valid."""
-    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
-    return I.table(spark, sf_dir, "events").select("event_id", k.alias("k"))
+@query("SELECT 't' || conv_id AS token, CASE WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN 'curator' ELSE 'admin' END AS role, CASE WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN 'c' || conv_id END AS curator_id FROM (SELECT DISTINCT conv_id FROM conversations) WHERE (conv_id % 3 = 0 AND conv_id % 2 = 0) OR conv_id = 1")
+def identity_lookup(spark, sf_dir):
+    """Tokens by their hashes: of active curators, and the administrator's."""
+    ids = I.table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    people = ids.where("conv_id % 3 = 0").select(F.sha2(F.concat(F.lit("t"), "conv_id"), 256).alias("token_sha256"), F.concat(F.lit("c"), "conv_id").alias("curator_id"), (F.col("conv_id") % 2 == 0).alias("active"))
+    return Cu.identities(ids.select(F.concat(F.lit("t"), "conv_id").alias("token")), people, "t1")
 
 
-# --- curation and streams in their batch form
+@query("SELECT page_id FROM pages WHERE contains(lower(url), 'example.com/fr') OR contains(lower(regexp_replace(url, '[^a-z]', '', 'g')), 'example.com/fr')")
+def inbox_filter(spark, sf_dir):
+    p = I.table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("filename"), F.lower(F.regexp_replace("url", "[^a-z]", "")).alias("slug"))
+    return Cu.inbox(p, "example.COM/fr").select("page_id")
 
 
-@query("""WITH a AS (SELECT conv_id AS curator, turn AS place, length(text) % 20 AS s FROM conversations)
-SELECT curator, place, 'src' || s AS slug FROM a WHERE s % 2 = 0""")
-def curator_visibility(spark, sf_dir):
-    """Assigned documents that are open for curation, in the order of assignment."""
-    c = I.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("curator"), F.col("turn").alias("place"), F.concat(F.lit("src"), F.length("text") % 20).alias("slug"))
-    meta = spark.range(20).select(F.concat(F.lit("src"), "id").alias("slug"), F.when(F.col("id") % 2 == 0, "open-for-curation").otherwise("raw").alias("status"))
-    return c.join(F.broadcast(meta.where("status = 'open-for-curation'").select("slug")), "slug").select("curator", "place", "slug")
+#: Event types of the table as those of a worker; a click is of no known type.
+WORKER = {"signup": "model-loading", "view": "work-progress", "purchase": "work-complete", "error": "work-failed"}
 
 
-@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS stage, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS n_errors FROM events GROUP BY 1")
+@query("""WITH k AS (SELECT *, CASE event_type WHEN 'signup' THEN 'loading' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS to_stage FROM events)
+SELECT user_id, coalesce(arg_max(to_stage, (ts, event_id)) FILTER (WHERE to_stage IS NOT NULL), 'idle') AS stage, count(to_stage) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS n_errors FROM k GROUP BY 1""")
 def stream_reduce(spark, sf_dir):
-    """Each job's state after its last event, and its timeline's length."""
-    e = I.table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("stage"), F.count("*").alias("n_events"), F.count_if(F.col("event_type") == "error").alias("n_errors"))
+    """Each job's stage after its last event of a known type, in batch form."""
+    names = F.create_map(*(F.lit(x) for pair in WORKER.items() for x in pair))
+    e = I.table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.coalesce(F.try_element_at(names, F.col("event_type")), F.col("event_type")).alias("type"), F.struct("ts", "event_id").alias("at"))
+    return S.last_stages(e).select(F.col("job").alias("user_id"), "stage", "n_events", "n_errors")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -383,3 +402,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 def ext_session(spark, sf_dir):
     e = I.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+# the other queries register themselves
+from sedimark.plans import box_queries, flow_queries, text_queries  # noqa: E402, F401

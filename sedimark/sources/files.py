@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from sedimark.functions import text as T
 from sedimark.functions import validation as V
+from sedimark.functions.text import strip
 from sedimark.operators.chunks import element_type, without_noise
 
 EVENT = "event_id string, timestamp_utc string, event_type string, entry_id string, schema_version string, payload string"
@@ -29,11 +30,6 @@ MIDDLE = f"pdf_info array<struct<page_size:array<double>,para_blocks:array<{BLOC
 
 #: Fixed value: the size of a page that doesn't state its own.
 PAGE_SIZE = (612.0, 792.0)
-ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
-
-
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, ENDS, "")
 
 
 def slug_of(path: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,23 +21,61 @@ def read_lines(spark: SparkSession, path: str, schema: str, files_a_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).json(path)
 
 
+#: Parts of a log, by the hash of event ids.
+PARTS = 256
+
+
 def ingest(events: DataFrame, log: str, checkpoint: str):
     """Append a stream of events (event_id, entry_id, ...) to the Parquet log, each id once.
 
-    A batch is checked against the ids in the log, so a batch that runs again
+    The log is partitioned by the hash of ids, and a batch is checked against the
+    ids of the parts that it touches and no others. So a batch that runs again
     after a failure adds nothing, and no state is kept by the query.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["event_id"])
-        spark.createDataFrame([], batch.schema).write.mode("append").parquet(log)
-        fresh = fresh.join(spark.read.schema(batch.schema).parquet(log).select("event_id"), "event_id", "left_anti")
-        fresh.select(*batch.columns).write.mode("append").parquet(log)
+        fresh = batch.dropDuplicates(["event_id"]).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(PARTS)).cast("int"))
+        touched = [r.part for r in fresh.select("part").distinct().collect()]  # PARTS at most
+        try:
+            there = spark.read.schema(fresh.schema).parquet(log).where(F.col("part").isin(touched)).select("event_id")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+                raise
+        else:
+            fresh = fresh.join(there, "event_id", "left_anti")
+        fresh.select(*batch.columns, "part").write.mode("append").partitionBy("part").parquet(log)
 
     return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def process(rows: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
+    """Put a stream of elements (slug, element_id, ...) through ``work``, batch by batch.
+
+    ``out`` gets a line for each batch's start, for each row of ``work`` (slug,
+    element_id, kept, skipped) and for its end: complete, or the error, after which
+    the query fails with it.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+
+        def tell(kind: str, text: str | None = None) -> None:
+            told = spark.createDataFrame([(number, kind, text)], "batch long, type string, message string")
+            told.selectExpr("batch", "type", "cast(null as string) as slug", "cast(null as string) as element_id", "cast(null as long) as kept", "message").write.mode("append").parquet(out)
+
+        tell("start")
+        try:
+            done = work(batch).selectExpr(f"{number}L as batch", "'element' as type", "slug", "element_id", "cast(kept as long) as kept", "skipped as message")
+            done.write.mode("append").parquet(out)
+        except Exception as e:
+            tell("error", str(e)[:500])
+            raise
+        tell("complete")
+
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def refold(log: DataFrame, touched: DataFrame) -> DataFrame:
     """The state of the entries in ``touched``, from all their events: late ones find their place, as the fold sorts first."""
     return fold(log.join(touched.select("entry_id").distinct(), "entry_id", "left_semi"))
@@ -72,6 +111,14 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job").applyInPandasWithState(step, out, kept, "update", "NoTimeout")
 
 
+def last_stages(events: DataFrame) -> DataFrame:
+    """(job, stage, n_events, n_errors) of events (job, type, at) in batch form: the stage of the last known type by ``at``; 'idle' and no events where no type is known."""
+    stages = F.create_map(*(F.lit(x) for pair in STAGES.items() for x in pair))
+    rows = events.withColumn("stage", F.try_element_at(stages, F.col("type")))
+    last = F.max_by(F.col("stage"), F.when(F.col("stage").isNotNull(), F.col("at")))
+    return rows.groupBy("job").agg(F.coalesce(last, F.lit("idle")).alias("stage"), F.count("stage").alias("n_events"), F.count_if(F.col("type") == "work-failed").alias("n_errors"))
+
+
 def tumbling(events: DataFrame, length: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """An extension: counts a window and type; events later than ``late`` are dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")

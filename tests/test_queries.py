@@ -1,9 +1,13 @@
 """Every query with SQL against DuckDB at the smallest scale; the others by their properties."""
 
+import hashlib
 import math
+import random
+import re
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from sedimark.operators import retrieval as R
@@ -44,13 +48,17 @@ def test_query_matches_sql(spark, tables, name):
 
 @needs_data
 def test_queries_without_sql(spark):
-    assert Q.seeded_sample(spark, SF).count() == 100
+    assert Q.QUERIES["seeded_sample"](spark, SF).count() == 100
     kept = {r.id for r in Q.near_dup_greedy(spark, SF).collect()}
     assert kept and all(r.a not in kept or r.b not in kept for r in Q.near_dup_pairs(spark, SF).collect())
-    places = [(r.page, r.row, r.place) for r in Q.box_rows(spark, SF).collect()]
+    places = [(r.page, r.row, r.place) for r in Q.QUERIES["box_rows"](spark, SF).collect()]
     assert len(set(places)) == len(places)
-    assert Q.footnote_markup(spark, SF).where("marked like '%<sup>%'").count() == 25
-    assert Q.slug_ascii(spark, SF).where("slug rlike '[^a-z0-9-]' or slug = ''").count() == 0
+    text = {r.doc_id: r.text for r in Q.I.table(spark, SF, "documents").collect()}
+    marked = {r.doc_id: (r.marked_sha256, r.parts) for r in Q.QUERIES["footnote_markup"](spark, SF).collect()}
+    for i, t in text.items():
+        want = re.sub(r"(?<![A-Za-z\d])([A-Za-z]{4,})(\d{1,2})\)(?=[\s<,;]|$)", r"\1<sup>\2)</sup>", t.replace(",", "8),"))
+        assert marked[i] == (hashlib.sha256(want.encode()).hexdigest(), want.count("<sup>") + 1)
+    assert Q.QUERIES["slug_ascii"](spark, SF).where("slug rlike '[^a-z0-9-]' or slug = ''").count() == 0
 
 
 def test_metric_values(spark):
@@ -87,12 +95,64 @@ def test_box_rows_cover_all_line_items(spark, tmp_path):
         rows_of = brute_rows(boxes)
         for i, (row, _, box_id) in enumerate(rows_of):
             want.add((page, row, box_id, i - next(j for j, x in enumerate(rows_of) if x[0] == row)))
-    got = [(r.page, r.row, r.box_id, r.place) for r in Q.box_rows(spark, str(tmp_path)).collect()]
+    got = [(r.page, r.row, r.box_id, r.place) for r in Q.QUERIES["box_rows"](spark, str(tmp_path)).collect()]
     assert len(got) == len(keys) * 6 and set(got) == want
 
 
 def test_slug_ascii_reads_whole_texts(spark, tmp_path):
     texts = ["Ä " * 30 + "end of the text", "漢字" * 40 + " Last_Word", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.slug for r in Q.slug_ascii(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.slug for r in Q.QUERIES["slug_ascii"](spark, str(tmp_path)).collect()}
     assert got == {0: "a-" * 30 + "end-of-the-text", 1: "last-word", 2: "untitled"}
+
+
+def brute_greedy(rows, threshold, baseline=()):
+    kept = []
+    for i, label, v in sorted(rows):
+        near = lambda w: round(float(np.dot(v, w) / max(np.linalg.norm(v) * np.linalg.norm(w), 1e-300)), 6) >= threshold  # noqa: E731, B023
+        if not any(near(w) for _, own, w in [*kept, *baseline] if own == label):
+            kept.append((i, label, v))
+    return {i for i, _, _ in kept}
+
+
+def test_greedy_and_pairs_in_blocks_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 5)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(9, 6))
+    rows = [(i, int(rng.integers(2)), (base[rng.integers(9)] + rng.normal(size=6) * 0.3).tolist()) for i in range(120)] + [(200, 0, [0.0] * 6), (201, 0, [0.0] * 6)]
+    schema = "id long, label int, vector array<double>"
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    pairs = {(r.a, r.b) for r in R.near_pairs(df, 0.9).collect()}
+    cos = lambda v, w: round(float(np.dot(v, w) / max(np.linalg.norm(v) * np.linalg.norm(w), 1e-300)), 6)
+    assert pairs == {(i, j) for i, a, v in rows for j, b, w in rows if i < j and a == b and cos(v, w) >= 0.9}
+    assert {r.id for r in R.greedy_unlike(df, 0.9).collect()} == brute_greedy(rows, 0.9)
+    old = [(1000 + i, i % 2, base[i].tolist()) for i in range(5)]
+    got = {r.id for r in R.greedy_unlike(df, 0.9, spark.createDataFrame(old, schema)).collect()}
+    assert got == brute_greedy(rows, 0.9, old) and len(got) < 100
+    assert R.greedy_unlike(df.limit(0), 0.9).count() == 0
+
+
+def test_knn_in_blocks_matches_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(70)]
+    df = spark.createDataFrame(rows, "doc long, vector array<double>").repartition(3)
+    got = {}
+    for r in R.knn(df.where("doc % 10 = 0").withColumnRenamed("doc", "query"), df, 6).collect():
+        got.setdefault(r.query, []).append((r.rank, r.doc))
+    cos = lambda v, w: round(float(np.dot(v, w) / max(np.linalg.norm(v) * np.linalg.norm(w), 1e-300)), 6)
+    for i, v in rows[::10]:
+        want = sorted((-cos(v, w), j) for j, w in rows if j != i)[:6]
+        assert [d for _, d in sorted(got[i])] == [j for _, j in want]
+
+
+def test_p95_is_the_floor_of_the_place(spark):
+    rows = [("a", float(i % 7)) for i in range(100)] + [("b", 1.0), ("c", None)]
+    got = {r.k: r.p95 for r in R.p95(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert got == {"a": sorted(float(i % 7) for i in range(100))[94], "b": 1.0}
+
+
+def test_run_differences_and_drift(spark):
+    a, b = (spark.createDataFrame([(1, x)], "embedding_deployment_name int, search_index_name string") for x in ("i", "j"))
+    assert [tuple(r) for r in R.run_differences(a, b, ["embedding_deployment_name", "search_index_name"]).collect()] == [("search_index_name", "i", "j")]
+    n = spark.createDataFrame([(1, 5), (2, 5), (3, 30), (4, 30)], "d int, n int")
+    assert [r[0] for r in n.select(R.drift_warning(R.F.col("d"), R.F.col("n"))).collect()] == [False, True, False, True]
