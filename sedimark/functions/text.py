@@ -55,9 +55,14 @@ def overlaps(query: Column, source: Column, threshold: int) -> Column:
     """Whether any window of ``threshold`` characters of the query stands in the source; a threshold of 0 is always met."""
     if threshold <= 0:
         return F.lit(True)
-    q, s = F.lower(collapse_spaces(query)), F.lower(collapse_spaces(source))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(q) - threshold + 1, F.lit(1)))
-    return F.when(F.length(q) < threshold, False).otherwise(F.exists(starts, lambda i: F.contains(s, F.substring(q, i, F.lit(threshold)))))
+
+    def found(x):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(x["q"]) - threshold + 1, F.lit(1)))
+        return F.when(F.length(x["q"]) < threshold, False).otherwise(F.exists(starts, lambda i: F.contains(x["s"], F.substring(x["q"], i, F.lit(threshold)))))
+
+    # an array of one binds both texts, so that they are brought to their form once and not for each window
+    both = F.array(F.struct(F.lower(collapse_spaces(query)).alias("q"), F.lower(collapse_spaces(source)).alias("s")))
+    return F.get(F.transform(both, found), F.lit(0))
 
 
 @F.pandas_udf(StringType())
