@@ -9,151 +9,171 @@ the sum over its words of log S(v | u), u the word before v:
 with counts over all *other* documents, so that no document is evidence for
 itself, and c(v) taken as 1 for words that occur nowhere else.
 
-The relations, all of them rows of 64-bit hashes and numbers:
-
-    words (word, c)                      how often each word occurs,
-    grams (gram, c, c_u, c_v)            each pair's count beside those of its words,
-    uses  (doc, gram, n, n_u, n_v)       a document's distinct pairs, exploded, with
-                                         its own counts of the pair and of the words.
-
-Counts are added up within a worker's blocks of text first, then by hash. ``uses``
-join ``grams`` on the hash, each row gives its share of the score, and shares are
-summed by document. A frequent pair has one row a document in ``uses`` and one row
-in ``grams``, which is a table of its own, so adaptive execution can split the join.
-The pairs are gone through in ``passes`` by their hash: each pass reads the texts
-anew and holds its part of the shuffle alone.
+The relations are held in blocks of documents and travel as sorted arrays, several
+times smaller than rows of one n-gram each. Each block sends its distinct n-grams
+with their counts, pre-aggregated, to the partitions of the count table by the
+n-gram's hash; a partition adds up the counts and answers each block; a block's
+answers join its exploded n-grams, whose scores are summed for each document. A
+frequent n-gram is one entry a block, so it weighs no more than a rare one, and
+what travels grows with the text.
+
+A block is named by its contents, and an answer carries the digest of the n-grams
+that it was asked for. So answers find their block wherever and in whatever order
+either was computed, a retried task included; should a second scan deal the rows
+into other blocks, the join fails with an error instead of giving counts to other
+n-grams.
 
 Defined cases: a null text or one without words has no score (0 words, score 0);
 repeated rows are documents of their own; a table of one document scores against
-nothing, all its words unseen; an empty table gives no row; a very long text is a
-block of its own; rows without a doc_id are scored like others; other columns are
-left out.
+nothing, all its words unseen; an empty table gives no row; very long texts are
+blocks of their own; rows without a doc_id are scored like others; other columns
+are left out.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import materialise, table
+from sedimark.llm.common import materialise, shuffle_partitions, table
 from sedimark.llm.ngram_join import ODD, _blocks, mix, word_hashes
 
 BACKOFF = 0.4
+ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("words", pa.int64()), ("digest", pa.int64()), ("totals", pa.binary())])
 _M = np.uint64
-#: Rows of a batch that leaves a worker.
-BATCH_ROWS = 200_000
 
 
-class Pairs:
-    """The words of a block of texts and the pair that each ends; a text's first word has no word before it (u is 0)."""
+class Grams:
+    """Distinct n-grams of a block: sorted keys with counts, and each word's place among them."""
 
     def __init__(self, texts: list[bytes | None]) -> None:
-        self.words, self.edges = word_hashes(texts)
-        sizes = np.diff(self.edges)
-        self.doc = np.repeat(np.arange(len(texts)), sizes)
-        self.first = np.zeros(len(self.words), bool)
-        self.first[self.edges[:-1][sizes > 0]] = True
-        self.before = np.concatenate([self.words[:1], self.words[:-1]])
-        self.before[self.first] = 0
-        self.gram = mix((self.before * ODD + self.words) * _M(0xD6E8FEB86659FD93) + _M(2))
-
-    def part(self, number: int, passes: int) -> np.ndarray:
-        """Places of the pairs of one pass."""
-        return np.flatnonzero(self.gram % _M(passes) == _M(number))
-
-    def uses(self, at: np.ndarray):
-        """(text, gram, n, n_u, n_v) of each text's distinct pairs among the places ``at``. n_u is 0 for a first word."""
-        own = mix(self.words + self.doc.astype(np.uint64) * ODD)  # a word of one text
-        _, which, count = np.unique(own, return_inverse=True, return_counts=True)
-        in_text = count[which]
-        _, one, n = np.unique(mix(self.gram[at] + self.doc[at].astype(np.uint64) * ODD), return_index=True, return_counts=True)
-        order = np.argsort(one)
-        at, n = at[one[order]], n[order]
-        n_u = np.where(self.first[at], 0, in_text[at - 1])
-        return self.doc[at], self.gram[at], n, n_u, in_text[at]
-
-
-def _batch(columns: dict[str, np.ndarray]):
-    n = len(next(iter(columns.values())))
-    for at in range(0, n, BATCH_ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + BATCH_ROWS]) for c in columns.values()], list(columns))
-
-
-def _texts(batches):
-    for batch in batches:
-        yield from _blocks([batch])
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """Rows of blocks' words (is_doc false: id is the word, n its count) and of texts (is_doc true: id is the row's, n its number of words)."""
-
-    def run(batches):
-        for ids, texts in _texts(batches):
-            p = Pairs(texts)
-            yield from _batch({"is_doc": np.ones(len(ids), bool), "id": np.array(ids, np.int64), "n": np.diff(p.edges).astype(np.int64)})
-            word, n = np.unique(p.words, return_counts=True)
-            yield from _batch({"is_doc": np.zeros(len(word), bool), "id": word.view(np.int64), "n": n.astype(np.int64)})
-
-    return rows.select("id", "text").mapInArrow(run, "is_doc boolean, id long, n long")
-
-
-def gram_counts(rows: DataFrame, words: DataFrame, number: int, passes: int) -> DataFrame:
-    """(gram, c, c_u, c_v) of the pairs of one pass; c_u is null for pairs that begin a text."""
-
-    def run(batches):
-        for _, texts in _texts(batches):
-            p = Pairs(texts)
-            at = p.part(number, passes)
-            gram, one, n = np.unique(p.gram[at], return_index=True, return_counts=True)
-            yield from _batch({"gram": gram.view(np.int64), "u": p.before[at[one]].view(np.int64), "v": p.words[at[one]].view(np.int64), "n": n.astype(np.int64)})
-
-    found = rows.select("id", "text").mapInArrow(run, "gram long, u long, v long, n long")
-    grams = materialise(found.groupBy("gram").agg(F.sum("n").alias("c"), F.min("u").alias("u"), F.min("v").alias("v")), "grams")
-    with_v = grams.join(words.select(F.col("word").alias("v"), F.col("c").alias("c_v")).hint("merge"), "v")
-    with_u = with_v.join(words.select(F.col("word").alias("u"), F.col("c").alias("c_u")).hint("merge"), "u", "left")
-    return materialise(with_u.select("gram", "c", "c_u", "c_v"), "grams")
-
-
-def uses(rows: DataFrame, number: int, passes: int) -> DataFrame:
-    """(id, gram, n, n_u, n_v) of each row's distinct pairs of one pass."""
-
-    def run(batches):
-        for ids, texts in _texts(batches):
-            p = Pairs(texts)
-            doc, gram, n, n_u, n_v = p.uses(p.part(number, passes))
-            yield from _batch({"id": np.array(ids, np.int64)[doc], "gram": gram.view(np.int64), "n": n.astype(np.int32), "n_u": n_u.astype(np.int32), "n_v": n_v.astype(np.int32)})
-
-    return rows.select("id", "text").mapInArrow(run, "id long, gram long, n int, n_u int, n_v int")
-
-
-def score(docs: DataFrame, passes: int = 2) -> DataFrame:
+        words, self.edges = word_hashes(texts)
+        ones = mix(words ^ ODD)
+        twos = mix((words[:-1] * ODD + words[1:]) * _M(0xD6E8FEB86659FD93) + _M(2)) if len(words) else words
+        first = np.zeros(len(words), bool)
+        first[self.edges[:-1][self.edges[:-1] < self.edges[1:]]] = True
+        inner = ~first[1:]  # pairs within a document
+        self.first = first
+        self.keys, places = np.unique(np.concatenate([ones, twos[inner]]), return_inverse=True)
+        self.counts = np.bincount(places, minlength=len(self.keys)).astype(np.uint32)
+        self.one = places[: len(words)]
+        self.two = np.full(len(words), -1)
+        self.two[1:][inner] = places[len(words) :]
+
+    def parts(self, parts: int) -> np.ndarray:
+        """Edges of each table partition's keys."""
+        return np.concatenate([[0], np.searchsorted(self.keys, np.array([(j << 64) // parts for j in range(1, parts)], np.uint64)), [len(self.keys)]])
+
+    def scores(self, totals: np.ndarray, words_in_all: int):
+        """(words, pairs seen elsewhere, score) of each document."""
+        for a, b in zip(self.edges[:-1], self.edges[1:], strict=True):
+            if a == b:
+                yield 0, 0, 0.0
+                continue
+            own, at, n = np.unique(np.concatenate([self.one[a:b], self.two[a + 1 : b]]), return_inverse=True, return_counts=True)
+            rest = (totals[own] - n).astype(np.float64)
+            single, pair = rest[at[: b - a]], rest[at[b - a :]]
+            base = np.log(np.maximum(single, 1)) - np.log(max(words_in_all - (b - a), 1))
+            seen = pair > 0
+            inner = np.where(seen, np.log(np.where(seen, pair, 1)) - np.log(np.maximum(single[:-1], 1)), np.log(BACKOFF) + base[1:])
+            yield b - a, int(seen.sum()), float(base[0] + inner.sum())
+
+
+def _named(batches):
+    """(block, ids, texts): a block's name is the digest of what it holds."""
+    for ids, texts in _blocks(batches):
+        name = blake2b(digest_size=8)
+        for i, t in zip(ids, texts, strict=True):
+            name.update(f"{i} {-1 if t is None else len(t)} ".encode())
+            name.update(t or b"")
+        yield int.from_bytes(name.digest(), "little", signed=True), ids, texts
+
+
+def _digest(keys: np.ndarray) -> int:
+    """Of a sorted part of a block's n-grams, as a signed integer."""
+    return int(mix(np.array([np.add.reduce(mix(keys), dtype=np.uint64) + _M(len(keys))], np.uint64)).view(np.int64)[0])
+
+
+def score(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_seen, score) of each row of ``docs``."""
+    spark = docs.sparkSession
+    parts = parts or shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    rows = rows.withColumn("id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    first = materialise(word_counts(rows), "words")
-    words = materialise(first.where("not is_doc").groupBy(F.col("id").alias("word")).agg(F.sum("n").alias("c")), "words")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().n
-    shares = []
-    for number in range(passes):
-        joined = uses(rows, number, passes).join(gram_counts(rows, words, number, passes).hint("merge"), "gram")
-        elsewhere = F.col("c") - F.col("n")
-        seen = (F.col("n_u") > 0) & (elsewhere > 0)
-        alone = F.log(F.greatest(F.col("c_v") - F.col("n_v"), F.lit(1)))
-        share = F.when(seen, F.log(elsewhere) - F.log(F.greatest(F.col("c_u") - F.col("n_u"), F.lit(1)))).when(F.col("n_u") > 0, F.log(F.lit(BACKOFF)) + alone).otherwise(alone)
-        sums = joined.groupBy("id").agg(F.sum(F.col("n") * share).alias("x"), F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("seen"))
-        shares.append(materialise(sums, "shares"))
-    every = shares[0]
-    for more in shares[1:]:
-        every = every.unionByName(more)
-    sums = every.groupBy("id").agg(F.sum("x").alias("x"), F.sum("seen").alias("seen"))
-    # rows alike share an id: their shares came as often as they
-    texts = first.where("is_doc").groupBy("id").agg(F.count("*").alias("times"), F.max("n").alias("n_words"))
-    texts = texts.join(sums.hint("merge"), "id", "left").select("id", "n_words", (F.coalesce("x", F.lit(0.0)) / F.col("times")).alias("x"), (F.coalesce("seen", F.lit(0)) / F.col("times")).cast("long").alias("n_seen"))
-    backed_off = F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1))) * (F.col("n_words") - F.col("n_seen"))
-    scored = materialise(texts.select("id", "n_words", "n_seen", (F.col("x") - backed_off).alias("score")), "scores")
-    return rows.select("doc_id", "id").join(scored.hint("merge"), "id").select("doc_id", "n_words", "n_seen", "score")
+
+    def ask(batches):
+        for block, _, texts in _named(batches):
+            g = Grams(texts)
+            e = g.parts(parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(parts, block), pa.int64()), pa.array(range(parts), pa.int32()), pa.array([len(g.one), *[0] * (parts - 1)], pa.int64()), pa.array([g.keys[x:y].tobytes() for x, y in zip(e[:-1], e[1:], strict=True)], pa.binary()), pa.array([g.counts[x:y].tobytes() for x, y in zip(e[:-1], e[1:], strict=True)], pa.binary())],
+                ["block", "part", "words", "keys", "counts"],
+            )
+
+    def count(batches):
+        """One part of the table after the other."""
+
+        def answer(held):
+            keys = np.concatenate([np.frombuffer(k, np.uint64) for _, _, _, k, _ in held])
+            _, places = np.unique(keys, return_inverse=True)
+            totals = np.bincount(places, np.concatenate([np.frombuffer(c, np.uint32) for *_, c in held]))[places] if len(keys) else np.zeros(0)
+            at, out = 0, []
+            for block, part, words, k, _ in held:
+                out.append((block, part, words, _digest(np.frombuffer(k, np.uint64)), totals[at : at + len(k) // 8].astype(np.uint64).tobytes()))
+                at += len(k) // 8
+                if len(out) == 64 or at == len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ANSWER.types, strict=True)], ANSWER.names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ANSWER.types, strict=True)], ANSWER.names)
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][1] != row[1]:
+                    yield from answer(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from answer(held)
+
+    asked = rows.mapInArrow(ask, "block long, part int, words long, keys binary, counts binary")
+    answers = asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(count, "block long, part int, words long, digest long, totals binary")
+    answers = materialise(answers, "totals")
+    words_in_all = answers.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first().n
+
+    def blocks(batches):
+        for block, ids, texts in _named(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([parts], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary()))], ["block", "part", "digest", "totals", "ids", "texts"])
+
+    def finish(batches):
+        def close(block, ids, texts, answers):
+            g = Grams(texts)
+            edges = g.parts(parts)
+            if sorted(answers) != list(range(parts)) or any(answers[j][0] != _digest(g.keys[x:y]) for j, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True))):
+                raise ValueError(f"the answers for block {block} aren't those of its n-grams")
+            found = np.frombuffer(b"".join(answers[j][1] for j in range(parts)), np.uint64).astype(np.int64)
+            n, seen, s = zip(*g.scores(found, words_in_all), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(s, pa.float64())], ["doc_id", "n_words", "n_seen", "score"])
+
+        # a block's answers come first, then its texts, as often as there are blocks of these contents
+        at, answers = None, {}
+        for batch in batches:
+            for block, part, digest, total, ids, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != at:
+                    at, answers = block, {}
+                if part < parts:
+                    answers[part] = (digest, total)
+                else:
+                    yield close(block, ids, texts, answers)
+
+    schema = "block long, part int, digest long, totals binary, ids array<long>, texts array<binary>"
+    back = answers.selectExpr("block", "part", "digest", "totals", "cast(null as array<long>) as ids", "cast(null as array<binary>) as texts")
+    both = rows.mapInArrow(blocks, schema).unionByName(back).repartition(parts, "block").sortWithinPartitions("block", "part")
+    return both.mapInArrow(finish, "doc_id long, n_words long, n_seen long, score double")
 
 
 def op7_backoff_lm(spark, sf_dir: str) -> DataFrame:

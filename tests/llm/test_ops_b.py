@@ -101,7 +101,7 @@ def test_lm_scores_match_brute_force(spark):
     tokens = [words_of(t) for t in texts]
     one, two = Counter(w for t in tokens for w in t), Counter(p for t in tokens for p in zip(t, t[1:]))
     total = sum(one.values())
-    got = {r.doc_id: r for r in backoff_lm.score(documents(spark, texts), passes=3).collect()}
+    got = {r.doc_id: r for r in backoff_lm.score(documents(spark, texts), parts=3).collect()}
     for i, t in enumerate(tokens):
         mine, mine2, x, seen = Counter(t), Counter(zip(t, t[1:])), 0.0, 0
         n = max(total - len(t), 1)
@@ -124,14 +124,24 @@ def test_lm_scores_do_not_depend_on_the_deal(spark):
     ids = [*range(40), 3, None, None]
     rows = list(zip(ids, texts))
     runs = []
-    for parts, passes in ((1, 1), (5, 2), (3, 4)):
+    for dealt, parts in ((1, 1), (5, 2), (3, 4)):
         rng.shuffle(rows)
-        df = documents(spark, [t for _, t in rows], [i for i, _ in rows]).withColumn("id", backoff_lm.F.lit("clash")).repartition(parts)
-        runs.append(sorted((str(r.doc_id), r.n_words, r.n_seen, round(r.score, 6)) for r in backoff_lm.score(df, passes).collect()))
+        df = documents(spark, [t for _, t in rows], [i for i, _ in rows]).withColumn("id", backoff_lm.F.lit("clash")).repartition(dealt)
+        runs.append(sorted((str(r.doc_id), r.n_words, r.n_seen, round(r.score, 6)) for r in backoff_lm.score(df, parts).collect()))
     assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 43
     assert len({r for r in runs[0] if r[0] == "3"}) == 1 and sum(r[0] == "3" for r in runs[0]) == 2
 
 
+def test_lm_blocks_of_equal_contents(spark, monkeypatch):
+    monkeypatch.setattr("sedimark.llm.ngram_join.BLOCK_BYTES", 1)
+    rows = [(5, "a b a"), (5, "a b a"), (5, "a b a"), (6, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.n_words, r.n_seen) for r in backoff_lm.score(df, 2).collect())
+    assert got == [(5, 3, 2)] * 3 + [(6, 2, 1)]
+    names = [n for n, _, _ in backoff_lm._named([spark.createDataFrame([(1, "x"), (1, None), (1, "")], "doc_id long, text string").toArrow().to_batches()[0].cast(backoff_lm.pa.schema([("doc_id", backoff_lm.pa.int64()), ("text", backoff_lm.pa.binary())]))])]
+    assert len(names) == len(set(names))
+
+
 def labelled(spark, n):
     rng = random.Random(5)
     good = [" ".join(rng.choice(["stone", "river", "light", "meadow", "walks"]) for _ in range(rng.randrange(3, 200))) for _ in range(n)]
