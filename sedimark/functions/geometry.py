@@ -70,3 +70,7 @@ def adjacency(text, visual, most_gap: float = 50.0) -> Column:
 
 def points(pixels: Column, dpi: Column | int) -> Column:
     return pixels * 72 / dpi
+
+
+def pixels(points: Column, dpi: Column | int) -> Column:
+    return points * dpi / 72

@@ -53,3 +53,8 @@ def box(e: str = "") -> Column:
     c = lambda name: F.col(f"{e}{name}")
     corners = (c(x).isNotNull() for x in ("x0", "y0", "x1", "y1"))
     return _all(c("page") >= 1, c("confidence").between(0, 1), c("kind").isin(BOX_KINDS), *corners)
+
+
+def merge(ids: Column) -> Column:
+    """Boxes to be merged are two or more, each named once."""
+    return _all(F.size(ids) >= 2, F.size(F.array_distinct(ids)) == F.size(ids))

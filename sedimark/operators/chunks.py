@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,28 @@ def section_chunks(paragraphs: DataFrame) -> DataFrame:
     return sections.select("doc_id", F.format_string("doc-%d-%03d", "doc_id", "section").alias("chunk_id"), "title", "section_heading", "chunk")
 
 
+Chunker = Callable[[DataFrame], DataFrame]
+_CHUNKERS: dict[str, Chunker] = {}
+
+
+def register_chunker(name: str, chunk: Chunker) -> None:
+    """A way to cut paragraphs (doc_id, idx, role, content) into chunks (doc_id, chunk_id, title, section_heading, chunk)."""
+    _CHUNKERS[name] = chunk
+
+
+def chunker(name: str) -> Chunker:
+    if name not in _CHUNKERS:
+        raise KeyError(f"no chunker is called {name!r}; there are {strategies()}")
+    return _CHUNKERS[name]
+
+
+def strategies() -> list[str]:
+    return sorted(_CHUNKERS)
+
+
+register_chunker("section", section_chunks)
+
+
 def drifted(entries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(entry_id) of entries (entry_id, chunk_hashes map) whose chunks are gone or changed (chunks: chunk_id, chunk)."""
     wanted = entries.select("entry_id", F.explode("chunk_hashes").alias("chunk_id", "hash"))

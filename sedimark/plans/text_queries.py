@@ -103,6 +103,17 @@ def block_html(spark, sf_dir):
     return I.paragraphs(spark, sf_dir).select("doc_id", F.col("idx").cast("long").alias("idx"), M.block_html(kind, F.col("content"), F.col("idx") % 3, F.lit("body")).alias("html"))
 
 
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS u FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, sha256(array_to_string(u, ' ')) AS text_sha256 FROM l""")
+def block_texts(spark, sf_dir):
+    """Whole documents as blocks of lines with spans, some in parts of parts, and their text again."""
+    lines = F.split("text", "\n")
+    spans = F.transform(lines, lambda x: F.struct(F.array(F.struct(x.alias("content"))).alias("spans")))
+    flat, deep = F.to_json(F.struct(spans.alias("lines"))), F.to_json(F.struct(F.array(F.struct(F.transform(lines, lambda x: F.struct(F.trim(x).alias("text"))).alias("blocks"))).alias("blocks")))
+    d = I.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", M.block_text(F.when(F.col("doc_id") % 2 == 0, flat).otherwise(deep)).alias("t"))
+    return d.select("doc_id", F.sha2("t", 256).alias("text_sha256"))
+
+
 PARTS = ["table_body", "image_body", "code_body", "table_caption", "image_footnote", "other"]
 
 

@@ -176,3 +176,31 @@ def output_keys(path: Column) -> tuple[Column, Column]:
     stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
     dashed = F.regexp_extract(stem, "^[^-]*-(.+)$", 1)
     return slug_of(path), F.when(dashed == "", "unknown").otherwise(dashed)
+
+
+#: What a loader of elements has to give.
+ELEMENT = {"slug": "string", "page_number": "int", "element_id": "string", "element_type": "string", "content": "string"}
+
+
+def checked_elements(rows: DataFrame, schema: dict[str, str] | None = None) -> DataFrame:
+    """``rows`` of any loader, if it has the columns of an element."""
+    have, wanted = dict(rows.dtypes), schema or ELEMENT
+    wrong = sorted(c for c, t in wanted.items() if have.get(c) != t)
+    if wrong:
+        raise ValueError(f"not elements: {', '.join(f'{c} is {have.get(c)}, not {wanted[c]}' for c in wrong)}")
+    return rows
+
+
+def images(spark: SparkSession, folder: str, name: str | None = None) -> DataFrame:
+    """(name, length, content) of the images in a folder, by name; or of one, whose name may not leave the folder."""
+    if name is not None and (not name or "/" in name or "\\" in name or name.startswith(".")):
+        raise ValueError(f"not a file name: {name!r}")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", name or "*.{png,jpg,jpeg}").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content").orderBy("name")
+
+
+def total_blocks(spark: SparkSession, path: str) -> int:
+    """Blocks in a layout model's JSON, those without a box too."""
+    raw = spark.read.schema(MIDDLE).json(path, multiLine=True).select(F.explode("pdf_info").alias("p"))
+    size = lambda c: F.coalesce(F.nullif(F.size(c), F.lit(-1)), F.lit(0))
+    return raw.agg(F.coalesce(F.sum(size("p.para_blocks") + size("p.discarded_blocks")), F.lit(0)).alias("n")).first().n

@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sedimark.functions import markup as M
 from sedimark.functions import validation as V
+from sedimark.operators import chunks
 from sedimark.operators.events import fold
 from sedimark.sources import files, sinks
 from sedimark.streaming import events as S
@@ -99,6 +101,32 @@ def test_small_scans(spark, tmp_path):
     assert list(spark.range(1).select(*keys).first()) == ["doc", "section", "doc", "unknown"]
 
 
+def test_images_blocks_and_contracts(spark, tmp_path):
+    for name in ("b.png", "a.jpg", "c.txt"):
+        (tmp_path / name).write_bytes(name.encode())
+    assert [r.name for r in files.images(spark, str(tmp_path)).collect()] == ["a.jpg", "b.png"] and bytes(files.images(spark, str(tmp_path), "b.png").first().content) == b"b.png"
+    for bad in ("../x", "", ".x", "a/b"):
+        with pytest.raises(ValueError):
+            files.images(spark, str(tmp_path), bad)
+    (tmp_path / "m.json").write_text(json.dumps({"pdf_info": [{"para_blocks": [{"type": "text"}, {"type": "text"}], "discarded_blocks": [{"type": "x"}]}, {"para_blocks": []}]}))
+    assert files.total_blocks(spark, str(tmp_path / "m.json")) == 3
+    good = spark.createDataFrame([], "slug string, page_number int, element_id string, element_type string, content string, more int")
+    assert files.checked_elements(good) is good
+    with pytest.raises(ValueError, match="content is None"):
+        files.checked_elements(good.drop("content"))
+    assert chunks.strategies() == ["section"] and chunks.chunker("section") is chunks.section_chunks
+    with pytest.raises(KeyError, match="nothing"):
+        chunks.chunker("nothing")
+    ids = spark.createDataFrame([(["a", "b"],), (["a"],), (["a", "a"],), (None,)], "ids array<string>")
+    assert [r[0] for r in ids.select(V.merge(F.col("ids"))).collect()] == [True, False, False, False]
+
+
+def test_text_of_blocks():
+    assert M.merged_text({"lines": [{"spans": [{"content": "a"}, {"content": "b "}]}, {"spans": []}, {"spans": [{"content": "c"}]}]}) == "ab c"
+    assert M.merged_text({"text": "x", "blocks": [{"content": "y", "lines": [{"spans": [{"content": "z"}, {"html": "no"}]}]}, 3]}) == "x y z"
+    assert M.merged_text({"lines": [{"text": "only"}]}) == "only" and M.merged_text([]) == M.merged_text({}) == ""
+
+
 def test_tables(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = lambda *r: spark.createDataFrame(list(r), "id string, chunk string, source_file string")
