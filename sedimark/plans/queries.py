@@ -342,13 +342,14 @@ def deprecate_requests(spark, sf_dir):
 # --- curation and streams in their batch form
 
 
-@query("""WITH a AS (SELECT conv_id AS curator, turn AS place, length(text) % 20 AS s FROM conversations)
+@query("""WITH a AS (SELECT conv_id AS curator, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, length(text) % 20 AS s FROM conversations)
 SELECT curator, place, 'src' || s AS slug FROM a WHERE s % 2 = 0""")
 def curator_visibility(spark, sf_dir):
     """Assigned documents that are open for curation, in the order of assignment."""
-    c = I.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("curator"), F.col("turn").alias("place"), F.concat(F.lit("src"), F.length("text") % 20).alias("slug"))
+    c = I.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("curator_id"), F.struct("turn", F.concat(F.lit("src"), F.length("text") % 20).alias("slug")).alias("a"))
+    people = c.groupBy("curator_id").agg(F.transform(F.sort_array(F.collect_list("a")), lambda x: x["slug"]).alias("assigned_slugs"))
     meta = spark.range(20).select(F.concat(F.lit("src"), "id").alias("slug"), F.when(F.col("id") % 2 == 0, "open-for-curation").otherwise("raw").alias("status"))
-    return c.join(F.broadcast(meta.where("status = 'open-for-curation'").select("slug")), "slug").select("curator", "place", "slug")
+    return Cu.visible_documents(people, meta).select(F.col("curator_id").alias("curator"), F.col("place").cast("long").alias("place"), "slug")
 
 
 ASSIGNED = """a AS (SELECT conv_id, turn, 'src' || (length(text) % 20) AS slug FROM conversations), f AS (SELECT conv_id, slug, min(turn) AS first_turn FROM a GROUP BY 1, 2)"""

@@ -143,3 +143,14 @@ def test_export_json(spark):
     html = spark.createDataFrame([("d", '<h3 data-source-box="p1-b0">T</h3>')], "slug string, html string")
     (r,) = P.export_json(P.export(boxes, html), "local").collect()
     assert json.loads(r.payload) == {"doc_slug": "d", "source_pipeline": "local", "elements": [{"kind": "heading", "page": 1, "bbox": [0.0, 0.0, 1.0, 1.0], "text": "T", "box_id": "p1-b0", "level": 3}, {"kind": "paragraph", "page": 1, "bbox": [0.0, 0.0, 1.0, 1.0], "text": "", "box_id": "p1-b1"}]}
+
+
+def test_small_text_functions(spark):
+    at = spark.sql("select timestamp'2026-01-02 03:04:05Z' as t")
+    assert tuple(at.select(T.compact_time(F.col("t")), T.iso_seconds(F.col("t")), T.iso_time(F.lit("2026-01-02T03:04:05Z")) == F.col("t"), T.iso_time(F.lit("no")).isNull()).first()) == ("20260102T030405", "2026-01-02T03:04:05Z", True, True)
+    assert values(spark, T.strip_bullet, ["- a ", "* b", "12. c", "d - e", "-x"]) == ["a", "b", "c", "d - e", "-x"]
+    assert values(spark, T.strip_marks, [" - · a", "•*b "]) == ["a", "b"]
+    assert values(spark, T.quoted, ["O'Neil"]) == ["O''Neil"] and values(spark, lambda c: T.preview(c, 2), ["abc"]) == ["ab"]
+    assert values(spark, lambda c: T.score_line(F.lit(0.12345), c), ["x"]) == ["0.123 x"]
+    assert values(spark, lambda c: T.table_block(F.lit(2), F.lit("e"), c, F.lit(None).cast("string"), F.lit(3), F.lit(None).cast("int")), ["body"]) == ["[Tabelle (voll), Seite 2, 3×0, id=e]\nbody"]
+    assert values(spark, lambda c: T.overlaps(c, F.lit("Some  LONG source text"), 8), ["a long Source", "short", "nothing in common"]) == [True, False, False] and values(spark, lambda c: T.overlaps(c, c, 0), ["x"]) == [True]
