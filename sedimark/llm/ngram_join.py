@@ -53,6 +53,8 @@ BYTE_VALUES = np.random.default_rng(6).integers(1, 1 << 63, 256, dtype=np.uint64
 FILTER_BITS = 1 << 26
 #: Bytes of text that are shingled at once.
 BLOCK_BYTES = 1 << 21
+#: Bytes whose words are hashed at once.
+SLICE = 1 << 21
 #: Lists of so many members at most are compared member by member in round three; longer ones by rare elements.
 FEW = 8
 
@@ -65,21 +67,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word of all texts, edges of each text's words): A-Z lower-cased, words cut at ASCII white space."""
+    """(hash of each word of all texts, edges of each text's words): A-Z lower-cased, words cut at ASCII white space. Only SLICE bytes at a time, and the word that they end in, are held as arrays of numbers."""
     lowered = [(t or b"").lower() for t in texts]
     data = np.frombuffer(b"\n".join(lowered) + b"\n", np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
+    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        end = min(at + SLICE, len(data))
+        while not _is_space(data[end - 1]):  # the last byte is one
+            found = np.flatnonzero(_is_space(data[end : end + SLICE]))
+            end = end + int(found[0]) + 1 if len(found) else min(end + SLICE, len(data))
+        first, own = _slice_hashes(data[at:end])
+        starts.append(first + at)
+        hashes.append(own)
+        at = end
+    edges = np.searchsorted(np.concatenate(starts), np.cumsum([0, *(len(t) + 1 for t in lowered)]))  # of each text's words
+    return np.concatenate(hashes), edges
+
+
+def _is_space(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def _slice_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of each word in bytes that begin and end between words."""
+    space = _is_space(data)
     first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    edges = np.searchsorted(first, np.cumsum([0, *(len(t) + 1 for t in lowered)]))  # of each text's words
     if not len(first):
-        return np.zeros(0, np.uint64), edges
+        return first, np.zeros(0, np.uint64)
     at = np.arange(len(data))
     at[first[0] :] -= np.repeat(first, np.diff(np.append(first, len(data))))  # place in the word
     at[space] = 0
     powers = np.multiply.accumulate(np.full(int(at.max()) + 1, _M(0xD6E8FEB86659FD93)))
     values = BYTE_VALUES[data] * powers[at]
     values[space] = 0
-    return mix(np.add.reduceat(values, first)), edges
+    return first, mix(np.add.reduceat(values, first))
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:

@@ -91,6 +91,18 @@ def test_linked_sets_share_a_signature(num, den):
     assert seen > 50
 
 
+def test_words_are_hashed_alike_in_any_slices(monkeypatch):
+    rng = random.Random(9)
+    texts = [None, b"", b" \t", "é Ä x".encode(), b"w" * 300 + b" end", b"".join(rng.choice([b"a", b"B", b" ", b"\n", b"\x0b", b"\x1c"]) for _ in range(2000))]
+    hashes, edges = ngram_join.word_hashes(texts)
+    words = [w for t in texts for w in words_of((t or b"").decode())]
+    assert len(hashes) == len(words) == edges[-1] and len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
+    for size in (1, 7, 64, 500):
+        monkeypatch.setattr(ngram_join, "SLICE", size)
+        again, same = ngram_join.word_hashes(texts)
+        assert np.array_equal(again, hashes) and np.array_equal(same, edges)
+
+
 def test_repeated_rows_share_a_component(spark):
     rows = ngram_join.near_duplicates(documents(spark, ["one two three four five six"] * 3, [7, 7, 9])).collect()
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(7, 7), (7, 7), (9, 7)]
@@ -332,3 +344,34 @@ def test_near_copies_keep_one_row_of_each_group(spark, tmp_path):
     (lone,) = [t for i, t in got if i is None and t]
     assert lone in (a, a + " end")
     assert sorted(got, key=repr) == sorted([(None, lone), (3, b + " end"), (3, c), (3, d), (None, None), (8, ""), (9, "")], key=repr)
+
+
+def test_stages_take_awkward_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated ids and rows, an empty table, in each stage but with its own columns."""
+    import corpus_pipeline
+
+    docs, labels = labelled(spark, 60)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good = [(r.doc_id, r.text, "en", "s", len(r.text)) for r in docs.collect()]
+    long, twice = "meadow river stone light walks " * 60_000, "stone river light meadow walks " * 12
+    odd = [(None, None, None, None, None), (500, None, "en", "s", 0), (501, "", "en", None, 0), (502, long, "en", "s", len(long)), (503, "walks light", None, "s", 11), (503, "stone river meadow", "en", "s", 18), (504, twice, "en", "s", len(twice)), (504, twice, "en", "s", len(twice)), (None, "river river light", "en", "s", 17)]
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, spark.createDataFrame([], schema), str(tmp_path))
+        assert empty.count() == 0, name
+        given = spark.createDataFrame(good + odd, schema).repartition(3)
+        path = str(tmp_path / name)
+        stage(spark, given, str(tmp_path)).write.parquet(path)
+        out = spark.read.parquet(path)
+        if name == "packing":
+            tokens = out.groupBy("doc_id", "doc_tokens").agg(byte_cnn.F.sum("length").alias("n")).collect()
+            assert sum(r.n for r in tokens if r.doc_id == 504) == 2 * next(r.doc_tokens for r in tokens if r.doc_id == 504) and out.where("doc_id = 502").count() > 100
+            assert {r.doc_id for r in tokens} == {i for i, *_ in good + odd}
+            continue
+        assert out.columns == corpus_pipeline.COLUMNS
+        rows = [(r.doc_id, r.text) for r in out.collect()]
+        assert all(r in [(i, t) for i, t, *_ in good + odd] for r in rows) or name == "lines"
+        assert (502, long) in rows, name
+        assert rows.count((504, twice)) == (1 if name == "near_copies" else 2), name
+        if name == "lines":
+            assert len(rows) == len(good + odd)
