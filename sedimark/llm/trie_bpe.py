@@ -25,6 +25,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import pyarrow as pa
@@ -267,23 +268,34 @@ _CODERS: dict[str, TrieBpe] = {}
 
 
 def coder(vocabulary: str) -> TrieBpe:
-    """This worker's coder; the vocabulary is read once for each Python worker. What it holds makes no cycles and lives as long as the worker, so the collector is told to pass it over."""
+    """This worker's coder; the vocabulary is read once for each Python worker."""
     if vocabulary not in _CODERS:
         _CODERS[vocabulary] = TrieBpe(vocabulary)
-        gc.collect()
-        gc.freeze()
     return _CODERS[vocabulary]
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without Python's collector of cycles until a task ends: a coder's millions of small objects make none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, ids array<int>, n_tokens, decoded string) of each text, by one scan without a shuffle."""
 
     def run(batches):
-        c = coder(vocabulary)
-        for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            rows = list(c.encode_batch(texts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.list_(pa.int32())), pa.array(map(len, rows), pa.int64()), pa.array([c.decode(r) for r in rows], pa.string())], ["id", "ids", "n_tokens", "decoded"])
+        with uncollected():
+            c = coder(vocabulary)
+            for batch in batches:
+                ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+                rows = list(c.encode_batch(texts))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.list_(pa.int32())), pa.array(map(len, rows), pa.int64()), pa.array([c.decode(r) for r in rows], pa.string())], ["id", "ids", "n_tokens", "decoded"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, ids array<int>, n_tokens long, decoded string").withColumnRenamed("id", id_column)
@@ -293,16 +305,17 @@ def digests(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_co
     """As ``encode``, with SHA-256 digests in place of ids and text: nothing long leaves the worker."""
 
     def run(batches):
-        c = coder(vocabulary)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts, ids_sha, text_sha = [0] * len(texts), [""] * len(texts), [""] * len(texts)
-            for i, runs in c.prepare(texts):
-                ids = list(chain.from_iterable(map(c.cache.__getitem__, runs)))
-                counts[i] = len(ids)
-                ids_sha[i] = hashlib.sha256(",".join(map(c.decimal.__getitem__, runs)).encode()).hexdigest()
-                text_sha[i] = hashlib.sha256(c.decode(ids).encode()).hexdigest()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with uncollected():
+            c = coder(vocabulary)
+            for batch in batches:
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                counts, ids_sha, text_sha = [0] * len(texts), [""] * len(texts), [""] * len(texts)
+                for i, runs in c.prepare(texts):
+                    ids = list(chain.from_iterable(map(c.cache.__getitem__, runs)))
+                    counts[i] = len(ids)
+                    ids_sha[i] = hashlib.sha256(",".join(map(c.decimal.__getitem__, runs)).encode()).hexdigest()
+                    text_sha[i] = hashlib.sha256(c.decode(ids).encode()).hexdigest()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_column)

@@ -45,6 +45,21 @@ def test_bpe_matches_the_library(spark, tokenizer):
     assert trie_bpe.digests(documents(spark, []), VOCABULARY).count() == 0
 
 
+def test_the_collector_is_on_again():
+    import gc
+
+    def steps():
+        with trie_bpe.uncollected():
+            yield gc.isenabled()
+            yield gc.isenabled()
+
+    assert list(steps()) == [False, False] and gc.isenabled()
+    some = steps()
+    next(some)
+    some.close()
+    assert gc.isenabled()
+
+
 CODER = trie_bpe.TrieBpe(VOCABULARY, cache_words=50)
 
 
