@@ -122,6 +122,7 @@ def parse_questions(raw: Column) -> Column:
     return F.filter(found, lambda q: q["sub_unit"].isNotNull() & (strip(q["question"]) != ""))
 
 
+#: Fixed values here and below: the words of these headers.
 def element_block(element_type: Column, page: Column, element_id: Column, content: Column, caption: Column, rows: Column, cols: Column) -> Column:
     """An element as it is shown in review: a header by type, then what it holds."""
     name = F.when(element_type == "heading", "Überschrift").when(element_type == "list_item", "Listpunkt").otherwise("Absatz")

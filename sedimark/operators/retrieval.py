@@ -195,13 +195,8 @@ def drift_warning(drifted: Column, n: Column) -> Column:
     return drifted > F.greatest(F.lit(1), F.floor(n / 10))
 
 
-#: Metadata by which two runs are comparable.
-RUN_KEYS = ["embedding_deployment_name", "embedding_model_version", "azure_openai_api_version", "search_index_name"]
-
-
-def run_differences(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(key, a, b) of the metadata in which two runs (one row each) differ."""
-    keys = keys or RUN_KEYS
+def run_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, a, b) of the metadata in which two runs (one row each) differ, of the keys by which runs are comparable."""
     one, two = (x.select(*(F.col(k).cast("string").alias(k) for k in keys)).unpivot([], keys, "key", name) for x, name in ((a, "a"), (b, "b")))
     return one.join(two, "key").where(~F.col("a").eqNullSafe(F.col("b")))
 

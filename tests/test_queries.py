@@ -152,7 +152,7 @@ def test_p95_is_the_floor_of_the_place(spark):
 
 
 def test_run_differences_and_drift(spark):
-    a, b = (spark.createDataFrame([(1, x)], "embedding_deployment_name int, search_index_name string") for x in ("i", "j"))
-    assert [tuple(r) for r in R.run_differences(a, b, ["embedding_deployment_name", "search_index_name"]).collect()] == [("search_index_name", "i", "j")]
+    a, b = (spark.createDataFrame([(1, x)], "model int, index string") for x in ("i", "j"))
+    assert [tuple(r) for r in R.run_differences(a, b, ["model", "index"]).collect()] == [("index", "i", "j")]
     n = spark.createDataFrame([(1, 5), (2, 5), (3, 30), (4, 30)], "d int, n int")
     assert [r[0] for r in n.select(R.drift_warning(R.F.col("d"), R.F.col("n"))).collect()] == [False, True, False, True]
