@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -106,6 +107,21 @@ def apply(rows: DataFrame, name: str, column: str, out: str, kind: str, batch: i
     return rows.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{out}` {kind}"]))
 
 
+def embedded(rows: DataFrame, name: str, column: str, store: str, out: str = "vector") -> DataFrame:
+    """``rows`` with the vectors of ``column``, null for null texts. Each text is embedded once: the vectors (key, vector) are kept in the Parquet table ``store``, one for each model, and only texts that it lacks go to the model."""
+    spark, key = rows.sparkSession, F.sha2(F.col(column), 256)
+    path, schema = f"{store}/model={name}", "key string, vector array<double>"
+    wanted = rows.where(F.col(column).isNotNull()).select(key.alias("key"), F.col(column).alias("text")).dropDuplicates(["key"])
+    try:
+        wanted = wanted.join(spark.read.schema(schema).parquet(path).select("key"), "key", "left_anti")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+    apply(wanted, name, "text", "vector", "array<double>").select("key", "vector").write.mode("append").parquet(path)
+    known = spark.read.schema(schema).parquet(path).select("key", F.col("vector").alias(out))
+    return rows.withColumn("key of the text", key).join(known.withColumnRenamed("key", "key of the text"), "key of the text", "left").drop("key of the text")
+
+
 def lifecycle(rows: DataFrame, name: str, column: str) -> DataFrame:
     """(partition, type, n, seconds): what a model's work is made of in each task, from loading to unloading."""
     used = model(name)

@@ -141,6 +141,21 @@ def test_models_over_rows(spark, tmp_path):
     assert [r.t for r in Mo.truncated(spark.createDataFrame([("a b c",), ("a",), (None,)], "t string"), "t", Words, 2).collect()] == ["a b", "a", None]
 
 
+def test_texts_are_embedded_once(spark, tmp_path):
+    marks = tmp_path / "marks"
+
+    def call(texts):
+        with open(marks, "a") as f:
+            f.write("".join(texts))
+        return [[float(len(t))] for t in texts]
+
+    Mo.register(Mo.Model("lengths", lambda: call))
+    df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "i int, t string")
+    for more in (df, df.union(spark.createDataFrame([(5, "ccc")], "i int, t string"))):
+        got = {r.i: r.vector for r in Mo.embedded(more, "lengths", "t", str(tmp_path / "store")).collect()}
+    assert got == {1: [1.0], 2: [2.0], 3: [1.0], 4: None, 5: [3.0]} and sorted(marks.read_text()) == list("abbccc")
+
+
 def test_entry_changes(spark):
     state = spark.createDataFrame([("r1", False, "b"), ("r1", True, "c"), ("r2", True, "a")], "entry_id string, deprecated boolean, slug string")
     asked = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "entry_id string").withColumn("query", F.lit("q")).withColumn("chunk_hashes", F.create_map(F.lit("c1"), F.lit("h"))).withColumn("reason", F.lit(None).cast("string"))
