@@ -54,7 +54,7 @@ FILTER_BITS = 1 << 26
 #: Bytes of text that are shingled at once.
 BLOCK_BYTES = 1 << 21
 #: Bytes whose words are hashed at once.
-SLICE = 1 << 21
+SLICE = 1 << 18
 #: Lists of so many members at most are compared member by member in round three; longer ones by rare elements.
 FEW = 8
 
