@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, the SQL that gives the same rows."""
 
-from sedimark.llm import backoff_lm, byte_cnn, centroid_langid, cuckoo_dedup, line_dedup, media_columns, ngram_join, packing, trie_bpe, warc_merge
+from sedimark.llm import backoff_lm, byte_cnn, centroid_langid, cuckoo_dedup, line_dedup, media_columns, ngram_join, packing, spelling_variants, trie_bpe, warc_merge
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_byte_cnn": byte_cnn.op8_byte_cnn,
     "op9_centroid_langid": centroid_langid.op9_centroid_langid,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
 }
 
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op5_warc_merge": warc_merge.ORACLE,
     "op6_ngram_join": ngram_join.ORACLE,
     "op7_backoff_lm": backoff_lm.ORACLE,
+    "op11_spelling_variants": spelling_variants.ORACLE,
 }
