@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, the SQL that gives the same rows."""
 
-from sedimark.llm import backoff_lm, byte_cnn, centroid_langid, cuckoo_dedup, line_dedup, media_columns, ngram_join, packing, spelling_variants, trie_bpe, warc_merge
+from sedimark.llm import backoff_lm, byte_cnn, centroid_langid, cuckoo_dedup, host_rules, line_dedup, media_columns, ngram_join, packing, spelling_variants, trie_bpe, warc_merge
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_centroid_langid": centroid_langid.op9_centroid_langid,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op12_host_rules": host_rules.op12_host_rules,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_ngram_join": ngram_join.ORACLE,
     "op7_backoff_lm": backoff_lm.ORACLE,
     "op11_spelling_variants": spelling_variants.ORACLE,
+    "op12_host_rules": host_rules.ORACLE,
 }
