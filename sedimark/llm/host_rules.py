@@ -10,8 +10,8 @@ before these counts are made, so nothing of a text is shuffled.
 
 *Hosts.* Failures of each rule are summed by host, inside tasks first, so a host
 that holds a third of all rows is one row a task. A host's rate of failure is shrunk:
-the rates of all hosts give a beta prior by the method of moments (their variance
-beyond what sampling explains), and a host's rate is its posterior mean. A host with
+the rates of all hosts give a beta prior by the method of moments (what they differ
+beyond sampling), and a host's rate is its posterior mean. A host with
 a shrunk rate over ``limit`` in any rule is rejected, with all its documents.
 
 *Verdicts* are joined back to the documents by host: by broadcast where Spark finds
@@ -115,25 +115,30 @@ def base_failed() -> Column:
 def host_rates(counted: DataFrame) -> DataFrame:
     """(host, n_docs and, for each rule, failures and shrunk rate) of rows of ``counts``.
 
-    The prior of a rule is beta(a, b) with a / (a + b) the mean m of the hosts' rates
-    and a + b from their variance v less m(1 - m) * mean(1 / n), which is what
-    sampling alone would give; where nothing is left of it all hosts count as alike
-    and get the mean.
+    The prior of a rule is beta(a, b) with mean m = a / (a + b), the rate of all rows,
+    and r = 1 / (a + b + 1), the correlation of two rows of one host. With n rows and
+    rate p in each of H hosts and N rows in all, the expected value of
+    sum(n (p - m)^2) / m(1 - m) is r (N - sum(n^2) / N) + (1 - r)(H - 1), which gives
+    r. Where nothing speaks for a difference between hosts (r not above 0, or all hosts
+    of one row), all get m.
     """
     fails = failures()
     sums = counted.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n_docs"), *(F.count_if(c).alias(f"{r}_failed") for r, c in fails.items()))
     # shared by the two passes below: one row a host
     sums = materialise(sums, "hosts")
-    rate = {r: F.col(f"{r}_failed") / F.col("n_docs") for r in RULES}
-    moments = sums.agg(F.avg(1 / F.col("n_docs")).alias("inverse"), *(x for r in RULES for x in (F.avg(rate[r]).alias(f"{r}_m"), F.var_pop(rate[r]).alias(f"{r}_v"))))  # one row
+    n = F.col("n_docs")
+    totals = sums.agg(F.count("*").alias("hosts"), F.sum("n_docs").alias("rows"), F.sum(n.cast("double") * n).alias("squares"), *(F.sum(f"{r}_failed").alias(f"{r}_all") for r in RULES))  # one row
+    sums = sums.crossJoin(F.broadcast(totals))
+    mean = {r: F.col(f"{r}_all") / F.col("rows") for r in RULES}
+    apart = sums.agg(*(F.sum(n * (F.col(f"{r}_failed") / n - mean[r]) ** 2).alias(f"{r}_apart") for r in RULES))  # one row
 
     def shrunk(r: str) -> Column:
-        m, spread = F.col(f"{r}_m"), F.col(f"{r}_m") * (1 - F.col(f"{r}_m"))
-        between = F.col(f"{r}_v") - spread * F.col("inverse")
-        strength = F.greatest(spread / between - 1, F.lit(0.0))
-        return F.when(between > 1e-12, (m * strength + F.col(f"{r}_failed")) / (strength + F.col("n_docs"))).otherwise(m)
+        m, less = mean[r], F.col("hosts") - 1
+        alike = (F.try_divide(F.col(f"{r}_apart"), m * (1 - m)) - less) / F.nullif(F.col("rows") - F.col("squares") / F.col("rows") - less, F.lit(0.0))
+        strength = 1 / F.least(alike, F.lit(1.0)) - 1
+        return F.when(alike > 0, (m * strength + F.col(f"{r}_failed")) / (strength + n)).otherwise(m)
 
-    return sums.crossJoin(F.broadcast(moments)).select("host", "n_docs", *(x for r in RULES for x in (F.col(f"{r}_failed"), shrunk(r).alias(f"{r}_rate"))))
+    return sums.crossJoin(F.broadcast(apart)).select("host", "n_docs", *(x for r in RULES for x in (F.col(f"{r}_failed"), shrunk(r).alias(f"{r}_rate"))))
 
 
 def judged(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -168,9 +173,11 @@ counted AS (
 fails AS (SELECT *, n_words < 10 AS f1, 100 * n_repeat_words > 20 * n_words AS f2, 100 * n_symbols > 10 * word_chars AS f3, 100 * n_dup_lines > 30 * n_lines AS f4 FROM counted),
 hosts AS (SELECT host, rule, count(*) AS n, count(*) FILTER (failed) AS k
   FROM (SELECT host, unnest([1, 2, 3, 4]) AS rule, unnest([f1, f2, f3, f4]) AS failed FROM fails WHERE host IS NOT NULL) GROUP BY ALL),
-prior AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) - avg(k / n) * (1 - avg(k / n)) * avg(1 / n) AS between FROM hosts GROUP BY rule),
-rates AS (SELECT host, CASE WHEN between > 1e-12 THEN (m * s + k) / (s + n) ELSE m END AS rate
-  FROM (SELECT host, k, n, m, between, greatest(m * (1 - m) / nullif(between, 0) - 1, 0) AS s FROM hosts JOIN prior USING (rule))),
+total AS (SELECT rule, count(*) - 1 AS less, sum(n) AS rows, sum(n::DOUBLE * n) AS squares, sum(k) / sum(n) AS m FROM hosts GROUP BY rule),
+prior AS (SELECT rule, any_value(m) AS m, (sum(n * (k / n - m) ** 2) / nullif(any_value(m * (1 - m)), 0) - any_value(less)) / nullif(any_value(rows - squares / rows - less), 0) AS alike
+  FROM hosts JOIN total USING (rule) GROUP BY rule),
+rates AS (SELECT host, CASE WHEN alike > 0 THEN (m * s + k) / (s + n) ELSE m END AS rate
+  FROM (SELECT host, k, n, m, alike, 1 / least(nullif(alike, 0), 1) - 1 AS s FROM hosts JOIN prior USING (rule))),
 rejected AS (SELECT host FROM rates GROUP BY host HAVING max(rate) > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, x.host IS NOT NULL AS host_rejected, NOT (f1 OR f2) AND x.host IS NULL AS kept
 FROM fails LEFT JOIN rejected x ON x.host = fails.host

@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, the SQL that gives the same rows."""
 
-from sedimark.llm import backoff_lm, byte_cnn, centroid_langid, cuckoo_dedup, host_rules, line_dedup, media_columns, ngram_join, packing, spelling_variants, trie_bpe, warc_merge
+from sedimark.llm import backoff_lm, byte_cnn, centroid_langid, cuckoo_dedup, host_rules, line_dedup, media_columns, ngram_join, packing, spelling_variants, trie_bpe, warc_merge, whitening
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_spelling_variants": spelling_variants.op11_spelling_variants,
     "op12_host_rules": host_rules.op12_host_rules,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {
