@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.operators.scratch import written
+from sedimark.operators.vector_index import knn, matrix, top_k
 
 
 #: Vectors in one block.
@@ -25,12 +26,11 @@ def vector_blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
     def code(batches):
         signs = None
         for batch in batches:
-            vectors = batch.column(2).to_pylist()
-            codes = []
-            for v in vectors:
-                if signs is None or signs.shape[1] != len(v):
-                    signs = np.random.default_rng(7).normal(size=(30, len(v)))
-                codes.append(int("".join("1" if x > 0 else "0" for x in signs @ np.asarray(v)), 2))
+            x = matrix(batch.column(2))
+            if signs is None:
+                signs = np.random.default_rng(7).normal(size=(x.shape[1], 32))
+            bits = np.packbits(x @ signs > 0, axis=1) if len(x) else np.zeros((0, 4), np.uint8)
+            codes = bits.astype(np.int64) @ (1 << np.array([24, 16, 8, 0], np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int64())], ["id", "grp", "vector", "code"])
 
     def block(batches):
@@ -58,33 +58,6 @@ def vector_blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(block, "grp string, first long, ids array<long>, vectors binary, centre binary, radius double")
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """The k nearest of ``corpus`` (doc, vector) for each of ``queries`` (query, vector), itself left out: exact, by rounded cosine, ties by doc.
-
-    Blocks of queries meet blocks of the corpus in matrix products, and of each
-    pair of blocks only k rows a query leave the task. Which side is sent to all
-    tasks, if any, is for Spark to say by its size.
-    """
-    q = vector_blocks(queries.select(F.col("query").alias("id"), F.lit("").alias("grp"), "vector")).select(F.col("ids").alias("queries"), F.col("vectors").alias("asked"))
-    c = vector_blocks(corpus.select(F.col("doc").alias("id"), F.lit("").alias("grp"), "vector")).select("ids", "vectors")
-
-    def run(batches):
-        for batch in batches:
-            for asked_ids, asked, ids, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(asked).reshape(len(asked_ids), -1), np.frombuffer(vectors).reshape(len(ids), -1)
-                scores, ids = np.round(x @ y.T, 6), np.array(ids)
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, : k + 1]
-                found = [(i, int(ids[j]), float(scores[n, j])) for n, i in enumerate(asked_ids) for j in order[n] if ids[j] != i]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 3, [pa.int64(), pa.int64(), pa.float64()], strict=True)], ["query", "doc", "score"])
-
-    return top_k(q.crossJoin(c).mapInArrow(run, "query long, doc long, score double"), k)
-
-
-def top_k(scored: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 

@@ -11,6 +11,7 @@ from sedimark.operators import curation as Cu
 from sedimark.operators import events as E
 from sedimark.operators import models
 from sedimark.operators import retrieval as R
+from sedimark.operators import vector_index as V
 from sedimark.operators.scratch import written
 from sedimark.plans import inputs as I
 from sedimark.plans.registry import ORACLES, QUERIES, query
@@ -36,6 +37,15 @@ def knn_cosine_topk(spark, sf_dir):
     return R.knn(*I.vectors(spark, sf_dir), 20).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def ann_topk(spark, sf_dir):
+    """The 10 nearest vectors of every fiftieth one that the approximate index finds among all."""
+    queries, corpus = I.vectors(spark, sf_dir)
+    index = V.build(corpus)
+    found = V.search(index, queries, 10) if index else R.knn(queries, corpus, 10)
+    return found.select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _metrics(spark, sf_dir) -> DataFrame:
     ranked, sizes = _found(spark, sf_dir)
     return R.ranked_metrics(ranked.where("relevant").select("query", "rank"), sizes)
