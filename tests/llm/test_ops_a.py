@@ -354,6 +354,30 @@ def test_lines_go_to_whichever_earlier_document_holds_them(spark):
             assert set(line_dedup.common_blocks(*sides, sizes, 40)) <= set(got.get(later, []))
 
 
+def test_what_alignment_finds_is_what_goes(spark, monkeypatch):
+    texts = ["\n".join(map(line, part)) for part in ([1, 2, 3], [9, 2, 3, 8], [7, 1, 6], [5, 3, 2, 1])]
+    count = lambda: sum(len(r.places) for r in line_dedup.deletions(documents(spark, texts)).collect())
+    assert count() == 2 + 1 + 3  # a moved passage too
+    assert line_dedup._common([1, 2, 3], [9, 2, 3, 8], [50] * 4, 40) == [1, 2]
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    # without it nothing goes but what is compared for repeated lines
+    assert line_dedup._common([1, 2, 3], [9, 2, 3, 8], [50] * 4, 40) == []
+
+
+def test_line_dedup_finds_what_alignment_of_all_pairs_does(spark):
+    """Documents whose id is divisible by 50 against all earlier ones: every line that aligning with each of these deletes."""
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect() if r.text)
+    held = [(i, line_dedup.Lines(t)) for i, t in rows]
+    got = {r.doc_id: set(r.places) for r in line_dedup.deletions(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    found = total = 0
+    for n, (doc_id, lines) in enumerate(held):
+        if doc_id % 50 == 0:
+            own = lines.hashes()
+            brute = {lines.places[j] for _, other in held[:n] if not set(own).isdisjoint(h := other.hashes()) for j in line_dedup._common(h, own, lines.sizes, 40)}
+            found, total = found + len(brute & got.get(doc_id, set())), total + len(brute)
+    assert total and found >= 0.9 * total
+
+
 def test_blank_lines_and_short_first_lines_dont_break_a_passage(spark):
     verse = ["the first line", "then a second one", "and a third", "a fourth to end it"]
     texts = ["\n\n".join(["own start", *verse]), "\n".join(["other words", *verse, "tail"]), "\n \n".join(["", *verse, ""]), f"head\nshort\n{line(1)}", f"another head\nshort\n{line(1)}", "the first line\n\nand a third\n\nown " + "x" * 40]
