@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sedimark.llm.common import learns, table
+from sedimark.llm.common import lean, learns, table
 
 CHUNK, OVERLAP, WINDOW, STRIDE, FILTERS = 257, 64, 5, 2, 16  # the last window of a chunk ends on its last byte
 
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: ByteCnn, column: str = "score") -> DataFrame:
             found = pa.array(model.scores(batch.column(at).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*names, column])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add(column, "double"))
+    return rows.mapInArrow(lean(run), StructType([*rows.schema.fields]).add(column, "double"))
 
 
 def keep_good(docs: DataFrame, model: ByteCnn, threshold: float = 0.7) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sedimark.llm.common import learns, table
+from sedimark.llm.common import lean, learns, table
 
 BITS, CLUSTERS = 12, 4
 DIMENSIONS = 1 << BITS
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, sample: int = 300, sample_bytes: int = 32_768, modulus:
         names = [None] * DIMENSIONS + list(by_language)
         yield pa.RecordBatch.from_arrays([pa.array([*range(DIMENSIONS), *[-1] * len(by_language)], pa.int32()), pa.array(names, pa.string()), pa.array([*seen.tolist(), *by_language.values()], pa.int64())], ["place", "lang", "n"])
 
-    found = rows.select("text", "lang").mapInArrow(frequencies, "place int, lang string, n long").groupBy("place", "lang").agg(F.sum("n").alias("n")).collect()  # DIMENSIONS rows and one a language
+    found = rows.select("text", "lang").mapInArrow(lean(frequencies), "place int, lang string, n long").groupBy("place", "lang").agg(F.sum("n").alias("n")).collect()  # DIMENSIONS rows and one a language
     counts = {r.lang: r.n for r in found if r.place < 0}
     df = np.zeros(DIMENSIONS)
     for r in found:
@@ -197,7 +197,7 @@ def learn_limits(rows: DataFrame, model: Centroids, block: int = 128) -> None:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen.ravel()[at], pa.int64())], ["place", "n"])
 
     seen = np.zeros(len(model.names) * BANDS * BINS, np.int64)
-    for r in rows.select("text", "lang").mapInArrow(spread, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # bins alone
+    for r in rows.select("text", "lang").mapInArrow(lean(spread), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # bins alone
         seen[r.place] = r.n
     model.limits = np.stack([limits(x) for x in seen.reshape(len(model.names), BANDS, BINS)])
 
@@ -217,7 +217,7 @@ def predict(docs: DataFrame, model: Centroids, prefix: str = "lang_") -> DataFra
             columns = [pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *new])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def keep_known(docs: DataFrame, model: Centroids) -> DataFrame:

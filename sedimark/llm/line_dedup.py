@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import materialise, table
+from sedimark.llm.common import lean, materialise, table
 
 LEAST_CHARS = 40
 #: So many rows at most hold a rare hash.
@@ -223,7 +223,7 @@ def lines_of(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(lean(run), FOUND)
 
 
 def aligned(shared: DataFrame, found: DataFrame, least_chars: int) -> DataFrame:
@@ -245,7 +245,7 @@ def aligned(shared: DataFrame, found: DataFrame, least_chars: int) -> DataFrame:
                     out.append([p for a, b in zip(blocks, [*blocks[1:], -1]) for p in (range(places[a], places[b]) if b == a + 1 else (places[a],))])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "text_key", "places"])
 
-    return both.select("doc_id", "text_key", "ranges", "lines", "sizes", "earlier").mapInArrow(run, "doc_id long, text_key long, places array<int>")
+    return both.select("doc_id", "text_key", "ranges", "lines", "sizes", "earlier").mapInArrow(lean(run), "doc_id long, text_key long, places array<int>")
 
 
 def deletions(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -296,7 +296,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
                 columns["n_chars"] = pa.array([len(t or "") for t in texts], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), schema=pa.schema([pa.field(n, columns[n].type) for n in names]))
 
-    return joined.mapInArrow(run, joined.schema)
+    return joined.mapInArrow(lean(run), joined.schema)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

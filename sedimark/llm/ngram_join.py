@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import bucketed, materialise, table
+from sedimark.llm.common import bucketed, lean, materialise, table
 
 _M = np.uint64
 ODD = _M(0x9E3779B97F4A7C15)
@@ -239,7 +239,7 @@ def lists(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 count = [len(x) for _, _, x in sigs]
                 yield _rows(np.zeros(sum(count), bool), np.concatenate([x for _, _, x in sigs]).view(np.int64), np.repeat(np.array([x for x, _, _ in sigs], np.int64), count), np.repeat(np.array([x for _, x, _ in sigs], np.int32), count))
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "is_doc boolean, sig long, key long, n int")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(lean(run), "is_doc boolean, sig long, key long, n int")
     by_size = Window.partitionBy("sig", "is_doc").orderBy("n")
     each = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("lo", F.min("key").over(each)).withColumn("hi", F.max("key").over(each))
@@ -273,7 +273,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, k: int) -> str:
                     found[key] = s.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["key", "elements"])
 
-    rows = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "key long, elements binary")
+    rows = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(lean(run), "key long, elements binary")
     return bucketed(rows.groupBy("key").agg(F.min("elements").alias("elements")), "sets", "key")
 
 
@@ -293,7 +293,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(den * shared >= num * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialise(both.mapInArrow(run, "a long, b long"), "links")
+    return materialise(both.mapInArrow(lean(run), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ def rare_postings(keys: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
                 e = np.frombuffer(data.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.full(len(e), key.as_py()))], ["element", "key"])
 
-    rows = keys.select("key").join(sets.hint("merge"), "key").select("key", "elements").mapInArrow(run, "element long, key long")
+    rows = keys.select("key").join(sets.hint("merge"), "key").select("key", "elements").mapInArrow(lean(run), "element long, key long")
     df = F.count("*").over(Window.partitionBy("element"))
     shared = materialise(rows.withColumn("df", df).where("df > 1"), "shared")  # an element of one set alone is in no list, and only moves the others back
     own = Window.partitionBy("key")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import materialise, table
+from sedimark.llm.common import lean, materialise, table
 from sedimark.llm.trie_bpe import SPACE, TrieBpe, byte_symbols
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker int, sequence_id long, offset long"
@@ -141,7 +141,7 @@ def first_round(docs: DataFrame, vocabulary: str, capacity: int, closing_id: int
         rows += bins.rest()
         yield out()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES)
 
 
 def second_round(left: DataFrame, capacity: int, smallest: int = 32) -> DataFrame:
