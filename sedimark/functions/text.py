@@ -150,12 +150,19 @@ def quoted(c: Column) -> Column:
     return F.replace(c, F.lit("'"), F.lit("''"))
 
 
+def utc(c: Column) -> Column:
+    """The wall clock of an instant in UTC, whatever the session's time zone."""
+    return F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone())
+
+
 def compact_time(c: Column) -> Column:
-    return F.date_format(c, "yyyyMMdd'T'HHmmss")
+    """YYYYMMDDTHHMMSS of a timestamp, in UTC."""
+    return F.date_format(utc(c), "yyyyMMdd'T'HHmmss")
 
 
 def iso_seconds(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """ISO 8601 to seconds of a timestamp, in UTC."""
+    return F.date_format(utc(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def iso_time(c: Column) -> Column:

@@ -71,8 +71,11 @@ def replace_by_source(table: DataFrame, batch: DataFrame, key: str = "source") -
     return table.join(batch.select(key).distinct(), key, "left_anti").unionByName(batch.select(*table.columns))
 
 
-def upsert(table: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    return table.join(batch.select(key).distinct(), key, "left_anti").unionByName(batch.select(*table.columns))
+def upsert(table: DataFrame, batch: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``table`` with the batch's rows in place of those of the same key; of rows of the batch with one key the last by ``order`` (or by its columns) counts."""
+    last = [F.desc(order)] if order else [F.desc(c) for c in table.columns if c != key]
+    new = batch.withColumn("nth from last", F.row_number().over(Window.partitionBy(key).orderBy(*last))).where("`nth from last` = 1")
+    return table.join(new.select(key), key, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
 
 
 def seeded_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sedimark.functions import text as T
 from sedimark.operators import events as E
 from sedimark.operators.scratch import shared_path, written
 from sedimark.plans import inputs as I
 from sedimark.plans.registry import query
-from sedimark.sources import files, sinks
+from sedimark.sources import files, sinks, stores
 from sedimark.streaming import events as S
+from sedimark.streaming import state
 
 
 @query("SELECT 'e' || event_id AS event_id, 'r' || user_id AS entry_id, CAST(value AS VARCHAR) IS NOT NULL AS has_value FROM events WHERE event_id % 7 <> 0")
@@ -17,7 +19,7 @@ def src_event_log(spark, sf_dir):
     """Events appended twice to a log of JSON lines, some of them invalid, and read back."""
     path = shared_path(spark, "log")
     e = I.table(spark, sf_dir, "events")
-    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    stamp = T.iso_seconds(F.col("ts").cast("timestamp"))
     kind = F.when(F.col("event_id") % 7 == 0, "unknown").otherwise("created")
     rows = e.select(F.col("event_id").alias("ordinal"), F.concat(F.lit("e"), "event_id").alias("event_id"), stamp.alias("timestamp_utc"), kind.alias("event_type"), F.concat(F.lit("r"), "user_id").alias("entry_id"), F.lit(1).alias("schema_version"), F.to_json(F.struct("value")).alias("payload"))
     for _ in range(2):
@@ -27,7 +29,6 @@ def src_event_log(spark, sf_dir):
 
 
 
-
 @query(f"""WITH {I.PARAGRAPHS} SELECT 'doc-' || doc_id AS slug, idx // 5 + 1 AS page_number, CASE WHEN role IN ('title', 'sectionHeading') THEN 'heading' ELSE 'paragraph' END AS element_type, 'p' || (idx // 5 + 1) || '-' || substr(sha256(trim(content)), 1, 8) AS element_id, idx AS pos FROM paragraphs WHERE (role IS NULL OR role <> 'pageFooter') AND trim(content) <> ''""")
 def src_layout_elements(spark, sf_dir):
     """Documents as layouts with a region for each line, and the elements read from them."""
@@ -72,6 +73,65 @@ def snk_upsert(spark, sf_dir):
     return C.upsert(docs, docs.where("doc_id % 3 = 0").withColumn("n_chars", F.col("n_chars") + 1).unionByName(new), "doc_id")
 
 
+@query("SELECT 'e' || event_id AS event_id, event_id % 4 AS writer FROM events")
+def snk_concurrent(spark, sf_dir):
+    """Four writers append to one log at once, each its own events and some of every other's; each id is there once."""
+    from threading import Thread
+
+    path, failed = shared_path(spark, "log"), []
+    e = I.table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").alias("ordinal"), F.concat(F.lit("e"), "event_id").alias("event_id"), T.iso_seconds(F.col("ts").cast("timestamp")).alias("timestamp_utc"), F.lit("created").alias("event_type"), F.concat(F.lit("w"), F.col("event_id") % 4).alias("entry_id"), F.lit(1).alias("schema_version"), F.lit("{}").alias("payload"))
+    mine = F.col("ordinal") % 4
+
+    def write(n: int) -> None:
+        try:
+            sinks.append_events(spark, path, rows.where((mine == n) | (F.col("ordinal") % 10 == 0)))
+        except Exception as e:
+            failed.append(e)
+
+    writers = [Thread(target=write, args=(n,)) for n in range(4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    if failed:
+        raise failed[0]
+    return files.event_log(spark, path).select("event_id", F.substring("entry_id", 2, 1).cast("long").alias("writer"))
+
+
+@query("""WITH b AS (SELECT doc_id, source, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 97 = 0)
+SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 97 <> 0 UNION ALL SELECT * FROM b UNION ALL SELECT doc_id + 1000000000, source, n_chars FROM documents WHERE doc_id % 97 = 1""")
+def snk_upsert_stored(spark, sf_dir):
+    """Rows put into a stored table by their ids, some twice in one batch, with only their buckets written anew."""
+    path = shared_path(spark, "table")
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    stores.upsert_stored(docs, path, "doc_id")
+    old = docs.where("doc_id % 97 = 0")
+    new = docs.where("doc_id % 97 = 1").withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
+    stores.upsert_stored(old.unionByName(old.withColumn("n_chars", F.col("n_chars") + 1)).unionByName(new), path, "doc_id", "n_chars")
+    return stores.stored(spark, path, "doc_id long, source string, n_chars long, bucket int").drop("bucket")
+
+
+@query("SELECT page_id, length(html) AS n_chars, sha256(html) AS html_sha256 FROM pages WHERE html <> ''")
+def snk_documents(spark, sf_dir):
+    """Pages written as one file a document, twice, and read back."""
+    path = shared_path(spark, "documents")
+    pages = I.table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id").alias("slug"), F.col("html").alias("content"))
+    stores.write_documents(pages.withColumn("content", F.lit("draft")), path)
+    stores.write_documents(pages, path)
+    back = stores.documents(spark, path)
+    return back.select(F.substring("slug", 6, 30).cast("long").alias("page_id"), F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("html_sha256"))
+
+
+def _arrivals(spark, rows, order, parts: int = 3):
+    """A folder to which ``rows`` come as files in about equal ``parts``, those first in ``order`` (a number) first."""
+    path, rows = shared_path(spark, "in"), written(rows.withColumn("at", order.cast("double")), "arrivals")
+    cuts = rows.approxQuantile("at", [n / parts for n in range(1, parts)], 0.01)
+    for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
+        rows.where((F.col("at") > low) & (F.col("at") <= high)).drop("at").write.mode("append").json(path)
+        yield path
+
+
 def _event_files(spark, sf_dir, rows):
     path = shared_path(spark, "in")
     rows.repartition(4).write.json(path)
@@ -85,7 +145,7 @@ def stream_ingest_fold(spark, sf_dir):
     schema = "entry_id long, event_id long, event_type string, ts timestamp_ntz, valid_created boolean, level string"
     path, log = _event_files(spark, sf_dir, g), shared_path(spark, "log")
     for _ in range(2):
-        q = S.ingest(S.read_lines(spark, path, schema), log, shared_path(spark, "checkpoint"))
+        q = S.ingest(S.read_lines(spark, path, schema, numbered=True), log, shared_path(spark, "checkpoint"))
         q.awaitTermination()
         if q.exception():
             raise q.exception()
@@ -100,21 +160,49 @@ def stream_job_states(spark, sf_dir):
     e = I.table(spark, sf_dir, "events")
     # microseconds that the id adds keep events of one second in order
     rows = e.select(F.col("user_id").cast("string").alias("job"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.coalesce(F.try_element_at(names, F.col("event_type")), F.col("event_type")).alias("type"), F.col("event_id").alias("current"), F.lit(None).cast("long").alias("total"))
-    path, out = shared_path(spark, "in"), shared_path(spark, "states")
-    rows.coalesce(1).sortWithinPartitions("ts", "current").write.json(path)
-    states = S.job_states(S.read_lines(spark, path, S.STAGE))
+    out, checkpoint = shared_path(spark, "states"), shared_path(spark, "checkpoint")
 
     def keep(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
 
-    q = states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", shared_path(spark, "checkpoint")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
+    for path in _arrivals(spark, rows, F.unix_micros(F.col("ts").cast("timestamp"))):
+        q = S.job_states(S.read_lines(spark, path, S.STAGE)).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
     last = spark.read.parquet(out).groupBy("job").agg(F.max_by(F.struct("stage", "n_events", "n_errors"), "batch").alias("s"))
     return last.select(F.col("job").cast("long").alias("user_id"), "s.*")
 
 
+@query(f"WITH {I.GOLDEN} SELECT entry_id, created_event, n_reviews, deprecated, CASE coalesce(best, 0) WHEN 0 THEN 'synthetic' WHEN 1 THEN 'expert' WHEN 2 THEN 'phd' WHEN 3 THEN 'masters' WHEN 4 THEN 'bachelors' ELSE 'other' END AS level FROM state")
+def stream_fold(spark, sf_dir):
+    """Golden events that arrive in an order of their own, in three parts and a restart before each; the fold as it stands after the last."""
+    g = I.golden_events(spark, sf_dir)
+    schema = "entry_id long, event_id long, event_type string, ts timestamp_ntz, valid_created boolean, level string"
+    out, checkpoint = shared_path(spark, "fold"), shared_path(spark, "checkpoint")
+    for path in _arrivals(spark, g, F.xxhash64("event_id")):
+        state.run_to_end(state.folded(S.read_lines(spark, path, schema)), out, checkpoint)
+    last = state.batches(spark, out, state.FOLDED).groupBy("entry_id").agg(F.max_by(F.struct("created_event", "n_reviews", "deprecated", "level"), "batch").alias("s"))
+    return last.select("entry_id", "s.*")
+
+
+@query("""WITH k AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'model-loading' WHEN 'view' THEN 'work-progress' WHEN 'purchase' THEN 'work-complete' ELSE 'work-failed' END AS type FROM events WHERE event_type <> 'click'),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM k)
+SELECT user_id, seq, type, CASE type WHEN 'model-loading' THEN 'loading' WHEN 'work-progress' THEN 'running' WHEN 'work-complete' THEN 'completed' ELSE 'failed' END AS stage,
+  count(*) FILTER (WHERE type = 'work-failed') OVER (PARTITION BY user_id ORDER BY seq) AS n_errors,
+  CASE WHEN type IN ('work-complete', 'work-failed') THEN seq END AS told FROM n""")
+def stream_timelines(spark, sf_dir):
+    """Each job's events in their order with the stage after each, and how many its closing rows tell, over three arrivals."""
+    names = F.create_map(*(F.lit(x) for pair in {"signup": "model-loading", "view": "work-progress", "purchase": "work-complete", "error": "work-failed"}.items() for x in pair))
+    e = I.table(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("job"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.coalesce(F.try_element_at(names, F.col("event_type")), F.col("event_type")).alias("type"), F.lit(None).cast("long").alias("current"), F.lit(None).cast("long").alias("total"), F.col("event_id").alias("nth"))
+    out, checkpoint = shared_path(spark, "timelines"), shared_path(spark, "checkpoint")
+    for path in _arrivals(spark, rows, F.unix_micros(F.col("ts").cast("timestamp"))):
+        state.run_to_end(state.timelines(S.read_lines(spark, path, S.STAGE + ", nth long")), out, checkpoint)
+    told = state.batches(spark, out, "job string, seq long, type string, stage string, n_errors long, timeline array<string>")
+    return told.select(F.col("job").cast("long").alias("user_id"), "seq", "type", "stage", "n_errors", F.when(F.col("timeline").isNotNull(), F.size("timeline")).cast("long").alias("told"))
+
+
 @query(f"""WITH {I.PARAGRAPHS} SELECT doc_id, count(*) FILTER (WHERE content <> '') AS kept FROM paragraphs GROUP BY 1""")
 def stream_process(spark, sf_dir):
     """Documents streamed through a step that counts their lines, with what the run tells of itself."""

@@ -6,6 +6,8 @@ Spark knows. A path without files gives no row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,18 +34,43 @@ MIDDLE = f"pdf_info array<struct<page_size:array<double>,para_blocks:array<{BLOC
 PAGE_SIZE = (612.0, 792.0)
 
 
+def or_empty(spark: SparkSession, read: Callable[[], DataFrame], schema, more: str | None = None) -> DataFrame | None:
+    """What ``read`` opens; a path that isn't there gives a table of ``schema`` (and the columns ``more``) without rows, or None without a schema."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+    if schema is None:
+        return None
+    none = spark.createDataFrame([], schema)
+    for c in StructType.fromDDL(more).fields if more else []:
+        none = none.withColumn(c.name, F.lit(None).cast(c.dataType))
+    return none
+
+
+#: Folder of a log's commits: a file for each append, numbered, that names the folder of its rows.
+COMMITS = "_commits"
+
+
+def commits(spark: SparkSession, path: str) -> list[str]:
+    """The folders of a log's appends in the order of their commits."""
+    marks = or_empty(spark, lambda: spark.read.text(f"{path}/{COMMITS}/[0-9]*", wholetext=True), None)
+    if marks is None:
+        return []
+    return [f"{path}/{r.value}" for r in sorted(marks.select("value", F.col("_metadata.file_name").alias("n")).collect(), key=lambda r: r.n)]  # one row an append
+
+
 def slug_of(path: Column) -> Column:
-    """The folder above a file's own."""
-    return F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1)
+    """The folder above a file's own; the folders of single appends don't count."""
+    return F.regexp_extract(F.regexp_replace(path, "/append-[0-9a-f-]+/", "/"), r"([^/]+)/[^/]+/[^/]+$", 1)
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(value, file, place) of each line that isn't blank; place orders the lines of a file."""
-    try:
-        lines = spark.read.text(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
-            raise
+    whole = commits(spark, path) if isinstance(path, str) and "*" not in path else []
+    lines = or_empty(spark, lambda: spark.read.text(whole or path), None)
+    if lines is None:
         return spark.createDataFrame([], "value string, file string, place struct<start:bigint,n:bigint>")
     place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
     return lines.select("value", F.col("_metadata.file_path").alias("file"), place.alias("place")).where(F.trim("value") != "")

@@ -6,15 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.operators.events import first_of_each
-from sedimark.sources import files
+from sedimark.sources import files, stores
 
 
-def append_events(spark: SparkSession, path: str, batch: DataFrame) -> None:
-    """Append the events of ``batch`` (with ``ordinal``) whose ids the log lacks; of equal ids in the batch the first counts. One writer at a time."""
-    fresh = first_of_each(batch).join(files.event_ids(spark, path), "event_id", "left_anti")
+def append_events(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
+    """Append the events of ``batch`` (with ``ordinal``) whose ids the log lacks; of equal ids in the batch the first counts. Returns the rows whose payload isn't JSON, which don't go in.
+
+    Writers may append at the same time; see :func:`stores.append_committed`.
+    """
     columns = ("event_id", "timestamp_utc", "event_type", "entry_id", "schema_version")
-    line = F.to_json(F.struct(*columns, F.parse_json("payload").alias("payload")), {"ignoreNullFields": "false"})
-    fresh.select(line.alias("value")).write.mode("append").text(path)
+    rows = batch.withColumn("parsed", F.try_parse_json("payload"))
+    good = rows.where(F.col("parsed").isNotNull() | F.col("payload").isNull())
+    line = F.to_json(F.struct(*columns, F.col("parsed").alias("payload")), {"ignoreNullFields": "false"})
+
+    def fresh() -> DataFrame:
+        return first_of_each(good).join(files.event_ids(spark, path), "event_id", "left_anti")
+
+    stores.append_committed(spark, path, fresh, lambda rows, to: rows.select(line.alias("value")).write.text(to))
+    return rows.where(F.col("parsed").isNull() & F.col("payload").isNotNull()).select(*batch.columns)
 
 
 def write_lines(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:

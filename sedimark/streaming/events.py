@@ -2,72 +2,73 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sedimark.operators.events import fold
+from sedimark.sources.files import or_empty
+from sedimark.streaming import state
+from sedimark.streaming.state import STAGES
 
 STAGE = "job string, ts timestamp, type string, current long, total long"
-#: The stage that each type of worker event leads to.
-STAGES = {"model-loading": "loading", "model-loaded": "ready", "work-progress": "running", "work-complete": "completed", "model-unloading": "unloading", "model-unloaded": "idle", "work-failed": "failed"}
 
 
-def read_lines(spark: SparkSession, path: str, schema: str, files_a_batch: int = 1000) -> DataFrame:
-    """A folder of NDJSON files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).json(path)
+def read_lines(spark: SparkSession, path: str, schema: str, files_a_batch: int = 1000, numbered: bool = False) -> DataFrame:
+    """A folder of NDJSON files as a stream; ``numbered``: with ``file``, ``start`` and ``nth``, by which lines are in order."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).json(path)
+    if not numbered:
+        return rows
 
+    def count(batches):
+        n = 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(n, n + batch.num_rows), pa.int64())], [*batch.schema.names, "nth"])
+            n += batch.num_rows
 
-#: Parts of a log, by the hash of event ids.
-PARTS = 256
+    placed = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return placed.mapInArrow(count, StructType([*placed.schema.fields]).add("nth", "long"))
 
 
-def ingest(events: DataFrame, log: str, checkpoint: str):
-    """Append a stream of events (event_id, entry_id, ...) to the Parquet log, each id once.
+def ingest(events: DataFrame, log: str, checkpoint: str, key: str = "event_id"):
+    """Append a stream of events (event_id, entry_id, ...) to the Parquet log, each id once: the first in the order of ``file``, ``start`` and ``nth``, if there are these columns.
 
-    The log is partitioned by the hash of ids, and a batch is checked against the
-    ids of the parts that it touches and no others. So a batch that runs again
-    after a failure adds nothing, and no state is kept by the query.
+    Ids that have come are kept as keyed state, so a batch costs the same however
+    long the log is. A stream with a new checkpoint begins with the ids of the log.
+    Batches are folders of their own (run, batch), so one that runs again after a
+    failure replaces itself.
     """
-
-    def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["event_id"]).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(PARTS)).cast("int"))
-        touched = [r.part for r in fresh.select("part").distinct().collect()]  # PARTS at most
-        try:
-            there = spark.read.schema(fresh.schema).parquet(log).where(F.col("part").isin(touched)).select("event_id")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
-                raise
-        else:
-            fresh = fresh.join(there, "event_id", "left_anti")
-        fresh.select(*batch.columns, "part").write.mode("append").partitionBy("part").parquet(log)
-
-    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark = events.sparkSession
+    known = or_empty(spark, lambda: spark.read.parquet(log).select(key), events.select(key).schema)
+    order = tuple(c for c in ("file", "start", "nth") if c in events.columns) or tuple(c for c in events.columns if c != key)[:1]
+    run = f"r{zlib.crc32(checkpoint.encode()):08x}"
+    return state.start(state.first_arrivals(events, key, order, known), f"{log}/run={run}", checkpoint)
 
 
 def process(rows: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
     """Put a stream of elements (slug, element_id, ...) through ``work``, batch by batch.
 
-    ``out`` gets a line for each batch's start, for each row of ``work`` (slug,
+    ``out`` gets, in a folder for each batch, a line for its start, for each row of ``work`` (slug,
     element_id, kept, skipped) and for its end: complete, or the error, after which
     the query fails with it.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark, own = batch.sparkSession, f"{out}/batch={number}"
 
-        def tell(kind: str, text: str | None = None) -> None:
-            told = spark.createDataFrame([(number, kind, text)], "batch long, type string, message string")
-            told.selectExpr("batch", "type", "cast(null as string) as slug", "cast(null as string) as element_id", "cast(null as long) as kept", "message").write.mode("append").parquet(out)
+        def tell(kind: str, text: str | None = None, mode: str = "append") -> None:
+            told = spark.createDataFrame([(kind, text)], "type string, message string")
+            told.selectExpr("type", "cast(null as string) as slug", "cast(null as string) as element_id", "cast(null as long) as kept", "message").write.mode(mode).parquet(own)
 
-        tell("start")
+        # a batch that runs again after a failure begins its lines anew
+        tell("start", mode="overwrite")
         try:
-            done = work(batch).selectExpr(f"{number}L as batch", "'element' as type", "slug", "element_id", "cast(kept as long) as kept", "skipped as message")
-            done.write.mode("append").parquet(out)
+            work(batch).selectExpr("'element' as type", "slug", "element_id", "cast(kept as long) as kept", "skipped as message").write.mode("append").parquet(own)
         except Exception as e:
             tell("error", str(e)[:500])
             raise
