@@ -81,6 +81,44 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float
     return top_k(weighed.join(terms, "word").groupBy("query", "doc").agg(F.round(F.sum("weight"), 6).alias("score")), k)
 
 
+def bm25f(queries: DataFrame, docs: DataFrame, k: int, weights: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 over several fields of ``docs`` (doc and the fields of ``weights``) for ``queries`` (query, text).
+
+    A word's count in a field is divided by the field's length against its mean, and
+    weighed; the sum over fields saturates as one. As in :func:`bm25`, words that no
+    query has fall away before anything is shuffled, and a row for the empty word
+    carries each field's length.
+    """
+    terms = queries.select("query", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    asked = terms.select("word").union(docs.sparkSession.createDataFrame([("",)], "word string")).distinct()
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("weight"), F.coalesce(words(F.col(f)), F.array().cast("array<string>")).alias("w")) for f, w in weights.items()))
+    sized = docs.select("doc", F.explode(fields).alias("f")).select("doc", "f.field", "f.weight", F.size("f.w").alias("len"), F.explode(F.array_append("f.w", F.lit(""))).alias("word"))
+    counts = written(sized.join(asked, "word", "left_semi").groupBy("doc", "field", "weight", "len", "word").agg(F.count("*").alias("tf")), "fields")
+    shape = counts.where("word = ''").groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # a row a field
+    norm = 1 - b + b * F.coalesce(F.try_divide("len", "mean"), F.lit(1.0))
+    in_fields = counts.where("word <> ''").join(F.broadcast(shape), "field").groupBy("doc", "word", "n").agg(F.sum(F.col("weight") * F.col("tf") / norm).alias("tf"))
+    df = counts.where("word <> ''").groupBy("word").agg(F.count_distinct("doc").alias("df"))
+    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (k1 + F.col("tf"))
+    weighed = in_fields.join(df, "word").select("doc", "word", weight.alias("weight"))
+    return top_k(weighed.join(terms, "word").groupBy("query", "doc").agg(F.round(F.sum("weight"), 6).alias("score")), k)
+
+
+def by_proximity(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, share: float = 1.0) -> DataFrame:
+    """Hits (query, doc, score) ranked anew by how close the query's words stand in the document: score + share * p / (1 + p).
+
+    p is the sum of 1 / gap^2 over neighbouring occurrences of different words of the
+    query, in the order of their places. Only texts of hits are looked at.
+    """
+    wanted = queries.select("query", F.array_distinct(words(F.col("text"))).alias("wanted"))
+    both = hits.select("query", "doc", "score").join(docs.select("doc", "text"), "doc").join(wanted, "query")
+    places = F.filter(F.transform(words(F.col("text")), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("wanted", x["w"]))
+    # a step of its own: the places are made once
+    rows = written(both.select("query", "doc", "score", places.alias("p")), "places")
+    gap = F.zip_with(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))), lambda y, x: F.when(x["w"] == y["w"], 0.0).otherwise(1.0 / (y["i"] - x["i"]) ** 2))
+    near = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)
+    return top_k(rows.select("query", "doc", F.round(F.col("score") + share * near / (1 + near), 6).alias("score")), k)
+
+
 def hybrid(queries: DataFrame, docs: DataFrame, k: int, depth: int = 10, where: Column | None = None) -> DataFrame:
     """Text and vector search in one: ``queries`` (query, text, vector) against ``docs`` (doc, text, vector, ...) that pass ``where``, both lists of ``depth`` fused by rank."""
     asked = docs if where is None else docs.where(where)

@@ -9,6 +9,7 @@ from sedimark.functions import text as T
 from sedimark.operators import chunks as C
 from sedimark.operators import curation as Cu
 from sedimark.operators import events as E
+from sedimark.operators import filters
 from sedimark.operators import models
 from sedimark.operators import retrieval as R
 from sedimark.operators import vector_index as V
@@ -167,6 +168,48 @@ def bm25_topk(spark, sf_dir):
     return R.bm25(I.lexical_queries(spark, sf_dir), docs, 10).select("query", "doc", F.round("score", 4).alias("score"))
 
 
+FIELDS = f"""q AS (SELECT item_id AS query, unnest(list_distinct({WORDS})) AS word FROM benchmark),
+fd AS (SELECT doc_id AS doc, unnest(['title', 'content']) AS field, unnest([2.0::DOUBLE, 1.0]) AS weight, unnest([split_part(text, chr(10), 1), CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END]) AS text FROM documents),
+fw AS (SELECT doc, field, weight, coalesce({WORDS}, []) AS w FROM fd),
+fshape AS (SELECT field, count(*) AS n, avg(len(w)) AS mean FROM fw GROUP BY 1),
+ftf AS (SELECT doc, field, weight, len, word, count(*) AS tf FROM (SELECT doc, field, weight, len(w) AS len, unnest(w) AS word FROM fw) SEMI JOIN q USING (word) GROUP BY ALL),
+fdf AS (SELECT word, count(DISTINCT doc) AS df FROM ftf GROUP BY 1),
+inf AS (SELECT doc, word, n, sum(weight * tf / (1 - 0.75 + 0.75 * len / mean)) AS tf FROM ftf JOIN fshape USING (field) GROUP BY ALL),
+fs AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (1.2 + tf)), 6) AS score FROM inf JOIN fdf USING (word) JOIN q USING (word) GROUP BY 1, 2),
+flex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM fs) WHERE rank <= 10)"""
+
+
+def _fielded(spark, sf_dir, k: int = 10):
+    text = F.col("text")
+    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", F.substring_index(text, "\n", 1).alias("title"), F.when(F.instr(text, "\n") > 0, F.substr(text, F.instr(text, "\n") + 1)).otherwise("").alias("content"))
+    return R.bm25f(I.lexical_queries(spark, sf_dir), docs, k, {"title": 2.0, "content": 1.0}), docs
+
+
+@query(f"WITH {FIELDS} SELECT query, doc, round(score, 4) AS score FROM flex")
+def bm25f_topk(spark, sf_dir):
+    """Whole benchmark texts against documents as a title, their first line, and content."""
+    return _fielded(spark, sf_dir)[0].select("query", "doc", F.round("score", 4).alias("score"))
+
+
+@query(f"""WITH {FIELDS}, pw AS (SELECT h.query, h.doc, h.score, w[i] AS word, i FROM flex h JOIN (SELECT doc_id AS doc, {WORDS} AS w FROM documents) d USING (doc), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+pp AS (SELECT pw.query, doc, i, pw.word, lag(i) OVER o AS before, lag(pw.word) OVER o AS other FROM pw JOIN q ON q.query = pw.query AND q.word = pw.word WINDOW o AS (PARTITION BY pw.query, doc ORDER BY i)),
+p AS (SELECT query, doc, coalesce(sum(CASE WHEN other <> word THEN 1.0::DOUBLE / ((i - before) * (i - before)) END), 0) AS p FROM pp GROUP BY 1, 2),
+r AS (SELECT query, doc, round(score + p / (1 + p), 6) AS score FROM flex JOIN p USING (query, doc))
+SELECT query, doc, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM r) WHERE rank <= 5""")
+def search_proximity(spark, sf_dir):
+    """The best of the fielded hits by how close the query's words stand in them."""
+    hits, docs = _fielded(spark, sf_dir)
+    return R.by_proximity(hits, I.lexical_queries(spark, sf_dir), docs, 5).select("query", "doc", F.round("score", 4).alias("score"))
+
+
+@query("""SELECT source, lang, count(*) AS n FROM documents WHERE (source IN ('src1', 'src2', 'src3') AND NOT (lang = 'en' OR n_chars >= 3000)) OR (lang = 'de' AND n_chars < 500 AND source IS NOT NULL) GROUP BY ALL""")
+def search_filtered(spark, sf_dir):
+    """Documents that a filter expression of a search lets pass."""
+    docs = I.table(spark, sf_dir, "documents")
+    where = "source in ('src1', 'src2', 'src3') and not (lang eq 'en' or n_chars ge 3000) or lang eq 'de' and n_chars lt 500 and source ne null"
+    return docs.where(filters.condition(where, docs.columns)).groupBy("source", "lang").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {HYBRID} SELECT query, doc, score, rank FROM hyb")
 def hybrid_rrf(spark, sf_dir):
     """Text and vector search over the English documents, fused by rank."""

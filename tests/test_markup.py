@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimark.functions import markup as M
+from sedimark.functions.mathml import mathml
 from sedimark.functions import text as T
 from sedimark.operators import box_edits as D
 from sedimark.operators import boxes as B
@@ -44,6 +45,30 @@ def test_math(spark):
     assert values(spark, M.upright_subscripts, [r"a_{max}^{x}_{\alpha bc}"]) == [r"a_{\mathrm{max}}^{x}_{\alpha bc}"]
 
 
+@pytest.mark.parametrize("latex, inner", [
+    ("x", "<mi>x</mi>"), ("x_1^{2}", "<msubsup><mi>x</mi><mn>1</mn><mn>2</mn></msubsup>"), (r"\\frac{1}{2a}", "<mfrac><mn>1</mn><mrow><mn>2</mn><mi>a</mi></mrow></mfrac>"),
+    (r"\\dot{q}_{\\mathrm{max, BE}}", "<msub><mover><mi>q</mi><mo>˙</mo></mover><mtext>max, BE</mtext></msub>"), (r"\\alpha \\le 3.5", "<mrow><mi>α</mi><mo>≤</mo><mn>3.5</mn></mrow>"),
+    ("q''_a", "<msubsup><mi>q</mi><mi>a</mi><mrow><mo>′</mo><mo>′</mo></mrow></msubsup>"), (r"\\sqrt{a<b}", "<msqrt><mrow><mi>a</mi><mo>&lt;</mo><mi>b</mi></mrow></msqrt>"), ("^2", "<msup><mrow></mrow><mn>2</mn></msup>"),
+])
+def test_small_formulas_become_mathml(latex, inner):
+    latex = latex.replace("\\\\", "\\")
+    assert mathml(latex) == f'<math display="inline">{inner}</math>'
+
+
+@pytest.mark.parametrize("latex", [r"\nosuch{x}", "{a", "a}", "a_", r"\frac{1}", r"\mathrm x", "a_1_2"])
+def test_what_isnt_understood_is_an_error(latex):
+    with pytest.raises(ValueError):
+        mathml(latex)
+
+
+def test_formulas_in_texts():
+    assert M.math_text(r"a $$ \frac{1}{2} $$ b $\dot{x}$' c $$\odd{1}$$", mathml) == (
+        'a <div class="math-display"><math display="block"><mfrac><mn>1</mn><mn>2</mn></mfrac></math></div> b '
+        '<math display="inline"><mover><mi>x</mi><mo>˙</mo></mover></math><sup class="prime">′</sup> c <code class="math-error">\\odd{1}</code>')
+    assert M.math_text("costs 5$ or $$", None) == "costs 5$ or $$" and M.math_text(r"C:\Users\x", mathml) == r"C:\Users\x"
+    assert M.math_text("$$  $$x", mathml) == "x" and M.math_text(r"$^\circ$ $_{\mu}$", None) == "<sup>°</sup> <sub>µ</sub>"
+
+
 def test_captions(spark):
     got = values(spark, M.caption, ["<table><caption id=1> C </caption><tr>", "Lead <b>x</b><table>..</table>", "<table>..</table>after\ntext", "<p>no", "ab<table></table>c", "<caption> </caption>Leading<figure>"])
     assert [c and tuple(c) for c in got] == [("C", "<table><tr>"), ("Lead x", "<table>..</table>"), ("after\ntext", "<table>..</table>"), None, None, ("Leading", "<figure>")]
