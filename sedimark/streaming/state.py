@@ -163,15 +163,17 @@ class _Timeline(StatefulProcessor):
         self.state = handle.getValueState("state", "seq long, stage string, errors long, reports long, at_ms long, current long, total long, rate double")
         self.line = handle.getListState("timeline", "type string")
 
-    def row(self, key, kind: str, at_us: int, s: list) -> dict:
+    @staticmethod
+    def row(key, kind: str, at_us: int, s: list, line: list[str]) -> dict:
         seq, stage, errors, reports, _, current, total, rate = s
         told = reports >= 3 and rate is not None and total is not None
-        whole = [x[0] for x in self.line.get()] if kind in CLOSING else None
+        whole = [*line] if kind in CLOSING else None
         return {"job": key[0], "seq": seq, "at_us": at_us, "type": kind, "stage": stage, "n_errors": errors, "current": current, "total": total, "rate": rate if told else None, "eta": max(0, total - current) / rate if told else None, "timeline": whole}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = list(self.state.get()) if self.state.exists() else [0, "idle", 0, 0, None, None, None, None]
-        out = []
+        out, line = [], [x[0] for x in self.line.get()]
+        old = len(line)
         for r in pd.concat(list(rows)).sort_values(["at", "nth"], kind="stable").itertuples(index=False):
             if r.type not in STAGES:
                 continue
@@ -182,12 +184,13 @@ class _Timeline(StatefulProcessor):
                     fresh = 1000 * (done - s[5]) / (now - s[4])
                     s[7] = fresh if s[7] is None else 0.3 * fresh + 0.7 * s[7]
                 s[3:7] = s[3] + 1, now, done, None if pd.isna(r.total) else int(r.total)
-            self.line.appendValue((r.type,))
-            out.append(self.row(key, r.type, int(r.at), s))
+            line.append(r.type)
+            out.append(self.row(key, r.type, int(r.at), s, line))
         if not out:
             return
+        self.line.appendList([(x,) for x in line[old:]])
         self.state.update(tuple(s))
-        for t in list(self.handle.listTimers()):
+        for t in list(self.handle.listTimers()) if self.stall_ms else []:
             self.handle.deleteTimer(t if isinstance(t, int) else t[0])
         if self.stall_ms and STAGES[out[-1]["type"]] in ("loading", "running"):
             self.handle.registerTimer(out[-1]["at_us"] // 1000 + self.stall_ms)
@@ -198,7 +201,7 @@ class _Timeline(StatefulProcessor):
         s[0], s[1] = s[0] + 1, "stalled"
         self.line.appendValue(("stalled",))
         self.state.update(tuple(s))
-        yield _frame([self.row(key, "stalled", expiredTimerInfo.getExpiryTimeInMs() * 1000, s)])
+        yield _frame([self.row(key, "stalled", expiredTimerInfo.getExpiryTimeInMs() * 1000, s, [x[0] for x in self.line.get()])])
 
     def close(self) -> None:
         pass
