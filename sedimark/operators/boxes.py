@@ -13,29 +13,34 @@ KINDS = ["heading", "paragraph", "table", "figure", "caption", "formula", "list_
 TEXT_KINDS = ["heading", "paragraph", "caption", "list_item", "auxiliary", "formula"]
 
 
-def _pairs(boxes: DataFrame, elements: DataFrame) -> DataFrame:
-    b = boxes.select("page", "box_id", "kind", *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
+def _pairs(boxes: DataFrame, elements: DataFrame, meeting: bool = False, *more: str) -> DataFrame:
+    """Boxes and elements of one page with overlap; ``meeting``: those alone that share area or the element's centre. ``more`` are further columns of boxes."""
+    b = boxes.select("page", "box_id", "kind", *more, *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
     e = elements.select("page", "element_id", "block_type", *(F.col(c).alias(f"e_{c}") for c in ("x0", "y0", "x1", "y1")))
-    return b.join(e, "page").withColumn("iou", G.iou(G.box("b_"), G.box("e_"))).withColumn("inside", G.centre_in(G.box("e_"), G.box("b_")))
+    both = b.join(e, "page")
+    inside = G.centre_in(G.box("e_"), G.box("b_"))
+    if meeting:  # plain comparisons, before any arithmetic
+        area = (F.least("b_x1", "e_x1") > F.greatest("b_x0", "e_x0")) & (F.least("b_y1", "e_y1") > F.greatest("b_y0", "e_y0"))
+        both = both.where(area | inside)
+    return both.withColumn("iou", G.iou(G.box("b_"), G.box("e_"))).withColumn("inside", inside)
 
 
 def matches(boxes: DataFrame, elements: DataFrame, least: float = 0.3) -> DataFrame:
     """All (box, element) that overlap by more than ``least`` or with the element's centre in the box."""
-    return _pairs(boxes, elements).where((F.col("iou") > least) | F.col("inside")).select("page", "box_id", "element_id", F.round("iou", 6).alias("iou"))
+    return _pairs(boxes, elements, True).where((F.col("iou") > least) | F.col("inside")).select("page", "box_id", "element_id", F.round("iou", 6).alias("iou"))
 
 
 def assign(boxes: DataFrame, elements: DataFrame, least: float = 0.3) -> DataFrame:
     """Each element's best box by overlap times fit of kind and type; ties go to the box first in reading order."""
-    order = boxes.select("page", "box_id", "reading_order")
     score = F.when(F.col("inside"), F.greatest("iou", F.lit(0.31))).otherwise(F.col("iou")) * G.compatibility(F.col("kind"), F.col("block_type"))
-    scored = _pairs(boxes, elements).withColumn("score", score).where(F.col("score") >= least).join(order, ["page", "box_id"])
-    best = F.row_number().over(Window.partitionBy("page", "element_id").orderBy(F.desc("score"), "reading_order"))
-    return scored.withColumn("nth", best).where("nth = 1").select("page", "element_id", "box_id", F.round("score", 6).alias("score"))
+    scored = _pairs(boxes, elements, True, "reading_order").withColumn("score", score).where(F.col("score") >= least)
+    best = F.max(F.struct("score", (-F.col("reading_order")).alias("earlier"), "box_id"))
+    return scored.groupBy("page", "element_id").agg(best.alias("best")).select("page", "element_id", "best.box_id", F.round("best.score", 6).alias("score"))
 
 
 def split_candidates(boxes: DataFrame, elements: DataFrame, least: float = 0.05) -> DataFrame:
     """Text elements that reach into several text boxes, and are to be replaced by their lines."""
-    hit = _pairs(boxes.where(F.col("kind").isin(TEXT_KINDS)), elements.where(F.col("block_type").isin("text", "list", "title"))).where((F.col("iou") > least) | F.col("inside"))
+    hit = _pairs(boxes.where(F.col("kind").isin(TEXT_KINDS)), elements.where(F.col("block_type").isin("text", "list", "title")), True).where((F.col("iou") > least) | F.col("inside"))
     return hit.groupBy("page", "element_id").agg(F.count("*").alias("n_boxes")).where("n_boxes > 1")
 
 

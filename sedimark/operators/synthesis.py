@@ -20,25 +20,67 @@ from sedimark.operators.scratch import written
 #: Abbreviations after which a German sentence goes on.
 ABBREVIATIONS = "Abb Abs Bd Dr Fr Hr Jh Kap Nr Prof S Str Tab bzw ca etc evtl f ff ggf gem inkl max min o sog u usw vgl z zzgl".split()
 _END = re.compile(r"(?<=[.!?…])[\"'»“”)\]]*\s+(?=[\"'«„“(\[]*[A-ZÄÖÜ0-9])")
-_GOES_ON = re.compile(r"(?:^|[\s(])(?:(?:" + "|".join(ABBREVIATIONS) + r")|[A-Za-zÄÖÜäöü])\.$")
+_INITIAL, _LAST_WORD = re.compile(r"(?:^|[\s(])[A-Za-zÄÖÜäöü]\.$"), re.compile(r"(?:^|[\s(])([^\s(]+)\.$")
 _ORDINAL, _MONTH = re.compile(r"(?:^|\s)\d{1,2}\.$"), re.compile("Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember")
 
 
-def split_sentences(text: str) -> list[str]:
+def split_sentences(text: str, abbreviations: frozenset[str] = frozenset(ABBREVIATIONS)) -> list[str]:
     """Sentences of a German text: they end at a stop before a capital or a digit, but not after an abbreviation or initial, nor between a day and its month."""
     out, start = [], 0
     for m in _END.finditer(text):
         before = text[start : m.start()].rstrip("\"'»“”)]")
-        if not _GOES_ON.search(before) and not (_ORDINAL.search(before) and _MONTH.match(text, m.end())):
+        word = _LAST_WORD.search(before)
+        goes_on = _INITIAL.search(before) or (word and word[1] in abbreviations)
+        if not goes_on and not (_ORDINAL.search(before) and _MONTH.match(text, m.end())):
             out.append(text[start : m.end()].strip())
             start = m.end()
     out.append(text[start:].strip())
     return [s for s in out if s]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def sentences(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: split_sentences(t or ""))
+def sentences(c: Column, more: frozenset[str] = frozenset()) -> Column:
+    """Sentences of each text; ``more`` are abbreviations beside the fixed ones, such as those that :func:`abbreviations` finds."""
+    known = frozenset(ABBREVIATIONS) | more
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_sentences(t or "", known))
+
+    return run(c)
+
+
+#: What a word's stops are measured against: the share of stops after an abbreviation, and the score from which a word is one.
+STOPS, LEAST_SCORE = 0.99, 0.3
+
+
+def stop_scores(docs: DataFrame) -> DataFrame:
+    """(word, n, n_stop, score) of the words of ``docs`` (text) that a stop follows somewhere.
+
+    score is twice the logarithm of how much likelier the stops of a word are if a
+    stop belongs to it (``STOPS`` of the time) than if stops follow words at the rate
+    of the corpus; it shrinks with the word's length and with the share of its
+    occurrences that have no stop, as abbreviations are short and hardly ever
+    stand without. Counts are made inside tasks before they are shuffled by word.
+    """
+    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-zÄÖÜäöüß]+\.?"), 0)).alias("w"))
+    stop = F.endswith("w", F.lit("."))
+    counts = written(found.groupBy(F.rtrim("w", F.lit(".")).alias("word")).agg(F.count("*").alias("n"), F.count_if(stop).alias("n_stop")), "stops")
+    rate = counts.agg((F.sum("n_stop") / F.sum("n")).alias("rate"))  # one row
+
+    def likelihood(p: Column) -> Column:
+        return F.col("n_stop") * F.log(p) + (F.col("n") - F.col("n_stop")) * F.log(1 - p)
+
+    # a corpus of nothing but stops, or of none, says nothing
+    p = F.least(F.greatest("rate", F.lit(1e-9)), F.lit(1 - 1e-9))
+    raw = 2 * (likelihood(F.lit(STOPS)) - likelihood(p))
+    length = F.length("word")
+    score = raw * F.exp(-length.cast("double")) * F.pow(length.cast("double"), -(F.col("n") - F.col("n_stop")).cast("double"))
+    return counts.where("n_stop > 0").crossJoin(F.broadcast(rate)).select("word", "n", "n_stop", score.alias("score"))
+
+
+def abbreviations(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """(word, n, n_stop, score) of the words whose stops are part of them."""
+    return stop_scores(docs).where(F.col("score") >= least)
 
 
 def table_units(c: Column) -> Column:
