@@ -11,6 +11,7 @@ from sedimark.plans import inputs as I
 from sedimark.plans.registry import query
 from sedimark.sources import files, sinks, stores
 from sedimark.streaming import events as S
+from sedimark.streaming import ndjson
 from sedimark.streaming import state
 
 
@@ -132,6 +133,19 @@ def _arrivals(spark, rows, order, parts: int = 3):
         yield path
 
 
+@query("SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations WHERE text IS NOT NULL")
+def stream_ndjson(spark, sf_dir):
+    """Conversations as lines of growing files, read by byte ranges in two batches."""
+    path, out, checkpoint = (shared_path(spark, x) for x in ("in", "lines", "checkpoint"))
+    c = I.table(spark, sf_dir, "conversations")
+    for half in (0, 1):
+        c.where(F.pmod("conv_id", F.lit(2)) == half).write.mode("append").json(path)
+        state.run_to_end(ndjson.ndjson_lines(spark, path, 65_536), out, checkpoint)
+    lines = state.batches(spark, out, "file string, place long, line string")
+    rows = lines.select(F.from_json("line", "conv_id long, turn long, role string, text string").alias("r")).select("r.*")
+    return rows.where("text is not null").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
+
+
 def _event_files(spark, sf_dir, rows):
     path = shared_path(spark, "in")
     rows.repartition(4).write.json(path)
