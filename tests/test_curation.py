@@ -228,3 +228,17 @@ def test_a_failing_stream_says_so(spark, tmp_path):
     with pytest.raises(Exception, match="no luck"):
         q.awaitTermination(120)
     assert sorted((r.type, r.message) for r in spark.read.parquet(out).collect()) == [("error", "no luck"), ("start", None)]
+
+
+def test_abbreviations_are_learnt_from_their_stops(spark):
+    texts = ["Siehe Abs. 3 und Abs. 4. Das Haus steht. Ein Haus brennt, das Haus.", "Der Abs. 5 gilt. Das Haus steht dort. Nach Abs. 6 steht es.", "Dort steht es und gilt, wie es dort steht: es gilt dort"] * 20
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string")
+    rows = {r.word: r for r in Y.stop_scores(docs).collect()}
+    assert (rows["Abs"].n, rows["Abs"].n_stop) == (80, 80) and (rows["Haus"].n, rows["Haus"].n_stop) == (80, 20)
+    found = {r.word for r in Y.abbreviations(docs).collect()}
+    assert "Abs" in found and not found & {"Haus", "steht", "es"}
+    text = spark.createDataFrame([("Nach Abs. Vier gilt es. Ende.",)], "text string")
+    units = lambda more: text.select(Y.sentences(F.col("text"), more)).first()[0]
+    assert units(frozenset(found)) == ["Nach Abs. Vier gilt es.", "Ende."]
+    assert Y.split_sentences("Nach Xyz. Vier gilt.") == ["Nach Xyz.", "Vier gilt."] and Y.split_sentences("Nach Xyz. Vier gilt.", frozenset({"Xyz"})) == ["Nach Xyz. Vier gilt."]
+    assert Y.stop_scores(docs.limit(0)).count() == 0
