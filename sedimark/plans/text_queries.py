@@ -198,11 +198,11 @@ def decompose_table_list(spark, sf_dir):
 c AS (SELECT rtrim(w, '.') AS word, count(*) AS n, count(*) FILTER (WHERE w LIKE '%.') AS n_stop FROM w GROUP BY 1),
 r AS (SELECT sum(n_stop) / sum(n) AS p FROM c),
 s AS (SELECT word, n, n_stop, 2 * (n_stop * ln(0.99::DOUBLE) + (n - n_stop) * ln(1 - 0.99::DOUBLE) - n_stop * ln(p) - (n - n_stop) * ln(1 - p)) * exp(-length(word)) * pow(length(word)::DOUBLE, -(n - n_stop)) AS score FROM c, r WHERE n_stop > 0)
-SELECT word, n, n_stop, round(score, 4) AS score, score >= 0.3 AS is_abbreviation FROM s""")
+SELECT word, n, n_stop, round(score, 4) + 0.0 AS score, score >= 0.3 AS is_abbreviation FROM s""")
 def abbreviations(spark, sf_dir):
     """Words that a stop follows, with how far the stop is part of them."""
     rows = Y.stop_scores(I.table(spark, sf_dir, "documents"))
-    return rows.select("word", "n", "n_stop", F.round("score", 4).alias("score"), (F.col("score") >= Y.LEAST_SCORE).alias("is_abbreviation"))
+    return rows.select("word", "n", "n_stop", (F.round("score", 4) + 0.0).alias("score"), (F.col("score") >= Y.LEAST_SCORE).alias("is_abbreviation"))
 
 
 @query()
