@@ -185,21 +185,21 @@ def _fielded(spark, sf_dir, k: int = 10):
     return R.bm25f(I.lexical_queries(spark, sf_dir), docs, k, {"title": 2.0, "content": 1.0}), docs
 
 
-@query(f"WITH {FIELDS} SELECT query, doc, round(score, 4) AS score FROM flex")
+@query(f"WITH {FIELDS} SELECT query, doc, score FROM flex")
 def bm25f_topk(spark, sf_dir):
     """Whole benchmark texts against documents as a title, their first line, and content."""
-    return _fielded(spark, sf_dir)[0].select("query", "doc", F.round("score", 4).alias("score"))
+    return _fielded(spark, sf_dir)[0].select("query", "doc", "score")
 
 
 @query(f"""WITH {FIELDS}, pw AS (SELECT h.query, h.doc, h.score, w[i] AS word, i FROM flex h JOIN (SELECT doc_id AS doc, {WORDS} AS w FROM documents) d USING (doc), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
 pp AS (SELECT pw.query, doc, i, pw.word, lag(i) OVER o AS before, lag(pw.word) OVER o AS other FROM pw JOIN q ON q.query = pw.query AND q.word = pw.word WINDOW o AS (PARTITION BY pw.query, doc ORDER BY i)),
 p AS (SELECT query, doc, coalesce(sum(CASE WHEN other <> word THEN 1.0::DOUBLE / ((i - before) * (i - before)) END), 0) AS p FROM pp GROUP BY 1, 2),
 r AS (SELECT query, doc, round(score + p / (1 + p), 6) AS score FROM flex JOIN p USING (query, doc))
-SELECT query, doc, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM r) WHERE rank <= 5""")
+SELECT query, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM r) WHERE rank <= 5""")
 def search_proximity(spark, sf_dir):
     """The best of the fielded hits by how close the query's words stand in them."""
     hits, docs = _fielded(spark, sf_dir)
-    return R.by_proximity(hits, I.lexical_queries(spark, sf_dir), docs, 5).select("query", "doc", F.round("score", 4).alias("score"))
+    return R.by_proximity(hits, I.lexical_queries(spark, sf_dir), docs, 5).select("query", "doc", "score")
 
 
 @query("""SELECT source, lang, count(*) AS n FROM documents WHERE (source IN ('src1', 'src2', 'src3') AND NOT (lang = 'en' OR n_chars >= 3000)) OR (lang = 'de' AND n_chars < 500 AND source IS NOT NULL) GROUP BY ALL""")
