@@ -17,6 +17,10 @@ answers join its exploded n-grams, whose scores are summed for each document. A
 frequent n-gram is one entry a block, so it weighs no more than a rare one, and
 what travels grows with the text.
 
+A task holds one partition of the table at a time. There are as many as it takes
+to ask each of them for at most ``PART_BYTES``, counting ``BYTES_ASKED`` for each
+byte of text, so a partition doesn't grow with the corpus.
+
 A block is named by its contents, and an answer carries the digest of the n-grams
 that it was asked for. So answers find their block wherever and in whatever order
 either was computed, a retried task included; should a second scan deal the rows
@@ -43,6 +47,9 @@ from sedimark.llm.common import materialise, shuffle_partitions, table
 from sedimark.llm.ngram_join import ODD, _blocks, mix, word_hashes
 
 BACKOFF = 0.4
+#: Of one word of a letter and the blank after it: the keys and counts of the word and of a pair. What is asked for is less by what repeats in a block.
+BYTES_ASKED = 12
+PART_BYTES = 256 << 20
 ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("words", pa.int64()), ("digest", pa.int64()), ("totals", pa.binary())])
 _M = np.uint64
 
@@ -98,11 +105,16 @@ def _digest(keys: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(keys), dtype=np.uint64) + _M(len(keys))], np.uint64)).view(np.int64)[0])
 
 
+def table_parts(rows: DataFrame) -> int:
+    """Partitions of the count table for ``rows`` (text as binary): the session's number, or more if these would be asked for too much."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first().n
+    return max(shuffle_partitions(rows.sparkSession), -(-BYTES_ASKED * size // PART_BYTES))
+
+
 def score(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """(doc_id, n_words, n_seen, score) of each row of ``docs``."""
-    spark = docs.sparkSession
-    parts = parts or shuffle_partitions(spark)
+    """(doc_id, n_words, n_seen, score) of each row of ``docs``, with a count table of ``parts`` partitions (None: as many as its text needs)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    parts = parts or table_parts(rows)
 
     def ask(batches):
         for block, _, texts in _named(batches):
