@@ -11,9 +11,11 @@ Fitting uses a bounded sample of labelled rows: ``sample`` rows of each class, b
 the hash of their id, of texts of at most ``sample_bytes``. Everything else, such
 as the share of each class that corrects the sample's balance, covers all
 labelled rows. The model (a few hundred KB) goes to the workers with the task.
+A very long text is pooled in slices of its chunks, so that beside the text itself
+memory doesn't grow with its length.
 
 Defined cases: a null or empty text has no chunk and scores by the layer's bias
-alone; rows without a label or with a null label aren't learnt from; if no label
+alone; a very long text is read whole; an empty table gives no row; rows without a label or with a null label aren't learnt from; if no label
 can be learnt from, every score is 1; if all labels are alike, every score is
 their smoothed share; repeated rows repeat their score; a column that already has the name of the score
 is replaced by ``score`` and kept by ``keep_good``.
@@ -22,6 +24,7 @@ is replaced by ``score`` and kept by ``keep_good``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from pyspark.sql.types import StructType
 from sedimark.llm.common import lean, learns, table
 
 CHUNK, OVERLAP, WINDOW, STRIDE, FILTERS = 257, 64, 5, 2, 16  # the last window of a chunk ends on its last byte
+#: Chunks that are laid out at a time.
+SLICE = 2000
 
 
 class ByteCnn:
@@ -47,16 +52,20 @@ class ByteCnn:
         self.constant: float | None = None
 
     @staticmethod
-    def chunks(data: bytes) -> np.ndarray:
-        """Rows of CHUNK byte values that cover the text, overlapping; a short text is one row, filled with spaces."""
-        if not data:
-            return np.zeros((0, CHUNK), np.uint8)
+    def slices(data: bytes) -> Iterator[np.ndarray]:
+        """Rows of CHUNK byte values that cover the text, overlapping, SLICE of them at a time; a short text is one row, filled with spaces."""
         a = np.frombuffer(data, np.uint8)
         if len(a) <= CHUNK:
-            return np.concatenate([a, np.full(CHUNK - len(a), 32, np.uint8)])[None]
-        step = CHUNK - OVERLAP
-        starts = np.append(np.arange(0, len(a) - CHUNK, step), len(a) - CHUNK)
-        return a[starts[:, None] + np.arange(CHUNK)]
+            yield np.concatenate([a, np.full(CHUNK - len(a), 32, np.uint8)])[None][: min(len(a), 1)]
+            return
+        starts = np.append(np.arange(0, len(a) - CHUNK, CHUNK - OVERLAP), len(a) - CHUNK)
+        for at in range(0, len(starts), SLICE):
+            yield a[starts[at : at + SLICE, None] + np.arange(CHUNK)]
+
+    @classmethod
+    def chunks(cls, data: bytes) -> np.ndarray:
+        """All rows of ``slices``."""
+        return np.concatenate(list(cls.slices(data)))
 
     def convolve(self, rows: np.ndarray) -> np.ndarray:
         """(chunks, places, FILTERS) before the rectifier."""
@@ -91,10 +100,15 @@ class ByteCnn:
                 group.clear()
 
         for i, text in enumerate(texts):
-            rows = self.chunks((text or "").encode())
+            data = (text or "").encode()
+            if len(data) > SLICE * (CHUNK - OVERLAP):
+                p = np.concatenate([self.pooled(rows) for rows in self.slices(data)])
+                out[i] = self.combine(p) @ self.last + self.last_bias[0]
+                continue
+            rows = self.chunks(data)
             group.append((i, rows))
             held += len(rows)
-            if held > 2000:
+            if held > SLICE:
                 flush()
                 held = 0
         flush()
