@@ -21,7 +21,9 @@ learnt from. The sample for the clusters is bounded: ``sample`` rows of each
 language by the hash of their id, of texts of at most ``sample_bytes``.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
-rejected; with nothing to learn from every text is ``und``; rows with a null
+rejected; a very long text is read whole, its trigrams counted in slices; an empty
+table gives no row; columns of the input whose names clash with the result's stay
+in ``keep_known``; with nothing to learn from every text is ``und``; rows with a null
 language aren't learnt from; ties go to the language that sorts first; repeated
 rows repeat their result.
 """
@@ -40,6 +42,8 @@ from sedimark.llm.common import lean, learns, table
 
 BITS, CLUSTERS = 12, 4
 DIMENSIONS = 1 << BITS
+#: Trigrams that are hashed at a time.
+SLICE = 1 << 20
 #: Bytes of UTF-8 that bear on a language: a-z and all beyond ASCII.
 LETTERS = bytes(b if b >= 128 or chr(b).islower() else 32 for b in range(256))
 #: Cosine below which a text is rejected whatever its limit: what shares next to no trigram with any language.
@@ -52,19 +56,22 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
-def trigrams(text: str) -> np.ndarray:
-    """The hashed place of each byte trigram, with a space before and after the text and in place of what is neither letter nor beyond ASCII."""
-    a = np.frombuffer(b" " + text.lower().encode().translate(LETTERS) + b" ", np.uint8).astype(np.uint32)
-    x = (a[:-2] << np.uint32(16) | a[1:-1] << np.uint32(8) | a[2:]) * np.uint32(0x85EBCA6B)
-    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return (x ^ (x >> np.uint32(16))) >> np.uint32(32 - BITS)
+def trigram_counts(text: str) -> np.ndarray:
+    """How often byte trigrams fall to each hashed place, with a space before and after the text and in place of what is neither letter nor beyond ASCII."""
+    data, out = np.frombuffer(b" %b " % text.lower().encode().translate(LETTERS), np.uint8), np.zeros(DIMENSIONS, np.int64)
+    for at in range(0, len(data) - 2, SLICE):
+        a = data[at : at + SLICE + 2].astype(np.uint32)
+        x = (a[:-2] << np.uint32(16) | a[1:-1] << np.uint32(8) | a[2:]) * np.uint32(0x85EBCA6B)
+        x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        out += np.bincount((x ^ (x >> np.uint32(16))) >> np.uint32(32 - BITS), minlength=DIMENSIONS)
+    return out
 
 
 def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     """Normalised TF-IDF rows."""
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     for i, text in enumerate(texts):
-        out[i] = np.bincount(trigrams(text), minlength=DIMENSIONS)
+        out[i] = trigram_counts(text)
     np.log1p(out, out=out)
     out *= idf
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
@@ -146,7 +153,7 @@ def fit(docs: DataFrame, sample: int = 300, sample_bytes: int = 32_768, modulus:
         by_language: dict[str, int] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[np.unique(trigrams(text))] += 1
+                seen[trigram_counts(text) > 0] += 1
                 by_language[lang] = by_language.get(lang, 0) + 1
                 n += 1
         names = [None] * DIMENSIONS + list(by_language)
