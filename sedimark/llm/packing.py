@@ -19,7 +19,8 @@ and tails go by their running sum.
 Defined cases: a null or empty text is one piece with the closing id alone;
 repeated rows are packed as often as they occur; an empty table gives no row;
 very long texts become full pieces, one sequence each, and so do endless runs of
-white space; rows with a null doc_id are packed like others.
+white space; rows with a null doc_id are packed like others; other columns of the
+input, whatever their names, aren't carried on.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ without its nodes; memory is that of the new words.
 
 Defined cases: a null text is an empty one (no tokens); an empty text gives no
 tokens; the text of a special token gives that token's id; words of any length
-are walked whole; repeated rows give repeated results.
+are walked whole; repeated rows give repeated results; an empty table gives no row;
+other columns of the input, whatever their names, aren't carried on.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -186,6 +187,43 @@ def test_chunks_cover_every_byte():
         assert len(rows) == (1 if n <= size else len(range(0, n - size, step)) + 1)
 
 
+def test_slices_change_nothing(monkeypatch):
+    rng, model = random.Random(6), byte_cnn.ByteCnn(2)
+    model.last += np.linspace(-1, 1, len(model.last), dtype=np.float32)
+    texts = [None, "", "é", *("".join(rng.choices("abc déß。\n", k=n)) for n in (100, 2000, 9000, 40_000))]
+    idf = np.linspace(1, 2, centroid_langid.DIMENSIONS).astype(np.float32)
+    scores, vectors = model.scores(texts), centroid_langid.vectors([t or "" for t in texts], idf)
+    assert len(set(scores[3:])) == 4
+    monkeypatch.setattr(byte_cnn, "SLICE", 7)
+    monkeypatch.setattr(centroid_langid, "SLICE", 11)
+    assert np.array_equal(model.scores(texts), scores) and np.array_equal(centroid_langid.vectors([t or "" for t in texts], idf), vectors)
+    for n in (0, 1, 257, 258, 257 + 193 * 7, 5000):
+        data = bytes(rng.randrange(256) for _ in range(n))
+        rows = list(byte_cnn.ByteCnn.slices(data))
+        assert max(map(len, rows)) <= 7 and len(np.concatenate(rows)) == (0 if not n else 1 if n <= 257 else len(range(0, n - 257, 193)) + 1)
+
+
+def test_a_very_long_text_takes_little_memory_beside_itself():
+    text, idf = "some words of a very long text " * 1_000_000, np.ones(centroid_langid.DIMENSIONS, np.float32)
+    for run in (lambda: byte_cnn.ByteCnn(2).scores([text]), lambda: centroid_langid.vectors([text], idf)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 5 * len(text) + (64 << 20)
+
+
+def test_the_count_table_has_as_many_parts_as_its_text_needs(spark, monkeypatch):
+    texts = ["a b c", "b c d e", None, "x" * 5000]
+    docs = documents(spark, texts)
+    rows = docs.select(backoff_lm.F.col("text").cast("binary"))
+    least = backoff_lm.shuffle_partitions(spark)
+    assert backoff_lm.table_parts(rows) == least == backoff_lm.table_parts(rows.limit(0))
+    monkeypatch.setattr(backoff_lm, "PART_BYTES", 1000)
+    assert backoff_lm.table_parts(rows) == -(-backoff_lm.BYTES_ASKED * 5012 // 1000) > least
+    assert sorted(map(repr, backoff_lm.score(docs).collect())) == sorted(map(repr, backoff_lm.score(docs, 3).collect()))
+
+
 def naive_pooled(model, data):
     """Maximum of each filter over each chunk, window by window."""
     size, step = byte_cnn.CHUNK, byte_cnn.CHUNK - byte_cnn.OVERLAP
