@@ -102,6 +102,14 @@ def title_heading(boxes: DataFrame) -> DataFrame:
     return found.where("n = 1").drop("n")
 
 
+def title_headings(boxes: DataFrame, key: str = "slug") -> DataFrame:
+    """(key, page, box_id): :func:`title_heading` of each document."""
+    heading = F.col("kind") == "heading"
+    pages = boxes.groupBy(key, "page").agg(F.count_if(heading).alias("n"), F.min(F.when(heading, F.col("box_id"))).alias("box_id"))
+    first = pages.groupBy(key).agg(F.min_by(F.struct("page", "n", "box_id"), F.col("page")).alias("f"))
+    return first.where("f.n = 1").select(key, "f.page", "f.box_id")
+
+
 def extracted_pages(boxes: DataFrame) -> DataFrame:
     """(page) of all boxes, by their ids."""
     return boxes.select(T.page_of_box(F.col("box_id")).alias("page")).where("page is not null").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.functions import text as T
@@ -78,8 +78,14 @@ def upsert(table: DataFrame, batch: DataFrame, key: str, order: str | None = Non
     return table.join(new.select(key), key, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
 
 
-def seeded_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows in an order that the seed alone decides."""
+#: Fixed value: the least number of rows that a sample of a ranked list is drawn from.
+CANDIDATES = 100
+
+
+def seeded_sample(rows: DataFrame, n: int, seed: int, key: str, rank: list[Column] | None = None) -> DataFrame:
+    """n rows in an order that the seed alone decides; with ``rank`` they are drawn from the first max(n, CANDIDATES) rows in that order."""
     if n <= 0:
         raise ValueError("a sample needs a positive size")
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    if rank:
+        rows = rows.orderBy(*rank, key).limit(max(n, CANDIDATES))
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)

@@ -32,6 +32,14 @@ def only(rows: DataFrame, key: str, value: Any, order: str | None = None) -> Row
     return first[0]
 
 
+def maybe(rows: DataFrame, key: str, value: Any, order: str | None = None) -> Row | None:
+    """:func:`only`, but None where there is no such row."""
+    try:
+        return only(rows, key, value, order)
+    except NotFound:
+        return None
+
+
 def listing(entries: DataFrame, slug: str | None = None, source_element: str | None = None, with_deprecated: bool = False) -> DataFrame:
     """Entries (slug, source_element, deprecated, ...) of a document or element; deprecated ones on demand."""
     for column, value in (("slug", slug), ("source_element", source_element)):

@@ -6,6 +6,7 @@ itself. The two embedders that come with the library need no model files.
 
 from __future__ import annotations
 
+import os
 import random
 import time
 import zlib
@@ -88,6 +89,18 @@ def chosen(settings: dict[str, str], key: str = "SEDIMARK_MODEL", default: str =
     return model(settings.get(key) or default)
 
 
+def ping(name: str, prompt: str = "ping") -> tuple[object, float]:
+    """A model's answer to one prompt and the seconds that it took, loading not counted."""
+    used = model(name)
+    call = used.start()
+    try:
+        began = time.perf_counter()
+        return call([prompt])[0], time.perf_counter() - began
+    finally:
+        if used.stop:
+            used.stop()
+
+
 def apply(rows: DataFrame, name: str, column: str, out: str, kind: str, batch: int = 256, attempts: int = 3) -> DataFrame:
     """``rows`` with a model's answer to ``column`` in ``out``. The model is started once a task and stopped at its end, whatever happens in between."""
     used = model(name)
@@ -122,16 +135,25 @@ def embedded(rows: DataFrame, name: str, column: str, store: str, out: str = "ve
     return rows.withColumn("key of the text", key).join(known.withColumnRenamed("key", "key of the text"), "key of the text", "left").drop("key of the text")
 
 
+def memory_mb() -> float | None:
+    """What this process holds in memory, where the system tells it."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 2**20
+    except OSError:
+        return None
+
+
 def lifecycle(rows: DataFrame, name: str, column: str) -> DataFrame:
-    """(partition, type, n, seconds): what a model's work is made of in each task, from loading to unloading."""
+    """(partition, type, n, seconds, memory_mb, error): what a model's work is made of in each task, from loading to unloading. An error ends the work, not the task, so that it is told; ``reported`` raises it."""
     used = model(name)
     from pyspark import TaskContext
 
     def run(batches):
         part, began, events = TaskContext.get().partitionId(), time.perf_counter(), []
 
-        def tell(kind, n=None):
-            events.append((part, kind, n, time.perf_counter() - began))
+        def tell(kind, n=None, error=None):
+            events.append((part, kind, n, time.perf_counter() - began, memory_mb(), error))
 
         tell("model-loading")
         call = used.start()
@@ -141,15 +163,25 @@ def lifecycle(rows: DataFrame, name: str, column: str) -> DataFrame:
                 call(pdf[column].tolist())
                 tell("work-progress", len(pdf))
             tell("work-complete")
-        except Exception:
-            tell("work-failed")
+        except Exception as e:
+            tell("work-failed", error=f"{type(e).__name__}: {e}"[:500])
         tell("model-unloading")
         if used.stop:
             used.stop()
         tell("model-unloaded")
-        yield pd.DataFrame(events, columns=["partition", "type", "n", "seconds"]).astype({"n": "Int64"})
+        yield pd.DataFrame(events, columns=["partition", "type", "n", "seconds", "memory_mb", "error"]).astype({"n": "Int64"})
 
-    return rows.mapInPandas(run, "partition int, type string, n long, seconds double")
+    return rows.mapInPandas(run, "partition int, type string, n long, seconds double, memory_mb double, error string")
+
+
+def reported(rows: DataFrame, name: str, column: str, out: str) -> DataFrame:
+    """``lifecycle`` written to the new Parquet table ``out`` and opened again; if the work of a task failed, its error is raised once all is told."""
+    lifecycle(rows, name, column).write.parquet(out)
+    told = rows.sparkSession.read.parquet(out)
+    failed = told.where("type = 'work-failed'").orderBy("partition").limit(1).collect()
+    if failed:
+        raise ModelError(failed[0].error)
+    return told
 
 
 # --- embedders
@@ -188,13 +220,35 @@ def approximate_tokens(c: Column) -> Column:
     return F.ceil(F.octet_length(c) / BYTES_A_TOKEN).cast("long")
 
 
-def truncated(rows: DataFrame, column: str, encoding: Callable[[], object], most: int = 8191) -> DataFrame:
-    """``rows`` with ``column`` cut after so many tokens of ``encoding()`` (with encode and decode), made once a task."""
+class Vocabulary:
+    """The encoding of a tokenizer file at ``path``."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(path)
+        self.coder.no_truncation()
+        self.coder.no_padding()
+
+    def encode(self, text: str) -> list[int]:
+        return self.coder.encode(text, add_special_tokens=False).ids
+
+    def decode(self, ids: list[int]) -> str:
+        return self.coder.decode(ids, skip_special_tokens=False)
+
+
+def truncated(rows: DataFrame, column: str, encoding: Callable[[], object], most: int = 8191, least_bytes: int = 0) -> DataFrame:
+    """``rows`` with ``column`` cut after so many tokens of ``encoding()`` (with encode and decode), made once a task. Where no token stands for less than ``least_bytes``, texts that are short by that aren't encoded."""
+
+    def cut(text, coder):
+        if text is None or len(text.encode()) <= most * least_bytes:
+            return text
+        ids = coder.encode(text)
+        return text if len(ids) <= most else coder.decode(ids[:most])
 
     def run(batches):
         coder = encoding()
         for pdf in batches:
-            cut = [t if t is None or len(ids := coder.encode(t)) <= most else coder.decode(ids[:most]) for t in pdf[column]]
-            yield pdf.assign(**{column: cut})
+            yield pdf.assign(**{column: [cut(t, coder) for t in pdf[column]]})
 
     return rows.mapInPandas(run, rows.schema)

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimark.operators import models
 from sedimark.operators.scratch import written
 from sedimark.operators.vector_index import knn, matrix, top_k
 
@@ -141,6 +142,20 @@ def contexts(hits: DataFrame, docs: DataFrame) -> DataFrame:
     return j.select("query", F.array_join(F.transform("h", lambda x: F.concat(F.lit("["), x["doc"], F.lit("] "), x["text"])), "\n").alias("context"), cited.alias("citations"))
 
 
+def strict(hits: DataFrame, strictness: int = 3) -> DataFrame:
+    """Hits (query, doc, score) that are near enough to their query's best: 1 keeps all, each step up to 5 asks for a fifth more of the best score."""
+    if not 1 <= strictness <= 5:
+        raise ValueError(f"strictness goes from 1 to 5: {strictness}")
+    best = F.max("score").over(Window.partitionBy("query"))
+    return hits.withColumn("best", best).where(F.col("score") * 5 >= F.col("best") * (strictness - 1)).drop("best")
+
+
+def answered(context: DataFrame, queries: DataFrame, name: str) -> DataFrame:
+    """(query, answer, citations): what the model ``name`` says to each query's text after its context; a query without a context isn't asked."""
+    asked = context.join(queries.select("query", "text"), "query").withColumn("prompt", F.concat_ws("\n\n", "context", "text"))
+    return models.apply(asked.select("query", "citations", "prompt"), name, "prompt", "answer", "string").select("query", "answer", "citations")
+
+
 def fuse(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (query, doc, rank)."""
     both = lists[0].select("query", "doc", "rank")
@@ -201,6 +216,12 @@ def p95(rows: DataFrame, by: str, value: str) -> DataFrame:
     return reached.groupBy(by).agg(F.min(value).alias("p95"))
 
 
+def outcomes(rows: DataFrame, by: str, failed: Column, value: str) -> DataFrame:
+    """(by, n, n_ok, n_failed, mean): calls that went well and that failed, and the mean of ``value`` over those that went well; a status that isn't known counts as a failure."""
+    bad = F.coalesce(failed, F.lit(True))
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(~bad).alias("n_ok"), F.count_if(bad).alias("n_failed"), F.avg(F.when(~bad, F.col(value))).alias("mean"))
+
+
 def drift_warning(drifted: Column, n: Column) -> Column:
     """Whether so many entries have drifted that an evaluation may mislead."""
     return drifted > F.greatest(F.lit(1), F.floor(n / 10))

@@ -190,11 +190,19 @@ def box_crops(spark, sf_dir):
     return D.padded(b, b.select("page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height")).distinct())
 
 
+BOOK = 50
+
+
+def _books(boxes: DataFrame) -> DataFrame:
+    """Boxes with the book of so many pages that they are in."""
+    return boxes.withColumn("slug", F.concat(F.lit("book-"), F.floor((F.col("page") - 1) / BOOK)))
+
+
 @query(f"WITH {I.BOXES}, p AS (SELECT unnest(range(1, (SELECT max(page) + 3 FROM boxes))) AS page), s AS (SELECT DISTINCT page FROM boxes) SELECT p.page, CASE WHEN p.page % 5 = 0 THEN 'approved' WHEN s.page IS NOT NULL THEN 'extracted' ELSE 'no-extraction' END AS state FROM p LEFT JOIN s USING (page)")
 def page_states(spark, sf_dir):
     b = I.boxes(spark, sf_dir)
-    last = b.agg(D.page_count(F.lit(0).cast("long"), F.max("page")).alias("last"))
-    pages = last.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("last") + 2)).alias("page"))
+    last = b.agg(D.page_count(F.lit(0).cast("long"), F.max("page")).alias("last")).first().last
+    pages = spark.range(1, last + 3).select(F.col("id").alias("page"))
     return D.page_states(pages, b, pages.where("page % 5 = 0"))
 
 
@@ -203,6 +211,13 @@ def title_heading(spark, sf_dir):
     return D.title_heading(I.boxes(spark, sf_dir))
 
 
+@query(f"""WITH {I.BOXES}, n AS (SELECT 'book-' || ((page - 1) // {BOOK}) AS slug, page, count(*) FILTER (WHERE kind = 'heading') AS n, min(CASE WHEN kind = 'heading' THEN box_id END) AS box_id FROM boxes WHERE confidence >= 0.95 GROUP BY 1, 2),
+f AS (SELECT *, min(page) OVER (PARTITION BY slug) AS first FROM n) SELECT slug, page, box_id FROM f WHERE page = first AND n = 1""")
+def book_titles(spark, sf_dir):
+    """The titles of books of fifty pages, where a first page has just one heading among its surest boxes."""
+    return D.title_headings(_books(I.boxes(spark, sf_dir).where("confidence >= 0.95")))
+
+
 @query(f"WITH {I.BOXES} SELECT page, box_id, row_number() OVER (PARTITION BY page ORDER BY y0, x0, box_id) - 1 AS place FROM boxes")
 def box_reading_order(spark, sf_dir):
     return D.reading_order(I.boxes(spark, sf_dir)).select("page", "box_id", F.col("place").cast("long").alias("place"))
@@ -210,12 +225,10 @@ def box_reading_order(spark, sf_dir):
 
 # --- pages as HTML
 
-BOOK = 50
-
 
 def _snippets(spark, sf_dir):
     """A snippet for each box, of books of so many pages; furniture says its zone, list items none of their place."""
-    b = I.boxes(spark, sf_dir).withColumn("slug", F.concat(F.lit("book-"), F.floor((F.col("page") - 1) / BOOK)))
+    b = _books(I.boxes(spark, sf_dir))
     words = F.concat(F.lit("text of "), "box_id")
     parts = F.array(F.struct(F.concat(F.lit("<p>"), words, F.lit("</p>")).alias("html"), words.alias("text"), F.lit("text").alias("type")))
     # written between the steps: each uses the one before several times, and the optimiser would put all into one expression
@@ -238,7 +251,7 @@ def page_html(spark, sf_dir):
 @query(f"""WITH {I.BOXES} SELECT 'book-' || ((page - 1) // {BOOK}) AS slug, page, box_id, kind, 'text of ' || box_id AS text, CASE WHEN kind = 'heading' THEN CASE WHEN page % {BOOK} = 1 THEN 1 ELSE 2 END END AS level FROM boxes WHERE kind <> 'discard'""")
 def export_elements(spark, sf_dir):
     """Boxes with the text that their documents' assembled HTML holds for them."""
-    b = I.boxes(spark, sf_dir).withColumn("slug", F.concat(F.lit("book-"), F.floor((F.col("page") - 1) / BOOK)))
+    b = _books(I.boxes(spark, sf_dir))
     html = P.documents(P.sections(_snippets(spark, sf_dir)))
     return P.export(b, html).select("slug", "page", "box_id", "kind", "text", "level")
 
@@ -246,7 +259,7 @@ def export_elements(spark, sf_dir):
 @query(f"""WITH {I.BOXES} SELECT 'book-' || ((page - 1) // {BOOK}) AS slug, count(*) AS n_elements, count(*) FILTER (WHERE kind = 'heading') AS n_levels FROM boxes WHERE kind <> 'discard' GROUP BY 1""")
 def export_payload(spark, sf_dir):
     """Exports as JSON, counted again from it."""
-    b = I.boxes(spark, sf_dir).withColumn("slug", F.concat(F.lit("book-"), F.floor((F.col("page") - 1) / BOOK)))
+    b = _books(I.boxes(spark, sf_dir))
     html = P.documents(P.sections(_snippets(spark, sf_dir)))
     payload = P.export_json(P.export(b, html), "local")
     read = F.from_json("payload", "elements array<struct<kind:string,level:int>>")["elements"]

@@ -81,6 +81,13 @@ def ir_latency_p95(spark, sf_dir):
     return means.join(R.p95(e, "event_type", "value"), "event_type", "left")
 
 
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE event_type <> 'error') AS n_ok, count(*) FILTER (WHERE event_type = 'error' OR event_type IS NULL) AS n_failed, round(avg(value) FILTER (WHERE event_type <> 'error'), 6) AS mean FROM events GROUP BY 1")
+def run_outcomes(spark, sf_dir):
+    """Events by day as calls, of which those of type error failed."""
+    e = I.table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return R.outcomes(e, "day", F.col("event_type") == "error", "value").withColumn("mean", F.round("mean", 6))
+
+
 @query(f"""WITH {I.VECTORS}, a AS (SELECT unnest(['recall', 'mrr', 'map']) AS metric, unnest([avg(recall_10), avg(CASE WHEN mrr >= 0.1 THEN mrr ELSE 0 END), avg(ap10)]) AS a, unnest([avg(recall_20), avg(mrr), avg(ap)]) AS b
   FROM per_query LEFT JOIN (SELECT h.query, sum(h.nth::DOUBLE / h.rank) / max(c.n) AS x FROM h JOIN c USING (query) WHERE rank <= 10 GROUP BY 1) y USING (query), LATERAL (SELECT coalesce(x, 0) AS ap10))
 SELECT metric, round(a, 6) AS a, round(b, 6) AS b, round(b - a, 6) AS delta FROM a""")
@@ -168,6 +175,13 @@ def bm25_topk(spark, sf_dir):
     return R.bm25(I.lexical_queries(spark, sf_dir), docs, 10).select("query", "doc", F.round("score", 4).alias("score"))
 
 
+@query(f"WITH {_bm25_sql()} SELECT query, doc, round(score, 4) AS score FROM (SELECT *, max(score) OVER (PARTITION BY query) AS best FROM lex) WHERE score * 5 >= best * 2")
+def search_strict(spark, sf_dir):
+    """Hits of whole benchmark texts that come near enough to the best one."""
+    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return R.strict(R.bm25(I.lexical_queries(spark, sf_dir), docs, 10), 3).select("query", "doc", F.round("score", 4).alias("score"))
+
+
 FIELDS = f"""q AS (SELECT item_id AS query, unnest(list_distinct({WORDS})) AS word FROM benchmark),
 fd AS (SELECT doc_id AS doc, unnest(['title', 'content']) AS field, unnest([2.0::DOUBLE, 1.0]) AS weight, unnest([split_part(text, chr(10), 1), CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END]) AS text FROM documents),
 fw AS (SELECT doc, field, weight, coalesce({WORDS}, []) AS w FROM fd),
@@ -245,6 +259,18 @@ def section_chunks(spark, sf_dir):
     return C.section_chunks(I.paragraphs(spark, sf_dir))
 
 
+@query()
+def chunk_inputs(spark, sf_dir):
+    """What an embedder is given of each chunk: its heading and text, up to 8191 tokens of a byte-level vocabulary."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    chunks = C.section_chunks(I.paragraphs(spark, sf_dir)).select("chunk_id", F.concat_ws(" ", F.coalesce("section_heading", F.lit("")), "chunk").alias("text"))
+    sized = chunks.withColumn("chars", F.length("text").cast("long"))
+    cut = models.truncated(sized, "text", lambda: models.Vocabulary(path), least_bytes=1)
+    return cut.select("chunk_id", "chars", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query(f"WITH {CHUNKS} SELECT doc_id, max(title) AS title, count(*) AS n_chunks, count(*) FILTER (WHERE chunk = '') AS n_empty FROM chunks GROUP BY 1")
 def chunk_title(spark, sf_dir):
     return C.section_chunks(I.paragraphs(spark, sf_dir)).groupBy("doc_id").agg(F.max("title").alias("title"), F.count("*").alias("n_chunks"), F.count_if(F.col("chunk") == "").alias("n_empty"))
@@ -324,7 +350,14 @@ def replace_by_source(spark, sf_dir):
     return C.replace_by_source(docs, batch)
 
 
-@query()
+@query("SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 100) ORDER BY md5('7:' || doc_id), doc_id LIMIT 20")
+def ranked_sample(spark, sf_dir):
+    """Twenty documents drawn from the hundred longest."""
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return C.seeded_sample(docs, 20, 7, "doc_id", [F.desc_nulls_last("n_chars")])
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100")
 def seeded_sample(spark, sf_dir):
     return C.seeded_sample(I.table(spark, sf_dir, "documents").select("doc_id", "source"), 100, 7, "doc_id")
 

@@ -152,6 +152,12 @@ def elements(layouts: DataFrame) -> DataFrame:
     return rows.withColumn("element_id", T.element_id(F.col("page_number"), F.col("named"))).drop("named")
 
 
+def in_sequence(rows: DataFrame) -> DataFrame:
+    """``elements`` with ``place``, from 0, in the order in which their document is read."""
+    order = Window.partitionBy("slug").orderBy("page_number", "top_y", "kind_rank", "pos")
+    return rows.withColumn("place", F.row_number().over(order) - 1)
+
+
 def element_counts(layouts: DataFrame) -> DataFrame:
     """(slug, n_elements), those without elements at 0."""
     n = elements(layouts).groupBy("slug").agg(F.count("*").alias("n"))
@@ -184,6 +190,17 @@ def migrated(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("kind", F.when(F.col("kind") == "abandon", "auxiliary").otherwise(F.col("kind")))
 
 
+def sidecars(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """The JSON files ``name`` of the documents under ``path``, by slug, as one struct ``sidecar``; no row for documents without one, and a null struct for what isn't JSON."""
+    rows = or_empty(spark, lambda: spark.read.text(f"{path}/*/{name}", wholetext=True).select("value", F.col("_metadata.file_path").alias("file")), "value string, file string")
+    return rows.select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("slug"), F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", schema)).alias("sidecar"))
+
+
+def with_sidecar(documents: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """``documents`` (slug, ...) with their sidecar in ``column``, null where there is none."""
+    return documents.join(found.select("slug", F.col("sidecar").alias(column)), "slug", "left")
+
+
 def pdfs(spark: SparkSession, path: str) -> DataFrame:
     """(slug, path, length) of the PDF files under ``path``, told by name and by first bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

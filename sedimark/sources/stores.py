@@ -90,6 +90,40 @@ def upsert_stored(batch: DataFrame, path: str, key: str, order: str | None = Non
     return len(touched)
 
 
+def _removed(spark: SparkSession, paths: list[str]) -> int:
+    """How many of ``paths`` were there; none is afterwards."""
+    n = 0
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
+def delete_stored(keys: DataFrame, path: str, schema: str, key: str, buckets: int = BUCKETS) -> int:
+    """Delete the rows of ``keys`` from the table that :func:`upsert_stored` keeps at ``path`` (of ``schema``, with its bucket); returns how many went. Buckets without such a row stay as they are."""
+    spark = keys.sparkSession
+    named = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    gone = written(keys.select(key).distinct().select(key, named), "gone")
+    there = stored(spark, path, schema)
+    hit = there.alias("t").join(gone.alias("n"), (F.col("t.bucket") == F.col("n.bucket")) & F.col(f"t.`{key}`").eqNullSafe(F.col(f"n.`{key}`")), "left_semi")
+    n = {r.bucket: r.n for r in hit.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # ``buckets`` at most
+    if not n:
+        return 0
+    touched = there.where(F.col("bucket").isin(list(n)))
+    left = written(touched.alias("t").join(gone.alias("n"), F.col(f"t.`{key}`").eqNullSafe(F.col(f"n.`{key}`")), "left_anti"), "left")
+    left.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    empty = set(n) - {r.bucket for r in left.select("bucket").distinct().collect()}  # no row is written over these
+    _removed(spark, [f"{path}/bucket={b}" for b in empty])
+    return sum(n.values())
+
+
+def delete_document(spark: SparkSession, slug: str, folders: list[str], tables: list[str] = ()) -> int:
+    """Delete a document with all that is kept of it: its folder in each of ``folders`` and its partition (slug=...) in each of ``tables``. Returns how many of these there were; slugs that could leave their folder are refused."""
+    if not slug or slug.startswith(".") or not set(slug).isdisjoint("/\\*?[]{}%=:"):
+        raise ValueError(f"not a slug: {slug!r}")
+    return _removed(spark, [*(f"{f}/{slug}" for f in folders), *(f"{t}/slug={slug}" for t in tables)])
+
+
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return or_empty(spark, lambda: spark.read.schema(schema).parquet(path), schema)
 

@@ -1,12 +1,15 @@
 """Question synthesis, models, entries and their changes, streams that report."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from sedimark.operators import chunks
 from sedimark.operators import curation as C
 from sedimark.operators import models as Mo
+from sedimark.operators import retrieval as R
 from sedimark.operators import synthesis as Y
 from sedimark.streaming import events as S
 
@@ -129,6 +132,20 @@ def test_models_over_rows(spark, tmp_path):
     df = spark.createDataFrame([("a",), ("b",)], "t string").coalesce(1)
     assert {r.u for r in Mo.apply(df, "upper", "t", "u", "string", batch=1).collect()} == {"A", "B"} and open(marks).read() == "start stop "
     assert [r.type for r in Mo.lifecycle(df, "upper", "t").collect()] == ["model-loading", "model-loaded", "work-progress", "work-complete", "model-unloading", "model-unloaded"]
+    answer, seconds = Mo.ping("upper", "a")
+    assert answer == "A" and seconds >= 0
+    told = Mo.reported(df, "upper", "t", str(tmp_path / "told"))
+    assert told.where("memory_mb > 1").count() == told.count() == 6 and told.where("error is not null").count() == 0
+
+    def fail(texts):
+        raise RuntimeError("no answer")
+
+    Mo.register(Mo.Model("failing", lambda: fail))
+    with pytest.raises(Mo.ModelError, match="RuntimeError: no answer"):
+        Mo.reported(df, "failing", "t", str(tmp_path / "failed"))
+    assert [r.type for r in spark.read.parquet(str(tmp_path / "failed")).collect()] == ["model-loading", "model-loaded", "work-failed", "model-unloading", "model-unloaded"]
+    with pytest.raises(RuntimeError, match="no answer"):
+        Mo.ping("failing")
     with pytest.raises(KeyError, match="nobody"):
         Mo.model("nobody")
     assert Mo.chosen({}).name == "hashing" and Mo.chosen({"SEDIMARK_MODEL": "upper"}).name == "upper"
@@ -141,6 +158,43 @@ def test_models_over_rows(spark, tmp_path):
     assert [r.t for r in Mo.truncated(spark.createDataFrame([("a b c",), ("a",), (None,)], "t string"), "t", Words, 2).collect()] == ["a b", "a", None]
 
 
+def test_truncation_with_a_vocabulary(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, texts = Mo.Vocabulary(path), [None, "", "short", "x" * 40, "some words about rivers " * 50, "é漢字" * 30, " " * 2000 + "end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for most in (1, 7, 60):
+        want = {i: t if t is None or len(coder.encode(t)) <= most else coder.decode(coder.encode(t)[:most]) for i, t in enumerate(texts)}
+        for least in (0, 1):
+            assert {r.i: r.t for r in Mo.truncated(df, "t", lambda: Mo.Vocabulary(path), most, least).collect()} == want
+
+
+def test_strictness_answers_and_outcomes(spark):
+    hits = spark.createDataFrame([(1, 10, 10.0, 1), (1, 11, 4.0, 2), (1, 12, 3.9, 3), (2, 10, 0.0, 1)], "query long, doc long, score double, rank int")
+    assert sorted((r.query, r.doc) for r in R.strict(hits, 3).collect()) == [(1, 10), (1, 11), (2, 10)]
+    assert R.strict(hits, 1).count() == 4 and R.strict(hits, 5).count() == 2
+    for bad in (0, 6):
+        with pytest.raises(ValueError, match="strictness"):
+            R.strict(hits, bad)
+    Mo.register(Mo.Model("last-line", lambda: lambda prompts: [p.rsplit("\n", 1)[1].upper() for p in prompts]))
+    docs = spark.createDataFrame([(10, "ten"), (11, "eleven"), (12, "twelve")], "doc long, text string")
+    got = R.answered(R.contexts(hits, docs), spark.createDataFrame([(1, "why?"), (2, "how?"), (3, "who?")], "query long, text string"), "last-line")
+    assert {r.query: (r.answer, r.citations) for r in got.collect()} == {1: ("WHY?", {10: 10.0, 11: 4.0, 12: 3.9}), 2: ("HOW?", {10: 0.0})}
+    calls = spark.createDataFrame([("a", False, 1.0), ("a", True, 9.0), ("a", None, 9.0), ("a", False, 3.0), ("b", True, 2.0)], "k string, bad boolean, v double")
+    assert {r.k: tuple(r)[1:] for r in R.outcomes(calls, "k", F.col("bad"), "v").collect()} == {"a": (4, 2, 2, 2.0), "b": (1, 0, 1, None)}
+
+
+def test_samples_of_ranked_rows(spark):
+    rows = spark.createDataFrame([(i, float(i % 50)) for i in range(500)], "id long, score double")
+    best = {i for _, i in sorted((-float(i % 50), i) for i in range(500))[:100]}
+    drawn = [r.id for r in chunks.seeded_sample(rows, 20, 3, "id", [F.desc("score")]).collect()]
+    assert len(set(drawn)) == 20 and set(drawn) <= best
+    assert drawn == [i for _, i in sorted((hashlib.md5(f"3:{i}".encode()).hexdigest(), i) for i in best)][:20]
+    assert len({r.id for r in chunks.seeded_sample(rows, 200, 3, "id", [F.desc("score")]).collect()}) == 200
+    with pytest.raises(ValueError, match="positive"):
+        chunks.seeded_sample(rows, 0, 3, "id")
+
+
 def test_texts_are_embedded_once(spark, tmp_path):
     marks = tmp_path / "marks"
 

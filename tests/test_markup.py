@@ -157,6 +157,12 @@ def test_captions_are_rescued_in_turn(spark):
     assert got == {"c0": (1, "Cap", "Leading words<table></table>"), "c1": (1, "Leading words", "<table></table>"), "c2": (-1, None, None)}
 
 
+def test_titles_of_documents(spark):
+    rows = [("a", 3, "b1", "heading"), ("a", 3, "b2", "paragraph"), ("a", 4, "b3", "heading"), ("b", 1, "b4", "heading"), ("b", 1, "b5", "heading"), ("c", 1, "b6", "figure"), ("c", 2, "b7", "heading")]
+    found = D.title_headings(spark.createDataFrame(rows, "slug string, page int, box_id string, kind string"))
+    assert [tuple(r) for r in found.collect()] == [("a", 3, "b1")]
+
+
 def test_merge_by_key(spark):
     old = spark.createDataFrame([("a", 0, 1), ("b", 1, 2)], "box_id string, ord long, v int")
     new = spark.createDataFrame([("z", 0, 9), ("b", 1, 3), ("b", 2, 4), ("z", 3, 8)], "box_id string, ord long, v int")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sedimark.functions import markup as M
 from sedimark.functions import validation as V
 from sedimark.operators import chunks
+from sedimark.operators import curation as Cu
 from sedimark.operators.events import fold
 from sedimark.sources import files, sinks
 from sedimark.streaming import events as S
@@ -101,6 +102,21 @@ def test_small_scans(spark, tmp_path):
     assert list(spark.range(1).select(*keys).first()) == ["doc", "section", "doc", "unknown"]
 
 
+def test_sidecars_and_sequence(spark, tmp_path):
+    assert files.sidecars(spark, str(tmp_path), "s.json", "n int").count() == 0
+    for slug, said in (("a", '{"n": 1}'), ("b", None), ("c", "not json")):
+        (tmp_path / slug).mkdir()
+        if said:
+            (tmp_path / slug / "s.json").write_text(said)
+    docs = spark.createDataFrame([("a",), ("b",), ("c",)], "slug string")
+    found = files.with_sidecar(docs, files.sidecars(spark, str(tmp_path), "s.json", "n int"), "s")
+    assert {r.slug: r.s and r.s.n for r in found.collect()} == {"a": 1, "b": None, "c": None}
+    assert Cu.maybe(docs, "slug", "a").slug == "a" and Cu.maybe(docs, "slug", "z") is None
+    rows = spark.createDataFrame([("a", 2, 0.0, 0, 0), ("a", 1, 5.0, 1, 0), ("a", 1, 5.0, 0, 3), ("b", 9, 0.0, 0, 0)], "slug string, page_number int, top_y double, kind_rank int, pos int")
+    got = files.in_sequence(rows).orderBy("slug", "place").collect()
+    assert [(r.slug, r.place, r.page_number, r.kind_rank) for r in got] == [("a", 0, 1, 0), ("a", 1, 1, 1), ("a", 2, 2, 0), ("b", 0, 9, 0)]
+
+
 def test_images_blocks_and_contracts(spark, tmp_path):
     for name in ("b.png", "a.jpg", "c.txt"):
         (tmp_path / name).write_bytes(name.encode())

@@ -74,6 +74,32 @@ def test_upsert_writes_the_buckets_of_the_batch_alone(spark, tmp_path):
     assert got == {**{i: "old" for i in range(200)}, 3: "last", 500: "new", None: "null again"} and stores.stored(spark, path, schema).count() == 202
 
 
+def test_deleting_rows_and_documents(spark, tmp_path):
+    path, schema = str(tmp_path / "stored"), "id long, v string, bucket int"
+    stores.upsert_stored(spark.createDataFrame([(i, f"v{i}") for i in range(40)] + [(None, "none")], "id long, v string"), path, "id", buckets=8)
+    before = {p: p.name for p in (tmp_path / "stored").rglob("*.parquet")}
+    bucket = {r.id: r.bucket for r in stores.stored(spark, path, schema).collect()}
+    whole = [i for i in bucket if bucket[i] == bucket[7]]  # all of a bucket
+    gone = {*whole, 8, None, 999}
+    keys = spark.createDataFrame([(i,) for i in gone] + [(8,)], "id long")
+    assert stores.delete_stored(keys, path, schema, "id", buckets=8) == len(gone) - 1
+    assert {r.id for r in stores.stored(spark, path, schema).collect()} == set(bucket) - gone
+    untouched = {p for p in before if p.parent.name not in {f"bucket={bucket[i]}" for i in gone if i in bucket}}
+    assert all(p.exists() for p in untouched)
+    assert stores.delete_stored(keys, path, schema, "id", buckets=8) == 0
+    docs, table = tmp_path / "docs", tmp_path / "table"
+    for slug in ("a", "b"):
+        (docs / slug).mkdir(parents=True)
+        (docs / slug / "html.html").write_text(slug)
+    spark.createDataFrame([("a", 1), ("b", 2)], "slug string, n int").write.partitionBy("slug").parquet(str(table))
+    assert stores.delete_document(spark, "a", [str(docs)], [str(table)]) == 2 and stores.delete_document(spark, "a", [str(docs)], [str(table)]) == 0
+    assert [p.name for p in docs.iterdir()] == ["b"] and [r.slug for r in spark.read.parquet(str(table)).collect()] == ["b"]
+    for bad in ("", "..", "a/b", "*", ".x"):
+        with pytest.raises(ValueError, match="slug"):
+            stores.delete_document(spark, bad, [str(docs)])
+    assert [p.name for p in docs.iterdir()] == ["b"]
+
+
 def test_upsert_of_repeated_ids_keeps_the_last(spark):
     table = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     batch = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "id int, v string")
