@@ -1,6 +1,8 @@
 """Every query with SQL against DuckDB at the smallest scale; the others by their properties."""
 
 import hashlib
+import html
+import json
 import math
 import random
 import re
@@ -11,7 +13,9 @@ import numpy as np
 import pytest
 
 from sedimark.operators import retrieval as R
+from sedimark.operators.synthesis import split_sentences
 from sedimark.plans import queries as Q
+from sedimark.plans.text_queries import first_words
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -61,6 +65,61 @@ def test_queries_without_sql(spark):
     assert Q.QUERIES["slug_ascii"](spark, SF).where("slug rlike '[^a-z0-9-]' or slug = ''").count() == 0
 
 
+@needs_data
+def test_sentences_and_boxes_lose_nothing_of_whole_tables(spark):
+    read = lambda name: Q.I.table(spark, SF, name).collect()
+    got = {}
+    for r in Q.QUERIES["sentence_units"](spark, SF).collect():
+        got.setdefault(r.doc_id, {})[r.pos] = (r.chars, r.sentence_sha256)
+    for r in read("documents"):
+        want = split_sentences(r.text or "")
+        assert "".join("".join(want).split()) == "".join((r.text or "").split())
+        assert got.get(r.doc_id, {}) == {i: (len(s), hashlib.sha256(s.encode()).hexdigest()) for i, s in enumerate(want)}
+    boxes = {(r.page_id, r.box_id): (r.tag, r.text) for r in Q.QUERIES["html_boxes"](spark, SF).collect()}
+    want = {}
+    for r in read("pages"):
+        for box, tag in (("head", "h1"), ("item", "li")):
+            found = re.findall(rf"<{tag}>(.*?)</{tag}>", r.html or "", re.S)
+            if found:
+                want[r.page_id, box] = (tag, " ".join(html.unescape(re.sub("<[^>]+>", "", found[-1])).split()))
+    assert want and {k: (t, " ".join((x or "").split())) for k, (t, x) in boxes.items()} == want
+
+
+@needs_data
+def test_formulas_of_whole_texts(spark):
+    outside = {r.doc_id: r.text for r in Q.I.table(spark, SF, "documents").collect() if r.text is not None}
+    prefix, mark = "<sup>®</sup> <sub>2</sub> 5 \\times 3 \\alpha W/m² ", " x mm⁻¹ 0.4<sup>4)</sup> "
+    got = {r.doc_id: r.marked_sha256 for r in Q.QUERIES["math_markup"](spark, SF).collect()}
+    plain = {i: t for i, t in outside.items() if not re.search(r"[$\\&]|\d\)|[A-Za-z]\d", t)}
+    assert plain and all(got[i] == hashlib.sha256((prefix + t.replace(". ", mark)).encode()).hexdigest() for i, t in plain.items())
+
+
+@needs_data
+def test_kept_questions_match_brute_force(spark):
+    got = {}
+    for r in Q.QUERIES["synth_kept"](spark, SF).collect():
+        got.setdefault((r.slug, r.element_id), []).append((r.place, r.question))
+    letters = lambda q: np.array([q.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"], float)
+    want = {}
+    for r in Q.I.table(spark, SF, "documents").collect():
+        lines = [x for x in (r.text or "").split("\n") if x.strip()]
+        kind = ["table", "list_item", "heading", "list_item"][r.doc_id % 4]
+        if r.text is None or r.doc_id % 10 == 0 or kind == "heading":
+            continue
+        units = [f"{lines[0]}\n{x}" for x in lines[1:]] if kind == "table" else [u for x in lines if (u := re.sub(r"^\s*(?:[-*•]|\d+\.)\s+", "", x).strip())]
+        asked = [units] if len("Ask about:\n" + "\n".join(f"{i}. {u}" for i, u in enumerate(units))) <= 4 * 8000 else [[u] for u in units]
+        prompts = ["Ask about:\n" + "\n".join(f"{i}. {u}" for i, u in enumerate(some)) for some in asked]
+        questions = [q["question"] for answer in first_words(prompts) if answer != "no" for q in json.loads(answer)["questions"]]
+        kept = []
+        for place, q in enumerate(questions):
+            v = letters(q)
+            if all(round(float(v @ w / (np.linalg.norm(v) * np.linalg.norm(w))), 6) < 0.95 for _, _, w in kept):
+                kept.append((place, q, v))
+        if kept:
+            want[f"src{r.doc_id % 10}", f"p1-{r.doc_id}"] = [(place, q) for place, q, _ in kept[:20]]
+    assert {k: sorted(x) for k, x in got.items()} == want
+
+
 def test_metric_values(spark):
     cases = [(["a", "b"], ["a", "x", "b"], 5 / 6, 1.0), (["a"], ["b", "c", "a"], 1 / 3, 1 / 3), (["a", "b"], ["c", "a", "b"], (1 / 2 + 2 / 3) / 2, 1 / 2), ([], ["a"], 0.0, 0.0)]
     df = spark.createDataFrame([(e, r) for e, r, *_ in cases], "e array<string>, r array<string>")
