@@ -39,12 +39,16 @@ def ingest(events: DataFrame, log: str, checkpoint: str, key: str = "event_id"):
     """Append a stream of events (event_id, entry_id, ...) to the Parquet log, each id once: the first in the order of ``file``, ``start`` and ``nth``, if there are these columns.
 
     Ids that have come are kept as keyed state, so a batch costs the same however
-    long the log is. A stream with a new checkpoint begins with the ids of the log.
+    long the log is. A stream with a new checkpoint begins with the ids of the log,
+    which are written once beside the checkpoint and come with its first batch.
     Batches are folders of their own (run, batch), so one that runs again after a
     failure replaces itself.
     """
-    spark = events.sparkSession
-    known = or_empty(spark, lambda: spark.read.parquet(log).select(key), events.select(key).schema)
+    spark, ids = events.sparkSession, f"{checkpoint}-known"
+    schema = events.select(key).schema
+    if or_empty(spark, lambda: spark.read.text(f"{ids}/_SUCCESS"), None) is None:  # none yet, or a write that did not end
+        or_empty(spark, lambda: spark.read.parquet(log).select(key), schema).distinct().write.mode("overwrite").parquet(ids)
+    known = spark.readStream.schema(schema).parquet(ids)
     order = tuple(c for c in ("file", "start", "nth") if c in events.columns) or tuple(c for c in events.columns if c != key)[:1]
     run = f"r{zlib.crc32(checkpoint.encode()):08x}"
     return state.start(state.first_arrivals(events, key, order, known), f"{log}/run={run}", checkpoint)

@@ -55,42 +55,20 @@ def batches(spark: SparkSession, out: str, schema: StructType | str) -> DataFram
     return or_empty(spark, lambda: spark.read.schema(schema).option("basePath", out).parquet(out).withColumn("batch", F.col("batch").cast("long")), schema, "batch long")
 
 
-class _First(StatefulProcessor):
-    """Of an id's rows the first in order, once."""
-
-    def __init__(self, order: list[str]) -> None:
-        self.order = order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            for _ in rows:
-                pass
-            return
-        self.seen.update((True,))
-        every = pd.concat(list(rows))
-        yield every.sort_values(self.order, kind="stable").head(1)[["row"]]
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.seen.update((True,))
-
-    def close(self) -> None:
-        pass
-
-
 def first_arrivals(events: DataFrame, key: str = "event_id", order: tuple[str, ...] = ("nth",), known: DataFrame | None = None) -> DataFrame:
     """``events`` without the rows whose ``key`` an earlier batch had, and of those of one batch with one key the first by ``order``.
 
-    ``known`` (key) are keys that count as seen when the stream begins. The state is a
-    flag a key. Rows without a key are left out.
+    ``known`` (key), a stream too, are keys that count as seen from the batch on with
+    which they come. The state is a key's first row and the times of its batches, kept
+    by Spark's own aggregates, so no row crosses to Python. Rows without a key are left out.
     """
-    # a row crosses to Python and back as text, so that no type changes on the way
-    rows = events.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *order, F.to_json(F.struct(*events.columns)).alias("row"))
-    seen = rows.sparkSession.createDataFrame([], rows.select("key").schema) if known is None else known.select(F.col(key).alias("key")).distinct()
-    kept = rows.groupBy("key").transformWithStateInPandas(_First(list(order)), "row string", "Update", "None", seen.groupBy("key"))
-    return kept.select(F.from_json("row", events.schema).alias("e")).select("e.*")
+    batch = F.current_timestamp()  # in a stream, the time with which its batch was planned; a batch that runs again has it again
+    rows = events.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.struct(*events.columns).alias("e"), F.struct(*(x for c in order for x in (F.col(c).isNull(), F.col(c)))).alias("o"), batch.alias("at"))
+    if known is not None:
+        nothing = (F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("e", "o"))
+        rows = rows.unionByName(known.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *nothing, batch.alias("at")))
+    seen = rows.groupBy("key").agg(F.min_by("e", "o").alias("e"), F.count_if(F.col("e").isNull()).alias("known"), F.min("at").alias("first"), F.max("at").alias("last"))
+    return seen.where((F.col("known") == 0) & (F.col("first") == batch) & (F.col("last") == batch)).select("e.*")
 
 
 FOLDED = "entry_id long, created_event long, n_reviews long, deprecated boolean, level string, n_events long"

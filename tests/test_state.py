@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +93,25 @@ def test_a_batch_costs_the_same_late_in_a_stream(spark, tmp_path):
         feed.send([event(i, 1000 * n + i, "x", 1) for i in range(20)])
         sizes.append(feed.out(EVENT).where(F.col("batch") == n).count())
     assert sizes == [20] * 6
+
+
+def test_ids_are_let_in_without_a_call_for_each_and_a_batch_may_run_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps(event(i % 7, i, "x", 1)) for i in range(20_000)))
+
+    def run():
+        began = time.perf_counter()
+        q = S.ingest(S.read_lines(spark, str(tmp_path / "in"), EVENT), str(tmp_path / "log"), str(tmp_path / "cp"))
+        assert q.awaitTermination(300) and q.exception() is None
+        return spark.read.parquet(str(tmp_path / "log")).agg(F.count("*"), F.count_distinct("event_id")).first(), time.perf_counter() - began
+
+    kept, took = run()
+    assert tuple(kept) == (20_000, 20_000) and took < 30
+    # a stop between the batch's rows and its mark: it runs again and its own rows don't count as known
+    for mark in (tmp_path / "cp" / "commits").glob("*0*"):
+        mark.unlink()
+    assert tuple(run()[0]) == (20_000, 20_000)
+    # another stream over the same log begins with its ids
+    q = S.ingest(S.read_lines(spark, str(tmp_path / "in"), EVENT), str(tmp_path / "log"), str(tmp_path / "cp2"))
+    assert q.awaitTermination(300) and q.exception() is None
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 20_000
