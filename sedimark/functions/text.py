@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 import unicodedata
 
 import pandas as pd
@@ -70,14 +72,26 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-def unescape(c: Column) -> Column:
-    """Character references decoded, all of HTML's. Only texts that hold an ampersand go to Python."""
-    return F.coalesce(_unescape(F.when(F.contains(c, F.lit("&")), c)), c)
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
 
 
-def html_to_text(c: Column) -> Column:
-    """Text between tags, character references decoded."""
-    return unescape(F.regexp_replace(c, "<[^>]+>", ""))
+@F.pandas_udf(StringType())
+def _unescape_closed(texts: pd.Series) -> pd.Series:
+    def decoded(m: re.Match) -> str:
+        return html.entities.html5.get(m[1] + ";", m[0]) if m[1] else html.unescape(m[0])
+
+    return texts.map(lambda s: _CLOSED.sub(decoded, s), na_action="ignore")
+
+
+def unescape(c: Column, closed: bool = False) -> Column:
+    """Character references decoded, all of HTML's; ``closed``: those alone that end in a semicolon, so that '&amp' at the end of a cut text stays. Only texts that hold an ampersand go to Python."""
+    run = _unescape_closed if closed else _unescape
+    return F.coalesce(run(F.when(F.contains(c, F.lit(";" if closed else "&")) & F.contains(c, F.lit("&")), c)), c)
+
+
+def html_to_text(c: Column, closed: bool = False) -> Column:
+    """Text between tags, character references (``closed``: those with a semicolon) decoded."""
+    return unescape(F.regexp_replace(c, "<[^>]+>", ""), closed)
 
 
 def heading_level(tag: Column) -> Column:

@@ -23,6 +23,10 @@ def test_html_to_text_decodes_all_references(spark):
     assert values(spark, T.html_to_text, ["<p>a&nbsp;b&eacute;&#x27;&lt;</p>", "plain", "&amp;lt;", None]) == ["a\xa0bé'<", "plain", "&lt;", None]
 
 
+def test_html_to_text_leaves_references_without_an_end(spark):
+    assert values(spark, lambda c: T.html_to_text(c, closed=True), ["cut &amp", "cut &amp{x}; &#x27;&nbsp;&nope;&notit;", "&amp;lt;&#39;&copy;", "&quo", None]) == ["cut &amp", "cut &amp{x}; '\xa0&nope;&notit;", "&lt;'©", "&quo", None]
+
+
 def test_exponents_and_footnotes(spark):
     assert values(spark, M.unit_exponents, ["W/m2", "kg/m3, mm-1)", "H2O x12y m2.5 Foo3.0", "(s-1)"]) == ["W/m²", "kg/m³, mm⁻¹)", "H2O x12y m2.5 Foo3.0", "(s⁻¹)"]
     assert values(spark, M.footnote_markup, ["(GGG)2)", "0.44)", "0,44) x", "Moderatorzone8)", "(0.44) 1.5) m2) Q8)", "W/(m·K)1);"]) == ["(GGG)<sup>2)</sup>", "0.4<sup>4)</sup>", "0,4<sup>4)</sup> x", "Moderatorzone<sup>8)</sup>", "(0.44) 1.5) m2) Q8)", "W/(m·K)<sup>1)</sup>;"]
