@@ -190,7 +190,7 @@ def reported(rows: DataFrame, name: str, column: str, out: str) -> DataFrame:
 def letters(c: Column) -> Column:
     """A vector of how often each letter a to z stands in a text: an embedding that needs no model."""
     low = F.lower(c)
-    return F.array(*((F.length(low) - F.length(F.translate(low, x, ""))).cast("double") for x in "abcdefghijklmnopqrstuvwxyz"))
+    return F.array(*((F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in "abcdefghijklmnopqrstuvwxyz"))
 
 
 def hashed(texts: list[str], dimensions: int = 64) -> list[list[float]]:

@@ -63,20 +63,33 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
+#: Pairs of a query and a document that one task scores, about.
+PAIRS = 500_000
+
+
+def dealt_by_document(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``docs`` (doc, ...) with all rows of a document in one partition, in as many partitions as a task's pairs ask for."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(max(least, -(-docs.count() * queries.count() // PAIRS)), "doc")
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 over ``docs`` (doc, text) for ``queries`` (query, text).
 
-    Texts are cut into words once. Words that no query has fall away before
-    anything is shuffled; each document's row for the empty word carries its length
-    to the corpus's number of documents and mean length.
+    Texts are dealt out by document; from there on all rows of a document stay in one
+    partition, since what they are joined with is the queries' words alone. So neither
+    its words nor its scores cross a shuffle: a task hands on each query's k best. That
+    is done twice, first for each word's number of documents; the row for the empty
+    word carries the corpus's number of documents and mean length.
     """
     terms = queries.select("query", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    asked = terms.select("word").union(docs.sparkSession.createDataFrame([("",)], "word string")).distinct()
-    sized = docs.select("doc", words(F.col("text")).alias("w")).select("doc", F.size("w").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("word"))
-    counts = written(sized.join(asked, "word", "left_semi").groupBy("doc", "len", "word").agg(F.count("*").alias("tf")), "postings")
-    shape = counts.where("word = ''").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
+    asked = queries.select(F.explode(F.array_append(words(F.coalesce("text", F.lit(""))), F.lit(""))).alias("word")).distinct()
+    sized = dealt_by_document(docs.select("doc", "text"), queries).select("doc", words(F.col("text")).alias("w")).select("doc", F.size("w").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("word"))
+    counts = sized.join(asked, "word", "left_semi").groupBy("doc", "len", "word").agg(F.count("*").alias("tf"))
+    seen = written(counts.groupBy("word").agg(F.count("*").alias("df"), F.avg("len").alias("mean")), "words")  # a row a word of the queries
+    shape = seen.where("word = ''").select(F.col("df").alias("n"), "mean")  # one row
     tf = counts.where("word <> ''")
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    df = seen.where("word <> ''").select("word", "df")
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     weighed = tf.join(df, "word").crossJoin(F.broadcast(shape)).select("doc", "word", weight.alias("weight"))
     return top_k(weighed.join(terms, "word").groupBy("query", "doc").agg(F.round(F.sum("weight"), 6).alias("score")), k)
@@ -86,19 +99,22 @@ def bm25f(queries: DataFrame, docs: DataFrame, k: int, weights: dict[str, float]
     """BM25 over several fields of ``docs`` (doc and the fields of ``weights``) for ``queries`` (query, text).
 
     A word's count in a field is divided by the field's length against its mean, and
-    weighed; the sum over fields saturates as one. As in :func:`bm25`, words that no
-    query has fall away before anything is shuffled, and a row for the empty word
-    carries each field's length.
+    weighed; the sum over fields saturates as one. As in :func:`bm25`, a document's
+    rows stay in one partition, and a row for the empty word carries each field's length.
     """
     terms = queries.select("query", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    asked = terms.select("word").union(docs.sparkSession.createDataFrame([("",)], "word string")).distinct()
+    asked = queries.select(F.explode(F.array_append(words(F.coalesce("text", F.lit(""))), F.lit(""))).alias("word")).distinct()
     fields = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("weight"), F.coalesce(words(F.col(f)), F.array().cast("array<string>")).alias("w")) for f, w in weights.items()))
-    sized = docs.select("doc", F.explode(fields).alias("f")).select("doc", "f.field", "f.weight", F.size("f.w").alias("len"), F.explode(F.array_append("f.w", F.lit(""))).alias("word"))
-    counts = written(sized.join(asked, "word", "left_semi").groupBy("doc", "field", "weight", "len", "word").agg(F.count("*").alias("tf")), "fields")
-    shape = counts.where("word = ''").groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # a row a field
+    sized = dealt_by_document(docs.select("doc", *weights), queries).select("doc", F.explode(fields).alias("f")).select("doc", "f.field", "f.weight", F.size("f.w").alias("len"), F.explode(F.array_append("f.w", F.lit(""))).alias("word"))
+    counts = sized.join(asked, "word", "left_semi").groupBy("doc", "field", "weight", "len", "word").agg(F.count("*").alias("tf"))
+    # a document counts once for a word in whatever field, and once for each field's length
+    own = F.col("word") == ""
+    once = counts.select("doc", "word", F.when(own, F.col("field")).alias("field"), F.when(own, F.col("len")).alias("len")).distinct()
+    seen = written(once.groupBy("word", "field").agg(F.count("*").alias("df"), F.avg("len").alias("mean")), "words")  # a row a word of the queries, and one a field
+    shape = seen.where("word = ''").select("field", F.col("df").alias("n"), "mean")
     norm = 1 - b + b * F.coalesce(F.try_divide("len", "mean"), F.lit(1.0))
     in_fields = counts.where("word <> ''").join(F.broadcast(shape), "field").groupBy("doc", "word", "n").agg(F.sum(F.col("weight") * F.col("tf") / norm).alias("tf"))
-    df = counts.where("word <> ''").groupBy("word").agg(F.count_distinct("doc").alias("df"))
+    df = seen.where("word <> ''").select("word", "df")
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (k1 + F.col("tf"))
     weighed = in_fields.join(df, "word").select("doc", "word", weight.alias("weight"))
     return top_k(weighed.join(terms, "word").groupBy("query", "doc").agg(F.round(F.sum("weight"), 6).alias("score")), k)
@@ -111,7 +127,7 @@ def by_proximity(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, s
     query, in the order of their places. Only texts of hits are looked at.
     """
     wanted = queries.select("query", F.array_distinct(words(F.col("text"))).alias("wanted"))
-    both = hits.select("query", "doc", "score").join(docs.select("doc", "text"), "doc").join(wanted, "query")
+    both = written(hits.select("query", "doc", "score"), "hits").join(docs.select("doc", "text"), "doc").join(wanted, "query")
     places = F.filter(F.transform(words(F.col("text")), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("wanted", x["w"]))
     # a step of its own: the places are made once
     rows = written(both.select("query", "doc", "score", places.alias("p")), "places")
@@ -124,8 +140,9 @@ def hybrid(queries: DataFrame, docs: DataFrame, k: int, depth: int = 10, where:
     """Text and vector search in one: ``queries`` (query, text, vector) against ``docs`` (doc, text, vector, ...) that pass ``where``, both lists of ``depth`` fused by rank."""
     asked = docs if where is None else docs.where(where)
     found = queries.select("query", "text"), asked.select("doc", "text")
+    vectors = written(asked.select("doc", "vector"), "vectors")  # made of whole texts: once
     # ids of queries and documents are of different kinds: none is left out of the vector list as itself
-    near = knn(queries.select((-1 - F.col("query")).alias("query"), "vector"), asked.select("doc", "vector"), depth)
+    near = knn(queries.select((-1 - F.col("query")).alias("query"), "vector"), vectors, depth)
     return fuse([bm25(*found, depth), near.withColumn("query", -1 - F.col("query"))], k)
 
 
@@ -137,6 +154,7 @@ def reranked(hits: DataFrame, rerank: DataFrame, k: int) -> DataFrame:
 
 def contexts(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """(query, context, citations): each query's documents in the order of their ranks as one text, and the map of their scores."""
+    hits = written(hits.select("query", "doc", "rank", "score"), "hits")  # few: made once, and the texts needn't be sorted to meet them
     j = hits.join(docs.select("doc", "text"), "doc").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "doc", "score", "text"))).alias("h"))
     cited = F.map_from_entries(F.transform("h", lambda x: F.struct(x["doc"], x["score"])))
     return j.select("query", F.array_join(F.transform("h", lambda x: F.concat(F.lit("["), x["doc"], F.lit("] "), x["text"])), "\n").alias("context"), cited.alias("citations"))

@@ -234,7 +234,7 @@ def hybrid_rrf(spark, sf_dir):
 def search_reranked(spark, sf_dir):
     """Hits by a second score where they have one (here the length of documents with even ids)."""
     second = I.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("doc"), F.round(F.col("n_chars") / 1000, 3).alias("rerank"))
-    hits = _hybrid(spark, sf_dir)
+    hits = written(_hybrid(spark, sf_dir).select("query", "doc", "score"), "hits")  # used twice
     return R.reranked(hits, hits.select("query", "doc").join(second, "doc"), 5).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 

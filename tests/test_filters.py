@@ -1,5 +1,7 @@
 """Filters of a search: precedence, literals, nulls, errors, push-down."""
 
+import re
+
 import pytest
 
 from sedimark.operators.filters import FilterError, condition
@@ -34,3 +36,18 @@ def test_fields_of_structures_and_push_down(spark, tmp_path):
     found = t.where(condition("m/k eq 'y' and id ge 2", t.columns))
     assert [r.id for r in found.collect()] == [2]
     assert "GreaterThanOrEqual(id,2)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_do_not_cross_a_shuffle(spark):
+    """A task hands on each query's best alone: what is shuffled is texts, not their words or the pairs of queries and documents."""
+    from sedimark.operators import retrieval as R
+    from sedimark.operators.scratch import written
+
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, None)], "query long, text string")
+    docs = spark.createDataFrame([(n, " ".join(["alpha"] * (n % 3) + ["beta"] * (n % 5) + ["delta"])) for n in range(200)] + [(900, None)], "doc long, text string")
+    queries, docs = written(queries, "queries"), written(docs, "docs")
+    for found in (R.bm25(queries, docs, 3), R.bm25f(queries, docs, 3, {"text": 1.0})):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(query" in plan
+        assert not re.search(r"hashpartitioning\(query#\d+L?, doc", plan)
+        assert sorted({r.query for r in found.collect()}) == [1, 2]
