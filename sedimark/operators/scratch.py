@@ -27,3 +27,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_in_small_batches(df: DataFrame, name: str, rows: int = 200) -> DataFrame:
+    """:func:`written`, with at most ``rows`` rows at a time handed to Python: a worker holds few whole texts and their copies however long the table is."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(rows))
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)

@@ -51,3 +51,18 @@ def test_scores_do_not_cross_a_shuffle(spark):
         assert "hashpartitioning(query" in plan
         assert not re.search(r"hashpartitioning\(query#\d+L?, doc", plan)
         assert sorted({r.query for r in found.collect()}) == [1, 2]
+
+
+def test_small_batches_reach_python(spark):
+    from sedimark.operators.scratch import written_in_small_batches
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    told = [r.n for r in written_in_small_batches(spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(told) == 1000 and max(told) == 200 and spark.conf.get(key) == before
