@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from sedimark.functions import text as T
 from sedimark.operators import models, retrieval
-from sedimark.operators.scratch import written
+from sedimark.operators.scratch import written, written_in_small_batches
 
 #: Abbreviations after which a German sentence goes on.
 ABBREVIATIONS = "Abb Abs Bd Dr Fr Hr Jh Kap Nr Prof S Str Tab bzw ca etc evtl f ff ggf gem inkl max min o sog u usw vgl z zzgl".split()
@@ -160,10 +160,10 @@ def prompts(elements: DataFrame, named: DataFrame, asked_before: DataFrame | Non
 def answers(asked: DataFrame, model: str) -> DataFrame:
     """``asked`` with each prompt's questions. An answer that can't be read is asked for once more; after that the prompt has none."""
     todo = asked.where("prompt is not null")
-    first = written(models.apply(todo, model, "prompt", "raw", "string"), "answers")
+    first = written_in_small_batches(models.apply(todo, model, "prompt", "raw", "string"), "answers")
     again = first.where(T.parse_questions(F.col("raw")).isNull()).drop("raw")
     good = first.where(T.parse_questions(F.col("raw")).isNotNull())
-    both = good.unionByName(written(models.apply(again, model, "prompt", "raw", "string"), "answers"))
+    both = good.unionByName(written_in_small_batches(models.apply(again, model, "prompt", "raw", "string"), "answers"))
     read = both.withColumn("questions", T.parse_questions(F.col("raw"))).drop("raw")
     passed = asked.where("prompt is null").withColumn("questions", F.lit(None).cast(read.schema["questions"].dataType))
     return read.unionByName(passed)
