@@ -74,55 +74,25 @@ def first_arrivals(events: DataFrame, key: str = "event_id", order: tuple[str, .
 FOLDED = "entry_id long, created_event long, n_reviews long, deprecated boolean, level string, n_events long"
 
 
-class _Fold(StatefulProcessor):
-    """All events of an entry; its state anew whenever one comes."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getListState("events", "at long, event_id long, event_type string, made boolean, level string")
-        self.last = handle.getValueState("last", "told string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = {e[1]: tuple(e) for e in self.events.get()}
-        fresh = {}
-        for part in rows:
-            for r in part.itertuples(index=False):
-                if r.event_id not in known and r.event_id not in fresh:
-                    fresh[r.event_id] = (int(r.at), int(r.event_id), r.event_type, bool(r.made), None if pd.isna(r.level) else r.level)
-        if not fresh:
-            return
-        self.events.appendList(list(fresh.values()))
-        state = fold_entry(sorted([*known.values(), *fresh.values()], key=lambda e: e[:2]))
-        told = repr(state)
-        if state is not None and not (self.last.exists() and self.last.get()[0] == told):
-            self.last.update((told,))
-            created, n, deprecated, level = state
-            yield pd.DataFrame({"entry_id": [key[0]], "created_event": [created], "n_reviews": [n], "deprecated": [deprecated], "level": [level], "n_events": [len(known) + len(fresh)]})
-
-    def close(self) -> None:
-        pass
-
-
-def fold_entry(events: list[tuple]) -> tuple[int, int, bool, str] | None:
-    """(created_event, n_reviews, deprecated, level) of an entry's events (at, id, type, made, level) in order; None without a valid 'created'."""
-    born = max((i for i, e in enumerate(events) if e[3]), default=None)
-    if born is None:
-        return None
-    chain = [e for e in events[born:] if e[2] in ("reviewed", "deprecated")]
-    levels = [LEVELS.index(e[4]) for e in chain if e[4] in LEVELS]
-    return events[born][1], len(chain), any(e[2] == "deprecated" for e in chain), LEVELS[min(levels)] if levels else "synthetic"
-
-
 def folded(events: DataFrame) -> DataFrame:
-    """FOLDED rows of the entries whose state a batch of ``events`` (entry_id, event_id, event_type, ts, valid_created, level) changes.
+    """FOLDED rows of the entries to which a batch of ``events`` (entry_id, event_id, event_type, ts, valid_created, level) brings new ones.
 
     An event finds its place by (ts, event_id) however late it comes, an id that is
     there already changes nothing, and no entry is folded but those that a batch
     touches. The last row of an entry is its state; it has the rows that the fold of
-    all events together has.
+    all events together has. The state is an entry's ids, its last valid 'created' and
+    its changes, kept by Spark's own aggregates, so no event crosses to Python.
     """
+    at = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
     made = (F.col("event_type") == "created") & F.coalesce("valid_created", F.lit(False))
-    rows = events.where("entry_id is not null and event_id is not null and ts is not null").select("entry_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type", made.alias("made"), "level")
-    return rows.groupBy("entry_id").transformWithStateInPandas(_Fold(), FOLDED, "Update", "None")
+    known = F.nullif(F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level")), F.lit(0).cast("long"))
+    change = F.struct(at.alias("at"), (F.col("event_type") == "deprecated").alias("ends"), known.alias("level"))
+    new = events.where("entry_id is not null and event_id is not null and ts is not null").dropDuplicates(["entry_id", "event_id"])
+    changes = F.collect_list(F.when(F.col("event_type").isin("reviewed", "deprecated"), change))
+    entries = new.groupBy("entry_id").agg(F.max(F.when(made, at)).alias("born"), changes.alias("changes"), F.count("*").alias("n_events")).where("born is not null")
+    chain = entries.select("entry_id", "born", "n_events", F.filter("changes", lambda c: c["at"] > F.col("born")).alias("chain"))
+    level = F.get(F.array(*map(F.lit, LEVELS)), (F.array_min(F.transform("chain", lambda c: c["level"])) - 1).cast("int"))
+    return chain.select("entry_id", F.col("born.event_id").alias("created_event"), F.size("chain").cast("long").alias("n_reviews"), F.exists("chain", lambda c: c["ends"]).alias("deprecated"), F.coalesce(level, F.lit("synthetic")).alias("level"), "n_events")
 
 
 TIMELINE = "job string, seq long, at_us long, type string, stage string, n_errors long, current long, total long, rate double, eta double, timeline array<string>"

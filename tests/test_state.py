@@ -62,6 +62,25 @@ def test_fold_is_kept_up_to_date_in_any_order_of_arrival(spark, tmp_path):
     assert rows.where("batch = 1").count() <= 1
 
 
+def test_fold_and_job_states_pass_no_event_through_python(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for made in (state.folded(S.read_lines(spark, str(tmp_path / "in"), EVENT)), S.job_states(S.read_lines(spark, str(tmp_path / "in"), S.STAGE))):
+        plan = made._jdf.queryExecution().analyzed().toString()
+        assert "Pandas" not in plan and "Python" not in plan
+
+
+def test_job_states_go_on_from_batch_to_batch(spark, tmp_path):
+    feed = Feed(spark, tmp_path, S.STAGE, S.job_states)
+    feed.send([{"job": "a", "ts": f"2026-01-01T00:00:{s:02}Z", "type": "work-progress", "current": c, "total": 70} for s, c in ((14, 20), (12, 10))])
+    feed.send([{"job": "a", "ts": "2026-01-01T00:00:15Z", "type": "work-progress", "current": 30, "total": 70}, {"job": "b", "ts": "2026-01-01T00:00:01Z", "type": "odd", "current": 1, "total": 1}])
+    feed.send([{"job": "a", "ts": "2026-01-01T00:00:01Z", "type": "work-failed", "current": None, "total": None}])  # late, but its batch comes last
+    rows = {(r.job, r.batch): r for r in feed.out("job string, stage string, n_events long, n_errors long, current long, total long, rate double, eta double").collect()}
+    assert set(rows) == {("a", 0), ("a", 1), ("b", 1), ("a", 2)}
+    assert rows["a", 0][1:8] == ("running", 2, 0, 20, 70, None, None) and rows["b", 1][1:8] == ("idle", 0, 0, None, None, None, None)
+    assert rows["a", 1].rate == pytest.approx(0.3 * 10 + 0.7 * 5) and rows["a", 1].eta == pytest.approx(40 / 6.5)
+    assert rows["a", 2][1:6] == ("failed", 4, 1, 30, 70) and rows["a", 2].rate == rows["a", 1].rate
+
+
 LINE = "job string, ts timestamp, type string, current long, total long, nth long"
 
 
