@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,31 +88,30 @@ def refold(log: DataFrame, touched: DataFrame) -> DataFrame:
 def job_states(events: DataFrame) -> DataFrame:
     """A row (job, stage, n_events, n_errors, current, total, rate, eta) a batch and job; events of unknown type change nothing.
 
-    rate is the smoothed number of items a second over steps that make progress
-    (new steps weigh 0.3), eta the seconds left by it, from the third report on.
+    Events of a batch apply in the order of ts, batches as they come. rate is the
+    smoothed number of items a second over steps that make progress (new steps weigh
+    0.3), eta the seconds left by it, from the third report on. The state is a job's
+    counts, its last stage and its reports of progress, kept by Spark's own aggregates.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        stage, n, errors, reports, at, current, total, rate = state.get if state.exists else ("idle", 0, 0, 0, None, None, None, None)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        for row in rows.itertuples(index=False):
-            if row.type not in STAGES:
-                continue
-            stage, n, errors = STAGES[row.type], n + 1, errors + (row.type == "work-failed")
-            if row.type != "work-progress" or pd.isna(row.current):
-                continue
-            now, done = row.ts.timestamp(), int(row.current)
-            if reports and now > at and done > current:
-                fresh = (done - current) / (now - at)
-                rate = fresh if rate is None else 0.3 * fresh + 0.7 * rate
-            reports, at, current, total = reports + 1, now, done, None if pd.isna(row.total) else int(row.total)
-        state.update((stage, n, errors, reports, at, current, total, rate))
-        told = reports >= 3 and rate is not None and total is not None
-        yield pd.DataFrame({"job": [key[0]], "stage": [stage], "n_events": [n], "n_errors": [errors], "current": pd.array([current], "Int64"), "total": pd.array([total], "Int64"), "rate": [rate if told else None], "eta": [max(0, total - current) / rate if told else None]})
-
-    out = "job string, stage string, n_events long, n_errors long, current long, total long, rate double, eta double"
-    kept = "stage string, n long, errors long, reports long, at double, current long, total long, rate double"
-    return events.groupBy("job").applyInPandasWithState(step, out, kept, "update", "NoTimeout")
+    stages = F.create_map(*(F.lit(x) for pair in STAGES.items() for x in pair))
+    # in a stream, the time with which its batch was planned: it has the batches in their order
+    rows = events.select("job", "type", "current", "total", F.try_element_at(stages, F.col("type")).alias("stage"), F.struct(F.current_timestamp().alias("came"), F.col("ts").isNull().alias("none"), "ts").alias("at"))
+    report = F.when((F.col("type") == "work-progress") & F.col("current").isNotNull(), F.struct("at", "current", "total"))
+    last = F.max_by("stage", F.when(F.col("stage").isNotNull(), F.col("at")))
+    jobs = rows.groupBy("job").agg(F.coalesce(last, F.lit("idle")).alias("stage"), F.count("stage").alias("n_events"), F.count_if(F.col("type") == "work-failed").alias("n_errors"), F.collect_list(report).alias("reports"))
+    start = F.struct(F.lit(None).cast("double").alias("at"), F.lit(None).cast("long").alias("current"), F.lit(None).cast("long").alias("total"), F.lit(None).cast("double").alias("rate"))
+
+    def step(s, r):
+        now = F.unix_micros(r["at"]["ts"].cast("timestamp")) / 1e6
+        fresh = F.when((now > s["at"]) & (r["current"] > s["current"]), (r["current"] - s["current"]) / (now - s["at"]))
+        rate = F.when(fresh.isNull(), s["rate"]).when(s["rate"].isNull(), fresh).otherwise(0.3 * fresh + 0.7 * s["rate"])
+        return F.struct(now.alias("at"), r["current"].alias("current"), r["total"].alias("total"), rate.alias("rate"))
+
+    # an array of one binds the fold, so that it is made once
+    folds = F.array(F.aggregate(F.sort_array("reports"), start, step))
+    jobs = jobs.select("job", "stage", "n_events", "n_errors", (F.size("reports") >= 3).alias("enough"), F.inline(folds))
+    told = F.col("enough") & F.col("rate").isNotNull() & F.col("total").isNotNull()
+    return jobs.select("job", "stage", "n_events", "n_errors", "current", "total", F.when(told, F.col("rate")).alias("rate"), F.when(told, F.greatest(F.lit(0), F.col("total") - F.col("current")) / F.col("rate")).alias("eta"))
 
 
 def last_stages(events: DataFrame) -> DataFrame:
