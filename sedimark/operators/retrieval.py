@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.operators import models
-from sedimark.operators.scratch import written
-from sedimark.operators.vector_index import knn, matrix, top_k
+from sedimark.operators.scratch import written, written_in_small_batches
+from sedimark.operators.vector_index import FEW, each_row, knn, matrix, top_k
 
 
-#: Vectors in one block.
-BLOCK = 1024
+#: Vectors in one block, pairs in one batch from Python.
+BLOCK, PART = 1024, 65_536
 
 
 def vector_blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -270,21 +270,23 @@ def near_pairs(rows: DataFrame, threshold: float, others: DataFrame | None = Non
 
     def run(batches):
         for batch in batches:
-            found: list[tuple] = []
-            for first, first_b, ids, ids_b, m, m_b, c, c_b, r, r_b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                apart = np.arccos(np.clip(np.frombuffer(c) @ np.frombuffer(c_b), -1, 1)) - r - r_b
+            own, radii = (batch.select(names).to_pydict() for names in (["first", "first_b"], ["radius", "radius_b"]))
+            for n, (ids, ids_b, m, m_b, c, c_b) in enumerate(each_row(batch.select(["ids", "ids_b", "vectors", "vectors_b", "centre", "centre_b"]))):
+                apart = np.arccos(np.clip(np.frombuffer(c) @ np.frombuffer(c_b), -1, 1)) - radii["radius"][n] - radii["radius_b"][n]
                 if apart > 0 and np.cos(min(apart, np.pi)) < threshold - 1e-6:
                     continue
                 scores = np.round(np.frombuffer(m).reshape(len(ids), -1) @ np.frombuffer(m_b).reshape(len(ids_b), -1).T, 6)
-                for i, j in zip(*np.nonzero(scores >= threshold), strict=True):
-                    x, y = ids[i], ids_b[j]
-                    if not within:
-                        found.append((y, x, float(scores[i, j])))
-                    elif first != first_b or x < y:
-                        found.append((min(x, y), max(x, y), float(scores[i, j])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 3, [pa.int64(), pa.int64(), pa.float64()], strict=True)], ["a", "b", "score"])
+                i, j = np.nonzero(scores >= threshold)
+                x, y, s = ids[i], ids_b[j], scores[i, j]
+                if within and own["first"][n] == own["first_b"][n]:
+                    once = x < y
+                    x, y, s = x[once], y[once], s[once]
+                a, b = (np.minimum(x, y), np.maximum(x, y)) if within else (y, x)
+                for at in range(0, len(s), PART):
+                    yield pa.RecordBatch.from_arrays([pa.array(v[at : at + PART]) for v in (a, b, s)], ["a", "b", "score"])
 
-    return pairs.select("first", "first_b", "ids", "ids_b", "vectors", "vectors_b", "centre", "centre_b", "radius", "radius_b").mapInArrow(run, "a long, b long, score double")
+    both = pairs.select("first", "first_b", "ids", "ids_b", "vectors", "vectors_b", "centre", "centre_b", "radius", "radius_b")
+    return written_in_small_batches(both.mapInArrow(run, "a long, b long, score double"), "near", FEW)
 
 
 def greedy_unlike(rows: DataFrame, threshold: float, baseline: DataFrame | None = None) -> DataFrame:
@@ -297,7 +299,7 @@ def greedy_unlike(rows: DataFrame, threshold: float, baseline: DataFrame | None
     if baseline is not None:
         known = near_pairs(rows, threshold, baseline).select(F.col("b").alias("id")).distinct()
         rows = written(rows.join(known, "id", "left_anti"), "unlike")
-    edges = written(near_pairs(rows, threshold).select("a", "b"), "alike")
+    edges = near_pairs(rows, threshold).select("a", "b")
     gone = edges.select(F.col("b").alias("id")).limit(0)
     while not edges.isEmpty():
         free = edges.select(F.col("a").alias("id")).distinct().join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti")

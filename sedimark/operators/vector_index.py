@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimark.operators.scratch import shared_path, written
+from sedimark.operators.scratch import shared_path, written, written_in_small_batches
 
 #: Vectors of one block, queries of one row, rows that centres and codes are learnt from at most, cells at most.
 BLOCK, ASKED, SAMPLE, MOST_CELLS = 4096, 256, 16_384, 1024
+#: Rows with a block each that Python is handed at a time.
+FEW = 4
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -29,6 +31,13 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def each_row(batch: pa.RecordBatch):
+    """The rows of ``batch``, whose columns are lists or bytes, one at a time: lists as arrays without a Python object for each entry, bytes as buffers."""
+    for n in range(batch.num_rows):
+        values = (c[n] for c in batch.columns)
+        yield tuple(v.values.to_numpy() if isinstance(v, pa.ListScalar) else v.as_buffer() for v in values)
+
+
 def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
@@ -207,16 +216,17 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
     def score(batches):
         for batch in batches:
-            for asked_ids, q, least, ids, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for asked_ids, q, least, ids, v in each_row(batch):
                 x, y = np.frombuffer(q).reshape(len(asked_ids), -1), np.frombuffer(v).reshape(len(ids), -1)
                 yield best(asked_ids, ids, np.round(x @ y.T, 6), least, k)
 
-    def scored(marked):
-        return top_k(marked.join(blocks.drop("radius"), "cell").select("queries", "asked", "least", "ids", "vectors").mapInArrow(score, FOUND), k)
+    def scored(marked, name):
+        both = marked.join(blocks.drop("radius"), "cell").select("queries", "asked", "least", "ids", "vectors")
+        return written_in_small_batches(top_k(both.mapInArrow(score, FOUND), k), name, FEW)
 
     q = written(queries.select(F.col("query").cast("long").alias("id"), F.col("vector").cast("array<double>")), "asked")
-    first = written(scored(asked(q.withColumn("least", F.lit(-2.0)), nearest)), "first")
-    return top_k(first.drop("rank").unionByName(scored(asked(bounded(q, first, k), open_yet)).drop("rank")), k)
+    first = scored(asked(q.withColumn("least", F.lit(-2.0)), nearest), "first")
+    return top_k(first.drop("rank").unionByName(scored(asked(bounded(q, first, k), open_yet), "others").drop("rank")), k)
 
 
 def bounded(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:

@@ -1,9 +1,11 @@
 """Exact search in cells against brute force, and the approximate index's recall."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sedimark.operators import retrieval, vector_index
+from sedimark.operators.scratch import written_in_small_batches
 from sedimark.plans import inputs, queries
 
 
@@ -66,3 +68,14 @@ def test_ann_topk_has_the_recall_that_it_states_and_no_cross_join(spark):
     assert vector_index.recall(found, true).head().recall >= 0.9
     for df in (found, true):
         assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("NestedLoop", "Cartesian"))
+
+
+def test_blocks_come_to_python_few_at_a_time(spark, monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array([[1, 2], [3]], pa.list_(pa.int64())), pa.array([b"ab", b"c"], pa.binary())], ["ids", "block"])
+    rows = list(vector_index.each_row(batch))
+    assert [(ids.tolist(), bytes(block)) for ids, block in rows] == [([1, 2], b"ab"), ([3], b"c")]
+    given = []
+    monkeypatch.setattr(retrieval, "written_in_small_batches", lambda df, name, n: given.append(n) or written_in_small_batches(df, name, n))
+    vectors = spark.createDataFrame([(i, 1, [float(i % 3 == k) for k in range(3)]) for i in range(9)], "id long, label int, vector array<double>")
+    assert {(r.a, r.b) for r in retrieval.near_pairs(vectors, 0.9).collect()} == {(a, b) for a in range(9) for b in range(a + 1, 9) if a % 3 == b % 3}
+    assert given == [vector_index.FEW]
