@@ -100,7 +100,7 @@ def heading_level(tag: Column) -> Column:
 
 
 def page_of_box(box_id: Column) -> Column:
-    return F.nullif(F.regexp_extract(box_id, r"^p(\d+)-", 1), F.lit("")).try_cast("int")
+    return F.regexp_extract(box_id, r"^p(\d+)-", 1).try_cast("int")
 
 
 def strip_bullet(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.functions import markup as M
@@ -12,24 +12,31 @@ from sedimark.functions import text as T
 BELOW = 10_000_000
 
 
-def in_rows(items: DataFrame, by: list[str]) -> DataFrame:
-    """``items`` (by, y0, y1, x0, ord, ...) with ``row``, counted from the top of each group.
+def _line(items: Column, zone: Column) -> Column:
+    """Snippets of one row from the left; several, or what is in a zone, in an element of their own."""
+    html = F.array_join(F.transform(F.sort_array(items), lambda x: x["html"]), "")
+    in_tag = lambda tag: F.concat(F.lit(f'<div class="{tag}">'), html, F.lit("</div>"))
+    return F.when(zone != "", in_tag("aux-row")).when(F.size(items) > 1, in_tag("body-row")).otherwise(html)
+
+
+def in_rows(items: Column, zone: Column) -> Column:
+    """The lines of a zone's ``items`` (y0, x0, ord, h, html, in order), from the top.
 
     One starts a new row when its top is farther from the row's first than half the
-    smaller of the two heights (two at least). Which one is first depends on all
-    before it, so a group, which is a page's, is folded as an array.
+    smaller of the two heights (two at least), and always when it has no place. Which
+    one is first depends on all before it, so a zone, which is a page's, is folded as
+    an array; its snippets go with it, so that nothing has to be joined to them again.
     """
-    item = F.struct("y0", "x0", "ord", (F.col("y1") - F.col("y0")).alias("h"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0).alias("y"), F.lit(0).alias("h"), F.array().cast("array<struct<ord:bigint,row:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("y"), F.lit(0).alias("h"), F.array().cast("array<struct<x0:int,ord:bigint,html:string>>").alias("row"), F.array().cast("array<string>").alias("lines"))
 
     def step(s, x):
+        own = F.struct(x["x0"].alias("x0"), x["ord"].alias("ord"), x["html"].alias("html"))
         near = F.greatest(F.lit(2), F.floor(F.least(x["h"], s["h"]) / 2).cast("int"))
-        new = (s["row"] < 0) | (F.abs(x["y0"] - s["y"]) > near)
-        row = F.when(new, s["row"] + 1).otherwise(s["row"])
-        return F.struct(row.alias("row"), F.when(new, x["y0"]).otherwise(s["y"]).alias("y"), F.when(new, x["h"]).otherwise(s["h"]).alias("h"), F.array_append(s["out"], F.struct(x["ord"].alias("ord"), row.alias("row"))).alias("out"))
+        first = F.struct(x["y0"].alias("y"), x["h"].alias("h"), F.array(own).alias("row"), F.when(F.size(s["row"]) > 0, F.array_append(s["lines"], _line(s["row"], zone))).otherwise(s["lines"]).alias("lines"))
+        more = F.struct(s["y"].alias("y"), s["h"].alias("h"), F.array_append(s["row"], own).alias("row"), s["lines"].alias("lines"))
+        return F.when((F.size(s["row"]) == 0) | (x["y0"] >= BELOW) | (F.abs(x["y0"] - s["y"]) > near), first).otherwise(more)
 
-    rows = items.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items")).withColumn("out", F.aggregate("items", start, step)["out"])
-    return items.join(rows.select(*by, F.explode("out").alias("o")).select(*by, "o.*"), [*by, "ord"])
+    return F.aggregate(items, start, step, lambda s: F.array_append(s["lines"], _line(s["row"], zone)))
 
 
 def sections(snippets: DataFrame) -> DataFrame:
@@ -37,25 +44,24 @@ def sections(snippets: DataFrame) -> DataFrame:
 
     What a snippet says of itself counts: data-aux-zone puts it into the stack above
     or below the body, data-x, data-y and data-y1 into rows. Snippets without a place
-    follow the body's others in their order; those without a page are left out.
+    follow the body's others in their order; those without a page are left out. A
+    page's snippets are dealt out once; the steps after that stay with it.
     """
-    number = lambda name: F.nullif(F.regexp_extract("html", rf'data-{name}="(\d+)"', 1), F.lit("")).try_cast("int")
-    rows = snippets.withColumn("page", T.page_of_box(F.col("box_id"))).where("page is not null").withColumn("zone", F.regexp_extract("html", 'data-aux-zone="(header|footer)"', 1))
-    rows = rows.withColumn("y", number("y")).withColumn("y_end", number("y1")).withColumn("x", F.coalesce(number("x"), F.lit(0)))
-    rows = rows.withColumn("y0", F.coalesce("y", F.when(F.col("zone") != "", F.lit(0)).otherwise(F.lit(BELOW))))
-    rows = rows.select("slug", "page", "zone", "y0", F.coalesce("y_end", "y0").alias("y1"), F.col("x").alias("x0"), F.col("ord").cast("long").alias("ord"), "html")
-    placed = in_rows(rows.where(F.col("y0") < BELOW), ["slug", "page", "zone"])
-    loose = rows.where(F.col("y0") >= BELOW).withColumn("row", F.lit(BELOW) + F.row_number().over(Window.partitionBy("slug", "page").orderBy("ord")))
-    both = placed.unionByName(loose)
-    joined = lambda column, *order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, column))), lambda x: x[column]), "")
-    lines = both.groupBy("slug", "page", "zone", "row").agg(joined("html", "x0", "ord").alias("html"), F.count("*").alias("n"), F.min("ord").alias("ord"))
-    tag = F.when(F.col("zone") != "", "aux-row").when(F.col("n") > 1, "body-row")
-    lines = lines.withColumn("html", F.when(tag.isNull(), F.col("html")).otherwise(F.concat(F.lit('<div class="'), tag, F.lit('">'), "html", F.lit("</div>"))))
-    zones = lines.groupBy("slug", "page", "zone").agg(joined("html", "row").alias("html"), F.min("ord").alias("ord"))
+    number = lambda name: F.regexp_extract("html", rf'data-{name}="(\d+)"', 1).try_cast("int").alias(name)
+    zone = F.regexp_extract("html", 'data-aux-zone="(header|footer)"', 1).alias("zone")
+    # made by a generator, so that no filter below it reads the attributes again
+    read = F.struct(T.page_of_box(F.col("box_id")).alias("page"), zone, number("x"), number("y"), number("y1"))
+    rows = snippets.select("slug", F.col("ord").cast("long").alias("ord"), "html", F.inline(F.array(read))).where("page is not null")
+    y0 = F.coalesce("y", F.when(F.col("zone") != "", F.lit(0)).otherwise(F.lit(BELOW)))
+    rows = rows.select("slug", "page", "zone", F.least(y0, F.lit(BELOW)).alias("y0"), F.when(y0 >= BELOW, 0).otherwise(F.coalesce("x", F.lit(0))).alias("x0"), "ord", F.when(y0 >= BELOW, 0).otherwise(F.coalesce("y1", y0) - y0).alias("h"), "html")
+    items = F.sort_array(F.collect_list(F.struct("y0", "x0", "ord", "h", "html")))
+    zones = rows.repartition("slug", "page").groupBy("slug", "page", "zone").agg(items.alias("items"), F.min("ord").alias("ord"))
+    zones = zones.withColumn("html", F.array_join(in_rows(F.col("items"), F.col("zone")), ""))
     stack = F.when(F.col("zone") == "header", "top").when(F.col("zone") == "footer", "bottom")
     zones = zones.withColumn("html", F.when(stack.isNull(), M.list_groups(F.col("html"))).otherwise(F.concat(F.lit('<div class="aux-stack aux-stack--'), stack, F.lit('">'), "html", F.lit("</div>"))))
     place = F.when(F.col("zone") == "header", 0).when(F.col("zone") == "", 1).otherwise(2)
-    pages = zones.withColumn("place", place).groupBy("slug", "page").agg(F.min("ord").alias("ord"), joined("html", "place").alias("html"))
+    parts = F.sort_array(F.collect_list(F.struct("place", "html")))
+    pages = zones.withColumn("place", place).groupBy("slug", "page").agg(F.min("ord").alias("ord"), F.array_join(F.transform(parts, lambda x: x["html"]), "").alias("html"))
     return pages.select("slug", "page", "ord", F.concat(F.lit('<section data-page="'), "page", F.lit('">\n'), "html", F.lit("\n</section>")).alias("html"))
 
 

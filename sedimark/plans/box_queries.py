@@ -58,8 +58,8 @@ def caption_adjacency(spark, sf_dir):
 @query()
 def caption_rescue(spark, sf_dir):
     """Captions moved out of the HTML of visual boxes into the empty boxes beside them."""
-    b, e = I.boxes(spark, sf_dir), I.elements(spark, sf_dir)
-    fell = B.assign(b, e)
+    b = written(I.boxes(spark, sf_dir), "boxes")
+    fell = written(B.assign(b, I.elements(spark, sf_dir)), "fell")
     adjacent = B.captions(b, fell)
     html = F.concat(F.lit("<table><caption>Caption "), "element_id", F.lit("</caption></table>"))
     parts = fell.select("page", "box_id", F.col("element_id").alias("nth"), F.when(F.col("element_id") % 3 == 0, "<table></table>").otherwise(html).alias("html"))
@@ -226,41 +226,41 @@ def box_reading_order(spark, sf_dir):
 # --- pages as HTML
 
 
-def _snippets(spark, sf_dir):
-    """A snippet for each box, of books of so many pages; furniture says its zone, list items none of their place."""
-    b = _books(I.boxes(spark, sf_dir))
+def _snippets(b):
+    """A snippet for each of ``b``, boxes in books of so many pages; furniture says its zone, list items none of their place."""
     words = F.concat(F.lit("text of "), "box_id")
     parts = F.array(F.struct(F.concat(F.lit("<p>"), words, F.lit("</p>")).alias("html"), words.alias("text"), F.lit("text").alias("type")))
-    # written between the steps: each uses the one before several times, and the optimiser would put all into one expression
-    rows = b.withColumn("parts", parts).withColumn("html", M.box_html(F.col("kind"), F.col("box_id"), F.col("parts"), G.points(F.col("y0"), 288) / 792, F.col("page") % BOOK == 1))
-    rows = written(rows.select("slug", "page", "box_id", "kind", "x0", "y0", "y1", "reading_order", "html"), "snippets").where("html <> ''")
+    html = M.box_html(F.col("kind"), F.col("box_id"), F.col("parts"), G.points(F.col("y0"), 288) / 792, F.col("page") % BOOK == 1)
+    # each step uses the one before several times: a generator's column is made once, where the optimiser would put all into one expression
+    once = lambda rows, c, name: rows.select("*", F.inline(F.array(F.struct(c.alias(name)))))
+    rows = once(once(b, parts, "parts"), html, "bare").where("bare <> ''")
     place = {"data-x": F.col("x0").cast("int"), "data-y": F.col("y0").cast("int"), "data-y1": F.col("y1").cast("int")}
-    rows = written(rows.withColumn("placed", M.with_attributes(F.col("html"), place)), "placed")
-    rows = rows.withColumn("zoned", M.with_attributes(F.col("placed"), {"data-aux-zone": F.when(F.col("y0") < 340, "header").otherwise("footer")}))
-    html = F.when(F.col("kind") == "caption", F.col("zoned")).when(F.col("kind") == "list_item", F.col("html")).otherwise(F.col("placed"))
-    return rows.select("slug", (F.col("page") * 100_000 + F.col("reading_order")).alias("ord"), "box_id", html.alias("html"))
+    rows = once(rows, F.when(F.col("kind") == "list_item", F.col("bare")).otherwise(M.with_attributes(F.col("bare"), place)), "placed")
+    zone = F.when(F.col("y0") < 340, "header").otherwise("footer")
+    rows = once(rows, F.when(F.col("kind") == "caption", M.with_attributes(F.col("placed"), {"data-aux-zone": zone})).otherwise(F.col("placed")), "html")
+    return rows.select("slug", (F.col("page") * 100_000 + F.col("reading_order")).alias("ord"), "box_id", "html")
 
 
 @query()
 def page_html(spark, sf_dir):
     """Each page's boxes as one section, in rows."""
-    s = P.sections(_snippets(spark, sf_dir))
+    s = P.sections(_snippets(_books(I.boxes(spark, sf_dir))))
     return s.select("slug", "page", F.length("html").alias("chars"), F.sha2("html", 256).alias("html_sha256"))
 
 
 @query(f"""WITH {I.BOXES} SELECT 'book-' || ((page - 1) // {BOOK}) AS slug, page, box_id, kind, 'text of ' || box_id AS text, CASE WHEN kind = 'heading' THEN CASE WHEN page % {BOOK} = 1 THEN 1 ELSE 2 END END AS level FROM boxes WHERE kind <> 'discard'""")
 def export_elements(spark, sf_dir):
     """Boxes with the text that their documents' assembled HTML holds for them."""
-    b = _books(I.boxes(spark, sf_dir))
-    html = P.documents(P.sections(_snippets(spark, sf_dir)))
+    b = written(_books(I.boxes(spark, sf_dir)), "boxes")
+    html = P.documents(P.sections(_snippets(b)))
     return P.export(b, html).select("slug", "page", "box_id", "kind", "text", "level")
 
 
 @query(f"""WITH {I.BOXES} SELECT 'book-' || ((page - 1) // {BOOK}) AS slug, count(*) AS n_elements, count(*) FILTER (WHERE kind = 'heading') AS n_levels FROM boxes WHERE kind <> 'discard' GROUP BY 1""")
 def export_payload(spark, sf_dir):
     """Exports as JSON, counted again from it."""
-    b = _books(I.boxes(spark, sf_dir))
-    html = P.documents(P.sections(_snippets(spark, sf_dir)))
+    b = written(_books(I.boxes(spark, sf_dir)), "boxes")
+    html = P.documents(P.sections(_snippets(b)))
     payload = P.export_json(P.export(b, html), "local")
     read = F.from_json("payload", "elements array<struct<kind:string,level:int>>")["elements"]
     return payload.select("slug", F.size(read).cast("long").alias("n_elements"), F.size(F.filter(read, lambda e: e["level"].isNotNull())).cast("long").alias("n_levels"))

@@ -1,6 +1,7 @@
 """Text and markup functions, pages and boxes, by literals."""
 
 import json
+import random
 import re
 
 import pytest
@@ -86,6 +87,16 @@ def test_html_boxes(spark):
     assert [(b.box_id, b.tag, b.text) for b in got] == [("a", "h1", "T x&"), ("b", "p", "two"), ("c", "p", None)]
 
 
+def test_boxes_of_plain_tags_are_those_of_html():
+    rng = random.Random(1)
+    plain = ['<p data-source-box="a">', '<p data-source-box="b" x="1">', "</p>", "<br>", "<b>", "</b>", "x ", "&amp;", "&am", "p;", " \n", '<h1 data-source-box="c">', "</h1>", "<!DOCTYPE html>", "<div>", "</div>", '<p data-source-box="">', ">", '<p data-source-box="a" data-source-box="d">', "</br>", "&lt;b&gt;"]
+    odd = [*plain, "<", "<P>", "<br/>", "<!-- c -->", "<script>", "</script>", "<title>", '<p title=" data-source-box=" y="z">', "<p data-source-box='e'>", '<p data-source-box="&amp;">', "</ p>"]
+    for n in range(4000):
+        page = "".join(rng.choice(odd if n % 2 else plain) for _ in range(rng.randrange(1, 14)))
+        found = M.plain_boxes(page)
+        assert (found is None and n % 2) or list(found.items()) == list(M._parsed(page).items())
+
+
 def test_attributes_lists_and_sections(spark):
     assert values(spark, lambda c: M.with_attributes(c, {"data-x": F.lit(3), "class": F.lit("y")}), ['<p class="x">hi</p>', "<p>hi</p>", "hi", "<p"]) == ['<p data-x="3" class="x">hi</p>', '<p data-x="3" class="y">hi</p>', "hi", "<p"]
     assert values(spark, M.list_groups, ["<li>a</li> <li>b</li><p>x</p><li>c</li>"]) == ["<ul><li>a</li> <li>b</li></ul><p>x</p><ul><li>c</li></ul>"]
@@ -115,6 +126,14 @@ def test_pages_assemble_in_rows(spark):
     assert bare == '<section data-page="2">\n<div class="aux-stack aux-stack--top"><div class="aux-row"><i>h</i></div></div><div class="body-row"><p>left</p><p>right</p></div><p>low</p><div class="aux-stack aux-stack--bottom"><div class="aux-row"><i>f</i></div></div>\n</section>\n<section data-page="1">\n<p>first</p><ul><li>loose</li></ul>\n</section>'
 
 
+def test_sections_read_each_attribute_once_and_deal_snippets_out_once(spark):
+    df = spark.createDataFrame([("d", 0, "p2-b0", "<p>x</p>")], "slug string, ord long, box_id string, html string")
+    made = df.withColumn("html", M.with_attributes(F.col("html"), {"data-x": F.col("ord"), "data-y": F.col("ord")}))
+    plan = P.sections(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count('data-y="(') == plan.count('data-x="(') == plan.count("aux-zone=") == 1
+    assert "Join" not in plan and "Window" not in plan
+
+
 BOXES = "page long, box_id string, kind string, x0 double, y0 double, x1 double, y1 double, confidence double, reading_order int, manually_activated boolean, continues_to string, continues_from string"
 
 
