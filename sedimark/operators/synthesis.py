@@ -86,8 +86,13 @@ def abbreviations(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
 def table_units(c: Column) -> Column:
     """A table's rows, each under its header; none if there is only a header."""
     lines = F.filter(F.split(c, "\n"), lambda x: T.strip(x) != "")
-    rows = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    return F.transform(rows, lambda r: F.concat(F.get(lines, F.lit(0)), F.lit("\n"), r))
+
+    def under_header(t):
+        rows = F.slice(t["lines"], F.lit(2), F.greatest(F.size(t["lines"]) - 1, F.lit(0)))
+        return F.transform(rows, lambda r: F.concat(F.get(t["lines"], F.lit(0)), F.lit("\n"), r))
+
+    # an array of one binds the lines, so that they are made once and not for each row
+    return F.get(F.transform(F.array(F.struct(lines.alias("lines"))), under_header), F.lit(0))
 
 
 def list_units(c: Column) -> Column:
@@ -180,8 +185,8 @@ def kept(asked: DataFrame, existing: DataFrame | None = None, embed=models.lette
     """Questions that none of the same element's, neither of ``existing`` (slug, bare_id, question) nor any kept before, is as alike as the threshold; so many an element at most, in order. Without an embedder all pass."""
     if embed is not None:
         # ids in the order of places, one label a source: comparisons stay inside an element
-        rows = asked.withColumn("label", F.concat_ws("/", "slug", "bare_id")).withColumn("vector", embed(F.col("question")))
-        rows = written(rows.repartitionByRange("label", "place").sortWithinPartitions("label", "place").withColumn("id", F.monotonically_increasing_id()), "questions")
+        rows = asked.withColumn("label", F.concat_ws("/", "slug", "bare_id")).repartitionByRange("label", "place").sortWithinPartitions("label", "place")
+        rows = written(rows.withColumn("id", F.monotonically_increasing_id()).withColumn("vector", embed(F.col("question"))), "questions")
         before = None if existing is None else existing.select(F.xxhash64("slug", "bare_id", "question").alias("id"), F.concat_ws("/", "slug", "bare_id").alias("label"), embed(F.col("question")).alias("vector"))
         asked = rows.join(retrieval.greedy_unlike(rows.select("id", "label", "vector"), threshold, before).select("id"), "id", "left_semi").drop("id", "label", "vector")
     nth = F.row_number().over(Window.partitionBy("slug", "element_id").orderBy("place"))

@@ -296,3 +296,11 @@ def test_abbreviations_are_learnt_from_their_stops(spark):
     assert units(frozenset(found)) == ["Nach Abs. Vier gilt es.", "Ende."]
     assert Y.split_sentences("Nach Xyz. Vier gilt.") == ["Nach Xyz.", "Vier gilt."] and Y.split_sentences("Nach Xyz. Vier gilt.", frozenset({"Xyz"})) == ["Nach Xyz. Vier gilt."]
     assert Y.stop_scores(docs.limit(0)).count() == 0
+
+
+def test_a_table_s_lines_are_made_once(spark):
+    from sedimark.operators import synthesis
+
+    rows = spark.createDataFrame([("head\n\na\n b",), ("head",), ("",), (None,)], "c string").select(synthesis.table_units(F.col("c")).alias("u"))
+    assert [r.u for r in rows.collect()] == [["head\na", "head\n b"], [], [], None]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
