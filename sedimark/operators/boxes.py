@@ -107,14 +107,20 @@ def rescue_captions(adjacent: DataFrame, order: DataFrame, parts: DataFrame) ->
     start = F.struct(F.col("html"), F.array().cast("array<struct<caption_id:string,part:int,caption:string,rest:string>>").alias("out"))
 
     def turn(state, t):
-        holds = F.filter(F.transform(state["html"], lambda h, i: F.when(M.caption(h).isNotNull(), i)), lambda i: i.isNotNull())
-        part = F.coalesce(F.get(holds, F.lit(0)), F.lit(-1))
-        found = M.caption(F.get(state["html"], part))
-        row = F.struct(t["caption_id"].alias("caption_id"), part.alias("part"), found["caption"].alias("caption"), found["rest"].alias("rest"))
-        return F.struct(F.transform(state["html"], lambda h, i: F.when(i == part, found["rest"]).otherwise(h)).alias("html"), F.array_append(state["out"], row).alias("out"))
+        # arrays of one bind the captions and the first of them, so that each part is read once a turn
+        read = F.filter(F.transform(state["html"], lambda h, i: F.struct(i.alias("part"), M.caption(h).alias("found"))), lambda x: x["found"].isNotNull())
+        first = F.transform(F.array(F.struct(read.alias("read"))), lambda x: F.coalesce(F.get(x["read"], F.lit(0)), F.struct(F.lit(-1).alias("part"), F.lit(None).cast("struct<caption:string,rest:string>").alias("found"))))
+
+        def taken(x):
+            row = F.struct(t["caption_id"].alias("caption_id"), x["part"].alias("part"), x["found"]["caption"].alias("caption"), x["found"]["rest"].alias("rest"))
+            left = F.transform(state["html"], lambda h, i: F.when(i == x["part"], x["found"]["rest"]).otherwise(h))
+            return F.struct(left.alias("html"), F.array_append(state["out"], row).alias("out"))
+
+        return F.get(F.transform(first, taken), F.lit(0))
 
     folded = turns.join(html, ["page", "visual_id"]).withColumn("out", F.aggregate("turns", start, turn)["out"])
-    return folded.select("page", "visual_id", F.explode("out").alias("o")).select("page", "o.caption_id", "visual_id", "o.part", "o.caption", "o.rest")
+    # not explode: its filter on an empty array would run the fold again
+    return folded.select("page", "visual_id", F.explode_outer("out").alias("o")).select("page", "o.caption_id", "visual_id", "o.part", "o.caption", "o.rest")
 
 
 def diagnose(boxes: DataFrame, elements: DataFrame, most: int = 5) -> DataFrame:

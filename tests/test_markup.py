@@ -180,6 +180,14 @@ def test_captions_are_rescued_in_turn(spark):
     assert got == {"c0": (1, "Cap", "Leading words<table></table>"), "c1": (1, "Leading words", "<table></table>"), "c2": (-1, None, None)}
 
 
+def test_captions_are_read_once_a_turn(spark):
+    adjacent = spark.createDataFrame([(1, "c1", "v", 1.0)], "page long, caption_id string, visual_id string, score double")
+    order = spark.createDataFrame([(1, "c1", 0)], "page long, box_id string, reading_order int")
+    parts = spark.createDataFrame([(1, "v", 0, "<table></table>")], "page long, box_id string, nth int, html string")
+    plan = B.rescue_captions(adjacent, order, parts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</caption>") == 3  # the caption, what is before it and what is after it
+
+
 def test_titles_of_documents(spark):
     rows = [("a", 3, "b1", "heading"), ("a", 3, "b2", "paragraph"), ("a", 4, "b3", "heading"), ("b", 1, "b4", "heading"), ("b", 1, "b5", "heading"), ("c", 1, "b6", "figure"), ("c", 2, "b7", "heading")]
     found = D.title_headings(spark.createDataFrame(rows, "slug string, page int, box_id string, kind string"))
