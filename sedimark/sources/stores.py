@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -130,18 +134,32 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 # --- one file a document
 
+#: Documents that a folder of a task holds at most until its job ends; the driver holds the names of one such folder.
+FOLDER = 50_000
+#: Documents that a task reads at most, on average.
+FILES = 1000
+#: Bytes of documents beyond which no further one goes to Spark in the same batch.
+BATCH_BYTES = 4_000_000
+
+
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of ``path``, and where it is there."""
+    store, root = fs.FileSystem.from_uri(path)
+    return store, root.rstrip("/")
+
 
 @dataclass
 class _Written(WriterCommitMessage):
-    names: list[str]
+    folders: list[str]
 
 
 class DocumentFiles(DataSource):
     """The sink ``document_files``: rows (slug, content) as ``path``/slug/``file``.
 
-    Tasks write beside the documents, to a folder of the job; when all are done each
+    Tasks write beside the documents, to folders of the job; when all are done each
     document is moved to its place in one step. A job that fails leaves the old
-    documents as they were.
+    documents as they were. The driver gets the names of folders, and lists one
+    at a time as it moves, so it never holds the names of all documents.
     """
 
     @classmethod
@@ -159,38 +177,31 @@ class _DocumentWriter(DataSourceWriter):
     def __init__(self, path: str, file: str, job: str) -> None:
         self.path, self.file, self.job = path, file, job
 
-    def place(self):
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
-        return store, root.rstrip("/")
-
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
-        store, root = self.place()
-        own, names = f"{root}/.job-{self.job}/{uuid.uuid4().hex}", []
-        for row in iterator:
+        store, root = _place(self.path)
+        folders = []
+        for n, row in enumerate(iterator):
             if not row.slug or "/" in row.slug or "\\" in row.slug or row.slug.startswith("."):
                 raise ValueError(f"not a slug: {row.slug!r}")
-            store.create_dir(own, recursive=True)
-            with store.open_output_stream(f"{own}/{row.slug}") as out:
+            if n % FOLDER == 0:
+                folders.append(f"{root}/.job-{self.job}/{uuid.uuid4().hex}")
+                store.create_dir(folders[-1], recursive=True)
+            with store.open_output_stream(f"{folders[-1]}/{row.slug}", compression=None) as out:
                 out.write((row.content or "").encode())
-            names.append(f"{own}/{row.slug}")
-        return _Written(names)
+        return _Written(folders)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        store, root = self.place()
-        for name in (n for m in messages if m for n in m.names):
-            slug = posixpath.basename(name)
-            store.create_dir(f"{root}/{slug}", recursive=True)
-            store.move(name, f"{root}/{slug}/{self.file}")
+        store, root = _place(self.path)
+        for folder in (f for m in messages if m for f in m.folders):
+            for x in store.get_file_info(fs.FileSelector(folder)):
+                store.create_dir(f"{root}/{x.base_name}", recursive=True)
+                store.move(x.path, f"{root}/{x.base_name}/{self.file}")
         self._clear(store, root)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._clear(*self.place())
-
-    def _clear(self, store, root: str) -> None:
-        from pyarrow import fs
+        self._clear(*_place(self.path))
 
+    def _clear(self, store: fs.FileSystem, root: str) -> None:
         own = f"{root}/.job-{self.job}"
         if store.get_file_info(own).type != fs.FileType.NotFound:
             store.delete_dir(own)
@@ -202,10 +213,57 @@ def write_documents(rows: DataFrame, path: str, file: str = "html.html") -> None
     last_of_each(rows.select("slug", "content"), "slug").write.format("document_files").option("path", path).option("file", file).mode("append").save()
 
 
+def _slugs(path: str) -> Iterator[str]:
+    """Names in the folder at ``path``, one after another where it is local; other stores give all of them at once."""
+    store, root = _place(path)
+    if not isinstance(store, fs.LocalFileSystem):
+        yield from (x.base_name for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)))
+    elif os.path.isdir(root):
+        with os.scandir(root) as there:
+            yield from (x.name for x in there if x.name.encode(errors="ignore").decode() == x.name)  # else no slug has that name
+
+
 def documents(spark: SparkSession, path: str, file: str = "html.html") -> DataFrame:
-    """(slug, content) of the documents that have this file; a folder that isn't there has none, and files without a byte are passed over."""
-    rows = or_empty(spark, lambda: spark.read.format("binaryFile").load(f"{path}/*/{file}"), "path string, content binary")
-    return rows.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("slug"), F.col("content").cast("string").alias("content"))
+    """(slug, content) of the documents that have this file; a folder that isn't there has none, and files without a byte are passed over.
+
+    One task lists the folder into a table, and tasks read ``FILES`` documents each at most, on average,
+    so the driver holds no list of files. Stores that Arrow can't open are read by
+    Spark's own reader, whose driver holds one.
+    """
+    try:
+        _place(path)
+    except (pa.ArrowException, OSError):
+        rows = or_empty(spark, lambda: spark.read.format("binaryFile").load(f"{path}/*/{file}"), "path string, content binary")
+        return rows.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("slug"), F.col("content").cast("string").alias("content"))
+
+    def listed(batches):
+        for _ in batches:  # one, of one row
+            names = (x for x in _slugs(path) if not x.startswith(".job-"))
+            while some := list(islice(names, FILES)):
+                yield pa.RecordBatch.from_pydict({"slug": some})
+
+    def read(batches):
+        store, root = _place(path)
+        slugs, contents, held = [], [], 0
+        for batch in batches:
+            for some in (batch.column(0)[n : n + FILES].to_pylist() for n in range(0, batch.num_rows, FILES)):
+                for slug, x in zip(some, store.get_file_info([f"{root}/{s}/{file}" for s in some]), strict=True):
+                    if x.type != fs.FileType.File or not x.size:
+                        continue
+                    if slugs and held + x.size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(slugs), pa.array(contents, pa.binary())], ["slug", "content"])
+                        slugs, contents, held = [], [], 0
+                    with store.open_input_stream(x.path, compression=None) as f:
+                        slugs.append(slug)
+                        contents.append(f.read())
+                    held += x.size
+        if slugs:
+            yield pa.RecordBatch.from_arrays([pa.array(slugs), pa.array(contents, pa.binary())], ["slug", "content"])
+
+    slugs = written(spark.range(0, 1, 1, 1).mapInArrow(listed, "slug string"), "slugs")
+    n = slugs.count()
+    dealt = slugs.repartition(max(1, -(-n // FILES), min(n, spark.sparkContext.defaultParallelism)), "slug")
+    return dealt.mapInArrow(read, "slug string, content binary").select("slug", F.col("content").cast("string").alias("content"))
 
 
 def overwrite_html(edits: DataFrame, path: str, touched_utc: str) -> DataFrame:

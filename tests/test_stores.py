@@ -1,9 +1,12 @@
 """Tables and documents that are changed in place."""
 
 import json
+import os
+import pickle
 import threading
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sedimark.functions import text as T
@@ -119,6 +122,26 @@ def test_documents_are_written_whole_or_not_at_all(spark, tmp_path):
     assert {r.content for r in stores.documents(spark, path).where("slug = 'c'").collect()} == {"old"}
 
 
+def test_the_driver_holds_no_list_of_documents(spark, tmp_path):
+    path = str(tmp_path / "many")
+    want = {f"d{i}": f"text {i}" for i in range(2500)} | {"ä b%20": "odd", "_x": "low", "n.gz": "not packed"} | {f"big{i}": f"{i}" * 3_000_000 for i in range(3)}
+    writer = stores._DocumentWriter(path, "html.html", "j")
+    told = writer.write(Row(slug=s, content=c) for s, c in want.items())
+    assert len(pickle.dumps(told)) < 2_000 and not [p for p in (tmp_path / "many").iterdir() if p.name != ".job-j"]
+    writer.commit([told, None])
+    assert sorted(p.name for p in (tmp_path / "many").iterdir()) == sorted(want)
+    # neither of these is a document
+    (tmp_path / "many" / "html.html").write_text("beside")
+    (tmp_path / "many" / "none").mkdir()
+    os.mkdir(os.fsencode(path) + b"/\xff")
+    got = stores.documents(spark, path)
+    assert len(got.inputFiles()) < 10 and {tuple(r) for r in got.collect()} == set(want.items())
+    # a path that Arrow can't open is left to Spark
+    (tmp_path / "a b" / "d").mkdir(parents=True)
+    (tmp_path / "a b" / "d" / "html.html").write_text("ä")
+    assert [tuple(r) for p in (tmp_path, f"file://{tmp_path}") for r in stores.documents(spark, f"{p}/a b").collect()] == [("d", "ä")] * 2
+
+
 def test_edited_html_touches_the_metadata(spark, tmp_path):
     path = str(tmp_path / "docs")
     for slug in ("a", "b"):
